@@ -43,7 +43,7 @@ def share_of_total(df: DataFrame, keys, count_col: str = "n", pct_col: str = "pc
     counts = count_by(df, keys, count_col)
     total = counts.agg(F.sum(count_col)).scalar()
     if rounded is None:
-        pct = safe_ratio(F.col(count_col), total) * F.lit(100.0)
+        pct = safe_ratio(F.col(count_col) * 100, total)
     else:
         pct = pct_rounded(F.col(count_col), total, rounded)
     return counts.withColumn(pct_col, pct)

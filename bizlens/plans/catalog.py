@@ -111,3 +111,147 @@ def q_value_band_cancel(spark, base):
     # (l_orderkey, l_linenumber) repeats in the test tables: count cancelled ids exactly
     return rp.value_band_cancel(lines_mart(_t(spark, base)), cancel_status=CANCEL_STATUS,
                                 order_id_unique=False)
+
+
+# ---------------------------------------------------- profiling and cleaning
+from pyspark.sql import functions as F  # noqa: E402
+
+from bizlens.operators import aggregate as agg  # noqa: E402
+from bizlens.operators import clean as cl  # noqa: E402
+from bizlens.operators import distributions as ds  # noqa: E402
+from bizlens.operators import profile as pr  # noqa: E402
+from bizlens.plans import claims as cr  # noqa: E402
+from bizlens.sources.mart import claims_frame  # noqa: E402
+from bizlens.sources.samples import sample_rows, tail_rows  # noqa: E402
+
+
+def _claims(spark, base):
+    return claims_frame(_t(spark, base))
+
+
+@register("status_share")
+def q_status_share(spark, base):
+    return agg.share_of_total(_t(spark, base)["orders"], "o_orderstatus", "n", "pct")
+
+
+@register("null_counts")
+def q_null_counts(spark, base):
+    return pr.null_counts(_claims(spark, base))
+
+
+@register("distinct_counts")
+def q_distinct_counts(spark, base):
+    return pr.distinct_counts(_t(spark, base)["orders"], ["o_orderstatus", "o_custkey", "o_orderpriority"])
+
+
+@register("schema_report")
+def q_schema_report(spark, base):
+    return pr.schema_report(_claims(spark, base))
+
+
+@register("quality_rules")
+def q_quality_rules(spark, base):
+    return cr.claims_rules(_claims(spark, base), ["AFRICA", "AMERICA", "ASIA", "EUROPE"])
+
+
+@register("strip_currency")
+def q_strip_currency(spark, base):
+    df = cl.strip_currency(_claims(spark, base), "claim_amount")
+    return df.select("claim_id", F.col("claim_amount").cast("double").alias("claim_amount"))
+
+
+@register("normalise_category")
+def q_normalise_category(spark, base):
+    df = cl.normalise_category(_claims(spark, base), "cause")
+    return df.groupBy("cause").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("impute_mean")
+def q_impute_mean(spark, base):
+    df = cl.fill_mean(_claims(spark, base), "amount_paid", exact_scale=3)
+    return df.select("claim_id", "amount_paid")
+
+
+@register("clean_claims")
+def q_clean_claims(spark, base):
+    df = cr.clean_claims(_claims(spark, base))
+    return df.withColumn("claim_amount", F.col("claim_amount").cast("double"))
+
+
+@register("describe")
+def q_describe(spark, base):
+    return pr.describe(_t(spark, base)["lineitem"], ["l_quantity", "l_extendedprice", "l_discount"])
+
+
+@register("category_counts")
+def q_category_counts(spark, base):
+    return pr.category_counts(_t(spark, base)["orders"], ["o_orderstatus", "o_orderpriority"])
+
+
+@register("correlation")
+def q_correlation(spark, base):
+    return pr.correlation(_t(spark, base)["lineitem"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+@register("histogram_50")
+def q_histogram_50(spark, base):
+    return ds.histogram(_t(spark, base)["orders"], "o_totalprice", 50)
+
+
+@register("histogram_by_category")
+def q_histogram_by_category(spark, base):
+    t = _t(spark, base)
+    o = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    return ds.binned_counts(o.select(F.month("o_orderdate").alias("month"),
+                                     F.col("c_mktsegment").alias("segment")), ["month", "segment"])
+
+
+@register("box_stats")
+def q_box_stats(spark, base):
+    df = cl.strip_currency(_claims(spark, base), "claim_amount")
+    return ds.box_stats(df, "claim_amount", "location")
+
+
+@register("outlier_cut")
+def q_outlier_cut(spark, base):
+    li = _t(spark, base)["lineitem"]
+    return cl.cut_above(li, "l_quantity", 35).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@register("binned_2d")
+def q_binned_2d(spark, base):
+    return ds.binned_2d(_t(spark, base)["lineitem"], "l_quantity", "l_extendedprice", 5, 10000, by="l_returnflag")
+
+
+@register("density_2d")
+def q_density_2d(spark, base):
+    b = ds.binned_2d(_t(spark, base)["lineitem"], "l_quantity", "l_extendedprice", 5, 10000, by="l_returnflag")
+    d = ds.smoothed_density(b, bandwidth_bins=1.0, radius=2, by="l_returnflag")
+    return d.withColumn("density", F.round(F.col("density"), 12))
+
+
+@register("claims_by_location")
+def q_claims_by_location(spark, base):
+    return cr.claims_by_location(cr.clean_claims(_claims(spark, base)))
+
+
+@register("claims_time_histogram")
+def q_claims_time_histogram(spark, base):
+    return cr.time_to_close_histogram(cr.clean_claims(_claims(spark, base)))
+
+
+@register("claims_boxes_after_cut")
+def q_claims_boxes_after_cut(spark, base):
+    return cr.time_to_close_boxes(cr.clean_claims(_claims(spark, base)), cut_below=120)
+
+
+@register("claims_tail")
+def q_claims_tail(spark, base):
+    df = cl.cut_above(cr.clean_claims(_claims(spark, base)), "time_to_close", 120)
+    return tail_rows(df.select("claim_id", "time_to_close", "location"), 10, "claim_id")
+
+
+@register("claims_sample")
+def q_claims_sample(spark, base):
+    return sample_rows(cr.clean_claims(_claims(spark, base)), 10, seed=42) \
+        .withColumn("claim_amount", F.col("claim_amount").cast("double"))

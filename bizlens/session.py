@@ -17,6 +17,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -44,7 +45,7 @@ def get_spark(master: str | None = None, app: str = "bizlens",
         spark = builder.getOrCreate()
         spark.sparkContext.setLogLevel("ERROR")
     for k, v in _DEFAULTS.items():
-        if k == "spark.ui.enabled":
+        if k.startswith("spark.ui."):
             continue
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)

@@ -138,3 +138,42 @@ def events_as_orders(t) -> DataFrame:
     return t["events"].select(F.col("event_id").alias("order_id"),
                               F.col("user_id"),
                               F.col("ts").alias("create_time"))
+
+
+# The five raw spellings of the claim cause in the claims data.
+CAUSE_SPELLINGS = [" Meat", "VEGETABLES", "meat", "unknown", "vegetable"]
+
+
+def claims_frame(t) -> DataFrame:
+    """A claims table derived from orders (one claim per order).
+
+    claim_id = order key; time_to_close = days from order to its last ship
+    date; claim_amount = ``'R$ '`` + order total as text; location = region
+    name; amount_paid = 70 % of the total, missing for every 50th key;
+    individuals_on_claim = line count; linked_cases = urgent/high priority,
+    missing for every 40th key; cause = one of the five raw spellings.
+    """
+    o, li = t["orders"], t["lineitem"]
+    lines = li.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("_last_ship"),
+                                         F.count(F.lit(1)).alias("_lines"))
+    geo = (t["customer"].select("c_custkey", "c_nationkey")
+           .join(F.broadcast(t["nation"].select("n_nationkey", "n_regionkey")),
+                 F.col("c_nationkey") == F.col("n_nationkey"))
+           .join(F.broadcast(t["region"].select("r_regionkey", "r_name")),
+                 F.col("n_regionkey") == F.col("r_regionkey"))
+           .select("c_custkey", "r_name"))
+    key = F.col("o_orderkey")
+    spellings = F.array(*[F.lit(s) for s in CAUSE_SPELLINGS])
+    return (o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
+             .join(geo, o.o_custkey == geo.c_custkey, "left")
+             .select(
+                 key.alias("claim_id"),
+                 F.datediff(F.col("_last_ship").cast("date"), F.col("o_orderdate").cast("date")).alias("time_to_close"),
+                 F.concat(F.lit("R$ "), F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("claim_amount"),
+                 F.col("r_name").alias("location"),
+                 F.when(key % 50 == 0, F.lit(None)).otherwise(
+                     (F.col("o_totalprice").cast("decimal(18,2)") * F.lit("0.7").cast("decimal(2,1)")).cast("double")).alias("amount_paid"),
+                 F.col("_lines").cast("int").alias("individuals_on_claim"),
+                 F.when(key % 40 == 0, F.lit(None).cast("boolean")).otherwise(
+                     F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("linked_cases"),
+                 F.element_at(spellings, (key % 5 + 1).cast("int")).alias("cause")))
