@@ -255,3 +255,112 @@ def q_claims_tail(spark, base):
 def q_claims_sample(spark, base):
     return sample_rows(cr.clean_claims(_claims(spark, base)), 10, seed=42) \
         .withColumn("claim_amount", F.col("claim_amount").cast("double"))
+
+
+# ------------------------------------------------- features and models
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from bizlens.operators import classify as ml  # noqa: E402
+from bizlens.operators import features as fe  # noqa: E402
+from bizlens.operators import segments as sg  # noqa: E402
+from bizlens.plans import bookings as bk  # noqa: E402
+from bizlens.sources.mart import bookings_frame  # noqa: E402
+
+
+def _bookings(spark, base):
+    return bookings_frame(_t(spark, base))
+
+
+@register("one_hot")
+def q_one_hot(spark, base):
+    return fe.one_hot(_t(spark, base)["orders"].select("o_orderkey", "o_orderstatus"), ["o_orderstatus"])
+
+
+@register("label_encode")
+def q_label_encode(spark, base):
+    return fe.label_encode(_t(spark, base)["part"].select("p_partkey", "p_brand"), ["p_brand"])
+
+
+@register("standardise")
+def q_standardise(spark, base):
+    li = _t(spark, base)["lineitem"].select("l_orderkey", "l_linenumber", "l_quantity")
+    return fe.standardise(li, ["l_quantity"], digits=4, suffix="_z").drop("l_quantity")
+
+
+@register("hash_split")
+def q_hash_split(spark, base):
+    e = _t(spark, base)["embeddings"]
+    return e.select("vec_id", fe.split_flag("vec_id", 0.3, method="modulo").alias("split"))
+
+
+def _embedding_split(spark, base):
+    e = _t(spark, base)["embeddings"].withColumn("_split", fe.split_flag("vec_id", 0.3, method="modulo"))
+    train = e.where(F.col("_split") == "train").select("vec_id", "embedding", "label")
+    test = e.where(F.col("_split") == "test").select("vec_id", "embedding", "label")
+    return train, test
+
+
+@register("knn_vote")
+def q_knn_vote(spark, base):
+    train, test = _embedding_split(spark, base)
+    pred = ml.knn_predict(train, test, 5, id_col="vec_id", vec_col="embedding", label_col="label")
+    return pred.select("vec_id", "prediction")
+
+
+def _doc_predictions(spark, base):
+    t = _t(spark, base)
+    return (t["documents"].join(t["labels"], "doc_id")
+            .select("doc_id", F.col("quality").alias("label"),
+                    (F.col("n_chars") > 1000).cast("int").alias("prediction")))
+
+
+@register("binary_metrics")
+def q_binary_metrics(spark, base):
+    return ml.binary_metrics(_doc_predictions(spark, base), "label", "prediction", positive=1)
+
+
+@register("confusion_matrix")
+def q_confusion_matrix(spark, base):
+    return ml.confusion(_doc_predictions(spark, base), "label", "prediction")
+
+
+@register("naive_bayes_embeddings")
+def q_naive_bayes_embeddings(spark, base):
+    train, test = _embedding_split(spark, base)
+    from pyspark.ml.functions import array_to_vector
+    tr = train.select("vec_id", F.col("label").cast("double").alias("label"),
+                      array_to_vector("embedding").alias("features"))
+    te = test.select("vec_id", F.col("label").cast("double").alias("label"),
+                     array_to_vector("embedding").alias("features"))
+    model = ml.fit_naive_bayes(tr)
+    return model.transform(te).select("vec_id", "label", "prediction")
+
+
+@register("booking_pca_variance")
+def q_booking_pca_variance(spark, base):
+    enc, feats = bk.encode_bookings(_bookings(spark, base))
+    vec = fe.assemble(fe.standardise(enc, feats), feats, "features")
+    _, variance = fe.pca(vec, "features", 4)
+    return variance
+
+
+@register("booking_elbow")
+def q_booking_elbow(spark, base):
+    return bk.booking_segments(_bookings(spark, base)).elbow
+
+
+@register("booking_segment_profile")
+def q_booking_segment_profile(spark, base):
+    return bk.booking_segments(_bookings(spark, base)).profile
+
+
+@register("booking_segment_target_mix")
+def q_booking_segment_target_mix(spark, base):
+    return bk.booking_segments(_bookings(spark, base)).target_mix
+
+
+@register("cancellation_leaderboard")
+def q_cancellation_leaderboard(spark, base):
+    b = _bookings(spark, base)
+    seg = bk.booking_segments(b).segments
+    return bk.cancellation_leaderboard(b, segment_ids=seg)

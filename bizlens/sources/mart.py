@@ -177,3 +177,39 @@ def claims_frame(t) -> DataFrame:
                  F.when(key % 40 == 0, F.lit(None).cast("boolean")).otherwise(
                      F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("linked_cases"),
                  F.element_at(spellings, (key % 5 + 1).cast("int")).alias("cause")))
+
+
+def bookings_frame(t) -> DataFrame:
+    """A bookings-like table derived from orders (one booking per order).
+
+    Categoricals: priority (meal plan), customer segment (market segment),
+    region, number of lines (counts are treated as categories); numerics:
+    price per line (room price), days to last ship (lead time), total quantity;
+    date parts of the order date; target: status ``F`` = Canceled.
+    """
+    o, li = t["orders"], t["lineitem"]
+    lines = li.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("_last_ship"),
+                                         F.count(F.lit(1)).alias("_lines"),
+                                         F.sum("l_quantity").alias("_qty"))
+    geo = (t["customer"].select("c_custkey", "c_nationkey", "c_mktsegment")
+           .join(F.broadcast(t["nation"].select("n_nationkey", "n_regionkey")),
+                 F.col("c_nationkey") == F.col("n_nationkey"))
+           .join(F.broadcast(t["region"].select("r_regionkey", "r_name")),
+                 F.col("n_regionkey") == F.col("r_regionkey"))
+           .select("c_custkey", "c_mktsegment", "r_name"))
+    return (o.join(lines, o.o_orderkey == lines.l_orderkey)
+             .join(geo, o.o_custkey == geo.c_custkey)
+             .select(
+                 F.col("o_orderkey").alias("Booking_ID"),
+                 F.col("o_orderpriority").alias("type_of_meal_plan"),
+                 F.col("c_mktsegment").alias("market_segment_type"),
+                 F.col("r_name").alias("region"),
+                 F.col("_lines").cast("int").alias("no_of_items"),
+                 F.datediff(F.col("_last_ship").cast("date"), F.col("o_orderdate").cast("date")).alias("lead_time"),
+                 F.year("o_orderdate").alias("arrival_year"),
+                 F.month("o_orderdate").alias("arrival_month"),
+                 F.dayofmonth("o_orderdate").alias("arrival_date"),
+                 F.col("_qty").alias("total_quantity"),
+                 F.round(F.col("o_totalprice") / F.col("_lines"), 2).alias("avg_price_per_room"),
+                 F.when(F.col("o_orderstatus") == CANCEL_STATUS, F.lit("Canceled"))
+                  .otherwise(F.lit("Not_Canceled")).alias("booking_status")))
