@@ -21,7 +21,7 @@ def strip_pattern(c, pattern: str, literal: bool = True) -> Column:
 def parse_number(c, to_type: str = "decimal(18,2)", lenient: bool = False) -> Column:
     """CO5: text -> number. Strict mode raises on bad input (ANSI cast)."""
     x = F.trim(_col(c))
-    return F.try_cast(x, to_type) if lenient else x.cast(to_type)
+    return x.try_cast(to_type) if lenient else x.cast(to_type)
 
 
 def normalise_spelling(c, replacements: list[tuple[str, str]], lower: bool = True) -> Column:

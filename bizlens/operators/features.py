@@ -72,16 +72,20 @@ def label_encode(df: DataFrame, columns, suffix: str = "") -> DataFrame:
 def standardise(df: DataFrame, columns, digits: int | None = None, suffix: str = "") -> DataFrame:
     """ML3: ``(x - mean) / std`` with the population std; constant columns give 0.
 
-    Means and stds of all columns come from one aggregation (scalar subqueries).
+    Fitting is one aggregation over all columns; its single row (two numbers
+    per column, the scaler's parameters) is what reaches the driver, and the
+    transform is a plain projection with literals.
     """
     cols = _cols(columns)
-    stats = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                   *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)])
+    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                 *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     out = df
     for i, c in enumerate(cols):
-        m = stats.select(f"m{i}").scalar()
-        s = stats.select(f"s{i}").scalar()
-        z = F.when(s > 0, (F.col(c) - m) / s).otherwise(F.lit(0.0))
+        m, s = row[f"m{i}"], row[f"s{i}"]
+        if m is None or s is None or s == 0:
+            z = F.when(F.col(c).isNotNull(), F.lit(0.0))
+        else:
+            z = (F.col(c) - F.lit(float(m))) / F.lit(float(s))
         if digits is not None:
             z = F.round(z, digits)
         out = out.withColumn(c + suffix, z)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,11 @@ def kmeans_sweep(df: DataFrame, features_col: str = "features", ks=range(2, 11),
     ks = list(ks)
     costs = []
     for k in ks:
+        if k == 1:
+            # one centre = the mean: distortion is the total sum of squares
+            s = df.select(Summarizer.metrics("count", "variance").summary(F.col(features_col)).alias("s")).first()["s"]
+            costs.append(float((s["count"] - 1) * np.asarray(s["variance"]).sum()))
+            continue
         model = KMeans(k=k, seed=seed, featuresCol=features_col, maxIter=max_iter,
                        initMode="k-means||").fit(df)
         costs.append(float(model.summary.trainingCost))
