@@ -11,6 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+try:  # ship this module's task-side functions by value: executors need not install bizlens
+    from pyspark import cloudpickle as _cloudpickle
+    import sys as _sys
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001  (older cloudpickle: fall back to import on executors)
+    pass
+
 
 # --------------------------------------------------------------------- KNN
 def _as_matrix(series: pd.Series) -> np.ndarray:
@@ -19,13 +26,18 @@ def _as_matrix(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype(np.float64)
 
 
-def _neighbour_fn(bc, k: int, id_col: str, vec_col: str, batch: int = 256):
+def _neighbour_fn(bc, k: int, id_col: str, vec_col: str, batch: int = 512):
     def fn(batches):
         ids, X, y = bc.value
         n = len(ids)
         if n == 0:
             return
-        xn = np.einsum("ij,ij->i", X, X)
+        # candidate pass on mean-centred data (translation keeps distances and
+        # shrinks the expanded-formula error); exact refinement uses raw values
+        mu = X.mean(axis=0)
+        Xc = X - mu
+        xn = np.einsum("ij,ij->i", Xc, Xc)
+        xmax = float(xn.max())
         m = min(n, k + 8)
         for pdf in batches:
             if len(pdf) == 0:
@@ -35,15 +47,24 @@ def _neighbour_fn(bc, k: int, id_col: str, vec_col: str, batch: int = 256):
             out_q, out_n, out_d, out_l = [], [], [], []
             for s in range(0, len(Q), batch):
                 q = Q[s:s + batch]
-                approx = np.einsum("ij,ij->i", q, q)[:, None] + xn[None, :] - 2.0 * (q @ X.T)
-                cand = np.argpartition(approx, m - 1, axis=1)[:, :m] if m < n else np.tile(np.arange(n), (len(q), 1))
+                qc = q - mu
+                qn = np.einsum("ij,ij->i", qc, qc)
+                approx = qn[:, None] + xn[None, :] - 2.0 * (qc @ Xc.T)
+                if m < n:
+                    # one partial sort gives the m candidates and the best excluded value
+                    part = np.argpartition(approx, m, axis=1)[:, :m + 1]
+                    pv = np.take_along_axis(approx, part, axis=1)
+                    order = np.argsort(pv, axis=1)
+                    part = np.take_along_axis(part, order, axis=1)
+                    cand = part[:, :m]
+                    excluded_min = np.take_along_axis(pv, order, axis=1)[:, m]
+                else:
+                    cand = np.tile(np.arange(n), (len(q), 1))
                 exact = ((q[:, None, :] - X[cand]) ** 2).sum(axis=2)
                 # bound of the expanded-formula error; rows whose k-th exact distance
                 # is not clearly below every excluded candidate are redone exactly
                 if m < n:
-                    excluded_min = np.partition(approx, m, axis=1)[:, m]
-                    scale = np.abs(np.einsum("ij,ij->i", q, q))[:, None] + xn.max()
-                    tol = 1e-9 * scale[:, 0]
+                    tol = 1e-12 * (qn + xmax)
                     kth = np.sort(exact, axis=1)[:, min(k, m) - 1]
                     redo = np.where(kth + tol >= excluded_min - tol)[0]
                 else:
@@ -131,10 +152,16 @@ def fit_naive_bayes(train: DataFrame, features_col: str = "features", label_col:
 
 
 def fit_forest(train: DataFrame, features_col: str = "features", label_col: str = "label",
-               trees: int = 100, max_depth: int = 16, seed: int = 42):
-    """ML11: random forest (per-level histogram aggregation, distributed)."""
+               trees: int = 100, max_depth: int = 12, seed: int = 42):
+    """ML11: random forest, ``sqrt`` features per split, bootstrap per tree.
+
+    Trees grow level by level with one distributed histogram aggregation per
+    level, so depth (not rows) drives the job count; unlimited depth is not
+    available (Spark caps it at 30) and depth 12 keeps the fit to 12 passes.
+    """
     return RandomForestClassifier(featuresCol=features_col, labelCol=label_col, numTrees=trees,
-                                  maxDepth=max_depth, seed=seed, maxBins=64).fit(train)
+                                  maxDepth=max_depth, seed=seed, maxBins=64, maxMemoryInMB=1024,
+                                  cacheNodeIds=True).fit(train)
 
 
 # ------------------------------------------------------------ scoring

@@ -69,7 +69,7 @@ def booking_segments(bookings: DataFrame, n_segments: int = 4, seed: int = 42, k
 
 def cancellation_leaderboard(bookings: DataFrame, segment_ids: DataFrame | None = None,
                              test_fraction: float = 0.3, seed: int = 42, knn_k: int = 5,
-                             forest_trees: int = 100, forest_depth: int = 16) -> DataFrame:
+                             forest_trees: int = 100, forest_depth: int = 12) -> DataFrame:
     """Fit logistic regression, Gaussian naive Bayes, KNN and a random forest on
     the same hold-out split and return their scores, best accuracy first."""
     enc, feats = encode_bookings(bookings)

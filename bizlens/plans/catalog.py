@@ -271,6 +271,18 @@ def _bookings(spark, base):
     return bookings_frame(_t(spark, base))
 
 
+_SEGMENTS: dict = {}
+
+
+def _segment_report(spark, base):
+    """One segmentation per (application, input folder): the segment queries and
+    the leaderboard share it instead of refitting (its frames are checkpointed)."""
+    key = (spark.sparkContext.applicationId, base)
+    if key not in _SEGMENTS:
+        _SEGMENTS[key] = bk.booking_segments(_bookings(spark, base))
+    return _SEGMENTS[key]
+
+
 @register("one_hot")
 def q_one_hot(spark, base):
     return fe.one_hot(_t(spark, base)["orders"].select("o_orderkey", "o_orderstatus"), ["o_orderstatus"])
@@ -346,21 +358,20 @@ def q_booking_pca_variance(spark, base):
 
 @register("booking_elbow")
 def q_booking_elbow(spark, base):
-    return bk.booking_segments(_bookings(spark, base)).elbow
+    return _segment_report(spark, base).elbow
 
 
 @register("booking_segment_profile")
 def q_booking_segment_profile(spark, base):
-    return bk.booking_segments(_bookings(spark, base)).profile
+    return _segment_report(spark, base).profile
 
 
 @register("booking_segment_target_mix")
 def q_booking_segment_target_mix(spark, base):
-    return bk.booking_segments(_bookings(spark, base)).target_mix
+    return _segment_report(spark, base).target_mix
 
 
 @register("cancellation_leaderboard")
 def q_cancellation_leaderboard(spark, base):
-    b = _bookings(spark, base)
-    seg = bk.booking_segments(b).segments
-    return bk.cancellation_leaderboard(b, segment_ids=seg)
+    seg = _segment_report(spark, base).segments
+    return bk.cancellation_leaderboard(_bookings(spark, base), segment_ids=seg)
