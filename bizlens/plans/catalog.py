@@ -375,3 +375,14 @@ def q_booking_segment_target_mix(spark, base):
 def q_cancellation_leaderboard(spark, base):
     seg = _segment_report(spark, base).segments
     return bk.cancellation_leaderboard(_bookings(spark, base), segment_ids=seg)
+
+
+@register("booking_pca_describe")
+def q_booking_pca_describe(spark, base):
+    seg = _segment_report(spark, base).segments
+    return pr.describe(seg, ["col1", "col2"])
+
+
+@register("booking_segment_sizes")
+def q_booking_segment_sizes(spark, base):
+    return _segment_report(spark, base).sizes
