@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.stat import Summarizer
@@ -10,22 +12,25 @@ from pyspark.sql import functions as F
 
 
 def kmeans_sweep(df: DataFrame, features_col: str = "features", ks=range(2, 11), seed: int = 42,
-                 max_iter: int = 20) -> DataFrame:
+                 max_iter: int = 20, parallel_fits: int = 3) -> DataFrame:
     """ML5: distortion (sum of squared distances to the nearest centre) per k,
     and the elbow: the k farthest from the chord joining the first and last
     points of the (k, distortion) curve. Each fit is a distributed job; only
     k centres per fit reach the driver."""
     ks = list(ks)
-    costs = []
-    for k in ks:
+
+    def cost(k: int) -> float:
         if k == 1:
             # one centre = the mean: distortion is the total sum of squares
             s = df.select(Summarizer.metrics("count", "variance").summary(F.col(features_col)).alias("s")).first()["s"]
-            costs.append(float((s["count"] - 1) * np.asarray(s["variance"]).sum()))
-            continue
+            return float((s["count"] - 1) * np.asarray(s["variance"]).sum())
         model = KMeans(k=k, seed=seed, featuresCol=features_col, maxIter=max_iter,
                        initMode="k-means||").fit(df)
-        costs.append(float(model.summary.trainingCost))
+        return float(model.summary.trainingCost)
+
+    # the fits are independent: submit them together so small fits share the cluster
+    with ThreadPoolExecutor(max_workers=min(parallel_fits, len(ks))) as pool:
+        costs = list(pool.map(cost, ks))
     x = np.array(ks, dtype=float)
     y = np.array(costs)
     if len(ks) > 2 and y[0] != y[-1]:

@@ -28,10 +28,18 @@ TARGET_MAP = {"Not_Canceled": 0, "Canceled": 1}
 KEY = "Booking_ID"
 
 
-def encode_bookings(bookings: DataFrame, max_levels: int = 1000) -> tuple[DataFrame, list[str]]:
-    """Target mapped to 0/1, dates dropped, categoricals one-hot; returns (frame, feature names)."""
+def encode_bookings(bookings: DataFrame, max_levels: int = 1000,
+                    checkpoint: bool = False) -> tuple[DataFrame, list[str]]:
+    """Target mapped to 0/1, dates dropped, categoricals one-hot; returns (frame, feature names).
+
+    ``checkpoint=True`` writes the mapped input once to the reliable folder, so
+    level discovery, scaler moments and the fits read it instead of
+    recomputing the upstream joins.
+    """
     df = bookings.withColumn(TARGET, map_values(TARGET, TARGET_MAP)).drop(*DATE_PARTS)
     df = df.select(*[F.col(c).cast("string").alias(c) if c in CATEGORICAL else F.col(c) for c in df.columns])
+    if checkpoint:
+        df = reliable(df, spread=True)
     enc = features.one_hot(df, CATEGORICAL, max_levels=max_levels)
     feats = [c for c in enc.columns if c not in (KEY, TARGET)]
     return enc.na.fill(0, subset=feats), feats
@@ -39,6 +47,8 @@ def encode_bookings(bookings: DataFrame, max_levels: int = 1000) -> tuple[DataFr
 
 @dataclass
 class SegmentReport:
+    encoded: DataFrame           # one-hot encoded bookings (checkpointed input)
+    feature_names: list          # encoded feature columns
     segments: DataFrame          # KEY, Segment, col1, col2, price, target
     pca_variance: DataFrame      # component, ratio, cumulative (4 components)
     elbow: DataFrame             # k, distortion, is_elbow
@@ -49,19 +59,19 @@ class SegmentReport:
 
 def booking_segments(bookings: DataFrame, n_segments: int = 4, seed: int = 42, ks=range(2, 11),
                      micro_clusters: int = 200) -> SegmentReport:
-    enc, feats = encode_bookings(bookings)
+    enc, feats = encode_bookings(bookings, checkpoint=True)
     scaled = features.standardise(enc, feats, suffix="")
     vec = features.assemble(scaled, feats, "features").select(KEY, TARGET, "avg_price_per_room", "features")
-    vec = reliable(vec)  # feeds PCA twice, the sweep and the clustering
+    vec = reliable(vec, spread=True)  # feeds PCA twice, the sweep and the clustering
     _, variance4 = features.pca(vec, "features", 4)
     proj, _ = features.pca(vec, "features", 2)
     proj = features.assemble(proj.drop("features"), ["col1", "col2"], "pc")
-    proj = reliable(proj)
+    proj = reliable(proj, spread=True)
     elbow = segments.kmeans_sweep(proj, "pc", ks=ks, seed=seed)
     seg = segments.hierarchical_segments(proj, "pc", n_segments, micro_clusters, seed)
     seg = seg.select(KEY, "Segment", "col1", "col2", "avg_price_per_room", TARGET)
     return SegmentReport(
-        segments=seg, pca_variance=variance4, elbow=elbow,
+        encoded=enc, feature_names=feats, segments=seg, pca_variance=variance4, elbow=elbow,
         sizes=seg.groupBy("Segment").agg(F.count(F.lit(1)).alias("n")),
         profile=segments.segment_profile(seg, "Segment", "avg_price_per_room", TARGET),
         target_mix=segments.segment_target_mix(seg, "Segment", TARGET))
@@ -69,17 +79,20 @@ def booking_segments(bookings: DataFrame, n_segments: int = 4, seed: int = 42, k
 
 def cancellation_leaderboard(bookings: DataFrame, segment_ids: DataFrame | None = None,
                              test_fraction: float = 0.3, seed: int = 42, knn_k: int = 5,
-                             forest_trees: int = 100, forest_depth: int = 12) -> DataFrame:
+                             forest_trees: int = 100, forest_depth: int = 12,
+                             encoded: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
     """Fit logistic regression, Gaussian naive Bayes, KNN and a random forest on
-    the same hold-out split and return their scores, best accuracy first."""
-    enc, feats = encode_bookings(bookings)
+    the same hold-out split and return their scores, best accuracy first.
+
+    ``encoded`` reuses an already encoded frame (e.g. from the segmentation)."""
+    enc, feats = encoded if encoded is not None else encode_bookings(bookings)
     if segment_ids is not None:
         enc = enc.join(segment_ids.select(KEY, F.col("Segment").cast("double").alias("Segment")), KEY)
         feats = feats + ["Segment"]
     data = (features.assemble(enc, feats, "features")
             .select(KEY, F.col(TARGET).cast("double").alias("label"), "features",
                     features.split_flag(KEY, test_fraction, seed).alias("_split")))
-    data = reliable(data)  # one prepared matrix for four fits
+    data = reliable(data, spread=True)  # one prepared matrix for four fits
     train = data.where(F.col("_split") == "train")
     test = data.where(F.col("_split") == "test")
     n_train = train.count()

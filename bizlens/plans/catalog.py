@@ -350,10 +350,7 @@ def q_naive_bayes_embeddings(spark, base):
 
 @register("booking_pca_variance")
 def q_booking_pca_variance(spark, base):
-    enc, feats = bk.encode_bookings(_bookings(spark, base))
-    vec = fe.assemble(fe.standardise(enc, feats), feats, "features")
-    _, variance = fe.pca(vec, "features", 4)
-    return variance
+    return _segment_report(spark, base).pca_variance
 
 
 @register("booking_elbow")
@@ -373,8 +370,9 @@ def q_booking_segment_target_mix(spark, base):
 
 @register("cancellation_leaderboard")
 def q_cancellation_leaderboard(spark, base):
-    seg = _segment_report(spark, base).segments
-    return bk.cancellation_leaderboard(_bookings(spark, base), segment_ids=seg)
+    rep = _segment_report(spark, base)
+    return bk.cancellation_leaderboard(_bookings(spark, base), segment_ids=rep.segments,
+                                       encoded=(rep.encoded, rep.feature_names))
 
 
 @register("booking_pca_describe")

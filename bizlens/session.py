@@ -74,13 +74,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def reliable(df, eager: bool = True):
+def reliable(df, eager: bool = True, spread: bool = False):
     """Cut lineage by writing ``df`` to the reliable checkpoint folder.
 
     Used where a prepared frame feeds several jobs (model fits), so a lost
     executor recomputes from the checkpoint, not from the whole upstream plan.
+    ``spread=True`` first redistributes the rows over the cluster's default
+    parallelism: AQE may have coalesced a small upstream shuffle into very few
+    partitions, and iterative fits would then run on as few tasks.
     """
     checkpoint_dir(df.sparkSession)
+    if spread:
+        df = df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism))
     return df.checkpoint(eager=eager)
 
 
