@@ -26,96 +26,115 @@ def _as_matrix(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype(np.float64)
 
 
-def _neighbour_fn(bc, k: int, id_col: str, vec_col: str, batch: int = 512):
-    def fn(batches):
-        ids, X, y = bc.value
-        n = len(ids)
-        if n == 0:
-            return
-        # candidate pass on mean-centred data (translation keeps distances and
-        # shrinks the expanded-formula error); exact refinement uses raw values
-        mu = X.mean(axis=0)
-        Xc = X - mu
-        xn = np.einsum("ij,ij->i", Xc, Xc)
-        xmax = float(xn.max())
-        m = min(n, k + 8)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            Q = _as_matrix(pdf[vec_col])
-            qid = pdf[id_col].to_numpy()
-            out_q, out_n, out_d, out_l = [], [], [], []
-            for s in range(0, len(Q), batch):
-                q = Q[s:s + batch]
-                qc = q - mu
-                qn = np.einsum("ij,ij->i", qc, qc)
-                approx = qn[:, None] + xn[None, :] - 2.0 * (qc @ Xc.T)
-                if m < n:
-                    # one partial sort gives the m candidates and the best excluded value
-                    part = np.argpartition(approx, m, axis=1)[:, :m + 1]
-                    pv = np.take_along_axis(approx, part, axis=1)
-                    order = np.argsort(pv, axis=1)
-                    part = np.take_along_axis(part, order, axis=1)
-                    cand = part[:, :m]
-                    excluded_min = np.take_along_axis(pv, order, axis=1)[:, m]
-                else:
-                    cand = np.tile(np.arange(n), (len(q), 1))
-                exact = ((q[:, None, :] - X[cand]) ** 2).sum(axis=2)
-                # bound of the expanded-formula error; rows whose k-th exact distance
-                # is not clearly below every excluded candidate are redone exactly
-                if m < n:
-                    tol = 1e-12 * (qn + xmax)
-                    kth = np.sort(exact, axis=1)[:, min(k, m) - 1]
-                    redo = np.where(kth + tol >= excluded_min - tol)[0]
-                else:
-                    redo = np.array([], dtype=int)
-                redo_rows = set(redo.tolist())
-                for r in range(len(q)):
-                    if r in redo_rows:
-                        d_all = ((X - q[r]) ** 2).sum(axis=1)
-                        order = np.lexsort((ids, d_all))[:k]
-                        dd, nn = d_all[order], order
-                    else:
-                        order = np.lexsort((ids[cand[r]], exact[r]))[:k]
-                        dd, nn = exact[r][order], cand[r][order]
-                    out_q.append(np.full(len(nn), qid[s + r]))
-                    out_n.append(ids[nn])
-                    out_d.append(dd)
-                    out_l.append(y[nn])
-            yield pd.DataFrame({"query_id": np.concatenate(out_q).astype(np.int64),
-                                "neighbour_id": np.concatenate(out_n).astype(np.int64),
-                                "distance2": np.concatenate(out_d).astype(np.float64),
-                                "neighbour_label": np.concatenate(out_l).astype(np.float64)})
+def _block_topk(qid: np.ndarray, Q: np.ndarray, ids: np.ndarray, X: np.ndarray, y: np.ndarray,
+                k: int, batch: int = 512):
+    """k nearest rows of X for every row of Q (squared Euclidean), exact.
+
+    A float64 candidate pass on mean-centred data (translation keeps
+    distances, centring shrinks the expanded-formula error) picks k + 8
+    candidates; their distances are recomputed exactly from the raw values. A
+    query whose k-th exact distance is not clearly below the best excluded
+    candidate (error bound) is recomputed against every row.
+    """
+    n = len(ids)
+    out_q, out_n, out_d, out_l = [], [], [], []
+    if n == 0 or len(Q) == 0:
+        return out_q, out_n, out_d, out_l
+    mu = X.mean(axis=0)
+    Xc = X - mu
+    xn = np.einsum("ij,ij->i", Xc, Xc)
+    xmax = float(xn.max())
+    m = min(n, k + 8)
+    kk = min(k, n)
+    for s in range(0, len(Q), batch):
+        q = Q[s:s + batch]
+        qc = q - mu
+        qn = np.einsum("ij,ij->i", qc, qc)
+        # |q|^2 is constant per row, so rank by |x|^2 - 2 q.x and add it back after
+        approx = qc @ Xc.T
+        approx *= -2.0
+        approx += xn[None, :]
+        if m < n:
+            # one partial sort gives the m candidates and the best excluded value
+            part = np.argpartition(approx, m, axis=1)[:, :m + 1]
+            pv = np.take_along_axis(approx, part, axis=1)
+            order = np.argsort(pv, axis=1)
+            part = np.take_along_axis(part, order, axis=1)
+            cand = part[:, :m]
+            excluded_min = np.take_along_axis(pv, order, axis=1)[:, m] + qn
+        else:
+            cand = np.tile(np.arange(n), (len(q), 1))
+        exact = ((q[:, None, :] - X[cand]) ** 2).sum(axis=2)
+        if m < n:
+            tol = 1e-12 * (qn + xmax)
+            kth = np.sort(exact, axis=1)[:, kk - 1]
+            redo_rows = set(np.where(kth + tol >= excluded_min - tol)[0].tolist())
+        else:
+            redo_rows = set()
+        for r in range(len(q)):
+            if r in redo_rows:
+                d_all = ((X - q[r]) ** 2).sum(axis=1)
+                order = np.lexsort((ids, d_all))[:kk]
+                dd, nn = d_all[order], order
+            else:
+                order = np.lexsort((ids[cand[r]], exact[r]))[:kk]
+                dd, nn = exact[r][order], cand[r][order]
+            out_q.append(np.full(len(nn), qid[s + r]))
+            out_n.append(ids[nn])
+            out_d.append(dd)
+            out_l.append(y[nn])
+    return out_q, out_n, out_d, out_l
+
+
+def _cogroup_fn(k: int, vec_col: str):
+    def fn(qpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(tpdf) == 0:
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
+                                 "neighbour_id": pd.Series([], dtype="int64"),
+                                 "distance2": pd.Series([], dtype="float64"),
+                                 "neighbour_label": pd.Series([], dtype="float64")})
+        oq, on, od, ol = _block_topk(qpdf["_qid"].to_numpy(np.int64), _as_matrix(qpdf[vec_col]),
+                                     tpdf["_tid"].to_numpy(np.int64), _as_matrix(tpdf[vec_col]),
+                                     tpdf["_label"].to_numpy(np.float64), k)
+        return pd.DataFrame({"query_id": np.concatenate(oq).astype(np.int64),
+                             "neighbour_id": np.concatenate(on).astype(np.int64),
+                             "distance2": np.concatenate(od).astype(np.float64),
+                             "neighbour_label": np.concatenate(ol).astype(np.float64)})
     return fn
 
 
 def knn_neighbours(train: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id",
                    vec_col: str = "features", label_col: str = "label",
-                   chunk_rows: int = 100_000) -> DataFrame:
+                   chunk_rows: int = 50_000, query_block_rows: int = 50_000) -> DataFrame:
     """Exact k nearest training rows of every query row (squared Euclidean).
 
-    The training side is cut into hash chunks of about ``chunk_rows`` rows; each
-    chunk is broadcast and every query partition keeps only its k best per
-    chunk (``mapInPandas`` with numpy), so no query x training pairs are ever
-    materialised. The per-chunk candidates (k x chunks per query) are merged
-    with a window per query. Ties are broken by (distance, neighbour id).
+    Blocked all-pairs search without pair rows: training rows are hashed into
+    ``C`` chunks of about ``chunk_rows`` and queries into ``B`` blocks of about
+    ``query_block_rows``; every (block, chunk) cell is one cogrouped
+    ``applyInPandas`` task that receives one query block and one training
+    chunk (both bounded) and emits only each query's k best rows of that
+    chunk. A window per query then merges its k x C candidates. Nothing passes
+    through the driver except the two row counts that size the grid. Ties are
+    broken by (distance, neighbour id).
     """
     spark = train.sparkSession
     n_train = train.count()
-    n_chunks = max(1, math.ceil(n_train / chunk_rows))
+    n_query = queries.count()
+    chunks = max(1, math.ceil(n_train / chunk_rows))
+    # enough cells to occupy the cluster even when both sides are small
+    blocks = max(1, math.ceil(n_query / query_block_rows),
+                 math.ceil(spark.sparkContext.defaultParallelism / chunks))
+    t = (train.select(F.col(id_col).cast("long").alias("_tid"), F.col(vec_col).alias(vec_col),
+                      F.col(label_col).cast("double").alias("_label"))
+              .withColumn("_tc", F.pmod(F.xxhash64("_tid"), F.lit(chunks)).cast("int"))
+              .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    q = (queries.select(F.col(id_col).cast("long").alias("_qid"), F.col(vec_col).alias(vec_col))
+                .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(blocks)).cast("int"))
+                .withColumn("_tc", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))))
     schema = StructType([StructField("query_id", LongType()), StructField("neighbour_id", LongType()),
                          StructField("distance2", DoubleType()), StructField("neighbour_label", DoubleType())])
-    q = queries.select(F.col(id_col).cast("long").alias(id_col), vec_col)
-    parts = []
-    for c in range(n_chunks):
-        chunk = train if n_chunks == 1 else train.where(F.pmod(F.xxhash64(id_col), F.lit(n_chunks)) == c)
-        pdf = chunk.select(F.col(id_col).cast("long"), vec_col, F.col(label_col).cast("double")).toPandas()
-        payload = (pdf[id_col].to_numpy(np.int64), _as_matrix(pdf[vec_col]), pdf[label_col].to_numpy(np.float64))
-        bc = spark.sparkContext.broadcast(payload)
-        parts.append(q.mapInPandas(_neighbour_fn(bc, k, id_col, vec_col), schema))
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
+    cands = (q.groupBy("_qb", "_tc").cogroup(t.groupBy("_qb", "_tc"))
+              .applyInPandas(_cogroup_fn(k, vec_col), schema))
     # at most k x chunks candidate rows per query: a bounded window
     w = Window.partitionBy("query_id").orderBy("distance2", "neighbour_id")
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -130,9 +149,10 @@ def knn_vote(neighbours: DataFrame, out_col: str = "prediction") -> DataFrame:
 
 
 def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "id",
-                vec_col: str = "features", label_col: str = "label", chunk_rows: int = 100_000) -> DataFrame:
+                vec_col: str = "features", label_col: str = "label", chunk_rows: int = 50_000,
+                query_block_rows: int = 50_000) -> DataFrame:
     """ML8: KNN classifier; returns ``test`` rows with a ``prediction`` column."""
-    nb = knn_neighbours(train, test, k, id_col, vec_col, label_col, chunk_rows)
+    nb = knn_neighbours(train, test, k, id_col, vec_col, label_col, chunk_rows, query_block_rows)
     pred = knn_vote(nb).withColumnRenamed("query_id", id_col)
     return test.join(pred, id_col)
 

@@ -18,6 +18,10 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # one BLAS thread per Python worker: tasks already fill every core
+    "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
+    "spark.executorEnv.OMP_NUM_THREADS": "1",
+    "spark.executorEnv.MKL_NUM_THREADS": "1",
 }
 
 
@@ -45,7 +49,7 @@ def get_spark(master: str | None = None, app: str = "bizlens",
         spark = builder.getOrCreate()
         spark.sparkContext.setLogLevel("ERROR")
     for k, v in _DEFAULTS.items():
-        if k.startswith("spark.ui."):
+        if k.startswith("spark.ui.") or k.startswith("spark.executorEnv."):
             continue
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
