@@ -51,13 +51,18 @@ def one_hot(df: DataFrame, columns, max_levels: int = 1000, drop_source: bool =
     return df.select(*keep, *new)
 
 
-def label_encode(df: DataFrame, columns, suffix: str = "") -> DataFrame:
+def label_encode(df: DataFrame, columns, suffix: str = "", max_levels: int = 100_000) -> DataFrame:
     """ML2: codes 0..k-1 in alphabetical order of the string values.
 
-    ``StringIndexer`` fits all columns in one pass; only the level lists go to
-    the driver.
+    ``StringIndexer`` fits all columns in one pass; only the level lists (the
+    model) go to the driver, after an approximate distinct count has checked
+    that no column exceeds ``max_levels``.
     """
     cols = _cols(columns)
+    card = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+    for i, c in enumerate(cols):
+        if card[f"_{i}"] > max_levels:
+            raise ValueError(f"column {c} has about {card[f'_{i}']} levels (> {max_levels})")
     tmp = [f"__idx_{i}" for i in range(len(cols))]
     casted = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in cols else F.col(f"`{c}`")
                          for c in df.columns])

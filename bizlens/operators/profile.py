@@ -18,6 +18,11 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
 
+def shape(df: DataFrame) -> DataFrame:
+    """PJ8: one row with the row count and the column count."""
+    return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)))
+
+
 def null_counts(df: DataFrame, columns=None) -> DataFrame:
     """PR1: one row, one column per input column holding its NULL count."""
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in _cols(df, columns)])

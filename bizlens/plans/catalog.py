@@ -384,3 +384,21 @@ def q_booking_pca_describe(spark, base):
 @register("booking_segment_sizes")
 def q_booking_segment_sizes(spark, base):
     return _segment_report(spark, base).sizes
+
+
+@register("table_shape")
+def q_table_shape(spark, base):
+    return pr.shape(_t(spark, base)["orders"])
+
+
+@register("priority_value_counts")
+def q_priority_value_counts(spark, base):
+    return agg.value_counts(_t(spark, base)["orders"], "o_orderpriority", "n")
+
+
+@register("stratified_sample")
+def q_stratified_sample(spark, base):
+    from bizlens.sources.samples import sample_by
+    li = _t(spark, base)["lineitem"]
+    pts = sample_by(li, "l_returnflag", {"A": 0.02, "N": 0.02, "R": 0.02}, seed=42)
+    return pts.select("l_returnflag", "l_quantity", "l_extendedprice")

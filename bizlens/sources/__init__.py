@@ -2,12 +2,12 @@
 
 from bizlens.sources.tables import TABLES, load_table, load_tables
 from bizlens.sources.csv import read_csv
-from bizlens.sources.samples import sample_rows, head_rows, tail_rows
+from bizlens.sources.samples import sample_rows, sample_by, head_rows, tail_rows
 from bizlens.sources.sinks import write_report
 from bizlens.sources.mart import OrderMart, orders_mart, lines_mart, events_as_orders, claims_frame
 
 __all__ = [
-    "TABLES", "load_table", "load_tables", "read_csv", "sample_rows", "head_rows",
+    "TABLES", "load_table", "load_tables", "read_csv", "sample_rows", "sample_by", "head_rows",
     "tail_rows", "write_report", "OrderMart", "orders_mart", "lines_mart", "events_as_orders",
     "claims_frame",
 ]

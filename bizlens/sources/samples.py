@@ -33,3 +33,12 @@ def tail_rows(df: DataFrame, n: int, order_by) -> DataFrame:
     cols = [order_by] if isinstance(order_by, str) else list(order_by)
     last = df.orderBy(*[F.col(c).desc() for c in cols]).limit(n)
     return last.orderBy(*cols)
+
+
+def sample_by(df: DataFrame, column: str, fractions: dict, seed: int = 42) -> DataFrame:
+    """Stratified Bernoulli sample: a fraction per value of ``column`` (DS5 point clouds).
+
+    Rows of values missing from ``fractions`` are not sampled. Each task samples
+    its own rows, so nothing is gathered anywhere.
+    """
+    return df.sampleBy(column, fractions, seed)
