@@ -5,11 +5,15 @@ buffer, and a rank window sorts a whole group in one task; with a key holding a
 third of the rows either would put that third on one executor. Instead:
 
 1. per group ``count/min/max`` (partial aggregation);
-2. every value gets a bucket ``floor((x - min) / (max - min) * B)``; the
-   bucket is monotone in ``x``, so buckets are contiguous runs of the sorted
-   values. Bucket counts (<= B rows per group) give each bucket's first rank;
-3. only the buckets that hold a wanted rank are re-read, their values counted
-   per distinct value and ranked inside the bucket (about n / B rows).
+2. every value gets a fine cell ``f = floor((x - min) / (max - min) * B1 * B2)``
+   and a coarse bucket ``f div B2``. Both are monotone in ``x``, so they are
+   contiguous runs of the sorted values. Coarse bucket counts (<= B1 rows per
+   group) locate the buckets holding the wanted ranks;
+3. if such a bucket is still large (more than ``max_bucket_rows`` values, e.g.
+   a hot group at scale), its rows are counted per fine cell (<= B2 rows per
+   bucket) to locate the cell instead;
+4. only the located buckets/cells are re-read, their values counted per
+   distinct value and ranked inside them.
 
 Quantiles use linear interpolation between the order statistics at
 ``floor(h)`` and ``ceil(h)``, ``h = (n - 1) * p`` (the numpy/pandas default).
@@ -21,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 1 << 14
+FINE_CELLS = 1 << 14
+MAX_BUCKET_ROWS = 2_000_000
 
 
 def _pname(p: float) -> str:
@@ -28,8 +34,24 @@ def _pname(p: float) -> str:
     return "q" + s.replace("0.", "", 1) if s.startswith("0.") else "q" + s.replace(".", "_")
 
 
+def _locate(wanted: DataFrame, counts: DataFrame, keys: list[str], cell: str) -> DataFrame:
+    """Attach to every wanted rank (``_r``, relative to ``keys``) the ``cell`` holding
+    it, and make ``_r`` relative to that cell."""
+    w = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = (counts.withColumn("_end", F.sum("_c").over(w))
+               .withColumn("_start", F.col("_end") - F.col("_c"))).alias("C")
+    W = wanted.alias("W")
+    cond = [F.col(f"W.{k}") == F.col(f"C.{k}") for k in keys] + [
+        F.col("C._start") <= F.col("W._r"), F.col("W._r") < F.col("C._end")]
+    rest = [c_ for c_ in wanted.columns if c_ not in keys and c_ != "_r"]
+    return W.join(c, cond).select(*[F.col(f"W.{k}") for k in keys], *[F.col(f"W.{x}") for x in rest],
+                                  (F.col("W._r") - F.col("C._start")).alias("_r"), F.col(f"C.{cell}"),
+                                  F.col("C._c").alias("_cell_rows"))
+
+
 def exact_quantiles(df: DataFrame, value: str, probs, by=None, buckets: int = DEFAULT_BUCKETS,
-                    names: list[str] | None = None) -> DataFrame:
+                    names: list[str] | None = None, fine_cells: int = FINE_CELLS,
+                    max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
     """One row per group (or one row): keys, ``n`` and one column per probability."""
     user_keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
     # a constant key keeps the ungrouped case an equi-join on one-row tables
@@ -41,46 +63,49 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=None, buckets: int = DE
 
     stats = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
                                  F.max("_x").alias("_hi"))
+    total = buckets * fine_cells
     width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width * F.lit(buckets)),
-                                       F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
-    xb = x.join(stats.select(*keys, "_lo", "_hi"), keys).withColumn("_b", bucket).drop("_lo", "_hi")
-
-    # bucket counts and the rank of each bucket's first value (<= B rows per group)
-    bc = xb.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bc = bc.withColumn("_end", F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))
+    fine = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width * F.lit(float(total))),
+                                     F.lit(total - 1))).otherwise(F.lit(0)).cast("long")
+    xb = (x.join(stats.select(*keys, "_lo", "_hi"), keys)
+           .withColumn("_f", fine).withColumn("_b", F.floor(F.col("_f") / F.lit(fine_cells)).cast("long"))
+           .drop("_lo", "_hi"))
 
     # wanted ranks per group: floor and ceil of (n - 1) * p for each p
     rank_exprs = []
     for i, p in enumerate(probs):
         h = (F.col("_n") - 1).cast("double") * F.lit(p)
-        rank_exprs.append(F.struct(F.lit(i).alias("_i"), F.floor(h).cast("long").alias("_r"),
-                                   F.lit("lo").alias("_side"), (h - F.floor(h)).alias("_frac")))
-        rank_exprs.append(F.struct(F.lit(i).alias("_i"), F.ceil(h).cast("long").alias("_r"),
-                                   F.lit("hi").alias("_side"), (h - F.floor(h)).alias("_frac")))
+        for side, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            rank_exprs.append(F.struct(F.lit(i).alias("_i"), r.cast("long").alias("_r"),
+                                       F.lit(side).alias("_side"), (h - F.floor(h)).alias("_frac")))
     wanted = (stats.select(*keys, "_n", F.explode(F.array(*rank_exprs)).alias("_w"))
-                   .select(*keys, "_n", "_w._i", "_w._r", "_w._side", "_w._frac")).alias("W")
-    B = bc.alias("B")
-    cond = [F.col(f"W.{k}") == F.col(f"B.{k}") for k in keys] + [
-        F.col("B._start") <= F.col("W._r"), F.col("W._r") < F.col("B._end")]
-    located = wanted.join(B, cond).select(*[F.col(f"W.{k}") for k in keys], "W._n", "W._i", "W._r",
-                                          "W._side", "W._frac", "B._b", "B._start")
-
-    # re-read only the target buckets; rank distinct values inside each one
-    target_buckets = located.select(*keys, "_b").distinct()
-    inside = (xb.join(target_buckets, keys + ["_b"])
-                .groupBy(*keys, "_b", "_x").agg(F.count(F.lit(1)).alias("_vc")))
-    wv = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = (inside.withColumn("_vend", F.sum("_vc").over(wv))
-                    .withColumn("_vstart", F.col("_vend") - F.col("_vc"))).alias("V")
+                   .select(*keys, "_n", "_w._i", "_w._r", "_w._side", "_w._frac"))
+
+    # level 1: coarse buckets (<= B1 count rows per group)
+    located = _locate(wanted, xb.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c")), keys, "_b")
+    cell_keys = keys + ["_b"]
+    largest = located.agg(F.max("_cell_rows")).first()[0] or 0
+    if largest > max_bucket_rows:
+        # level 2: fine cells inside the located buckets only (<= B2 count rows per bucket)
+        targets = located.select(*cell_keys).distinct()
+        inside = xb.join(targets, cell_keys)
+        counts2 = inside.groupBy(*cell_keys, "_f").agg(F.count(F.lit(1)).alias("_c"))
+        located = _locate(located.drop("_cell_rows"), counts2, cell_keys, "_f")
+        cell_keys = cell_keys + ["_f"]
+    located = located.drop("_cell_rows")
+
+    # re-read only the located cells; rank distinct values inside each one
+    targets = located.select(*cell_keys).distinct()
+    vals = (xb.join(targets, cell_keys)
+              .groupBy(*cell_keys, "_x").agg(F.count(F.lit(1)).alias("_vc")))
+    wv = Window.partitionBy(*cell_keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    vals = (vals.withColumn("_vend", F.sum("_vc").over(wv))
+                .withColumn("_vstart", F.col("_vend") - F.col("_vc"))).alias("V")
     L = located.alias("L")
-    pick_cond = [F.col(f"L.{k}") == F.col(f"V.{k}") for k in keys] + [
-        F.col("L._b") == F.col("V._b"),
-        F.col("V._vstart") <= F.col("L._r") - F.col("L._start"),
-        F.col("L._r") - F.col("L._start") < F.col("V._vend")]
-    picked = L.join(inside, pick_cond).select(*[F.col(f"L.{k}") for k in keys], "L._n", "L._i", "L._side",
-                                              "L._frac", F.col("V._x").alias("_v"))
+    pick_cond = [F.col(f"L.{k}") == F.col(f"V.{k}") for k in cell_keys] + [
+        F.col("V._vstart") <= F.col("L._r"), F.col("L._r") < F.col("V._vend")]
+    picked = L.join(vals, pick_cond).select(*[F.col(f"L.{k}") for k in keys], "L._n", "L._i", "L._side",
+                                            "L._frac", F.col("V._x").alias("_v"))
     per_p = (picked.groupBy(*keys, "_n", "_i")
                    .agg(F.max(F.when(F.col("_side") == "lo", F.col("_v"))).alias("_vlo"),
                         F.max(F.when(F.col("_side") == "hi", F.col("_v"))).alias("_vhi"),
