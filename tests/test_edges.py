@@ -160,3 +160,32 @@ def test_histogram_top_edge_in_last_bin(spark):
 def test_ansi_error_surface(spark):
     with pytest.raises(PySparkException):
         spark.createDataFrame([("x",)], "s string").select(F.col("s").cast("int")).collect()
+
+
+def test_share_leaders_default_and_as_written(spark):
+    m = _mini_mart(spark)
+    ours = collect_rows(rp.share_leaders(m, year=2022, month=5, wallet="E-Wallet"))
+    assert ours == [{"city_name": "C1", "per_city": 25.0, "district_name": "D1", "per_district": 50.0}]
+    written = collect_rows(rp.share_leaders(m, year=2022, month=5, wallet="E-Wallet", as_written=True))
+    # D1: names joined on the city only -> one row per district of the winning city
+    assert sorted(r["district_name"] for r in written) == ["D1", "D2"]
+    assert {r["per_city"] for r in written} == {25.0}
+
+
+def test_names_merge_ids_when_grouping_by_name(spark):
+    m = _mini_mart(spark)
+    dup = spark.createDataFrame([(1, "Same", 1), (2, "Same", 1), (3, "D3", 2)],
+                                "district_id long, district_name string, city_id long")
+    m2 = OrderMart(m.order_table, dup, m.city_info, m.merchant_info, m.merchant_segment)
+    got = collect_rows(rp.cancel_rate_leaders(m2, city_ids=(1, 2), start="2022-05-01", end="2022-05-31"))
+    # D19: both ids named "Same" form one group (1 cancel of 4) vs D3 (1 of 1)
+    assert got == [{"district_name": "D3", "cancel_rate": 100.0}]
+
+
+def test_value_band_pivot_keeps_unmatched_city(spark):
+    m = _mini_mart(spark)
+    cities = spark.createDataFrame([(1, "C1")], "city_id long, city_name string")
+    m2 = OrderMart(m.order_table, m.district_info, cities, m.merchant_info, m.merchant_segment)
+    rows = {r["city_name"]: r for r in rp.value_band_pivot(m2).collect()}
+    assert set(rows) == {"C1", None}
+    assert rows[None]["0-50K"] == 1 and rows[None][">600K"] is None

@@ -120,3 +120,12 @@ def test_ward_merge_sizes(k):
     c = rng.normal(size=(30, 2))
     labels = segments._ward_merge(c, np.ones(30), k)
     assert len(set(labels.tolist())) == k
+
+
+def test_kmeans_sweep_is_seeded(spark):
+    from pyspark.ml.functions import array_to_vector
+    df = _separable(spark).withColumn("features", array_to_vector("vec"))
+    a = [r["distortion"] for r in segments.kmeans_sweep(df, "features", ks=range(2, 5), seed=3).collect()]
+    b = [r["distortion"] for r in segments.kmeans_sweep(df, "features", ks=range(2, 5), seed=3).collect()]
+    # same clustering; the distributed cost sum may differ in the last bit
+    assert all(math.isclose(x, y, rel_tol=1e-12) for x, y in zip(a, b))
