@@ -101,16 +101,21 @@ def orders_mart(t) -> OrderMart:
                      city_info=d["city_info"], bounded_dims=d["bounded_dims"])
 
 
-def lines_mart(t, merchant_name_from: str = "p_name") -> OrderMart:
+def lines_mart(t, merchant_name_from: str = "p_name", order_level: DataFrame | None = None,
+               lineitem: DataFrame | None = None) -> OrderMart:
     """Line-level mart: one delivery per line item, the part is the merchant.
 
     ``merchant_name_from`` picks the part attribute that names a merchant
     (``p_name``, ``p_brand`` ...); the segment is always ``p_type``.
+    ``order_level``/``lineitem`` may be given pre-materialised (see
+    :func:`bizlens.sources.layout.materialize_order_mart`): when both are
+    bucketed on the order key their join needs no shuffle.
     """
     d = _dims(t)
     part = d["_part"]
-    li = t["lineitem"]
-    orders = _order_level(t).drop("order_value_amount_usd", "customer_segment")
+    li = lineitem if lineitem is not None else t["lineitem"]
+    base_orders = order_level if order_level is not None else _order_level(t)
+    orders = base_orders.drop("order_value_amount_usd", "customer_segment")
     gmv = F.col("l_extendedprice").cast("decimal(18,2)")
     lines = (li.join(orders, li.l_orderkey == orders.order_id)
                .select(
