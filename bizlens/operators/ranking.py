@@ -44,13 +44,3 @@ def extremes(df: DataFrame, value, label_col: str | None = None) -> DataFrame:
     if label_col:
         out = out.withColumn(label_col, F.when(v == hi, F.lit("highest")).otherwise(F.lit("lowest")))
     return out
-
-
-def dense_rank_col(value, descending: bool = True, partition_by=None) -> Column:
-    """The raw ``DENSE_RANK() OVER (...)`` column, for reports that show it."""
-    v = _col(value)
-    w = Window.orderBy(v.desc_nulls_last() if descending else v.asc_nulls_last())
-    if partition_by:
-        keys = [partition_by] if isinstance(partition_by, str) else list(partition_by)
-        w = Window.partitionBy(*keys).orderBy(v.desc_nulls_last() if descending else v.asc_nulls_last())
-    return F.dense_rank().over(w)

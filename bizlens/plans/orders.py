@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from bizlens.functions.bands import (GMV_BANDS, GMV_TOP, ORDER_VALUE_BANDS, ORDER_VALUE_TOP,
                                      band, band_labels)
-from bizlens.functions.periods import (hour_of_day, month_range, months_crossed, month_start,
+from bizlens.functions.periods import (hour_of_day, month_range, month_start, month_text, months_crossed,
                                        period_filter, weekday_sunday1)
 from bizlens.functions.ratios import pct_rounded, safe_ratio
 from bizlens.functions.text import contains_text
-from bizlens.operators.aggregate import pivot_counts
+from bizlens.operators.aggregate import pivot_counts, rate_where
 from bizlens.operators.ranking import extremes, top_ties
 from bizlens.sources.mart import OrderMart
 
@@ -50,8 +50,8 @@ def cohort_retention(df: DataFrame, customer_col: str = "CustomerID",
     out = (rows.groupBy("_cohort", "_month")
                .agg(F.count(F.lit(1)).alias("num_customers")))
     return out.select(
-        F.date_format("_cohort", "yyyy-MM-dd").alias("cohort_month"),
-        F.date_format("_month", "yyyy-MM-dd").alias("purchase_month"),
+        month_text("_cohort").alias("cohort_month"),
+        month_text("_month").alias("purchase_month"),
         months_crossed("_cohort", "_month").alias("months_since_first_purchase"),
         "num_customers")
 
@@ -143,10 +143,10 @@ def conditional_share(mart: OrderMart, districts=("Hoan Kiem", "Binh Thanh"),
     """Percent of orders within ``max_distance`` per district, one pass (D3, D23)."""
     d = mart.dim("district_info").where(F.col("district_name").isin(list(districts)))
     o = mart.order_table.join(d.select("district_id", "district_name"), "district_id")
-    g = (o.groupBy("district_id", "district_name")
-          .agg(F.count("order_id").alias("total_volume"),
-               F.count(F.when(F.col("order_distance") <= max_distance, F.col("order_id"))).alias("volume")))
-    return g.select("district_name", pct_rounded(F.col("volume"), F.col("total_volume"), scale).alias("per_order"))
+    g = rate_where(o, ["district_id", "district_name"], F.col("order_distance") <= max_distance,
+                   total_col="total_volume", hits_col="volume", pct_col="per_order", scale=scale,
+                   count_of="order_id")
+    return g.select("district_name", "per_order")
 
 
 # --------------------------------------------------------------------- RP6

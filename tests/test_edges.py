@@ -189,3 +189,18 @@ def test_value_band_pivot_keeps_unmatched_city(spark):
     rows = {r["city_name"]: r for r in rp.value_band_pivot(m2).collect()}
     assert set(rows) == {"C1", None}
     assert rows[None]["0-50K"] == 1 and rows[None][">600K"] is None
+
+
+def test_small_helpers(spark):
+    from bizlens.functions.bands import band_ordinal
+    from bizlens.functions.ratios import ratio_rounded
+    from bizlens.operators.aggregate import rate_where
+    df = spark.createDataFrame([("a", 1), ("a", 5), ("b", 7)], "g string, v int")
+    got = {r["g"]: (r["total"], r["hits"], r["pct"]) for r in rate_where(df, "g", F.col("v") > 3).collect()}
+    assert got == {"a": (2, 1, 50.0), "b": (1, 1, 100.0)}
+    r = spark.createDataFrame([(1, 3)], "n long, d long").select(ratio_rounded("n", "d", 4)).first()[0]
+    assert r == 0.3333
+    lab = spark.createDataFrame([(">600K",), ("0-50K",)], "b string")
+    assert [x[0] for x in lab.select(band_ordinal("b", ORDER_VALUE_BANDS, ORDER_VALUE_TOP)).collect()] == [6, 1]
+    cum = distributions.cumulative(spark.createDataFrame([(1, 0.5), (2, 0.25)], "k int, r double"), "k", "r")
+    assert [x["cumulative"] for x in cum.orderBy("k").collect()] == [0.5, 0.75]
