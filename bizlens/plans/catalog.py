@@ -9,10 +9,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
+
+from bizlens.operators import aggregate as agg
+from bizlens.operators import classify as ml
+from bizlens.operators import clean as cl
+from bizlens.operators import distributions as ds
+from bizlens.operators import features as fe
+from bizlens.operators import profile as pr
+from bizlens.plans import bookings as bk
+from bizlens.plans import claims as cr
 from bizlens.plans import orders as rp
-from bizlens.sources.mart import CANCEL_STATUS, events_as_orders, lines_mart, orders_mart
+from bizlens.sources.mart import (CANCEL_STATUS, bookings_frame, claims_frame, events_as_orders, lines_mart,
+                                  orders_mart)
+from bizlens.sources.samples import sample_by, sample_rows, tail_rows
 from bizlens.sources.tables import load_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -114,15 +126,6 @@ def q_value_band_cancel(spark, base):
 
 
 # ---------------------------------------------------- profiling and cleaning
-from pyspark.sql import functions as F  # noqa: E402
-
-from bizlens.operators import aggregate as agg  # noqa: E402
-from bizlens.operators import clean as cl  # noqa: E402
-from bizlens.operators import distributions as ds  # noqa: E402
-from bizlens.operators import profile as pr  # noqa: E402
-from bizlens.plans import claims as cr  # noqa: E402
-from bizlens.sources.mart import claims_frame  # noqa: E402
-from bizlens.sources.samples import sample_rows, tail_rows  # noqa: E402
 
 
 def _claims(spark, base):
@@ -258,13 +261,6 @@ def q_claims_sample(spark, base):
 
 
 # ------------------------------------------------- features and models
-from pyspark.ml.functions import vector_to_array  # noqa: E402
-
-from bizlens.operators import classify as ml  # noqa: E402
-from bizlens.operators import features as fe  # noqa: E402
-from bizlens.operators import segments as sg  # noqa: E402
-from bizlens.plans import bookings as bk  # noqa: E402
-from bizlens.sources.mart import bookings_frame  # noqa: E402
 
 
 def _bookings(spark, base):
@@ -339,7 +335,6 @@ def q_confusion_matrix(spark, base):
 @register("naive_bayes_embeddings")
 def q_naive_bayes_embeddings(spark, base):
     train, test = _embedding_split(spark, base)
-    from pyspark.ml.functions import array_to_vector
     tr = train.select("vec_id", F.col("label").cast("double").alias("label"),
                       array_to_vector("embedding").alias("features"))
     te = test.select("vec_id", F.col("label").cast("double").alias("label"),
@@ -398,7 +393,6 @@ def q_priority_value_counts(spark, base):
 
 @register("stratified_sample")
 def q_stratified_sample(spark, base):
-    from bizlens.sources.samples import sample_by
     li = _t(spark, base)["lineitem"]
     pts = sample_by(li, "l_returnflag", {"A": 0.02, "N": 0.02, "R": 0.02}, seed=42)
     return pts.select("l_returnflag", "l_quantity", "l_extendedprice")

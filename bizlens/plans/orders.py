@@ -15,8 +15,6 @@ Plan shape, everywhere:
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
