@@ -26,10 +26,13 @@ def _as_date(v) -> _dt.date:
 
 
 def _typed_bound(col_type: str, d: _dt.date) -> Column:
+    """Literal of the column's type. Built from text so that neither the Python
+    process's zone nor the session zone can shift a zone-less bound."""
+    text = d.isoformat()
     if col_type == "date":
-        return F.lit(d)
-    # timestamp_ntz literal: parquet timestamps written without zone load as NTZ
-    return F.lit(_dt.datetime(d.year, d.month, d.day)).cast(col_type)
+        return F.lit(text).cast("date")
+    # parquet timestamps written without a zone load as timestamp_ntz
+    return F.lit(f"{text} 00:00:00").cast(col_type)
 
 
 def in_period(c, start, end, *, inclusive_end_day: bool = True, col_type: str = "timestamp_ntz") -> Column:

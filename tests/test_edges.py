@@ -204,3 +204,14 @@ def test_small_helpers(spark):
     assert [x[0] for x in lab.select(band_ordinal("b", ORDER_VALUE_BANDS, ORDER_VALUE_TOP)).collect()] == [6, 1]
     cum = distributions.cumulative(spark.createDataFrame([(1, 0.5), (2, 0.25)], "k int, r double"), "k", "r")
     assert [x["cumulative"] for x in cum.orderBy("k").collect()] == [0.5, 0.75]
+
+
+def test_period_bounds_ignore_session_zone(spark):
+    df = spark.createDataFrame([(dt.datetime(2022, 7, 1, 0, 30),), (dt.datetime(2022, 6, 30, 23, 30),)],
+                               "t timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        assert df.where(in_period("t", "2022-07-01", "2022-07-31")).count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
