@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -103,41 +104,118 @@ def _cogroup_fn(k: int, vec_col: str):
     return fn
 
 
+_CAND_SCHEMA = StructType([StructField("query_id", LongType()), StructField("neighbour_id", LongType()),
+                           StructField("distance2", DoubleType()), StructField("neighbour_label", DoubleType())])
+
+
+def _search(q: DataFrame, t: DataFrame, k: int, vec_col: str) -> DataFrame:
+    """k best training rows per query inside every (slab, sub, qb) cell: one
+    cogrouped task per cell, each side bounded by the cell sizing."""
+    keys = ["_slab", "_sub", "_qb"]
+    return q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(_cogroup_fn(k, vec_col), _CAND_SCHEMA)
+
+
+def _top_k(cands: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy("distance2", "neighbour_id")
+    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def knn_neighbours(train: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id",
                    vec_col: str = "features", label_col: str = "label",
-                   chunk_rows: int = 50_000, query_block_rows: int = 50_000) -> DataFrame:
+                   chunk_rows: int = 20_000, query_block_rows: int = 20_000,
+                   max_slabs: int = 4096) -> DataFrame:
     """Exact k nearest training rows of every query row (squared Euclidean).
 
-    Blocked all-pairs search without pair rows: training rows are hashed into
-    ``C`` chunks of about ``chunk_rows`` and queries into ``B`` blocks of about
-    ``query_block_rows``; every (block, chunk) cell is one cogrouped
-    ``applyInPandas`` task that receives one query block and one training
-    chunk (both bounded) and emits only each query's k best rows of that
-    chunk. A window per query then merges its k x C candidates. Nothing passes
-    through the driver except the two row counts that size the grid. Ties are
+    No pair rows and no all-pairs scan where the data allows pruning:
+
+    1. The pruning axis is the training coordinate with the largest variance;
+       its quantiles cut the training rows into slabs, and each slab is split
+       by hash into sub-chunks of about ``chunk_rows`` (bounded tasks even
+       when many rows share one coordinate value).
+    2. Round 1: each query is searched against its own slab only, which gives
+       its k-th distance ``r``.
+    3. Round 2: a closer row differs from the query by less than ``sqrt(r)`` on
+       every coordinate, so only the other slabs that meet
+       ``[a - sqrt(r), a + sqrt(r)]`` are searched.
+
+    Searches are cogrouped ``applyInPandas`` tasks holding one query block and
+    one training sub-chunk (numpy inside, see :func:`_block_topk`); a window
+    per query merges the candidates. Only the variances (one per dimension)
+    and the slab cut points (at most ``max_slabs``) reach the driver. Ties are
     broken by (distance, neighbour id).
     """
     spark = train.sparkSession
-    n_train = train.count()
-    n_query = queries.count()
-    chunks = max(1, math.ceil(n_train / chunk_rows))
-    # enough cells to occupy the cluster even when both sides are small
-    blocks = max(1, math.ceil(n_query / query_block_rows),
-                 math.ceil(spark.sparkContext.defaultParallelism / chunks))
-    t = (train.select(F.col(id_col).cast("long").alias("_tid"), F.col(vec_col).alias(vec_col),
+    t0 = train.select(F.col(id_col).cast("long").alias("_tid"), F.col(vec_col).alias(vec_col),
                       F.col(label_col).cast("double").alias("_label"))
-              .withColumn("_tc", F.pmod(F.xxhash64("_tid"), F.lit(chunks)).cast("int"))
-              .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    q = (queries.select(F.col(id_col).cast("long").alias("_qid"), F.col(vec_col).alias(vec_col))
-                .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(blocks)).cast("int"))
-                .withColumn("_tc", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))))
-    schema = StructType([StructField("query_id", LongType()), StructField("neighbour_id", LongType()),
-                         StructField("distance2", DoubleType()), StructField("neighbour_label", DoubleType())])
-    cands = (q.groupBy("_qb", "_tc").cogroup(t.groupBy("_qb", "_tc"))
-              .applyInPandas(_cogroup_fn(k, vec_col), schema))
-    # at most k x chunks candidate rows per query: a bounded window
-    w = Window.partitionBy("query_id").orderBy("distance2", "neighbour_id")
-    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    q0 = queries.select(F.col(id_col).cast("long").alias("_qid"), F.col(vec_col).alias(vec_col))
+    n_train = t0.count()
+    slabs = max(1, min(max_slabs, math.ceil(n_train / chunk_rows)))
+    axis = 0
+    cuts: list[float] = []
+    if slabs > 1:
+        var = (t0.select(F.posexplode(vec_col).alias("_j", "_v")).groupBy("_j")
+                 .agg(F.var_pop("_v").alias("_var")).orderBy(F.col("_var").desc(), "_j").first())
+        axis = int(var["_j"])
+        probs = [i / slabs for i in range(1, slabs)]
+        cuts = sorted(set(t0.select(F.col(vec_col)[axis].cast("double").alias("_a"))
+                            .approxQuantile("_a", probs, 1.0 / (4 * slabs))))
+    splits = [-math.inf] + cuts + [math.inf]
+    if len(splits) < 3:  # one slab (small input, or one distinct value on the axis)
+        slabs = 1
+
+    def slab_of(df: DataFrame, src: str, dst: str) -> DataFrame:
+        if slabs == 1:
+            return df.withColumn(dst, F.lit(0.0))
+        return Bucketizer(splits=splits, inputCol=src, outputCol=dst, handleInvalid="keep").transform(df)
+
+    t1 = slab_of(t0.withColumn("_a", F.col(vec_col)[axis].cast("double")), "_a", "_s")
+    t1 = t1.withColumn("_slab", F.col("_s").cast("int")).drop("_s", "_a")
+    q1 = slab_of(q0.withColumn("_a", F.col(vec_col)[axis].cast("double")), "_a", "_s")
+    q1 = q1.withColumn("_slab", F.col("_s").cast("int")).drop("_s")
+
+    # cell sizing per slab (tables of at most `slabs` rows, joined, never collected)
+    floor_blocks = max(1, math.ceil(spark.sparkContext.defaultParallelism / slabs))
+    t_sizes = t1.groupBy("_slab").agg(F.count(F.lit(1)).alias("_tn"))
+    t_sizes = t_sizes.withColumn("_nsub", F.greatest(F.lit(1), F.ceil(F.col("_tn") / F.lit(chunk_rows))).cast("int"))
+    # at most `max_slabs` rows: a bounded broadcast
+    t1 = t1.join(F.broadcast(t_sizes.select("_slab", "_nsub")), "_slab")
+    t1 = t1.withColumn("_sub", F.pmod(F.xxhash64("_tid"), F.col("_nsub")).cast("int"))
+
+    def cells(qs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Query rows (with ``_slab``) and training rows placed into (slab, sub, qb) cells."""
+        q_sizes = qs.groupBy("_slab").agg(F.count(F.lit(1)).alias("_qn"))
+        q_sizes = q_sizes.withColumn("_nqb", F.greatest(F.lit(floor_blocks),
+                                                        F.ceil(F.col("_qn") / F.lit(query_block_rows))).cast("int"))
+        qc = (qs.join(q_sizes.select("_slab", "_nqb"), "_slab").join(t_sizes.select("_slab", "_nsub"), "_slab")
+                .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.col("_nqb")).cast("int"))
+                .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_nsub") - 1))))
+        tc = (t1.join(q_sizes.select("_slab", "_nqb"), "_slab")
+                .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1))))
+        return qc.select("_slab", "_sub", "_qb", "_qid", vec_col), tc.select("_slab", "_sub", "_qb", "_tid", vec_col,
+                                                                           "_label")
+
+    # round 1: own slab
+    qc, tc = cells(q1.drop("_a"))
+    first = _top_k(_search(qc, tc, k, vec_col), k)
+    if slabs == 1:
+        return first
+    from bizlens.session import reliable
+    first = reliable(first)
+    radius = first.groupBy("query_id").agg(F.max("distance2").alias("_r"), F.count(F.lit(1)).alias("_found"))
+    # round 2: the other slabs within sqrt(r) on the pruning axis (all of them if fewer than k were found)
+    reach = F.when(F.col("_found") >= k, F.sqrt(F.col("_r")) * F.lit(1 + 1e-9) + F.lit(1e-12)).otherwise(F.lit(math.inf))
+    q2 = (q1.join(radius.withColumnRenamed("query_id", "_qid"), "_qid", "left")
+            .withColumn("_reach", F.coalesce(reach, F.lit(math.inf)))
+            .withColumn("_lo", F.col("_a") - F.col("_reach")).withColumn("_hi", F.col("_a") + F.col("_reach")))
+    q2 = Bucketizer(splitsArray=[splits, splits], inputCols=["_lo", "_hi"], outputCols=["_slo", "_shi"],
+                    handleInvalid="keep").transform(q2)
+    q2 = (q2.withColumn("_own", F.col("_slab"))
+            .withColumn("_slab", F.explode(F.sequence(F.col("_slo").cast("int"), F.col("_shi").cast("int"))))
+            .where(F.col("_slab") != F.col("_own"))
+            .select("_qid", vec_col, "_slab"))
+    qc2, tc2 = cells(q2)
+    second = _search(qc2, tc2, k, vec_col)
+    return _top_k(first.drop("rank").unionByName(second), k)
 
 
 def knn_vote(neighbours: DataFrame, out_col: str = "prediction") -> DataFrame:
@@ -149,8 +227,8 @@ def knn_vote(neighbours: DataFrame, out_col: str = "prediction") -> DataFrame:
 
 
 def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "id",
-                vec_col: str = "features", label_col: str = "label", chunk_rows: int = 50_000,
-                query_block_rows: int = 50_000) -> DataFrame:
+                vec_col: str = "features", label_col: str = "label", chunk_rows: int = 20_000,
+                query_block_rows: int = 20_000) -> DataFrame:
     """ML8: KNN classifier; returns ``test`` rows with a ``prediction`` column."""
     nb = knn_neighbours(train, test, k, id_col, vec_col, label_col, chunk_rows, query_block_rows)
     pred = knn_vote(nb).withColumnRenamed("query_id", id_col)

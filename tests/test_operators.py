@@ -129,3 +129,23 @@ def test_kmeans_sweep_is_seeded(spark):
     b = [r["distortion"] for r in segments.kmeans_sweep(df, "features", ks=range(2, 5), seed=3).collect()]
     # same clustering; the distributed cost sum may differ in the last bit
     assert all(math.isclose(x, y, rel_tol=1e-12) for x, y in zip(a, b))
+
+
+@pytest.mark.parametrize("chunk_rows", [5, 17, 1000])
+def test_knn_exact_with_ties_and_repeated_axis_values(spark, chunk_rows):
+    rng = np.random.default_rng(11)
+    pts = rng.integers(0, 4, size=(150, 3)).astype(float)  # many equal distances and axis values
+    rows = [(i, [float(v) for v in p], float(i % 3)) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label double")
+    train, test = df.where("id % 5 <> 0"), df.where("id % 5 = 0")
+    got = {}
+    for r in classify.knn_neighbours(train, test, 4, "id", "vec", "label", chunk_rows=chunk_rows,
+                                     query_block_rows=7).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["neighbour_id"]))
+    tr = [(i, np.array(v)) for i, v, _ in rows if i % 5 != 0]
+    for i, v, _ in rows:
+        if i % 5:
+            continue
+        q = np.array(v)
+        want = [t[0] for t in sorted(tr, key=lambda t: (float(((t[1] - q) ** 2).sum()), t[0]))[:4]]
+        assert [n for _, n in sorted(got[i])] == want
