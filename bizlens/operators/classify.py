@@ -237,11 +237,13 @@ def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "id
 
 # ------------------------------------------------------------ model fits
 def fit_logistic(train: DataFrame, features_col: str = "features", label_col: str = "label",
-                 C: float = 1.0, n_rows: int | None = None, max_iter: int = 100):
-    """ML9: L2 logistic regression with inverse strength ``C`` (regParam = 1 / (C n))."""
+                 C: float = 1.0, n_rows: int | None = None, max_iter: int = 100, tol: float = 1e-4):
+    """ML9: L2 logistic regression with inverse strength ``C`` (regParam = 1 / (C n)),
+    at most 100 L-BFGS iterations with tolerance 1e-4 (the usual library defaults).
+    Each iteration is one distributed gradient aggregation."""
     n = n_rows if n_rows is not None else train.count()
     return LogisticRegression(featuresCol=features_col, labelCol=label_col, regParam=1.0 / (C * max(n, 1)),
-                              elasticNetParam=0.0, standardization=False, maxIter=max_iter).fit(train)
+                              elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol).fit(train)
 
 
 def fit_naive_bayes(train: DataFrame, features_col: str = "features", label_col: str = "label"):
