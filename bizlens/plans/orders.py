@@ -28,6 +28,26 @@ from bizlens.operators.aggregate import pivot_counts, rate_where
 from bizlens.operators.ranking import extremes, top_ties
 from bizlens.sources.mart import OrderMart
 
+# The parameters the original questions hard-code, in question
+# order. They are the report defaults; every one can be overridden.
+FILTER_DISTRICT = "Go Vap"
+FILTER_STATUS = "cancel"
+FILTER_PAYMENT = "Cash"
+FILTER_PERIOD = ("2022-04-01", "2022-07-31")
+WALLET_MONTH = (2022, 7)
+WALLET_PAYMENT = "E-Wallet"
+MERCHANT_KEYWORDS = ("Xôi", "Bánh Mì")
+DISTANCE_DISTRICTS = ("Hoan Kiem", "Binh Thanh")
+MAX_DISTANCE_KM = 3.0
+FEE_PERIOD = ("2022-06-01", "2022-12-31")
+VND_PER_USD = 23000
+SEGMENT_CITIES = ("Ha Noi City", "Da Nang City")
+RETURN_CITY = "HCM City"
+RETURN_MONTH = (2022, 7)
+CANCEL_CITY_IDS = (217, 222)
+CANCEL_PERIOD = ("2022-05-01", "2022-05-31")
+CANCEL_STATUS = "cancel"
+
 
 # --------------------------------------------------------------------- RP1
 def cohort_retention(df: DataFrame, customer_col: str = "CustomerID",
@@ -55,8 +75,8 @@ def cohort_retention(df: DataFrame, customer_col: str = "CustomerID",
 
 
 # --------------------------------------------------------------------- RP2
-def filtered_orders(mart: OrderMart, district_name: str = "Go Vap", status: str = "cancel",
-                    payment_method: str = "Cash", start="2022-04-01", end="2022-07-31") -> DataFrame:
+def filtered_orders(mart: OrderMart, district_name: str = FILTER_DISTRICT, status: str = FILTER_STATUS,
+                    payment_method: str = FILTER_PAYMENT, start=FILTER_PERIOD[0], end=FILTER_PERIOD[1]) -> DataFrame:
     """Order ids of one district with a given status and payment in a period."""
     o = mart.order_table
     o = o.where((F.col("order_status") == status) & (F.col("payment_method") == payment_method)
@@ -66,8 +86,8 @@ def filtered_orders(mart: OrderMart, district_name: str = "Go Vap", status: str
 
 
 # --------------------------------------------------------------------- RP3
-def share_leaders(mart: OrderMart, year: int = 2022, month: int = 7, wallet: str = "E-Wallet",
-                  as_written: bool = False, scale: int = 2) -> DataFrame:
+def share_leaders(mart: OrderMart, year: int = WALLET_MONTH[0], month: int = WALLET_MONTH[1],
+                  wallet: str = WALLET_PAYMENT, as_written: bool = False, scale: int = 2) -> DataFrame:
     """City with the highest share of wallet orders in a month, and its top district.
 
     Default: shares are exact (D2) and names join on the district key (D1).
@@ -112,7 +132,7 @@ def share_leaders(mart: OrderMart, year: int = 2022, month: int = 7, wallet: str
 
 
 # --------------------------------------------------------------------- RP4
-def keyword_monthly_sales(mart: OrderMart, keywords=("Xôi", "Bánh Mì"), case_sensitive: bool = False,
+def keyword_monthly_sales(mart: OrderMart, keywords=MERCHANT_KEYWORDS, case_sensitive: bool = False,
                           by: str = "month") -> DataFrame:
     """Orders and sales per month for merchants whose name contains a keyword.
 
@@ -136,8 +156,8 @@ def keyword_monthly_sales(mart: OrderMart, keywords=("Xôi", "Bánh Mì"), case_
 
 
 # --------------------------------------------------------------------- RP5
-def conditional_share(mart: OrderMart, districts=("Hoan Kiem", "Binh Thanh"),
-                      max_distance: float = 3.0, scale: int = 2) -> DataFrame:
+def conditional_share(mart: OrderMart, districts=DISTANCE_DISTRICTS,
+                      max_distance: float = MAX_DISTANCE_KM, scale: int = 2) -> DataFrame:
     """Percent of orders within ``max_distance`` per district, one pass (D3, D23)."""
     d = mart.dim("district_info").where(F.col("district_name").isin(list(districts)))
     o = mart.order_table.join(d.select("district_id", "district_name"), "district_id")
@@ -148,7 +168,7 @@ def conditional_share(mart: OrderMart, districts=("Hoan Kiem", "Binh Thanh"),
 
 
 # --------------------------------------------------------------------- RP6
-def top_average_fee(mart: OrderMart, start="2022-06-01", end="2022-12-31", rate: int = 23000,
+def top_average_fee(mart: OrderMart, start=FEE_PERIOD[0], end=FEE_PERIOD[1], rate: int = VND_PER_USD,
                     scale: int = 1) -> DataFrame:
     """District with the highest average service fee in a period, converted by ``rate``."""
     o = mart.order_table
@@ -179,7 +199,7 @@ def busiest_hours(orders: DataFrame, time_col: str = "create_time") -> DataFrame
 
 
 # --------------------------------------------------------------------- RP8
-def top_merchant_by_segment(mart: OrderMart, cities=("Ha Noi City", "Da Nang City")) -> DataFrame:
+def top_merchant_by_segment(mart: OrderMart, cities=SEGMENT_CITIES) -> DataFrame:
     """Highest-GMV merchant per (city, merchant segment), ties kept."""
     c = mart.dim("city_info").where(F.col("city_name").isin(list(cities)))
     o = mart.order_table.join(c, "city_id")
@@ -194,8 +214,8 @@ def top_merchant_by_segment(mart: OrderMart, cities=("Ha Noi City", "Da Nang Cit
 
 
 # --------------------------------------------------------------------- RP9
-def one_time_buyer_rate(mart: OrderMart, city: str = "HCM City", year: int = 2022, month: int = 7,
-                        scale: int = 2) -> DataFrame:
+def one_time_buyer_rate(mart: OrderMart, city: str = RETURN_CITY, year: int = RETURN_MONTH[0],
+                        month: int = RETURN_MONTH[1], scale: int = 2) -> DataFrame:
     """Per merchant name: buyers, buyers with exactly one order, and their percent.
 
     Two reductions: (merchant, user) order counts, then per merchant
@@ -219,16 +239,16 @@ def one_time_buyer_rate(mart: OrderMart, city: str = "HCM City", year: int = 202
                                  F.col("buyers").cast("decimal(20,0)")).alias("_share"))
 
 
-def return_rate_leaders(mart: OrderMart, city: str = "HCM City", year: int = 2022, month: int = 7,
-                        scale: int = 2) -> DataFrame:
+def return_rate_leaders(mart: OrderMart, city: str = RETURN_CITY, year: int = RETURN_MONTH[0],
+                        month: int = RETURN_MONTH[1], scale: int = 2) -> DataFrame:
     """Merchant(s) with the lowest share of one-time buyers (highest return rate)."""
     g = one_time_buyer_rate(mart, city, year, month, scale)
     return top_ties(g, "_share", descending=False).select("merchant_name", "one_time_pct")
 
 
 # --------------------------------------------------------------------- RP10
-def cancel_rate_leaders(mart: OrderMart, city_ids=(217, 222), start="2022-05-01", end="2022-05-31",
-                        cancel_status: str = "cancel", scale: int = 2) -> DataFrame:
+def cancel_rate_leaders(mart: OrderMart, city_ids=CANCEL_CITY_IDS, start=CANCEL_PERIOD[0],
+                        end=CANCEL_PERIOD[1], cancel_status: str = CANCEL_STATUS, scale: int = 2) -> DataFrame:
     """District with the highest cancel rate among orders of some cities in a period."""
     o = mart.order_table
     o = o.where(F.col("city_id").isin([int(x) for x in city_ids]) & period_filter(o, "create_date", start, end))
@@ -261,7 +281,7 @@ def value_band_pivot(mart: OrderMart, bands=ORDER_VALUE_BANDS, top=ORDER_VALUE_T
 
 
 # --------------------------------------------------------------------- RP12
-def value_band_cancel(mart: OrderMart, bands=GMV_BANDS, top=GMV_TOP, cancel_status: str = "cancel",
+def value_band_cancel(mart: OrderMart, bands=GMV_BANDS, top=GMV_TOP, cancel_status: str = CANCEL_STATUS,
                       amount_col: str = "gmv_usd", order_id_unique: bool = True) -> DataFrame:
     """Orders, cancelled orders and their ratio per (city name, GMV band).
 
