@@ -4,10 +4,14 @@ persists the cleaned frame when several outputs are computed from it."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizlens.operators import clean, distributions, profile
+from bizlens.session import reliable
+from bizlens.sources.samples import tail_rows
 
 
 def clean_claims(claims: DataFrame) -> DataFrame:
@@ -45,3 +49,34 @@ def time_to_close_boxes(claims: DataFrame, cut_below: float | None = None) -> Da
     """Box statistics of time to close per location, optionally after the cut."""
     df = clean.cut_above(claims, "time_to_close", cut_below) if cut_below is not None else claims
     return distributions.box_stats(df, "time_to_close", "location")
+
+
+@dataclass
+class ClaimsReport:
+    cleaned: DataFrame            # cleaned claims (checkpointed once, feeds every output)
+    rules: DataFrame              # rule, column, checked, failed
+    nulls: DataFrame              # NULL count per raw column
+    causes: DataFrame             # cause, n (after normalisation)
+    by_location: DataFrame        # location, total_claim
+    histogram: DataFrame          # bin, bin_lo, bin_hi, n of time to close
+    boxes: DataFrame              # box statistics per location, all claims
+    boxes_after_cut: DataFrame    # the same after the outlier cut
+    tail: DataFrame               # last rows by claim id after the cut
+
+
+def claims_report(claims: DataFrame, locations, cut_below: float = 350, bins: int = 50,
+                  tail_rows_n: int = 10) -> ClaimsReport:
+    """RP13 in one call: the raw frame is profiled, cleaned once (checkpointed
+    to the reliable folder) and every distribution is computed from that."""
+    cleaned = reliable(clean_claims(claims), spread=True)
+    after_cut = clean.cut_above(cleaned, "time_to_close", cut_below)
+    return ClaimsReport(
+        cleaned=cleaned,
+        rules=claims_rules(claims, locations),
+        nulls=profile.null_counts(claims),
+        causes=cleaned.groupBy("cause").agg(F.count(F.lit(1)).alias("n")),
+        by_location=claims_by_location(cleaned),
+        histogram=time_to_close_histogram(cleaned, bins),
+        boxes=time_to_close_boxes(cleaned),
+        boxes_after_cut=time_to_close_boxes(cleaned, cut_below),
+        tail=tail_rows(after_cut, tail_rows_n, "claim_id"))

@@ -2,6 +2,8 @@
 
 import math
 
+from pyspark.sql import functions as F
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -149,3 +151,18 @@ def test_knn_exact_with_ties_and_repeated_axis_values(spark, chunk_rows):
         q = np.array(v)
         want = [t[0] for t in sorted(tr, key=lambda t: (float(((t[1] - q) ** 2).sum()), t[0]))[:4]]
         assert [n for _, n in sorted(got[i])] == want
+
+
+def test_claims_report_end_to_end(spark):
+    from bizlens.plans.claims import claims_report
+    from bizlens.sources.mart import claims_frame
+    from bizlens.sources.tables import load_tables
+    from conftest import SF_SMALL
+    rep = claims_report(claims_frame(load_tables(spark, SF_SMALL)), ["AFRICA", "AMERICA", "ASIA", "EUROPE"],
+                        cut_below=100)
+    n = rep.cleaned.count()
+    assert rep.histogram.agg(F.sum("n")).first()[0] == rep.cleaned.where("time_to_close is not null").count()
+    assert sum(r["total_claim"] for r in rep.by_location.collect()) == n
+    assert sorted(r["cause"] for r in rep.causes.collect()) == ["meat", "unknown", "vegetable"]
+    assert rep.tail.count() == 10
+    assert rep.boxes_after_cut.agg(F.max("whisker_hi")).first()[0] < 100
