@@ -15,7 +15,7 @@ Plan shape, everywhere:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizlens.functions.bands import (GMV_BANDS, GMV_TOP, ORDER_VALUE_BANDS, ORDER_VALUE_TOP,
@@ -157,13 +157,18 @@ def keyword_monthly_sales(mart: OrderMart, keywords=MERCHANT_KEYWORDS, case_sens
 
 # --------------------------------------------------------------------- RP5
 def conditional_share(mart: OrderMart, districts=DISTANCE_DISTRICTS,
-                      max_distance: float = MAX_DISTANCE_KM, scale: int = 2) -> DataFrame:
-    """Percent of orders within ``max_distance`` per district, one pass (D3, D23)."""
+                      max_distance: float = MAX_DISTANCE_KM, scale: int = 2, keep_zero: bool = True) -> DataFrame:
+    """Percent of orders within ``max_distance`` per district, one pass (D3, D23).
+
+    ``keep_zero=False`` drops districts without a hit, as an inner join of the
+    two separate counts would."""
     d = mart.dim("district_info").where(F.col("district_name").isin(list(districts)))
     o = mart.order_table.join(d.select("district_id", "district_name"), "district_id")
     g = rate_where(o, ["district_id", "district_name"], F.col("order_distance") <= max_distance,
                    total_col="total_volume", hits_col="volume", pct_col="per_order", scale=scale,
                    count_of="order_id")
+    if not keep_zero:
+        g = g.where(F.col("volume") > 0)
     return g.select("district_name", "per_order")
 
 
@@ -186,16 +191,27 @@ def top_average_fee(mart: OrderMart, start=FEE_PERIOD[0], end=FEE_PERIOD[1], rat
 
 
 # --------------------------------------------------------------------- RP7
-def busiest_weekdays(orders: DataFrame, date_col: str = "create_date") -> DataFrame:
-    """Weekday (Sunday = 1) with the most and with the fewest orders (D4)."""
+def _ranks_as_written(g: DataFrame, value: str, ranks) -> DataFrame:
+    """``DENSE_RANK() OVER (ORDER BY value DESC) IN ranks`` on a small aggregated frame."""
+    w = Window.orderBy(F.col(value).desc())
+    return g.withColumn("_rank", F.dense_rank().over(w)).where(F.col("_rank").isin(list(ranks))).drop("_rank")
+
+
+def busiest_weekdays(orders: DataFrame, date_col: str = "create_date", as_written: bool = False) -> DataFrame:
+    """Weekday (Sunday = 1) with the most and with the fewest orders (D4).
+
+    ``as_written=True`` keeps dense ranks 1 and 7, which misses the lowest day
+    whenever two days tie."""
     g = orders.groupBy(weekday_sunday1(date_col).alias("day_of_week")).agg(F.count(F.lit(1)).alias("no_order"))
-    return extremes(g, "no_order")
+    return _ranks_as_written(g, "no_order", (1, 7)) if as_written else extremes(g, "no_order")
+
 
+def busiest_hours(orders: DataFrame, time_col: str = "create_time", as_written: bool = False) -> DataFrame:
+    """Hour of day with the most and with the fewest orders (D4).
 
-def busiest_hours(orders: DataFrame, time_col: str = "create_time") -> DataFrame:
-    """Hour of day with the most and with the fewest orders (D4)."""
+    ``as_written=True`` keeps dense ranks 1 and 24 (see ``busiest_weekdays``)."""
     g = orders.groupBy(hour_of_day(time_col).alias("hour_of_day")).agg(F.count(F.lit(1)).alias("no_order"))
-    return extremes(g, "no_order")
+    return _ranks_as_written(g, "no_order", (1, 24)) if as_written else extremes(g, "no_order")
 
 
 # --------------------------------------------------------------------- RP8
@@ -215,12 +231,13 @@ def top_merchant_by_segment(mart: OrderMart, cities=SEGMENT_CITIES) -> DataFrame
 
 # --------------------------------------------------------------------- RP9
 def one_time_buyer_rate(mart: OrderMart, city: str = RETURN_CITY, year: int = RETURN_MONTH[0],
-                        month: int = RETURN_MONTH[1], scale: int = 2) -> DataFrame:
+                        month: int = RETURN_MONTH[1], scale: int = 2, keep_zero: bool = True) -> DataFrame:
     """Per merchant name: buyers, buyers with exactly one order, and their percent.
 
     Two reductions: (merchant, user) order counts, then per merchant
     ``count_if(n = 1)`` and ``count(*)`` in one pass; merchants whose buyers all
-    returned keep a 0 % row (D3). NULL users are not buyers (D20).
+    returned keep a 0 % row (D3; ``keep_zero=False`` drops them, as the inner
+    join of the source question does). NULL users are not buyers (D20).
     """
     start, stop = month_range(year, month)
     c = mart.dim("city_info").where(F.col("city_name") == city).select("city_id")
@@ -233,6 +250,8 @@ def one_time_buyer_rate(mart: OrderMart, city: str = RETURN_CITY, year: int = RE
                       .groupBy("merchant_name", "user_id").agg(F.sum("n").alias("n")))
     g = (per_name.groupBy("merchant_name")
                  .agg(F.count(F.lit(1)).alias("buyers"), F.count_if(F.col("n") == 1).alias("one_time_buyers")))
+    if not keep_zero:
+        g = g.where(F.col("one_time_buyers") > 0)
     return g.select("merchant_name", "buyers", "one_time_buyers",
                     pct_rounded(F.col("one_time_buyers"), F.col("buyers"), scale).alias("one_time_pct"),
                     F.try_divide(F.col("one_time_buyers").cast("decimal(20,0)"),
@@ -240,16 +259,18 @@ def one_time_buyer_rate(mart: OrderMart, city: str = RETURN_CITY, year: int = RE
 
 
 def return_rate_leaders(mart: OrderMart, city: str = RETURN_CITY, year: int = RETURN_MONTH[0],
-                        month: int = RETURN_MONTH[1], scale: int = 2) -> DataFrame:
+                        month: int = RETURN_MONTH[1], scale: int = 2, keep_zero: bool = True) -> DataFrame:
     """Merchant(s) with the lowest share of one-time buyers (highest return rate)."""
-    g = one_time_buyer_rate(mart, city, year, month, scale)
+    g = one_time_buyer_rate(mart, city, year, month, scale, keep_zero)
     return top_ties(g, "_share", descending=False).select("merchant_name", "one_time_pct")
 
 
 # --------------------------------------------------------------------- RP10
 def cancel_rate_leaders(mart: OrderMart, city_ids=CANCEL_CITY_IDS, start=CANCEL_PERIOD[0],
-                        end=CANCEL_PERIOD[1], cancel_status: str = CANCEL_STATUS, scale: int = 2) -> DataFrame:
-    """District with the highest cancel rate among orders of some cities in a period."""
+                        end=CANCEL_PERIOD[1], cancel_status: str = CANCEL_STATUS, scale: int = 2,
+                        keep_zero: bool = True) -> DataFrame:
+    """District with the highest cancel rate among orders of some cities in a period
+    (``keep_zero=False`` drops districts without a cancellation, D3)."""
     o = mart.order_table
     o = o.where(F.col("city_id").isin([int(x) for x in city_ids]) & period_filter(o, "create_date", start, end))
     per_id = (o.groupBy("district_id")
@@ -257,6 +278,8 @@ def cancel_rate_leaders(mart: OrderMart, city_ids=CANCEL_CITY_IDS, start=CANCEL_
     per_name = (per_id.join(mart.dim("district_info"), "district_id", "left")
                       .where(F.col("district_name").isNotNull())
                       .groupBy("district_name").agg(F.sum("n").alias("n"), F.sum("c").alias("c")))
+    if not keep_zero:
+        per_name = per_name.where(F.col("c") > 0)
     ranked = per_name.withColumn("_rate", F.try_divide(F.col("c").cast("decimal(20,0)"),
                                                        F.col("n").cast("decimal(20,0)")))
     best = top_ties(ranked, "_rate", descending=True)

@@ -215,3 +215,17 @@ def test_period_bounds_ignore_session_zone(spark):
         assert df.where(in_period("t", "2022-07-01", "2022-07-31")).count() == 1
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_as_written_options(spark):
+    m = _mini_mart(spark)
+    got = {r["district_name"] for r in
+           rp.conditional_share(m, districts=("D1", "D2", "D3"), max_distance=1.0, keep_zero=False).collect()}
+    assert got == {"D2"}
+    assert rp.return_rate_leaders(m, city="C1", year=2022, month=5, keep_zero=False).count() == 1
+    days = spark.createDataFrame([(dt.date(2024, 1, d),) for d in [1, 1, 2, 2, 3, 4, 5, 6, 7, 7, 7]],
+                                 "create_date date")
+    ours = sorted(r["day_of_week"] for r in rp.busiest_weekdays(days).collect())
+    written = sorted(r["day_of_week"] for r in rp.busiest_weekdays(days, as_written=True).collect())
+    # 2024-01-07 is a Sunday (1): 3 orders; four weekdays tie at the minimum (1), dense ranks stop at 3
+    assert ours == [1, 4, 5, 6, 7] and written == [1]
