@@ -63,9 +63,9 @@ def booking_segments(bookings: DataFrame, n_segments: int = 4, seed: int = 42, k
     scaled = features.standardise(enc, feats, suffix="")
     vec = features.assemble(scaled, feats, "features").select(KEY, TARGET, "avg_price_per_room", "features")
     vec = reliable(vec, spread=True)  # feeds PCA twice, the sweep and the clustering
-    _, variance4 = features.pca(vec, "features", 4)
-    proj, _ = features.pca(vec, "features", 2)
-    proj = features.assemble(proj.drop("features"), ["col1", "col2"], "pc")
+    # one 4-component fit: its first two components are the 2-component projection
+    proj, variance4 = features.pca(vec, "features", 4)
+    proj = features.assemble(proj.drop("features", "col3", "col4"), ["col1", "col2"], "pc")
     proj = reliable(proj, spread=True)
     elbow = segments.kmeans_sweep(proj, "pc", ks=ks, seed=seed)
     seg = segments.hierarchical_segments(proj, "pc", n_segments, micro_clusters, seed)
