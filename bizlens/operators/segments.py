@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 def kmeans_sweep(df: DataFrame, features_col: str = "features", ks=range(2, 11), seed: int = 42,
-                 max_iter: int = 20, parallel_fits: int = 3) -> DataFrame:
+                 max_iter: int = 20, parallel_fits: int = 10) -> DataFrame:
     """ML5: distortion (sum of squared distances to the nearest centre) per k,
     and the elbow: the k farthest from the chord joining the first and last
     points of the (k, distortion) curve. Each fit is a distributed job; only
