@@ -9,6 +9,7 @@ features plus the segment id (D21), scored on a 30 % hash hold-out.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
@@ -97,17 +98,19 @@ def cancellation_leaderboard(bookings: DataFrame, segment_ids: DataFrame | None
     test = data.where(F.col("_split") == "test")
     n_train = train.count()
 
-    scored = []
-    lr = classify.fit_logistic(train, n_rows=n_train)
-    scored.append(("Logistic regression", lr.transform(test)))
-    nb = classify.fit_naive_bayes(train)
-    scored.append(("Naive Bayes", nb.transform(test)))
     tr = train.select(KEY, "label", vector_to_array("features").alias("vec"))
     te = test.select(KEY, "label", vector_to_array("features").alias("vec"))
-    knn = classify.knn_predict(tr, te, knn_k, id_col=KEY, vec_col="vec", label_col="label")
-    scored.append(("KNN", knn))
-    rf = classify.fit_forest(train, trees=forest_trees, max_depth=forest_depth, seed=seed)
-    scored.append(("Random forest", rf.transform(test)))
+    fits = {
+        "Logistic regression": lambda: classify.fit_logistic(train, n_rows=n_train).transform(test),
+        "Naive Bayes": lambda: classify.fit_naive_bayes(train).transform(test),
+        "KNN": lambda: classify.knn_predict(tr, te, knn_k, id_col=KEY, vec_col="vec", label_col="label"),
+        "Random forest": lambda: classify.fit_forest(train, trees=forest_trees, max_depth=forest_depth,
+                                                     seed=seed).transform(test),
+    }
+    # independent fits: submitted together, Spark interleaves their jobs
+    with ThreadPoolExecutor(max_workers=len(fits)) as pool:
+        futures = {name: pool.submit(fn) for name, fn in fits.items()}
+        scored = [(name, f.result()) for name, f in futures.items()]
     results = [classify.binary_metrics(p, "label", "prediction", positive=1.0, model=name)
                for name, p in scored]
     return classify.leaderboard(results, by="accuracy")
