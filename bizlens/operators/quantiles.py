@@ -15,6 +15,9 @@ third of the rows either would put that third on one executor. Instead:
 4. only the located buckets/cells are re-read, their values counted per
    distinct value and ranked inside them.
 
+The input is read three times (four with the second level); the small
+per-group and per-rank tables in between are checkpointed.
+
 Quantiles use linear interpolation between the order statistics at
 ``floor(h)`` and ``ceil(h)``, ``h = (n - 1) * p`` (the numpy/pandas default).
 """
@@ -24,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bizlens.session import reliable
+
 DEFAULT_BUCKETS = 1 << 14
 FINE_CELLS = 1 << 14
 MAX_BUCKET_ROWS = 2_000_000
@@ -61,8 +66,10 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=None, buckets: int = DE
     src = df if user_keys else df.withColumn("_g", F.lit(0))
     x = src.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
 
-    stats = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
-                                 F.max("_x").alias("_hi"))
+    # small intermediate tables (one row per group / per wanted rank) are
+    # checkpointed, so later passes read them instead of re-scanning the input
+    stats = reliable(x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
+                                          F.max("_x").alias("_hi")))
     total = buckets * fine_cells
     width = F.col("_hi") - F.col("_lo")
     fine = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width * F.lit(float(total))),
@@ -82,7 +89,7 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=None, buckets: int = DE
                    .select(*keys, "_n", "_w._i", "_w._r", "_w._side", "_w._frac"))
 
     # level 1: coarse buckets (<= B1 count rows per group)
-    located = _locate(wanted, xb.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c")), keys, "_b")
+    located = reliable(_locate(wanted, xb.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c")), keys, "_b"))
     cell_keys = keys + ["_b"]
     largest = located.agg(F.max("_cell_rows")).first()[0] or 0
     if largest > max_bucket_rows:
@@ -90,7 +97,7 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=None, buckets: int = DE
         targets = located.select(*cell_keys).distinct()
         inside = xb.join(targets, cell_keys)
         counts2 = inside.groupBy(*cell_keys, "_f").agg(F.count(F.lit(1)).alias("_c"))
-        located = _locate(located.drop("_cell_rows"), counts2, cell_keys, "_f")
+        located = reliable(_locate(located.drop("_cell_rows"), counts2, cell_keys, "_f"))
         cell_keys = cell_keys + ["_f"]
     located = located.drop("_cell_rows")
 

@@ -16,6 +16,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files of frames no longer referenced are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # one BLAS thread per Python worker: tasks already fill every core
@@ -49,7 +51,7 @@ def get_spark(master: str | None = None, app: str = "bizlens",
         spark = builder.getOrCreate()
         spark.sparkContext.setLogLevel("ERROR")
     for k, v in _DEFAULTS.items():
-        if k.startswith("spark.ui.") or k.startswith("spark.executorEnv."):
+        if k.startswith(("spark.ui.", "spark.executorEnv.", "spark.cleaner.")):
             continue
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
