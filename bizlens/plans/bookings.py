@@ -20,28 +20,47 @@ from bizlens.operators import classify, features, segments
 from bizlens.operators.clean import map_values
 from bizlens.session import reliable
 
-# Column roles and target mapping of the bookings analysis.
-CATEGORICAL = ["type_of_meal_plan", "market_segment_type", "region", "no_of_items"]
-DATE_PARTS = ["arrival_year", "arrival_month", "arrival_date"]
-NUMERIC = ["avg_price_per_room", "lead_time", "total_quantity"]
 TARGET = "booking_status"
-TARGET_MAP = {"Not_Canceled": 0, "Canceled": 1}
 KEY = "Booking_ID"
+PRICE = "avg_price_per_room"
+
 
+@dataclass(frozen=True)
+class BookingColumns:
+    """Roles of the booking columns: categoricals are one-hot encoded, date parts
+    dropped, everything else except key and target is a numeric feature."""
+    categorical: tuple
+    date_parts: tuple
 
-def encode_bookings(bookings: DataFrame, max_levels: int = 1000,
-                    checkpoint: bool = False) -> tuple[DataFrame, list[str]]:
+
+# Target mapping and column roles of the bookings analysis
+# (the hotel bookings file), and the roles in the frame derived from orders.
+TARGET_MAP = {"Not_Canceled": 0, "Canceled": 1}
+CSV_COLUMNS = BookingColumns(
+    categorical=("type_of_meal_plan", "market_segment_type", "no_of_adults", "no_of_children",
+                 "no_of_weekend_nights", "no_of_week_nights", "required_car_parking_space",
+                 "no_of_special_requests", "no_of_previous_cancellations",
+                 "no_of_previous_bookings_not_canceled", "repeated_guest", "room_type_reserved"),
+    date_parts=("arrival_year", "arrival_month", "arrival_date"))
+DERIVED_COLUMNS = BookingColumns(
+    categorical=("type_of_meal_plan", "market_segment_type", "region", "no_of_items"),
+    date_parts=("arrival_year", "arrival_month", "arrival_date"))
+
+
+def encode_bookings(bookings: DataFrame, max_levels: int = 1000, checkpoint: bool = False,
+                    cols: BookingColumns = DERIVED_COLUMNS) -> tuple[DataFrame, list[str]]:
     """Target mapped to 0/1, dates dropped, categoricals one-hot; returns (frame, feature names).
 
     ``checkpoint=True`` writes the mapped input once to the reliable folder, so
     level discovery, scaler moments and the fits read it instead of
     recomputing the upstream joins.
     """
-    df = bookings.withColumn(TARGET, map_values(TARGET, TARGET_MAP)).drop(*DATE_PARTS)
-    df = df.select(*[F.col(c).cast("string").alias(c) if c in CATEGORICAL else F.col(c) for c in df.columns])
+    categorical = list(cols.categorical)
+    df = bookings.withColumn(TARGET, map_values(TARGET, TARGET_MAP)).drop(*cols.date_parts)
+    df = df.select(*[F.col(c).cast("string").alias(c) if c in categorical else F.col(c) for c in df.columns])
     if checkpoint:
         df = reliable(df, spread=True)
-    enc = features.one_hot(df, CATEGORICAL, max_levels=max_levels)
+    enc = features.one_hot(df, categorical, max_levels=max_levels)
     feats = [c for c in enc.columns if c not in (KEY, TARGET)]
     return enc.na.fill(0, subset=feats), feats
 
@@ -59,10 +78,10 @@ class SegmentReport:
 
 
 def booking_segments(bookings: DataFrame, n_segments: int = 4, seed: int = 42, ks=range(2, 11),
-                     micro_clusters: int = 200) -> SegmentReport:
-    enc, feats = encode_bookings(bookings, checkpoint=True)
+                     micro_clusters: int = 200, cols: BookingColumns = DERIVED_COLUMNS) -> SegmentReport:
+    enc, feats = encode_bookings(bookings, checkpoint=True, cols=cols)
     scaled = features.standardise(enc, feats, suffix="")
-    vec = features.assemble(scaled, feats, "features").select(KEY, TARGET, "avg_price_per_room", "features")
+    vec = features.assemble(scaled, feats, "features").select(KEY, TARGET, PRICE, "features")
     vec = reliable(vec, spread=True)  # feeds PCA twice, the sweep and the clustering
     # one 4-component fit: its first two components are the 2-component projection
     proj, variance4 = features.pca(vec, "features", 4)
@@ -70,40 +89,43 @@ def booking_segments(bookings: DataFrame, n_segments: int = 4, seed: int = 42, k
     proj = reliable(proj, spread=True)
     elbow = segments.kmeans_sweep(proj, "pc", ks=ks, seed=seed)
     seg = segments.hierarchical_segments(proj, "pc", n_segments, micro_clusters, seed)
-    seg = seg.select(KEY, "Segment", "col1", "col2", "avg_price_per_room", TARGET)
+    seg = seg.select(KEY, "Segment", "col1", "col2", PRICE, TARGET)
     return SegmentReport(
         encoded=enc, feature_names=feats, segments=seg, pca_variance=variance4, elbow=elbow,
         sizes=seg.groupBy("Segment").agg(F.count(F.lit(1)).alias("n")),
-        profile=segments.segment_profile(seg, "Segment", "avg_price_per_room", TARGET),
+        profile=segments.segment_profile(seg, "Segment", PRICE, TARGET),
         target_mix=segments.segment_target_mix(seg, "Segment", TARGET))
 
 
 def cancellation_leaderboard(bookings: DataFrame, segment_ids: DataFrame | None = None,
                              test_fraction: float = 0.3, seed: int = 42, knn_k: int = 5,
                              forest_trees: int = 100, forest_depth: int = 12,
-                             encoded: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
+                             encoded: tuple[DataFrame, list[str]] | None = None,
+                             cols: BookingColumns = DERIVED_COLUMNS) -> DataFrame:
     """Fit logistic regression, Gaussian naive Bayes, KNN and a random forest on
     the same hold-out split and return their scores, best accuracy first.
 
     ``encoded`` reuses an already encoded frame (e.g. from the segmentation)."""
-    enc, feats = encoded if encoded is not None else encode_bookings(bookings)
+    enc, feats = encoded if encoded is not None else encode_bookings(bookings, cols=cols)
     if segment_ids is not None:
         enc = enc.join(segment_ids.select(KEY, F.col("Segment").cast("double").alias("Segment")), KEY)
         feats = feats + ["Segment"]
+    # numeric row id for the neighbour search; fixed by the checkpoint below
     data = (features.assemble(enc, feats, "features")
-            .select(KEY, F.col(TARGET).cast("double").alias("label"), "features",
+            .select(KEY, F.monotonically_increasing_id().alias("_rid"),
+                    F.col(TARGET).cast("double").alias("label"), "features",
                     features.split_flag(KEY, test_fraction, seed).alias("_split")))
     data = reliable(data, spread=True)  # one prepared matrix for four fits
     train = data.where(F.col("_split") == "train")
     test = data.where(F.col("_split") == "test")
     n_train = train.count()
 
-    tr = train.select(KEY, "label", vector_to_array("features").alias("vec"))
-    te = test.select(KEY, "label", vector_to_array("features").alias("vec"))
+    tr = train.select("_rid", "label", vector_to_array("features").alias("vec"))
+    te = test.select("_rid", "label", vector_to_array("features").alias("vec"))
     fits = {
         "Logistic regression": lambda: classify.fit_logistic(train, n_rows=n_train).transform(test),
         "Naive Bayes": lambda: classify.fit_naive_bayes(train).transform(test),
-        "KNN": lambda: classify.knn_predict(tr, te, knn_k, id_col=KEY, vec_col="vec", label_col="label"),
+        "KNN": lambda: classify.knn_predict(tr, te, knn_k, id_col="_rid", vec_col="vec", label_col="label"),
         "Random forest": lambda: classify.fit_forest(train, trees=forest_trees, max_depth=forest_depth,
                                                      seed=seed).transform(test),
     }

@@ -36,3 +36,59 @@ def test_write_report_roundtrip(spark):
     df = spark.range(10).withColumn("g", F.col("id") % 2)
     write_report(df, out, partition_by=["g"])
     assert spark.read.parquet(out).count() == 10
+
+
+def _bookings_csv(path, n=120):
+    import random
+    rnd = random.Random(5)
+    header = ("Booking_ID,no_of_adults,no_of_children,no_of_weekend_nights,no_of_week_nights,type_of_meal_plan,"
+              "required_car_parking_space,room_type_reserved,lead_time,arrival_year,arrival_month,arrival_date,"
+              "market_segment_type,repeated_guest,no_of_previous_cancellations,"
+              "no_of_previous_bookings_not_canceled,avg_price_per_room,no_of_special_requests,booking_status\n")
+    with open(path, "w", encoding="latin-1") as fh:
+        fh.write(header)
+        for i in range(n):
+            cancel = i % 3 == 0
+            lead = rnd.randint(150, 300) if cancel else rnd.randint(0, 60)
+            fh.write(f"INN{i:05d},{rnd.randint(1, 3)},{rnd.randint(0, 2)},{rnd.randint(0, 2)},{rnd.randint(1, 5)},"
+                     f"Meal Plan {rnd.randint(1, 2)},0,Room_Type {rnd.randint(1, 3)},{lead},2018,{rnd.randint(1, 12)},"
+                     f"{rnd.randint(1, 28)},{rnd.choice(['Online', 'Offline'])},0,0,0,"
+                     f"{rnd.uniform(60, 160):.2f},{rnd.randint(0, 2)},{'Canceled' if cancel else 'Not_Canceled'}\n")
+
+
+def test_bookings_csv_pipeline(spark):
+    from bizlens.plans import bookings as bk
+    from bizlens.sources import read_bookings_csv
+    d = tempfile.mkdtemp(prefix="bizlens-bookings-")
+    path = os.path.join(d, "bookings.csv")
+    _bookings_csv(path)
+    b = read_bookings_csv(spark, path)
+    assert len(b.columns) == 19 and b.count() == 120
+    rep = bk.booking_segments(b, ks=range(2, 5), micro_clusters=12, cols=bk.CSV_COLUMNS)
+    assert sum(r["n"] for r in rep.sizes.collect()) == 120
+    board = bk.cancellation_leaderboard(b, segment_ids=rep.segments, forest_trees=5, forest_depth=4,
+                                        encoded=(rep.encoded, rep.feature_names)).collect()
+    assert [r["model"] for r in board][0] is not None and len(board) == 4
+    # lead time separates the classes in this file: the forest must see it
+    assert max(r["accuracy"] for r in board) > 0.9
+
+
+def test_claims_csv_report(spark):
+    from bizlens.plans.claims import claims_report
+    from bizlens.sources import read_claims_csv
+    d = tempfile.mkdtemp(prefix="bizlens-claims-")
+    path = os.path.join(d, "claims.csv")
+    with open(path, "w", encoding="latin-1") as fh:
+        fh.write("claim_id,time_to_close,claim_amount,location,amount_paid,individuals_on_claim,linked_cases,cause\n")
+        for i in range(1, 41):
+            paid = "" if i % 10 == 0 else f"{1000 + i * 7.5:.2f}"
+            linked = "" if i % 13 == 0 else ("True" if i % 2 else "False")
+            cause = [" Meat", "VEGETABLES", "meat", "unknown", "vegetable"][i % 5]
+            fh.write(f"{i},{100 + i * 9},R$ {2000 + i * 11.25:.2f},{['RECIFE', 'NATAL'][i % 2]},{paid},"
+                     f"{1 + i % 15},{linked},{cause}\n")
+    rep = claims_report(read_claims_csv(spark, path), ["RECIFE", "NATAL", "FORTALEZA", "SAO LUIS"])
+    rules = {r["rule"]: r["failed"] for r in rep.rules.collect()}
+    assert rules["amount_paid present"] == 4 and rules["linked_cases present"] == 3
+    assert rep.cleaned.where("amount_paid is null or linked_cases is null").count() == 0
+    assert sorted(r["cause"] for r in rep.causes.collect()) == ["meat", "unknown", "vegetable"]
+    assert rep.boxes_after_cut.agg({"whisker_hi": "max"}).first()[0] < 350
