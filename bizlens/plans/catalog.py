@@ -23,7 +23,7 @@ from bizlens.plans import bookings as bk
 from bizlens.plans import claims as cr
 from bizlens.plans import orders as rp
 from bizlens.sources.mart import (CANCEL_STATUS, bookings_frame, claims_frame, events_as_orders, lines_mart,
-                                  orders_mart)
+                                  order_facts, orders_mart)
 from bizlens.sources.samples import sample_by, sample_rows, tail_rows
 from bizlens.sources.tables import load_tables
 
@@ -45,8 +45,8 @@ def _t(spark, base):
 # ------------------------------------------------------------- order reports
 @register("cohort_retention")
 def q_cohort_retention(spark, base):
-    ot = orders_mart(_t(spark, base)).order_table
-    return rp.cohort_retention(ot, customer_col="user_id", date_col="create_date")
+    # only user and date are needed: no dimension join
+    return rp.cohort_retention(order_facts(_t(spark, base)), customer_col="user_id", date_col="create_date")
 
 
 @register("filtered_orders")
@@ -67,7 +67,8 @@ def q_share_leaders_as_written(spark, base):
 
 @register("keyword_monthly_sales")
 def q_keyword_monthly_sales(spark, base):
-    return rp.keyword_monthly_sales(lines_mart(_t(spark, base)), keywords=("Widget", "Bolt"))
+    # merchant and month only: no customer join
+    return rp.keyword_monthly_sales(lines_mart(_t(spark, base), with_geo=False), keywords=("Widget", "Bolt"))
 
 
 @register("conditional_share")
@@ -82,7 +83,7 @@ def q_top_average_fee(spark, base):
 
 @register("busiest_weekdays")
 def q_busiest_weekdays(spark, base):
-    return rp.busiest_weekdays(orders_mart(_t(spark, base)).order_table, "create_date")
+    return rp.busiest_weekdays(order_facts(_t(spark, base)), "create_date")
 
 
 @register("busiest_hours")

@@ -74,6 +74,18 @@ def _dims(t) -> dict:
     )
 
 
+def order_facts(t) -> DataFrame:
+    """Order columns that need no dimension (id, user, date, status, payment,
+    amount): reports that use only these skip the customer join entirely."""
+    return t["orders"].select(
+        F.col("o_orderkey").alias("order_id"),
+        F.col("o_custkey").alias("user_id"),
+        F.col("o_orderdate").alias("create_date"),
+        F.col("o_orderstatus").alias("order_status"),
+        F.col("o_orderpriority").alias("payment_method"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("order_value_amount_usd"))
+
+
 def _order_level(t) -> DataFrame:
     o, c, n = t["orders"], t["customer"], t["nation"]
     cust = c.select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -86,7 +98,6 @@ def _order_level(t) -> DataFrame:
                  F.col("c_nationkey").cast("bigint").alias("district_id"),
                  F.col("n_regionkey").cast("bigint").alias("city_id"),
                  F.col("o_orderdate").cast("date").alias("create_date"),
-                 F.col("o_orderdate").alias("create_ts"),
                  F.col("o_orderstatus").alias("order_status"),
                  F.col("o_orderpriority").alias("payment_method"),
                  F.col("o_totalprice").cast("decimal(18,2)").alias("order_value_amount_usd"),
@@ -102,27 +113,34 @@ def orders_mart(t) -> OrderMart:
 
 
 def lines_mart(t, merchant_name_from: str = "p_name", order_level: DataFrame | None = None,
-               lineitem: DataFrame | None = None) -> OrderMart:
+               lineitem: DataFrame | None = None, with_geo: bool = True) -> OrderMart:
     """Line-level mart: one delivery per line item, the part is the merchant.
 
     ``merchant_name_from`` picks the part attribute that names a merchant
     (``p_name``, ``p_brand`` ...); the segment is always ``p_type``.
     ``order_level``/``lineitem`` may be given pre-materialised (see
     :func:`bizlens.sources.layout.materialize_order_mart`): when both are
-    bucketed on the order key their join needs no shuffle.
+    bucketed on the order key their join needs no shuffle. ``with_geo=False``
+    leaves out district and city, and with them the customer join (for
+    reports that group by merchant and date only).
     """
     d = _dims(t)
     part = d["_part"]
     li = lineitem if lineitem is not None else t["lineitem"]
-    base_orders = order_level if order_level is not None else _order_level(t)
+    if order_level is not None:
+        base_orders = order_level
+    else:
+        base_orders = _order_level(t) if with_geo else order_facts(t).withColumn(
+            "exchange_rate", F.lit(EXCHANGE_RATE).cast("decimal(18,4)"))
     orders = base_orders.drop("order_value_amount_usd", "customer_segment")
+    geo = ["district_id", "city_id"] if "city_id" in orders.columns else []
     gmv = F.col("l_extendedprice").cast("decimal(18,2)")
     lines = (li.join(orders, li.l_orderkey == orders.order_id)
                .select(
                    (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_id"),
                    "user_id",
                    F.col("l_partkey").alias("merchant_id"),
-                   "district_id", "city_id", "create_date", "create_ts",
+                   *geo, "create_date",
                    "order_status", "payment_method",
                    F.col("l_quantity").alias("order_distance"),
                    gmv.alias("gmv_usd"),
