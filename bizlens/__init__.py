@@ -16,6 +16,6 @@ plans       the whole reports (cohorts, shares, leaders, bands, profiles, models
 streaming   incremental (Structured Streaming) maintenance of count reports
 """
 
-from bizlens.session import get_spark, checkpoint_dir
+from bizlens.session import checkpoint_dir, configure_for_scale, get_spark, reliable
 
-__all__ = ["get_spark", "checkpoint_dir"]
+__all__ = ["get_spark", "checkpoint_dir", "configure_for_scale", "reliable"]

@@ -95,6 +95,31 @@ def reliable(df, eager: bool = True, spread: bool = False):
     return df.checkpoint(eager=eager)
 
 
+def configure_for_scale(spark: SparkSession, input_bytes: int, total_cores: int,
+                        target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Size shuffles and scans for an input of ``input_bytes`` on ``total_cores``.
+
+    * scan splits of ``target_partition_bytes`` (parquet row groups are read in
+      parallel within a file);
+    * initial shuffle partitions = input / target (at least 2 per core, at most
+      100k); AQE then coalesces them towards the advisory size and splits
+      skewed ones (a partition over 4x the median and over 1 GB);
+    * broadcast joins stay at Spark's 10 MB default: only measured-small sides.
+    Returns the settings applied.
+    """
+    parts = int(max(2 * total_cores, min(100_000, input_bytes // target_partition_bytes)))
+    settings = {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    return settings
+
+
 def env_cpus(default: int = 8) -> int:
     try:
         return int(os.environ.get("BENCH_CPUS", default))

@@ -92,3 +92,17 @@ def test_claims_csv_report(spark):
     assert rep.cleaned.where("amount_paid is null or linked_cases is null").count() == 0
     assert sorted(r["cause"] for r in rep.causes.collect()) == ["meat", "unknown", "vegetable"]
     assert rep.boxes_after_cut.agg({"whisker_hi": "max"}).first()[0] < 350
+
+
+def test_configure_for_scale(spark):
+    from bizlens.session import configure_for_scale
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        got = configure_for_scale(spark, 100 * 10 ** 12, 8000)
+        assert got["spark.sql.shuffle.partitions"] == "100000"
+        got = configure_for_scale(spark, 10 ** 9, 8)
+        assert got["spark.sql.shuffle.partitions"] == "16"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
