@@ -397,3 +397,11 @@ def q_stratified_sample(spark, base):
     li = _t(spark, base)["lineitem"]
     pts = sample_by(li, "l_returnflag", {"A": 0.02, "N": 0.02, "R": 0.02}, seed=42)
     return pts.select("l_returnflag", "l_quantity", "l_extendedprice")
+
+
+@register("booking_segment_density")
+def q_booking_segment_density(spark, base):
+    """DS6 per segment: smoothed density of (first principal component, room price)."""
+    seg = _segment_report(spark, base).segments
+    binned = ds.binned_2d(seg, "col1", bk.PRICE, 0.5, 10.0, by="Segment")
+    return ds.smoothed_density(binned, bandwidth_bins=1.0, radius=2, by="Segment")
