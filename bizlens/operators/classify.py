@@ -260,7 +260,7 @@ def fit_forest(train: DataFrame, features_col: str = "features", label_col: str
     available (Spark caps it at 30) and depth 12 keeps the fit to 12 passes.
     """
     return RandomForestClassifier(featuresCol=features_col, labelCol=label_col, numTrees=trees,
-                                  maxDepth=max_depth, seed=seed, maxBins=64, maxMemoryInMB=1024,
+                                  maxDepth=max_depth, seed=seed, maxBins=32, maxMemoryInMB=1024,
                                   cacheNodeIds=True).fit(train)
 
 
