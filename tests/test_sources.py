@@ -106,3 +106,12 @@ def test_configure_for_scale(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_runner_writes_reports(spark):
+    from bizlens.__main__ import main
+    from conftest import SF_SMALL
+    out = tempfile.mkdtemp(prefix="bizlens-run-")
+    assert main(["--input", SF_SMALL, "--output", out, "--queries", "cohort_retention,busiest_hours"]) == 0
+    assert spark.read.parquet(os.path.join(out, "busiest_hours")).count() >= 2
+    assert spark.read.parquet(os.path.join(out, "cohort_retention")).count() > 0
