@@ -133,12 +133,14 @@ def share_leaders(mart: OrderMart, year: int = WALLET_MONTH[0], month: int = WAL
 
 # --------------------------------------------------------------------- RP4
 def keyword_monthly_sales(mart: OrderMart, keywords=MERCHANT_KEYWORDS, case_sensitive: bool = False,
-                          by: str = "month") -> DataFrame:
+                          by: str = "month", normalize: bool = True) -> DataFrame:
     """Orders and sales per month for merchants whose name contains a keyword.
 
     The fact is first reduced to (merchant id, month); only then are names
     joined (so the join never shuffles raw orders) and re-grouped by name
     (names may repeat across ids, D19). ``by='year_month'`` keeps years apart (D18).
+    Names and keywords are compared in Unicode NFC and, by default, ignoring
+    case (D6); the normalisation runs on the merchant dimension only.
     """
     o = mart.order_table
     month = (F.month("create_date") if by == "month"
@@ -147,7 +149,7 @@ def keyword_monthly_sales(mart: OrderMart, keywords=MERCHANT_KEYWORDS, case_sens
                .agg(F.count("order_id").alias("total_volume"),
                     F.sum("order_value_amount_usd").alias("total_sales")))
     merchants = (mart.dim("merchant_info")
-                 .where(contains_text("merchant_name", list(keywords), case_sensitive)))
+                 .where(contains_text("merchant_name", list(keywords), case_sensitive, normalize)))
     out = (per_id.join(merchants, "merchant_id")
                  .groupBy("merchant_name", "month")
                  .agg(F.sum("total_volume").alias("total_volume"),
