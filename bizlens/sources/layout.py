@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bizlens.sources.mart import OrderMart, _order_level, lines_mart
+from bizlens.sources.mart import OrderMart, _order_level, lines_mart, orders_mart
 
 
 def _write_bucketed(df: DataFrame, table: str, key: str, buckets: int, location: str | None) -> None:
@@ -40,3 +40,11 @@ def bucketed_lines_mart(spark: SparkSession, t, names: dict[str, str],
     """Line-level mart over the bucketed tables written by :func:`materialize_order_mart`."""
     return lines_mart(t, merchant_name_from, order_level=spark.table(names["order_level"]),
                       lineitem=spark.table(names["lineitem"]))
+
+
+def bucketed_orders_mart(spark: SparkSession, t, names: dict[str, str]) -> OrderMart:
+    """Order-level mart over the materialised order view: the customer join that
+    locates district and city was paid once, at write time."""
+    m = orders_mart(t)
+    return OrderMart(order_table=spark.table(names["order_level"]), district_info=m.district_info,
+                     city_info=m.city_info, bounded_dims=m.bounded_dims)

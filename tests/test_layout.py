@@ -24,3 +24,14 @@ def test_bucketed_mart_is_shuffle_free_and_equal(spark):
     got = rp.value_band_cancel(m, cancel_status="F", order_id_unique=False).toPandas()
     want = rp.value_band_cancel(lines_mart(t), cancel_status="F", order_id_unique=False).toPandas()
     assert rows_of(got) == rows_of(want)
+
+
+def test_bucketed_orders_mart_equal(spark):
+    from bizlens.sources.layout import bucketed_orders_mart
+    from bizlens.sources.mart import orders_mart
+    t = load_tables(spark, SF_SMALL)
+    names = materialize_order_mart(spark, t, buckets=4, prefix="t_layout2",
+                                   location=tempfile.mkdtemp(prefix="bizlens-bucketed-"))
+    got = rp.value_band_pivot(bucketed_orders_mart(spark, t, names)).toPandas()
+    want = rp.value_band_pivot(orders_mart(t)).toPandas()
+    assert rows_of(got) == rows_of(want)
