@@ -120,29 +120,58 @@ def _top_k(cands: DataFrame, k: int) -> DataFrame:
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _pruning_axis(t0: DataFrame, vec_col: str, mode: str):
+    """Unit direction ``u`` of the pruning axis (a numpy vector) and the Column
+    projecting ``vec_col`` onto it. ``pc1``: first principal component of the
+    training vectors (the widest single direction); ``coordinate``: the
+    coordinate with the largest variance."""
+    if mode == "pc1":
+        from pyspark.ml.feature import PCA
+        from pyspark.ml.functions import array_to_vector
+        model = PCA(k=1, inputCol="_v", outputCol="_p").fit(t0.select(array_to_vector(vec_col).alias("_v")))
+        u = np.asarray(model.pc.toArray()[:, 0], dtype=np.float64)
+    elif mode == "coordinate":
+        var = (t0.select(F.posexplode(vec_col).alias("_j", "_v")).groupBy("_j")
+                 .agg(F.var_pop("_v").alias("_var")).orderBy(F.col("_var").desc(), "_j").first())
+        dims = t0.select(F.size(vec_col).alias("_d")).first()["_d"]
+        u = np.zeros(int(dims))
+        u[int(var["_j"])] = 1.0
+    else:
+        raise ValueError(mode)
+    nz = [(i, float(w)) for i, w in enumerate(u) if w != 0.0]
+    proj = None
+    for i, w in nz:  # a JVM-side dot product with the (fixed) direction
+        term = F.col(vec_col)[i].cast("double") * F.lit(w)
+        proj = term if proj is None else proj + term
+    return u, proj
+
+
 def knn_neighbours(train: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id",
                    vec_col: str = "features", label_col: str = "label",
                    chunk_rows: int = 20_000, query_block_rows: int = 20_000,
-                   max_slabs: int = 4096) -> DataFrame:
+                   max_slabs: int = 4096, axis: str = "coordinate") -> DataFrame:
     """Exact k nearest training rows of every query row (squared Euclidean).
 
     No pair rows and no all-pairs scan where the data allows pruning:
 
-    1. The pruning axis is the training coordinate with the largest variance;
-       its quantiles cut the training rows into slabs, and each slab is split
-       by hash into sub-chunks of about ``chunk_rows`` (bounded tasks even
-       when many rows share one coordinate value).
+    1. The pruning axis is a unit direction ``u``: the coordinate with the
+       largest variance (``axis='coordinate'``, the default: no fit, exact
+       projections) or the first principal component of the training vectors
+       (``axis='pc1'``, for data whose widest direction is diagonal). Quantiles of the
+       projection ``a = <x, u>`` cut the training rows into slabs, and each slab
+       is split by hash into sub-chunks of about ``chunk_rows`` (bounded tasks
+       even when many rows share one projection value).
     2. Round 1: each query is searched against its own slab only, which gives
        its k-th distance ``r``.
-    3. Round 2: a closer row differs from the query by less than ``sqrt(r)`` on
-       every coordinate, so only the other slabs that meet
-       ``[a - sqrt(r), a + sqrt(r)]`` are searched.
+    3. Round 2: ``|<q - x, u>| <= |q - x|``, so a closer row lies within
+       ``sqrt(r)`` of the query on the axis; only the other slabs that meet
+       ``[a - sqrt(r), a + sqrt(r)]`` (widened by a rounding margin) are searched.
 
     Searches are cogrouped ``applyInPandas`` tasks holding one query block and
     one training sub-chunk (numpy inside, see :func:`_block_topk`); a window
     per query merges the candidates. Only the variances (one per dimension)
-    and the slab cut points (at most ``max_slabs``) reach the driver. Ties are
-    broken by (distance, neighbour id).
+    and the slab cut points (at most ``max_slabs``) reach the driver, plus the
+    d-vector ``u``. Ties are broken by (distance, neighbour id).
     """
     spark = train.sparkSession
     t0 = train.select(F.col(id_col).cast("long").alias("_tid"), F.col(vec_col).alias(vec_col),
@@ -150,15 +179,19 @@ def knn_neighbours(train: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     q0 = queries.select(F.col(id_col).cast("long").alias("_qid"), F.col(vec_col).alias(vec_col))
     n_train = t0.count()
     slabs = max(1, min(max_slabs, math.ceil(n_train / chunk_rows)))
-    axis = 0
     cuts: list[float] = []
+    project = F.lit(0.0)
+    margin_scale = 0.0
+    if slabs > 1:
+        u, project = _pruning_axis(t0, vec_col, axis)
+        if project is None:  # zero direction (constant data): one slab
+            slabs, project = 1, F.lit(0.0)
     if slabs > 1:
-        var = (t0.select(F.posexplode(vec_col).alias("_j", "_v")).groupBy("_j")
-                 .agg(F.var_pop("_v").alias("_var")).orderBy(F.col("_var").desc(), "_j").first())
-        axis = int(var["_j"])
         probs = [i / slabs for i in range(1, slabs)]
-        cuts = sorted(set(t0.select(F.col(vec_col)[axis].cast("double").alias("_a"))
-                            .approxQuantile("_a", probs, 1.0 / (4 * slabs))))
+        projected = t0.select(project.alias("_a"))
+        cuts = sorted(set(projected.approxQuantile("_a", probs, 1.0 / (4 * slabs))))
+        # rounding of the computed projections: d * eps * |x| |u| is far below this
+        margin_scale = 1e-9 * float(projected.agg(F.max(F.abs("_a"))).first()[0] or 0.0)
     splits = [-math.inf] + cuts + [math.inf]
     if len(splits) < 3:  # one slab (small input, or one distinct value on the axis)
         slabs = 1
@@ -168,9 +201,9 @@ def knn_neighbours(train: DataFrame, queries: DataFrame, k: int = 5, id_col: str
             return df.withColumn(dst, F.lit(0.0))
         return Bucketizer(splits=splits, inputCol=src, outputCol=dst, handleInvalid="keep").transform(df)
 
-    t1 = slab_of(t0.withColumn("_a", F.col(vec_col)[axis].cast("double")), "_a", "_s")
+    t1 = slab_of(t0.withColumn("_a", project), "_a", "_s")
     t1 = t1.withColumn("_slab", F.col("_s").cast("int")).drop("_s", "_a")
-    q1 = slab_of(q0.withColumn("_a", F.col(vec_col)[axis].cast("double")), "_a", "_s")
+    q1 = slab_of(q0.withColumn("_a", project), "_a", "_s")
     q1 = q1.withColumn("_slab", F.col("_s").cast("int")).drop("_s")
 
     # cell sizing per slab (tables of at most `slabs` rows, joined, never collected)
@@ -203,7 +236,8 @@ def knn_neighbours(train: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     first = reliable(first)
     radius = first.groupBy("query_id").agg(F.max("distance2").alias("_r"), F.count(F.lit(1)).alias("_found"))
     # round 2: the other slabs within sqrt(r) on the pruning axis (all of them if fewer than k were found)
-    reach = F.when(F.col("_found") >= k, F.sqrt(F.col("_r")) * F.lit(1 + 1e-9) + F.lit(1e-12)).otherwise(F.lit(math.inf))
+    margin = F.lit(1e-12 + margin_scale) + F.abs(F.col("_a")) * F.lit(1e-9)
+    reach = F.when(F.col("_found") >= k, F.sqrt(F.col("_r")) * F.lit(1 + 1e-9) + margin).otherwise(F.lit(math.inf))
     q2 = (q1.join(radius.withColumnRenamed("query_id", "_qid"), "_qid", "left")
             .withColumn("_reach", F.coalesce(reach, F.lit(math.inf)))
             .withColumn("_lo", F.col("_a") - F.col("_reach")).withColumn("_hi", F.col("_a") + F.col("_reach")))
