@@ -100,17 +100,16 @@ def share_leaders(mart: OrderMart, year: int = WALLET_MONTH[0], month: int = WAL
     g = (o.groupBy("city_id", "district_id")
           .agg(F.count("order_id").alias("n"),
                F.count(F.when(F.col("payment_method") == wallet, F.col("order_id"))).alias("w")))
-    # city totals over all payments, by a second tiny aggregation of g
-    city = g.groupBy("city_id").agg(F.sum("n").alias("n_city"), F.sum("w").alias("w_city"))
-    g = g.join(city, "city_id").where(F.col("w") > 0)
+    # city totals over all payments: a window over the (small) aggregated frame, no self-join
+    per_city = Window.partitionBy("city_id")
+    g = (g.withColumn("n_city", F.sum("n").over(per_city)).withColumn("w_city", F.sum("w").over(per_city))
+          .where(F.col("w") > 0))
     g = g.withColumn("per_district_exact", F.try_divide(F.col("w").cast("decimal(20,0)"),
                                                         F.col("n").cast("decimal(20,0)")))
     if as_written:
         part = pct_rounded(F.col("w"), F.col("n_city"), scale, as_double=False)
-        city_share = (g.groupBy("city_id").agg(F.sum(part).alias("per_city_dec")))
-        g = (g.join(city_share, "city_id")
-              .withColumn("per_city_key", F.col("per_city_dec"))
-              .withColumn("per_city", F.col("per_city_dec").cast("double")))
+        g = (g.withColumn("per_city_key", F.sum(part).over(per_city))
+              .withColumn("per_city", F.col("per_city_key").cast("double")))
     else:
         g = (g.withColumn("per_city_key", F.try_divide(F.col("w_city").cast("decimal(20,0)"),
                                                        F.col("n_city").cast("decimal(20,0)")))
