@@ -95,9 +95,16 @@ def hour_of_day(c) -> Column:
     return F.hour(_col(c))
 
 
-def period_filter(df, c: str, start, end, inclusive_end_day: bool = True) -> Column:
-    """``in_period`` with literals typed like the column, so the filter is pushed down."""
+def period_filter(df, c: str, start, end, inclusive_end_day: bool = True, as_written: bool = False) -> Column:
+    """``in_period`` with literals typed like the column, so the filter is pushed down.
+
+    ``as_written=True`` reproduces ``c BETWEEN 'start' AND 'end'`` literally: on a
+    column with a time of day only midnight of the end day is kept (D5).
+    """
     col_type = dict(df.dtypes).get(c, "timestamp_ntz")
     if col_type not in ("date", "timestamp", "timestamp_ntz"):
         col_type = "timestamp_ntz"
+    if as_written:
+        x = _col(c)
+        return (x >= _typed_bound(col_type, _as_date(start))) & (x <= _typed_bound(col_type, _as_date(end)))
     return in_period(c, start, end, inclusive_end_day=inclusive_end_day, col_type=col_type)

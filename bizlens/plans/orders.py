@@ -76,11 +76,13 @@ def cohort_retention(df: DataFrame, customer_col: str = "CustomerID",
 
 # --------------------------------------------------------------------- RP2
 def filtered_orders(mart: OrderMart, district_name: str = FILTER_DISTRICT, status: str = FILTER_STATUS,
-                    payment_method: str = FILTER_PAYMENT, start=FILTER_PERIOD[0], end=FILTER_PERIOD[1]) -> DataFrame:
-    """Order ids of one district with a given status and payment in a period."""
+                    payment_method: str = FILTER_PAYMENT, start=FILTER_PERIOD[0], end=FILTER_PERIOD[1],
+                    as_written: bool = False) -> DataFrame:
+    """Order ids of one district with a given status and payment in a period
+    (the whole end day; ``as_written=True``: up to its midnight only, D5)."""
     o = mart.order_table
     o = o.where((F.col("order_status") == status) & (F.col("payment_method") == payment_method)
-                & period_filter(o, "create_date", start, end))
+                & period_filter(o, "create_date", start, end, as_written=as_written))
     d = mart.dim("district_info").where(F.col("district_name") == district_name).select("district_id")
     return o.join(d, "district_id").select("order_id")
 
@@ -175,10 +177,10 @@ def conditional_share(mart: OrderMart, districts=DISTANCE_DISTRICTS,
 
 # --------------------------------------------------------------------- RP6
 def top_average_fee(mart: OrderMart, start=FEE_PERIOD[0], end=FEE_PERIOD[1], rate: int = VND_PER_USD,
-                    scale: int = 1) -> DataFrame:
+                    scale: int = 1, as_written: bool = False) -> DataFrame:
     """District with the highest average service fee in a period, converted by ``rate``."""
     o = mart.order_table
-    o = o.where(period_filter(o, "create_date", start, end))
+    o = o.where(period_filter(o, "create_date", start, end, as_written=as_written))
     per_id = (o.groupBy("district_id")
                .agg(F.sum("service_fee_usd").alias("s"), F.count("service_fee_usd").alias("c")))
     per_name = (per_id.join(mart.dim("district_info"), "district_id")
@@ -269,11 +271,13 @@ def return_rate_leaders(mart: OrderMart, city: str = RETURN_CITY, year: int = RE
 # --------------------------------------------------------------------- RP10
 def cancel_rate_leaders(mart: OrderMart, city_ids=CANCEL_CITY_IDS, start=CANCEL_PERIOD[0],
                         end=CANCEL_PERIOD[1], cancel_status: str = CANCEL_STATUS, scale: int = 2,
-                        keep_zero: bool = True) -> DataFrame:
+                        keep_zero: bool = True, as_written: bool = False) -> DataFrame:
     """District with the highest cancel rate among orders of some cities in a period
-    (``keep_zero=False`` drops districts without a cancellation, D3)."""
+    (``keep_zero=False`` drops districts without a cancellation, D3; ``as_written``
+    ends the period at midnight of the end day, D5)."""
     o = mart.order_table
-    o = o.where(F.col("city_id").isin([int(x) for x in city_ids]) & period_filter(o, "create_date", start, end))
+    o = o.where(F.col("city_id").isin([int(x) for x in city_ids])
+                & period_filter(o, "create_date", start, end, as_written=as_written))
     per_id = (o.groupBy("district_id")
                .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("order_status") == cancel_status).alias("c")))
     per_name = (per_id.join(mart.dim("district_info"), "district_id", "left")

@@ -234,3 +234,9 @@ def test_as_written_options(spark):
     written = sorted(r["day_of_week"] for r in rp.busiest_weekdays(days, as_written=True).collect())
     # 2024-01-07 is a Sunday (1): 3 orders; four weekdays tie at the minimum (1), dense ranks stop at 3
     assert ours == [1, 4, 5, 6, 7] and written == [1]
+
+
+def test_between_as_written_drops_last_day_after_midnight(spark):
+    m = _mini_mart(spark)
+    assert rp.filtered_orders(m, "D1", "delivered", "E-Wallet", "2022-05-01", "2022-05-31",
+                              as_written=True).count() == 0
