@@ -101,12 +101,16 @@ def cancellation_leaderboard(bookings: DataFrame, segment_ids: DataFrame | None
                              test_fraction: float = 0.3, seed: int = 42, knn_k: int = 5,
                              forest_trees: int = 100, forest_depth: int = 12,
                              encoded: tuple[DataFrame, list[str]] | None = None,
-                             cols: BookingColumns = DERIVED_COLUMNS) -> DataFrame:
+                             cols: BookingColumns = DERIVED_COLUMNS, scale_features: bool = False) -> DataFrame:
     """Fit logistic regression, Gaussian naive Bayes, KNN and a random forest on
     the same hold-out split and return their scores, best accuracy first.
 
-    ``encoded`` reuses an already encoded frame (e.g. from the segmentation)."""
+    ``encoded`` reuses an already encoded frame (e.g. from the segmentation).
+    Features are unscaled by default, as in the source analysis (D21);
+    ``scale_features=True`` standardises them (population std) first."""
     enc, feats = encoded if encoded is not None else encode_bookings(bookings, cols=cols)
+    if scale_features:
+        enc = features.standardise(enc, feats)
     if segment_ids is not None:
         enc = enc.join(segment_ids.select(KEY, F.col("Segment").cast("double").alias("Segment")), KEY)
         feats = feats + ["Segment"]

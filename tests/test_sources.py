@@ -71,6 +71,9 @@ def test_bookings_csv_pipeline(spark):
     assert [r["model"] for r in board][0] is not None and len(board) == 4
     # lead time separates the classes in this file: the forest must see it
     assert max(r["accuracy"] for r in board) > 0.9
+    scaled = bk.cancellation_leaderboard(b, forest_trees=5, forest_depth=4, cols=bk.CSV_COLUMNS,
+                                         scale_features=True).collect()
+    assert max(r["accuracy"] for r in scaled) > 0.9
 
 
 def test_claims_csv_report(spark):
