@@ -134,7 +134,7 @@ def share_leaders(mart: OrderMart, year: int = WALLET_MONTH[0], month: int = WAL
 
 # --------------------------------------------------------------------- RP4
 def keyword_monthly_sales(mart: OrderMart, keywords=MERCHANT_KEYWORDS, case_sensitive: bool = False,
-                          by: str = "month", normalize: bool = True) -> DataFrame:
+                          by: str = "month", normalize: bool = True, by_id: bool = False) -> DataFrame:
     """Orders and sales per month for merchants whose name contains a keyword.
 
     The fact is first reduced to (merchant id, month); only then are names
@@ -142,6 +142,7 @@ def keyword_monthly_sales(mart: OrderMart, keywords=MERCHANT_KEYWORDS, case_sens
     (names may repeat across ids, D19). ``by='year_month'`` keeps years apart (D18).
     Names and keywords are compared in Unicode NFC and, by default, ignoring
     case (D6); the normalisation runs on the merchant dimension only.
+    ``by_id=True`` keeps merchants that share a name apart (D19).
     """
     o = mart.order_table
     month = (F.month("create_date") if by == "month"
@@ -151,8 +152,9 @@ def keyword_monthly_sales(mart: OrderMart, keywords=MERCHANT_KEYWORDS, case_sens
                     F.sum("order_value_amount_usd").alias("total_sales")))
     merchants = (mart.dim("merchant_info")
                  .where(contains_text("merchant_name", list(keywords), case_sensitive, normalize)))
+    names = ["merchant_id", "merchant_name"] if by_id else ["merchant_name"]
     out = (per_id.join(merchants, "merchant_id")
-                 .groupBy("merchant_name", "month")
+                 .groupBy(*names, "month")
                  .agg(F.sum("total_volume").alias("total_volume"),
                       F.sum("total_sales").cast("double").alias("total_sales")))
     return out.orderBy(F.col("month"), F.col("total_sales").desc(), F.col("total_volume").desc())
@@ -177,19 +179,21 @@ def conditional_share(mart: OrderMart, districts=DISTANCE_DISTRICTS,
 
 # --------------------------------------------------------------------- RP6
 def top_average_fee(mart: OrderMart, start=FEE_PERIOD[0], end=FEE_PERIOD[1], rate: int = VND_PER_USD,
-                    scale: int = 1, as_written: bool = False) -> DataFrame:
-    """District with the highest average service fee in a period, converted by ``rate``."""
+                    scale: int = 1, as_written: bool = False, by_id: bool = False) -> DataFrame:
+    """District with the highest average service fee in a period, converted by ``rate``
+    (grouped by district name as asked; ``by_id=True`` by id and name, D19)."""
     o = mart.order_table
     o = o.where(period_filter(o, "create_date", start, end, as_written=as_written))
     per_id = (o.groupBy("district_id")
                .agg(F.sum("service_fee_usd").alias("s"), F.count("service_fee_usd").alias("c")))
+    names = ["district_id", "district_name"] if by_id else ["district_name"]
     per_name = (per_id.join(mart.dim("district_info"), "district_id")
-                      .groupBy("district_name")
+                      .groupBy(*names)
                       .agg(F.sum("s").alias("s"), F.sum("c").alias("c")))
     avg = F.try_divide(F.col("s"), F.col("c").cast("decimal(20,0)"))
     ranked = per_name.withColumn("_avg", avg)
     best = top_ties(ranked, "_avg", descending=True)
-    return best.select("district_name",
+    return best.select(*names,
                        F.round(F.col("_avg") * F.lit(rate), scale).cast("double").alias("avg_service_fee_vnd"))
 
 
@@ -218,18 +222,20 @@ def busiest_hours(orders: DataFrame, time_col: str = "create_time", as_written:
 
 
 # --------------------------------------------------------------------- RP8
-def top_merchant_by_segment(mart: OrderMart, cities=SEGMENT_CITIES) -> DataFrame:
-    """Highest-GMV merchant per (city, merchant segment), ties kept."""
+def top_merchant_by_segment(mart: OrderMart, cities=SEGMENT_CITIES, by_id: bool = False) -> DataFrame:
+    """Highest-GMV merchant per (city, merchant segment), ties kept
+    (merchants grouped by name as asked; ``by_id=True`` by id and name, D19)."""
     c = mart.dim("city_info").where(F.col("city_name").isin(list(cities)))
     o = mart.order_table.join(c, "city_id")
     per_id = o.groupBy("city_name", "merchant_id").agg(F.sum("gmv_usd").alias("gmv"))
     named = (per_id.join(mart.dim("merchant_segment"), "merchant_id")
                    .join(mart.dim("merchant_info"), "merchant_id")
                    .where(F.col("merchant_segment").isNotNull())
-                   .groupBy("city_name", "merchant_segment", "merchant_name")
+                   .groupBy("city_name", "merchant_segment", *(["merchant_id"] if by_id else []), "merchant_name")
                    .agg(F.sum("gmv").alias("gmv")))
     best = top_ties(named, "gmv", descending=True, partition_by=["city_name", "merchant_segment"])
-    return best.select("city_name", "merchant_segment", "merchant_name", F.col("gmv").cast("double").alias("gmv"))
+    return best.select("city_name", "merchant_segment", *(["merchant_id"] if by_id else []), "merchant_name",
+                       F.col("gmv").cast("double").alias("gmv"))
 
 
 # --------------------------------------------------------------------- RP9
@@ -271,7 +277,7 @@ def return_rate_leaders(mart: OrderMart, city: str = RETURN_CITY, year: int = RE
 # --------------------------------------------------------------------- RP10
 def cancel_rate_leaders(mart: OrderMart, city_ids=CANCEL_CITY_IDS, start=CANCEL_PERIOD[0],
                         end=CANCEL_PERIOD[1], cancel_status: str = CANCEL_STATUS, scale: int = 2,
-                        keep_zero: bool = True, as_written: bool = False) -> DataFrame:
+                        keep_zero: bool = True, as_written: bool = False, by_id: bool = False) -> DataFrame:
     """District with the highest cancel rate among orders of some cities in a period
     (``keep_zero=False`` drops districts without a cancellation, D3; ``as_written``
     ends the period at midnight of the end day, D5)."""
@@ -280,15 +286,16 @@ def cancel_rate_leaders(mart: OrderMart, city_ids=CANCEL_CITY_IDS, start=CANCEL_
                 & period_filter(o, "create_date", start, end, as_written=as_written))
     per_id = (o.groupBy("district_id")
                .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("order_status") == cancel_status).alias("c")))
+    names = ["district_id", "district_name"] if by_id else ["district_name"]
     per_name = (per_id.join(mart.dim("district_info"), "district_id", "left")
                       .where(F.col("district_name").isNotNull())
-                      .groupBy("district_name").agg(F.sum("n").alias("n"), F.sum("c").alias("c")))
+                      .groupBy(*names).agg(F.sum("n").alias("n"), F.sum("c").alias("c")))
     if not keep_zero:
         per_name = per_name.where(F.col("c") > 0)
     ranked = per_name.withColumn("_rate", F.try_divide(F.col("c").cast("decimal(20,0)"),
                                                        F.col("n").cast("decimal(20,0)")))
     best = top_ties(ranked, "_rate", descending=True)
-    return best.select("district_name", pct_rounded(F.col("c"), F.col("n"), scale).alias("cancel_rate"))
+    return best.select(*names, pct_rounded(F.col("c"), F.col("n"), scale).alias("cancel_rate"))
 
 
 # --------------------------------------------------------------------- RP11

@@ -240,3 +240,15 @@ def test_between_as_written_drops_last_day_after_midnight(spark):
     m = _mini_mart(spark)
     assert rp.filtered_orders(m, "D1", "delivered", "E-Wallet", "2022-05-01", "2022-05-31",
                               as_written=True).count() == 0
+
+
+def test_by_id_keeps_equal_names_apart(spark):
+    m = _mini_mart(spark)
+    dup = spark.createDataFrame([(1, "Same", 1), (2, "Same", 1), (3, "D3", 2)],
+                                "district_id long, district_name string, city_id long")
+    m2 = OrderMart(m.order_table, dup, m.city_info, m.merchant_info, m.merchant_segment)
+    got = collect_rows(rp.cancel_rate_leaders(m2, city_ids=(1, 2), start="2022-05-01", end="2022-05-31",
+                                              by_id=True))
+    assert got == [{"district_id": 3, "district_name": "D3", "cancel_rate": 100.0}]
+    rows = rp.keyword_monthly_sales(m, keywords=("x", "y"), by_id=True).collect()
+    assert {r["merchant_id"] for r in rows} == {100, 101}
