@@ -240,13 +240,15 @@ def top_merchant_by_segment(mart: OrderMart, cities=SEGMENT_CITIES, by_id: bool
 
 # --------------------------------------------------------------------- RP9
 def one_time_buyer_rate(mart: OrderMart, city: str = RETURN_CITY, year: int = RETURN_MONTH[0],
-                        month: int = RETURN_MONTH[1], scale: int = 2, keep_zero: bool = True) -> DataFrame:
+                        month: int = RETURN_MONTH[1], scale: int = 2, keep_zero: bool = True,
+                        by_id: bool = False) -> DataFrame:
     """Per merchant name: buyers, buyers with exactly one order, and their percent.
 
     Two reductions: (merchant, user) order counts, then per merchant
     ``count_if(n = 1)`` and ``count(*)`` in one pass; merchants whose buyers all
     returned keep a 0 % row (D3; ``keep_zero=False`` drops them, as the inner
     join of the source question does). NULL users are not buyers (D20).
+    Merchants are grouped by name as asked; ``by_id=True`` by id and name (D19).
     """
     start, stop = month_range(year, month)
     c = mart.dim("city_info").where(F.col("city_name") == city).select("city_id")
@@ -255,23 +257,26 @@ def one_time_buyer_rate(mart: OrderMart, city: str = RETURN_CITY, year: int = RE
                  & F.col("user_id").isNotNull())
           .join(c, "city_id"))
     per_id = o.groupBy("merchant_id", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    names = ["merchant_id", "merchant_name"] if by_id else ["merchant_name"]
     per_name = (per_id.join(mart.dim("merchant_info"), "merchant_id")
-                      .groupBy("merchant_name", "user_id").agg(F.sum("n").alias("n")))
-    g = (per_name.groupBy("merchant_name")
+                      .groupBy(*names, "user_id").agg(F.sum("n").alias("n")))
+    g = (per_name.groupBy(*names)
                  .agg(F.count(F.lit(1)).alias("buyers"), F.count_if(F.col("n") == 1).alias("one_time_buyers")))
     if not keep_zero:
         g = g.where(F.col("one_time_buyers") > 0)
-    return g.select("merchant_name", "buyers", "one_time_buyers",
+    return g.select(*names, "buyers", "one_time_buyers",
                     pct_rounded(F.col("one_time_buyers"), F.col("buyers"), scale).alias("one_time_pct"),
                     F.try_divide(F.col("one_time_buyers").cast("decimal(20,0)"),
                                  F.col("buyers").cast("decimal(20,0)")).alias("_share"))
 
 
 def return_rate_leaders(mart: OrderMart, city: str = RETURN_CITY, year: int = RETURN_MONTH[0],
-                        month: int = RETURN_MONTH[1], scale: int = 2, keep_zero: bool = True) -> DataFrame:
+                        month: int = RETURN_MONTH[1], scale: int = 2, keep_zero: bool = True,
+                        by_id: bool = False) -> DataFrame:
     """Merchant(s) with the lowest share of one-time buyers (highest return rate)."""
-    g = one_time_buyer_rate(mart, city, year, month, scale, keep_zero)
-    return top_ties(g, "_share", descending=False).select("merchant_name", "one_time_pct")
+    g = one_time_buyer_rate(mart, city, year, month, scale, keep_zero, by_id)
+    names = ["merchant_id", "merchant_name"] if by_id else ["merchant_name"]
+    return top_ties(g, "_share", descending=False).select(*names, "one_time_pct")
 
 
 # --------------------------------------------------------------------- RP10
