@@ -86,6 +86,16 @@ def q_busiest_weekdays(spark, base):
     return rp.busiest_weekdays(order_facts(_t(spark, base)), "create_date")
 
 
+@register("busiest_weekdays_as_written")
+def q_busiest_weekdays_as_written(spark, base):
+    return rp.busiest_weekdays(order_facts(_t(spark, base)), "create_date", as_written=True)
+
+
+@register("busiest_hours_as_written")
+def q_busiest_hours_as_written(spark, base):
+    return rp.busiest_hours(events_as_orders(_t(spark, base)), "create_time", as_written=True)
+
+
 @register("busiest_hours")
 def q_busiest_hours(spark, base):
     return rp.busiest_hours(events_as_orders(_t(spark, base)), "create_time")
