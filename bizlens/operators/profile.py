@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from bizlens.functions.ratios import round_decimal
-from bizlens.operators.quantiles import exact_quantiles
+from bizlens.operators.quantiles import approx_quantiles, exact_quantiles
 
 
 def _cols(df: DataFrame, columns) -> list[str]:
@@ -54,11 +54,13 @@ def category_counts(df: DataFrame, columns, count_col: str = "n") -> DataFrame:
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias(count_col))
 
 
-def describe(df: DataFrame, columns=None, digits: int | None = 6, buckets: int | None = None) -> DataFrame:
+def describe(df: DataFrame, columns=None, digits: int | None = 6, buckets: int | None = None,
+             method: str = "exact") -> DataFrame:
     """PR2: count, mean, std (sample), min, quartiles, max per numeric column, long form.
 
     Moments come from one aggregation; quartiles from the exact distributed
-    quantile operator (linear interpolation, as pandas ``describe``).
+    quantile operator (linear interpolation, as pandas ``describe``), or with
+    ``method='approx'`` from one ``percentile_approx`` pass.
     """
     cols = _cols(df, columns) if columns is not None else numeric_columns(df)
     long = df.select(F.explode(F.array(*[
@@ -67,9 +69,12 @@ def describe(df: DataFrame, columns=None, digits: int | None = 6, buckets: int |
     moments = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    kw = {"buckets": buckets} if buckets else {}
-    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by="column",
-                         names=["q25", "q50", "q75"], **kw).drop("n")
+    if method == "approx":
+        qs = approx_quantiles(long, "value", [0.25, 0.5, 0.75], by="column", names=["q25", "q50", "q75"]).drop("n")
+    else:
+        kw = {"buckets": buckets} if buckets else {}
+        qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by="column",
+                             names=["q25", "q50", "q75"], **kw).drop("n")
     out = moments.join(qs, "column", "left")
     if digits is not None:
         for c in ("mean", "std", "q25", "q50", "q75"):

@@ -121,3 +121,18 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=None, buckets: int = DE
     wide = per_p.groupBy(*keys, "_n").pivot("_i", list(range(len(probs)))).agg(F.first("_q"))
     return wide.select(*user_keys, F.col("_n").alias("n"),
                        *[F.col(str(i)).alias(nm) for i, nm in enumerate(names)])
+
+
+def approx_quantiles(df: DataFrame, value: str, probs, by=None, accuracy: int = 10_000,
+                     names: list[str] | None = None) -> DataFrame:
+    """One-pass quantiles from ``percentile_approx``: a mergeable per-task sketch
+    (relative rank error about ``1 / accuracy``), for when one scan must do.
+    Returns the same shape as :func:`exact_quantiles`; values are sample points
+    (no interpolation)."""
+    keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
+    probs = [float(p) for p in probs]
+    names = names or [_pname(p) for p in probs]
+    x = F.col(value).cast("double")
+    q = F.percentile_approx(x, probs, accuracy)
+    out = df.where(x.isNotNull()).groupBy(*keys).agg(F.count(x).alias("n"), q.alias("_q"))
+    return out.select(*keys, "n", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])

@@ -188,3 +188,15 @@ def test_knn_exact_on_rotated_correlated_data(spark):
             q = np.array(v)
             want = [x[0] for x in sorted(tr, key=lambda x: (float(((x[1] - q) ** 2).sum()), x[0]))[:3]]
             assert [n for _, n in sorted(got[i])] == want
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    from bizlens.operators.quantiles import approx_quantiles
+    df = spark.range(5000).selectExpr("id % 3 as g", "cast((id * 7919) % 10007 as double) as x")
+    ex = {r["g"]: r for r in exact_quantiles(df, "x", [0.25, 0.5, 0.75], by="g").collect()}
+    ap = {r["g"]: r for r in approx_quantiles(df, "x", [0.25, 0.5, 0.75], by="g").collect()}
+    for g in ex:
+        assert ex[g]["n"] == ap[g]["n"]
+        for c in ("q25", "q5", "q75"):
+            assert abs(ex[g][c] - ap[g][c]) <= 10007 * 0.002
+    assert distributions.box_stats(df, "x", "g", method="approx").count() == 3
