@@ -163,6 +163,17 @@ def events_as_orders(t) -> DataFrame:
                               F.col("ts").alias("create_time"))
 
 
+def _customer_region(t) -> DataFrame:
+    """Customer key with its segment and region name. Nation (25 rows) and
+    region (5 rows) have a fixed size at every scale: broadcast them."""
+    return (t["customer"].select("c_custkey", "c_nationkey", "c_mktsegment")
+            .join(F.broadcast(t["nation"].select("n_nationkey", "n_regionkey")),
+                  F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(F.broadcast(t["region"].select("r_regionkey", "r_name")),
+                  F.col("n_regionkey") == F.col("r_regionkey"))
+            .select("c_custkey", "c_mktsegment", "r_name"))
+
+
 # The five raw spellings of the claim cause in the claims data.
 CAUSE_SPELLINGS = [" Meat", "VEGETABLES", "meat", "unknown", "vegetable"]
 
@@ -179,12 +190,7 @@ def claims_frame(t) -> DataFrame:
     o, li = t["orders"], t["lineitem"]
     lines = li.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("_last_ship"),
                                          F.count(F.lit(1)).alias("_lines"))
-    geo = (t["customer"].select("c_custkey", "c_nationkey")
-           .join(F.broadcast(t["nation"].select("n_nationkey", "n_regionkey")),
-                 F.col("c_nationkey") == F.col("n_nationkey"))
-           .join(F.broadcast(t["region"].select("r_regionkey", "r_name")),
-                 F.col("n_regionkey") == F.col("r_regionkey"))
-           .select("c_custkey", "r_name"))
+    geo = _customer_region(t).select("c_custkey", "r_name")
     key = F.col("o_orderkey")
     spellings = F.array(*[F.lit(s) for s in CAUSE_SPELLINGS])
     return (o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
@@ -214,12 +220,7 @@ def bookings_frame(t) -> DataFrame:
     lines = li.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("_last_ship"),
                                          F.count(F.lit(1)).alias("_lines"),
                                          F.sum("l_quantity").alias("_qty"))
-    geo = (t["customer"].select("c_custkey", "c_nationkey", "c_mktsegment")
-           .join(F.broadcast(t["nation"].select("n_nationkey", "n_regionkey")),
-                 F.col("c_nationkey") == F.col("n_nationkey"))
-           .join(F.broadcast(t["region"].select("r_regionkey", "r_name")),
-                 F.col("n_regionkey") == F.col("r_regionkey"))
-           .select("c_custkey", "c_mktsegment", "r_name"))
+    geo = _customer_region(t).select("c_custkey", "c_mktsegment", "r_name")
     return (o.join(lines, o.o_orderkey == lines.l_orderkey)
              .join(geo, o.o_custkey == geo.c_custkey)
              .select(
