@@ -11,10 +11,24 @@ ORACLES = E.oracle_sql()
 QUERIES = E.queries()
 
 
+_FAMILY = {"bigint": "int64", "int": "int32", "integer": "int32", "double": "double", "string": "string",
+           "varchar": "string", "boolean": "bool"}
+
+
+def _family(t: str) -> str:
+    t = t.lower()
+    return "decimal" if t.startswith("decimal") else _FAMILY.get(t, t)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_duckdb(spark, duck, name):
-    sp = QUERIES[name](spark, SF_SMALL).toPandas()
-    dp = duck.sql(ORACLES[name]).df()
+    sdf = QUERIES[name](spark, SF_SMALL)
+    rel = duck.sql(ORACLES[name])
+    spark_types = {c: _family(t) for c, t in sdf.dtypes}
+    duck_types = {c: _family(str(t)) for c, t in zip(rel.columns, rel.types)}
+    assert spark_types == duck_types
+    sp = sdf.toPandas()
+    dp = rel.df()
     sc, sr = rows_of(sp)
     dc, dr = rows_of(dp)
     assert sc == dc
