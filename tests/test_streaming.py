@@ -22,3 +22,18 @@ def test_stream_matches_batch(spark):
     got = spark.table("global_temp.busiest_hours_stream").toPandas()
     want = rp.busiest_hours(events.withColumnRenamed("ts", "create_time")).toPandas()
     assert rows_of(got) == rows_of(want)
+
+
+def test_weekday_stream_matches_batch(spark):
+    from bizlens.streaming import weekday_counts
+    orders = load_table(spark, SF_SMALL, "orders")
+    stream = (spark.readStream.schema(orders.schema).option("pathGlobFilter", "orders.parquet")
+              .parquet(SF_SMALL).withColumnRenamed("o_orderdate", "create_date"))
+    ck = tempfile.mkdtemp(prefix="bizlens-stream-")
+    q = start_report_stream(weekday_counts(stream), "busiest_weekdays_test", sink_table="busiest_weekdays_stream",
+                            checkpoint=ck)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    got = spark.table("global_temp.busiest_weekdays_stream").toPandas()
+    want = rp.busiest_weekdays(orders.withColumnRenamed("o_orderdate", "create_date")).toPandas()
+    assert rows_of(got) == rows_of(want)
