@@ -2,9 +2,10 @@
 
 Pipeline (as in the source analysis): date parts dropped, count-like columns
 treated as categories and one-hot encoded, everything standardised (population
-std), PCA to 4 then 2 components, a k sweep for the elbow, 4 hierarchical
-segments, per-segment profiles; then 4 classifiers on the *unscaled* encoded
-features plus the segment id (D21), scored on a 30 % hash hold-out.
+std), PCA with 4 components (explained variance; the first two are the 2-D
+projection), a k sweep for the elbow, 4 hierarchical segments, per-segment
+profiles; then 4 classifiers on the *unscaled* encoded features plus the
+segment id (D21), fitted concurrently and scored on a 30 % hash hold-out.
 """
 
 from __future__ import annotations
