@@ -1,4 +1,5 @@
-"""Profiling (PR1-PR7, AG3). Each profile is one aggregation job over the input."""
+"""Profiling (PR1-PR7, AG3). Each profile is one aggregation job over the input,
+except ``describe``, whose quartiles add the passes of the exact quantile operator."""
 
 from __future__ import annotations
 
