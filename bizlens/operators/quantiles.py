@@ -56,8 +56,12 @@ def _locate(wanted: DataFrame, counts: DataFrame, keys: list[str], cell: str) ->
 
 def exact_quantiles(df: DataFrame, value: str, probs, by=None, buckets: int = DEFAULT_BUCKETS,
                     names: list[str] | None = None, fine_cells: int = FINE_CELLS,
-                    max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
-    """One row per group (or one row): keys, ``n`` and one column per probability."""
+                    max_bucket_rows: int = MAX_BUCKET_ROWS, stats: DataFrame | None = None) -> DataFrame:
+    """One row per group (or one row): keys, ``n`` and one column per probability.
+
+    ``stats`` may supply the per-group non-null count, min and max already
+    computed by the caller (columns: keys, ``_n``, ``_lo``, ``_hi``), saving a pass.
+    """
     user_keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
     # a constant key keeps the ungrouped case an equi-join on one-row tables
     keys = user_keys or ["_g"]
@@ -68,8 +72,12 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=None, buckets: int = DE
 
     # small intermediate tables (one row per group / per wanted rank) are
     # checkpointed, so later passes read them instead of re-scanning the input
-    stats = reliable(x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
-                                          F.max("_x").alias("_hi")))
+    if stats is None or not user_keys:
+        stats = reliable(x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
+                                              F.max("_x").alias("_hi")))
+    else:
+        stats = stats.select(*keys, "_n", F.col("_lo").cast("double"), F.col("_hi").cast("double")) \
+                     .where(F.col("_n") > 0)
     total = buckets * fine_cells
     width = F.col("_hi") - F.col("_lo")
     fine = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width * F.lit(float(total))),
