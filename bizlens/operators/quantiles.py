@@ -76,8 +76,8 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=None, buckets: int = DE
         stats = reliable(x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
                                               F.max("_x").alias("_hi")))
     else:
-        stats = stats.select(*keys, "_n", F.col("_lo").cast("double"), F.col("_hi").cast("double")) \
-                     .where(F.col("_n") > 0)
+        stats = stats.select(*keys, "_n", F.col("_lo").cast("double").alias("_lo"),
+                             F.col("_hi").cast("double").alias("_hi")).where(F.col("_n") > 0)
     total = buckets * fine_cells
     width = F.col("_hi") - F.col("_lo")
     fine = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width * F.lit(float(total))),
