@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bizlens.sources.tables import load_table
 
-from . import bpe
+from . import bpe, jaccard_join
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_query(spark, load_table(spark, sf_dir, "documents"), bpe.ranks_path())
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(load_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
 }
