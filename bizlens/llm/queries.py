@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bizlens.sources.tables import load_table
 
-from . import bpe, jaccard_join, sharding
+from . import bpe, jaccard_join, langid, sharding
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +23,13 @@ def op5_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards_query(load_table(spark, sf_dir, "documents"))
 
 
+def op9_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(load_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op5_splitter_shards": op5_splitter_shards,
+    "op9_byte_gru_language": op9_byte_gru_language,
 }
