@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_PIECES = 700_000
+CACHE_PIECES = 400_000  # in each of two generations
 #: Pieces longer than this are merged each time, so that the cache is bounded in bytes.
 CACHE_BYTES_EACH = 64
 BLOCK = 128
@@ -216,11 +216,14 @@ class Encoder:
         for token, i in ranks.items():
             self.sizes[i] = len(token)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, piece: str) -> bytes:
-        ids = array("i", merge(piece.encode("utf-8"), self.ranks)).tobytes()
+        """Ids of a piece that the young generation of the cache lacks."""
+        ids = self.older.get(piece) or array("i", merge(piece.encode("utf-8"), self.ranks)).tobytes()
         if len(piece) <= CACHE_BYTES_EACH:
             if len(self.cache) >= CACHE_PIECES:
+                self.older = self.cache.copy()
                 self.cache.clear()
             self.cache[piece] = ids
         return ids
@@ -313,14 +316,19 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
-        vocabulary = {i: t for t, i in ranks.items()}
+        vocabulary = np.empty(max(ranks.values(), default=0) + 1, object)
+        for token, i in ranks.items():
+            vocabulary[i] = token
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            for a in range(0, batch.num_rows, 256):
-                rows = column[a:a + 256]
-                out = [None if r is None else b"".join(map(vocabulary.__getitem__, r)) for r in rows.to_pylist()]
+            for a in range(0, batch.num_rows, 64):
+                rows = column[a:a + 64]
+                ends = np.concatenate(([0], np.cumsum(rows.value_lengths().fill_null(0).to_numpy())))
+                tokens = vocabulary[rows.flatten().to_numpy()].tolist()
+                out = [b"".join(tokens[b:e]) if known else None for b, e, known in
+                       zip(ends.tolist(), ends[1:].tolist(), rows.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(i)[a:a + 256] for i in range(len(rest))] + [pa.array(out, pa.binary())],
+                    [batch.column(i)[a:a + 64] for i in range(len(rest))] + [pa.array(out, pa.binary())],
                     [*(batch.schema.names[:len(rest)]), "decoded"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), "decoded binary"])
