@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bizlens.sources.tables import load_table
 
-from . import bpe, jaccard_join, langid, quality, sharding
+from . import bpe, jaccard_join, langid, quality, sharding, vector_dedup
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +31,15 @@ def op8_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
 
 
+def op7_product_quantised_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(load_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op5_splitter_shards": op5_splitter_shards,
+    "op7_product_quantised_dedup": op7_product_quantised_dedup,
     "op8_co_trained_quality": op8_co_trained_quality,
     "op9_byte_gru_language": op9_byte_gru_language,
 }
