@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bizlens.sources.tables import load_table
 
-from . import bpe, jaccard_join, langid, quality, sharding, vector_dedup
+from . import bpe, jaccard_join, langid, pii, quality, sharding, vector_dedup
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +36,15 @@ def op7_product_quantised_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(load_table(spark, sf_dir, "embeddings"))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.replace(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"), "text", "entities")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op5_splitter_shards": op5_splitter_shards,
     "op7_product_quantised_dedup": op7_product_quantised_dedup,
     "op8_co_trained_quality": op8_co_trained_quality,
