@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bizlens.sources.tables import load_table
 
-from . import bpe, jaccard_join, langid, pii, quality, sharding, vector_dedup
+from . import bpe, chunk_dedup, jaccard_join, langid, pii, quality, sharding, vector_dedup
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"), "text", "entities")
 
 
+def op10_chunked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeated_passages(load_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -49,4 +53,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_product_quantised_dedup": op7_product_quantised_dedup,
     "op8_co_trained_quality": op8_co_trained_quality,
     "op9_byte_gru_language": op9_byte_gru_language,
+    "op10_chunked_passages": op10_chunked_passages,
 }
