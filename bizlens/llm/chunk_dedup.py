@@ -30,11 +30,11 @@ MIN_WORDS = 50
 _GEAR = T.mix64(np.arange(1, 257, dtype=np.uint64)).astype(np.uint16)
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the chunks of all texts; a chunk never spans two texts."""
+def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, starts before long chunks were cut) of all texts; a chunk never spans two texts."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     gear = _GEAR[data]
     h = gear.copy()
     for j in range(1, min(REACH, n)):
@@ -46,38 +46,40 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     cut[offsets[1:][offsets[1:] > 0] - 1] = True  # a text's last byte ends a chunk
     ends = np.flatnonzero(cut) + 1
     starts = np.concatenate(([0], ends[:-1]))
-    parts = -(-(ends - starts) // MOST)
+    parts, whole = -(-(ends - starts) // MOST), starts
     if parts.max() > 1:
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts = np.repeat(starts, parts) + nth * MOST
+        whole = np.repeat(starts, parts)
+        starts = whole + nth * MOST
         ends = np.minimum(np.repeat(ends, parts), starts + MOST)
-    return starts, ends
+    return starts, ends, whole
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text of each anchor, starts, ends, digests)."""
-    starts, ends = chunks(data, offsets)
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text of each anchor, starts, ends, uncut starts, digests)."""
+    starts, ends, whole = chunks(data, offsets)
     long = ends - starts >= LEAST
-    starts, ends = starts[long], ends[long]
-    return np.searchsorted(offsets, starts, "right") - 1, starts, ends, T.span_hashes(data, starts, ends)
+    starts, ends, whole = starts[long], ends[long], whole[long]
+    return np.searchsorted(offsets, starts, "right") - 1, starts, ends, whole, T.span_hashes(data, starts, ends)
 
 
 def anchor_table(docs: DataFrame) -> DataFrame:
     """(doc_id, nth, digest, since, until): ``since`` to ``until`` are the words from the anchor
     before to the anchor behind (or the ends of the text): a common passage with this anchor
-    and none of its neighbours has fewer words."""
+    and none of its neighbours lies between them. Boundaries in the first ``REACH`` bytes of a
+    passage depend on what stands before it, so ``since`` goes back as far."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, _, data, offsets in T.slices(batch.column(1)):
-                own, starts, ends, digest = anchors(data, offsets)
+                own, starts, ends, whole, digest = anchors(data, offsets)
                 if not len(own):
                     continue
                 word, _, counts = T.word_spans(data, offsets)
                 first = np.concatenate(([True], own[1:] != own[:-1]))
                 last = np.concatenate((own[1:] != own[:-1], [True]))
                 base = counts[own]
-                since = np.searchsorted(word, starts) - base
+                since = np.maximum(np.searchsorted(word, whole - REACH) - base, 0)
                 until = np.searchsorted(word, ends) - base
                 since = np.where(first, 0, np.concatenate(([0], since[:-1])))
                 until = np.where(last, counts[own + 1] - base, np.concatenate((until[1:], [0])))
@@ -109,8 +111,8 @@ def _candidates(docs: DataFrame, least: int) -> DataFrame:
 def common_passages(x: bytes, y: bytes, least: int = MIN_WORDS) -> list[tuple[int, int, int]]:
     """(start, end, words) in ``x`` of the passages of whole words that it shares with ``y``, by common anchors."""
     a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    _, xs, _, xd = anchors(a, np.array([0, len(a)]))
-    _, ys, _, yd = anchors(b, np.array([0, len(b)]))
+    _, xs, _, _, xd = anchors(a, np.array([0, len(a)]))
+    _, ys, _, _, yd = anchors(b, np.array([0, len(b)]))
     at: dict[int, list[int]] = {}
     wanted = set(xd.tolist())
     for d, s in zip(yd.tolist(), ys.tolist()):
