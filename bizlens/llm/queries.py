@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bizlens.sources.tables import load_table
 
-from . import bpe, chunk_dedup, jaccard_join, langid, pii, quality, sharding, vector_dedup
+from . import bpe, chunk_dedup, decontaminate, jaccard_join, langid, pii, quality, sharding, vector_dedup
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,11 +45,16 @@ def op10_chunked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.repeated_passages(load_table(spark, sf_dir, "documents"))
 
 
+def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_pii_surrogates": op3_pii_surrogates,
     "op5_splitter_shards": op5_splitter_shards,
+    "op6_latent_decontamination": op6_latent_decontamination,
     "op7_product_quantised_dedup": op7_product_quantised_dedup,
     "op8_co_trained_quality": op8_co_trained_quality,
     "op9_byte_gru_language": op9_byte_gru_language,

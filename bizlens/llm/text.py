@@ -18,6 +18,9 @@ SLICE_BYTES = 2 << 20
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
+#: Every ASCII byte but letters and digits separates plain words.
+NOT_PLAIN = np.ones(256, bool)
+NOT_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -77,12 +80,13 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray,
+               separators: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words before each text) of the maximal runs of non-separators inside each text."""
     n = len(data)
     inside = np.empty(n + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(_IS_SPACE[data], out=inside[1:-1])
+    np.logical_not(separators[data], out=inside[1:-1])
     starts_flag = inside[1:-1] & ~inside[:-2]
     ends_flag = inside[1:-1] & ~inside[2:]
     cut = offsets[1:-1]
