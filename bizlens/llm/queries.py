@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bizlens.sources.tables import load_table
 
-from . import bpe, chunk_dedup, decontaminate, jaccard_join, langid, pii, quality, sharding, vector_dedup
+from . import bpe, chunk_dedup, decontaminate, jaccard_join, langid, licenses, pii, quality, sharding, vector_dedup
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,10 +49,15 @@ def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
 
 
+def op4_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.notices(load_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_pii_surrogates": op3_pii_surrogates,
+    "op4_license_notices": op4_license_notices,
     "op5_splitter_shards": op5_splitter_shards,
     "op6_latent_decontamination": op6_latent_decontamination,
     "op7_product_quantised_dedup": op7_product_quantised_dedup,
