@@ -9,8 +9,8 @@
 4. Nodes meet on prefix shingles. In each shingle's bucket a pivot is compared with the
    others (a star, not all pairs); nodes that the links so far do not connect are then
    compared across components, bucket by bucket, until no candidate pair is left out.
-   Length and positional filters act before a pair is made once, suffix filter and exact
-   overlap when it is verified.
+   Length, positional and lone-shingle filters act where two nodes meet; a pair is made once
+   and verified by suffix filter and exact overlap.
 
 Links inside a component that add no connection are not listed; no link between different
 components is lost, so the components are those of the full join.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -103,7 +103,8 @@ def _survivors(docs: DataFrame, members: DataFrame, k: int, percent: int) -> Dat
 
 
 def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
-    """(h, node, n, pos) of prefix shingles that two nodes or more hold, in rare-first order."""
+    """(h, node, n, pos, alone) of prefix shingles that two nodes or more hold, in rare-first order;
+    ``alone`` counts the shingles that only this node holds, which come first."""
     entries = sets.select("node", F.explode("hashes").alias("h"))
     df = entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     common = (entries.join(df, "h").groupBy("node")
@@ -112,18 +113,67 @@ def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
     cut = (n - F.ceil(n * percent / F.lit(100)) + 1 - alone).cast("int")
     return (common.join(sets.select("node", "n"), "node").where(cut > 0)
             .select("node", "n", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), cut)))
-            .select(F.col("col.h").alias("h"), "node", "n", (F.col("alone") + F.col("pos")).alias("pos")))
+            .select(F.col("col.h").alias("h"), "node", "n", (F.col("alone") + F.col("pos")).alias("pos"), "alone"))
 
 
-def _candidates(met: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) of rows (a, na, pa, b, nb, pb) that meet on a shingle and pass length and position."""
-    total = F.col("na") + F.col("nb")
-    least = F.ceil(total * percent / F.lit(100 + percent))
-    return (met.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-            .groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"),
-                                   F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-            .where(1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= least)
-            .select("a", "b"))
+def _may_link(percent: int) -> Column:
+    """Length, prefix, positional and lone-shingle filters on two entries x and y of one shingle.
+
+    Only the shorter set's index prefix can hold the first common shingle. The overlap is at
+    most what follows the shingle in either set, and at most what a set shares with anyone;
+    the union holds the overlap and the lone shingles of both.
+    """
+    nx, ny, px, py, sx, sy = (F.col(c) for c in ("x.n", "y.n", "x.pos", "y.pos", "x.alone", "y.alone"))
+    least = F.ceil((nx + ny) * percent / F.lit(100 + percent))
+    x_first = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
+    short, at = F.when(x_first, nx).otherwise(ny), F.when(x_first, px).otherwise(py)
+    return ((F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent)
+            & (at <= short - F.ceil(short * 2 * percent / F.lit(100 + percent)))
+            & (F.least(nx - px, ny - py) >= least)
+            & ((100 - percent) * F.least(nx - sx, ny - sy) >= percent * (sx + sy)))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Each pair once, smaller node first."""
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _star(labelled: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of each bucket's pivot with the members that no link connects with it yet."""
+    # first the most central member, with the fewest rare shingles before the bucket's; then any
+    rank = F.col("pos") / F.col("n") if not turn else F.xxhash64("node", F.lit(turn))
+    whole = F.struct("node", "n", "pos", "alone", "root")
+    pivots = (labelled.groupBy("h").agg(F.min_by(whole, F.struct(rank.alias("rank"), F.col("node"))).alias("p"),
+                                        F.min("root").alias("low"), F.max("root").alias("high"))
+              .where("low <> high").select("h", "p.*"))
+    x, y = labelled.alias("x"), pivots.alias("y")
+    return _pairs(x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & _may_link(percent)))
+
+
+def _across(labelled: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs between different components of a bucket.
+
+    Components of a bucket are held against each other by their best figures first, so two
+    members of one component never meet, and only components that may link are opened: the
+    smaller one first, then the larger one under the filters of single pairs.
+    """
+    q = 100 + percent
+    shared = (100 - percent) * (F.col("n") - F.col("alone")) - percent * F.col("alone")
+    groups = labelled.groupBy("h", "root").agg(
+        F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("alone").alias("lone"),
+        F.max(shared).alias("shared"), F.max(q * (F.col("n") - F.col("pos")) - percent * F.col("n")).alias("after"))
+    several = groups.groupBy("h").agg(F.count("*").alias("roots")).where("roots > 1").select("h")
+    groups = materialise(groups.join(several, "h"), "groups")
+    f = {k: (F.col(f"f.{k}"), F.col(f"g.{k}")) for k in groups.columns}
+    fits = (f["h"][0] == f["h"][1]) & (F.struct("f.size", "f.root") < F.struct("g.size", "g.root"))
+    for i, j in ((0, 1), (1, 0)):
+        fits &= ((f["high"][i] * 100 >= f["low"][j] * percent) & (f["shared"][i] >= percent * f["lone"][j])
+                 & (f["after"][i] >= percent * f["low"][j]))
+    roots = groups.alias("f").join(groups.alias("g"), fits).select("f.h", F.col("f.root").alias("root"),
+                                                                  F.col("g.root").alias("other"))
+    small = labelled.join(roots, ["h", "root"])
+    x, y = small.alias("x"), labelled.alias("y")
+    return _pairs(x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.other") == F.col("y.root")) & _may_link(percent)))
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
@@ -173,36 +223,18 @@ def similarity_links(docs: DataFrame, members: DataFrame, percent: int = 80, k:
     """(a, b): verified links between nodes that connect what the full join connects."""
     sets = _survivors(docs, members, k, percent)
     entries = materialise(_rare_first(sets, percent), "prefix")
-    links = None
-    root = F.col("node")
-    labelled = entries.withColumn("root", root)
+    links, labelled = None, entries.withColumn("root", F.col("node"))
     for turn in range(PIVOT_ROUNDS):
-        # a node of each bucket, another one each turn, meets the nodes that nothing connects with it
-        pivots = labelled.groupBy("h").agg(
-            F.min_by(F.struct("node", "n", "pos", "root"), F.xxhash64("node", F.lit(turn))).alias("p"),
-            F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        pivots = pivots.select("h", F.col("p.node").alias("a"), F.col("p.n").alias("na"), F.col("p.pos").alias("pa"),
-                               F.col("p.root").alias("ra"))
-        met = _as(labelled, "b", "nb", "pb", "root").join(pivots, "h").where("root <> ra")
-        found = materialise(_verify(_candidates(met, percent), sets, percent), "links")
+        found = materialise(_verify(_star(labelled, turn, percent), sets, percent), "links")
         links = found if links is None else links.unionByName(found)
         labelled = materialise(_label(entries, links), "labelled")
-    # what is left: every candidate pair between two components, by bucket
-    groups = labelled.groupBy("h", "root").agg(F.count("*").alias("size"))
-    several = groups.groupBy("h").agg(F.count("*").alias("roots")).where("roots > 1").select("h")
-    groups = groups.join(several, "h")
-    left = groups.select("h", F.col("root").alias("ra"))
-    right = groups.select("h", F.col("root").alias("rb"))
-    roots = left.join(right, "h").where("ra < rb")
-    met = (roots.join(_as(labelled, "a", "na", "pa", F.col("root").alias("ra")), ["h", "ra"])
-           .join(_as(labelled, "b", "nb", "pb", F.col("root").alias("rb")), ["h", "rb"]))
-    last = materialise(_verify(_candidates(met, percent), sets, percent), "links")
+    last = materialise(_verify(_across(labelled, percent), sets, percent), "links")
     return links.unionByName(last)
 
 
 def _label(entries: DataFrame, links: DataFrame) -> DataFrame:
     return (entries.join(components(links), "node", "left")
-            .select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root")))
+            .select("h", "node", "n", "pos", "alone", F.coalesce("root", "node").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
@@ -226,3 +258,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     return (members.join(classes, "node", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
+
+
+def representatives(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+    """The rows of ``docs`` that are the smallest of their component, with its columns.
+
+    Repeated rows of one doc_id all stay or all go; rows without doc_id stay.
+    """
+    groups = near_duplicates(docs, percent, k).where("doc_id <> component_id")
+    gone = materialise(groups.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
