@@ -254,7 +254,7 @@ def spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Data
 
 def _drawn(key: bytes) -> Column:
     @F.udf("string")
-    def draw(kind: str, canon: str, attempt: int) -> str:
+    def draw(kind, canon, attempt):
         return surrogate(kind, canon, attempt, key)
     return draw("kind", "canon", "attempt")
 
