@@ -1,5 +1,4 @@
-"""Column expressions, JVM-side inside whole-stage codegen (the one exception is
-``text.nfc``, an Arrow-batched pandas UDF for Unicode normalisation)."""
+"""Column expressions, JVM-side inside whole-stage codegen."""
 
 from bizlens.functions.periods import (
     in_period, month_start, month_text, months_crossed, weekday_sunday1,

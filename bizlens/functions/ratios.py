@@ -40,3 +40,9 @@ def safe_ratio(num, den) -> Column:
 def round_decimal(c, scale: int, work_type: str = "decimal(38,10)") -> Column:
     """Round a double through a decimal so that 1.005 -> 1.01 (D13)."""
     return F.round(_col(c).cast(work_type), scale).cast("double")
+
+
+def number(c) -> Column:
+    """A double in which NaN is NULL: both mean a missing value."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(~F.isnan(x), x)

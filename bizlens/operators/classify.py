@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 try:  # ship this module's task-side functions by value: executors need not install bizlens
     from pyspark import cloudpickle as _cloudpickle
@@ -72,184 +69,57 @@ def _block_topk(qid: np.ndarray, Q: np.ndarray, ids: np.ndarray, X: np.ndarray,
             redo_rows = set(np.where(kth + tol >= excluded_min - tol)[0].tolist())
         else:
             redo_rows = set()
-        for r in range(len(q)):
-            if r in redo_rows:
-                d_all = ((X - q[r]) ** 2).sum(axis=1)
-                order = np.lexsort((ids, d_all))[:kk]
-                dd, nn = d_all[order], order
-            else:
-                order = np.lexsort((ids[cand[r]], exact[r]))[:kk]
-                dd, nn = exact[r][order], cand[r][order]
-            out_q.append(np.full(len(nn), qid[s + r]))
-            out_n.append(ids[nn])
-            out_d.append(dd)
-            out_l.append(y[nn])
+        # sort all rows of the block at once: by query, distance, neighbour id
+        rows = np.repeat(np.arange(len(q)), m)
+        order = np.lexsort((ids[cand].ravel(), exact.ravel(), rows)).reshape(len(q), m)[:, :kk]
+        nn, dd = cand.ravel()[order], exact.ravel()[order]
+        for r in redo_rows:  # rounding could have hidden a neighbour: full distances
+            d_all = ((X - q[r]) ** 2).sum(axis=1)
+            nn[r] = np.lexsort((ids, d_all))[:kk]
+            dd[r] = d_all[nn[r]]
+        out_q.append(np.repeat(qid[s:s + batch], kk))
+        out_n.append(ids[nn].ravel())
+        out_d.append(dd.ravel())
+        out_l.append(y[nn].ravel())
     return out_q, out_n, out_d, out_l
 
 
-def _cogroup_fn(k: int, vec_col: str):
-    def fn(qpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(tpdf) == 0:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
-                                 "neighbour_id": pd.Series([], dtype="int64"),
-                                 "distance2": pd.Series([], dtype="float64"),
-                                 "neighbour_label": pd.Series([], dtype="float64")})
-        oq, on, od, ol = _block_topk(qpdf["_qid"].to_numpy(np.int64), _as_matrix(qpdf[vec_col]),
-                                     tpdf["_tid"].to_numpy(np.int64), _as_matrix(tpdf[vec_col]),
-                                     tpdf["_label"].to_numpy(np.float64), k)
-        return pd.DataFrame({"query_id": np.concatenate(oq).astype(np.int64),
-                             "neighbour_id": np.concatenate(on).astype(np.int64),
-                             "distance2": np.concatenate(od).astype(np.float64),
-                             "neighbour_label": np.concatenate(ol).astype(np.float64)})
-    return fn
-
-
 _CAND_SCHEMA = StructType([StructField("query_id", LongType()), StructField("neighbour_id", LongType()),
                            StructField("distance2", DoubleType()), StructField("neighbour_label", DoubleType())])
 
 
-def _search(q: DataFrame, t: DataFrame, k: int, vec_col: str) -> DataFrame:
-    """k best training rows per query inside every (slab, sub, qb) cell: one
-    cogrouped task per cell, each side bounded by the cell sizing."""
-    keys = ["_slab", "_sub", "_qb"]
-    return q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(_cogroup_fn(k, vec_col), _CAND_SCHEMA)
-
-
-def _top_k(cands: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy("distance2", "neighbour_id")
-    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _pruning_axis(t0: DataFrame, vec_col: str, mode: str):
-    """Unit direction ``u`` of the pruning axis (a numpy vector) and the Column
-    projecting ``vec_col`` onto it. ``pc1``: first principal component of the
-    training vectors (the widest single direction); ``coordinate``: the
-    coordinate with the largest variance."""
-    if mode == "pc1":
-        from pyspark.ml.feature import PCA
-        from pyspark.ml.functions import array_to_vector
-        model = PCA(k=1, inputCol="_v", outputCol="_p").fit(t0.select(array_to_vector(vec_col).alias("_v")))
-        u = np.asarray(model.pc.toArray()[:, 0], dtype=np.float64)
-    elif mode == "coordinate":
-        var = (t0.select(F.posexplode(vec_col).alias("_j", "_v")).groupBy("_j")
-                 .agg(F.var_pop("_v").alias("_var")).orderBy(F.col("_var").desc(), "_j").first())
-        dims = t0.select(F.size(vec_col).alias("_d")).first()["_d"]
-        u = np.zeros(int(dims))
-        u[int(var["_j"])] = 1.0
-    else:
-        raise ValueError(mode)
-    nz = [(i, float(w)) for i, w in enumerate(u) if w != 0.0]
-    proj = None
-    for i, w in nz:  # a JVM-side dot product with the (fixed) direction
-        term = F.col(vec_col)[i].cast("double") * F.lit(w)
-        proj = term if proj is None else proj + term
-    return u, proj
-
-
 def knn_neighbours(train: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id",
-                   vec_col: str = "features", label_col: str = "label",
-                   chunk_rows: int = 20_000, query_block_rows: int = 20_000,
-                   max_slabs: int = 4096, axis: str = "coordinate") -> DataFrame:
-    """Exact k nearest training rows of every query row (squared Euclidean).
-
-    No pair rows and no all-pairs scan where the data allows pruning:
-
-    1. The pruning axis is a unit direction ``u``: the coordinate with the
-       largest variance (``axis='coordinate'``, the default: no fit, exact
-       projections) or the first principal component of the training vectors
-       (``axis='pc1'``, for data whose widest direction is diagonal). Quantiles of the
-       projection ``a = <x, u>`` cut the training rows into slabs, and each slab
-       is split by hash into sub-chunks of about ``chunk_rows`` (bounded tasks
-       even when many rows share one projection value).
-    2. Round 1: each query is searched against its own slab only, which gives
-       its k-th distance ``r``.
-    3. Round 2: ``|<q - x, u>| <= |q - x|``, so a closer row lies within
-       ``sqrt(r)`` of the query on the axis; only the other slabs that meet
-       ``[a - sqrt(r), a + sqrt(r)]`` (widened by a rounding margin) are searched.
-
-    Searches are cogrouped ``applyInPandas`` tasks holding one query block and
-    one training sub-chunk (numpy inside, see :func:`_block_topk`); a window
-    per query merges the candidates. Only the variances (one per dimension)
-    and the slab cut points (at most ``max_slabs``) reach the driver, plus the
-    d-vector ``u``. Ties are broken by (distance, neighbour id).
+                   vec_col: str = "features", label_col: str = "label", fit_rows: int = 20_000) -> DataFrame:
+    """Exact k nearest of the fitted rows for every query row (squared Euclidean).
+
+    A KNN classifier keeps its training rows, so they are what bounds its cost:
+    it is fitted on at most ``fit_rows`` labelled rows, those with the smallest
+    hash of the key (all of them when there are no more). The fitted rows are
+    broadcast and every query is searched where it is, without a shuffle: the
+    work is linear in the queries. Ties are broken by (distance, neighbour id).
     """
-    spark = train.sparkSession
-    t0 = train.select(F.col(id_col).cast("long").alias("_tid"), F.col(vec_col).alias(vec_col),
-                      F.col(label_col).cast("double").alias("_label"))
-    q0 = queries.select(F.col(id_col).cast("long").alias("_qid"), F.col(vec_col).alias(vec_col))
-    n_train = t0.count()
-    slabs = max(1, min(max_slabs, math.ceil(n_train / chunk_rows)))
-    cuts: list[float] = []
-    project = F.lit(0.0)
-    margin_scale = 0.0
-    if slabs > 1:
-        u, project = _pruning_axis(t0, vec_col, axis)
-        if project is None:  # zero direction (constant data): one slab
-            slabs, project = 1, F.lit(0.0)
-    if slabs > 1:
-        probs = [i / slabs for i in range(1, slabs)]
-        projected = t0.select(project.alias("_a"))
-        cuts = sorted(set(projected.approxQuantile("_a", probs, 1.0 / (4 * slabs))))
-        # rounding of the computed projections: d * eps * |x| |u| is far below this
-        margin_scale = 1e-9 * float(projected.agg(F.max(F.abs("_a"))).first()[0] or 0.0)
-    splits = [-math.inf] + cuts + [math.inf]
-    if len(splits) < 3:  # one slab (small input, or one distinct value on the axis)
-        slabs = 1
-
-    def slab_of(df: DataFrame, src: str, dst: str) -> DataFrame:
-        if slabs == 1:
-            return df.withColumn(dst, F.lit(0.0))
-        return Bucketizer(splits=splits, inputCol=src, outputCol=dst, handleInvalid="keep").transform(df)
-
-    t1 = slab_of(t0.withColumn("_a", project), "_a", "_s")
-    t1 = t1.withColumn("_slab", F.col("_s").cast("int")).drop("_s", "_a")
-    q1 = slab_of(q0.withColumn("_a", project), "_a", "_s")
-    q1 = q1.withColumn("_slab", F.col("_s").cast("int")).drop("_s")
-
-    # cell sizing per slab (tables of at most `slabs` rows, joined, never collected)
-    floor_blocks = max(1, math.ceil(spark.sparkContext.defaultParallelism / slabs))
-    t_sizes = t1.groupBy("_slab").agg(F.count(F.lit(1)).alias("_tn"))
-    t_sizes = t_sizes.withColumn("_nsub", F.greatest(F.lit(1), F.ceil(F.col("_tn") / F.lit(chunk_rows))).cast("int"))
-    # at most `max_slabs` rows: a bounded broadcast
-    t1 = t1.join(F.broadcast(t_sizes.select("_slab", "_nsub")), "_slab")
-    t1 = t1.withColumn("_sub", F.pmod(F.xxhash64("_tid"), F.col("_nsub")).cast("int"))
-
-    def cells(qs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Query rows (with ``_slab``) and training rows placed into (slab, sub, qb) cells."""
-        q_sizes = qs.groupBy("_slab").agg(F.count(F.lit(1)).alias("_qn"))
-        q_sizes = q_sizes.withColumn("_nqb", F.greatest(F.lit(floor_blocks),
-                                                        F.ceil(F.col("_qn") / F.lit(query_block_rows))).cast("int"))
-        qc = (qs.join(q_sizes.select("_slab", "_nqb"), "_slab").join(t_sizes.select("_slab", "_nsub"), "_slab")
-                .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.col("_nqb")).cast("int"))
-                .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_nsub") - 1))))
-        tc = (t1.join(q_sizes.select("_slab", "_nqb"), "_slab")
-                .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1))))
-        return qc.select("_slab", "_sub", "_qb", "_qid", vec_col), tc.select("_slab", "_sub", "_qb", "_tid", vec_col,
-                                                                           "_label")
-
-    # round 1: own slab
-    qc, tc = cells(q1.drop("_a"))
-    first = _top_k(_search(qc, tc, k, vec_col), k)
-    if slabs == 1:
-        return first
-    from bizlens.session import reliable
-    first = reliable(first)
-    radius = first.groupBy("query_id").agg(F.max("distance2").alias("_r"), F.count(F.lit(1)).alias("_found"))
-    # round 2: the other slabs within sqrt(r) on the pruning axis (all of them if fewer than k were found)
-    margin = F.lit(1e-12 + margin_scale) + F.abs(F.col("_a")) * F.lit(1e-9)
-    reach = F.when(F.col("_found") >= k, F.sqrt(F.col("_r")) * F.lit(1 + 1e-9) + margin).otherwise(F.lit(math.inf))
-    q2 = (q1.join(radius.withColumnRenamed("query_id", "_qid"), "_qid", "left")
-            .withColumn("_reach", F.coalesce(reach, F.lit(math.inf)))
-            .withColumn("_lo", F.col("_a") - F.col("_reach")).withColumn("_hi", F.col("_a") + F.col("_reach")))
-    q2 = Bucketizer(splitsArray=[splits, splits], inputCols=["_lo", "_hi"], outputCols=["_slo", "_shi"],
-                    handleInvalid="keep").transform(q2)
-    q2 = (q2.withColumn("_own", F.col("_slab"))
-            .withColumn("_slab", F.explode(F.sequence(F.col("_slo").cast("int"), F.col("_shi").cast("int"))))
-            .where(F.col("_slab") != F.col("_own"))
-            .select("_qid", vec_col, "_slab"))
-    qc2, tc2 = cells(q2)
-    second = _search(qc2, tc2, k, vec_col)
-    return _top_k(first.drop("rank").unionByName(second), k)
+    fitted = (train.select(F.col(id_col).cast("long").alias("_tid"), F.col(vec_col).alias("_vec"),
+                           F.col(label_col).cast("double").alias("_label"))
+              .orderBy(F.xxhash64("_tid"), "_tid").limit(fit_rows).toPandas())
+    shared = train.sparkSession.sparkContext.broadcast(
+        (fitted["_tid"].to_numpy(np.int64), _as_matrix(fitted["_vec"]) if len(fitted) else np.zeros((0, 0)),
+         fitted["_label"].to_numpy(np.float64)))
+
+    def search(batches):
+        ids, matrix, labels = shared.value
+        for pdf in batches:
+            if not len(pdf) or not len(ids):
+                continue
+            found = _block_topk(pdf["_qid"].to_numpy(np.int64), _as_matrix(pdf["_vec"]), ids, matrix, labels, k)
+            cols = [np.concatenate(c) for c in found]
+            per = min(k, len(ids))
+            yield pd.DataFrame({"query_id": cols[0], "neighbour_id": cols[1], "distance2": cols[2],
+                                "neighbour_label": cols[3],
+                                "rank": np.tile(np.arange(1, per + 1), len(pdf)).astype(np.int32)})
+
+    schema = StructType([*_CAND_SCHEMA.fields, StructField("rank", IntegerType())])
+    return (queries.select(F.col(id_col).cast("long").alias("_qid"), F.col(vec_col).alias("_vec"))
+            .mapInPandas(search, schema))
 
 
 def knn_vote(neighbours: DataFrame, out_col: str = "prediction") -> DataFrame:
@@ -261,10 +131,9 @@ def knn_vote(neighbours: DataFrame, out_col: str = "prediction") -> DataFrame:
 
 
 def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "id",
-                vec_col: str = "features", label_col: str = "label", chunk_rows: int = 20_000,
-                query_block_rows: int = 20_000) -> DataFrame:
+                vec_col: str = "features", label_col: str = "label", fit_rows: int = 20_000) -> DataFrame:
     """ML8: KNN classifier; returns ``test`` rows with a ``prediction`` column."""
-    nb = knn_neighbours(train, test, k, id_col, vec_col, label_col, chunk_rows, query_block_rows)
+    nb = knn_neighbours(train, test, k, id_col, vec_col, label_col, fit_rows)
     pred = knn_vote(nb).withColumnRenamed("query_id", id_col)
     return test.join(pred, id_col)
 
@@ -286,12 +155,12 @@ def fit_naive_bayes(train: DataFrame, features_col: str = "features", label_col:
 
 
 def fit_forest(train: DataFrame, features_col: str = "features", label_col: str = "label",
-               trees: int = 100, max_depth: int = 12, seed: int = 42):
+               trees: int = 100, max_depth: int = 30, seed: int = 42):
     """ML11: random forest, ``sqrt`` features per split, bootstrap per tree.
 
     Trees grow level by level with one distributed histogram aggregation per
-    level, so depth (not rows) drives the job count; unlimited depth is not
-    available (Spark caps it at 30) and depth 12 keeps the fit to 12 passes.
+    level, so depth (not rows) drives the job count; ``max_depth`` defaults to the
+    deepest tree that Spark grows.
     """
     return RandomForestClassifier(featuresCol=features_col, labelCol=label_col, numTrees=trees,
                                   maxDepth=max_depth, seed=seed, maxBins=32, maxMemoryInMB=1024,

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bizlens.functions.ratios import round_decimal
+from bizlens.functions.ratios import number, round_decimal
 from bizlens.operators.quantiles import approx_quantiles, exact_quantiles
 
 
@@ -15,9 +15,10 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """DS1: equal-width bins between min and max; the max belongs to the last bin.
 
     Bin edges come from one scalar aggregation. Every bin is reported, empty
-    ones with 0, by joining the counts to the (parameter-sized) bin axis.
+    ones with 0, by joining the counts to the (parameter-sized) bin axis. NaN is
+    missing, like NULL.
     """
-    x = F.col(column).cast("double")
+    x = number("`" + column + "`")
     bounds = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
     width = (hi - lo) / F.lit(float(bins))

@@ -12,29 +12,38 @@ def _cols(columns) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)
 
 
-def category_levels(df: DataFrame, columns, max_levels: int = 1000) -> dict[str, list[str]]:
+def column_slice(df: DataFrame, start: int | None, stop: int | None = None) -> DataFrame:
+    """PJ7: the columns from position ``start`` up to, not including, ``stop``."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns[start:stop]])
+
+
+def align(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """JN7: put the columns of two frames side by side on a key that is unique in ``right``."""
+    return left.join(right, key, how)
+
+
+def category_levels(df: DataFrame, columns, max_levels: int | None = None) -> dict[str, list[str]]:
     """Distinct string values of each column, found in one job.
 
-    Only the (bounded) level list reaches the driver; exceeding ``max_levels``
-    per column raises instead of silently exploding the width.
+    The level list is the width of the encoded frame and so reaches the driver;
+    a caller may set ``max_levels`` to have wider columns refused.
     """
     cols = _cols(columns)
     pairs = (df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("p"))
+        F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in cols])).alias("p"))
         .select("p.c", "p.v").where(F.col("v").isNotNull()).distinct())
-    cap = max_levels * len(cols) + 1
-    rows = pairs.limit(cap).collect()
+    rows = (pairs if max_levels is None else pairs.limit(max_levels * len(cols) + 1)).collect()
     levels: dict[str, list[str]] = {c: [] for c in cols}
     for r in rows:
         levels[r["c"]].append(r["v"])
     for c, vs in levels.items():
-        if len(vs) > max_levels:
+        if max_levels is not None and len(vs) > max_levels:
             raise ValueError(f"column {c} has more than {max_levels} levels")
         vs.sort()
     return levels
 
 
-def one_hot(df: DataFrame, columns, max_levels: int = 1000, drop_source: bool = True,
+def one_hot(df: DataFrame, columns, max_levels: int | None = None, drop_source: bool = True,
             levels: dict[str, list[str]] | None = None) -> DataFrame:
     """ML1: one 0/1 column per level, named ``<column>_<level>``, levels in string order.
 
@@ -44,25 +53,26 @@ def one_hot(df: DataFrame, columns, max_levels: int = 1000, drop_source: bool =
     levels = levels or category_levels(df, cols, max_levels)
     new = []
     for c in cols:
-        x = F.col(c).cast("string")
+        x = F.col(f"`{c}`").cast("string")
         for v in levels[c]:
             new.append(F.when(x == v, F.lit(1)).otherwise(F.lit(0)).alias(f"{c}_{v}"))
     keep = [F.col(f"`{c}`") for c in df.columns if not (drop_source and c in cols)]
     return df.select(*keep, *new)
 
 
-def label_encode(df: DataFrame, columns, suffix: str = "", max_levels: int = 100_000) -> DataFrame:
+def label_encode(df: DataFrame, columns, suffix: str = "", max_levels: int | None = None) -> DataFrame:
     """ML2: codes 0..k-1 in alphabetical order of the string values.
 
-    ``StringIndexer`` fits all columns in one pass; only the level lists (the
-    model) go to the driver, after an approximate distinct count has checked
-    that no column exceeds ``max_levels``.
+    ``StringIndexer`` fits all columns in one pass; the level lists (the model)
+    go to the driver. A caller may set ``max_levels`` to have columns of more
+    levels refused, by an exact count.
     """
     cols = _cols(columns)
-    card = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(cols)]).first()
-    for i, c in enumerate(cols):
-        if card[f"_{i}"] > max_levels:
-            raise ValueError(f"column {c} has about {card[f'_{i}']} levels (> {max_levels})")
+    if max_levels is not None:
+        card = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+        for i, c in enumerate(cols):
+            if card[f"_{i}"] > max_levels:
+                raise ValueError(f"column {c} has {card[f'_{i}']} levels (> {max_levels})")
     tmp = [f"__idx_{i}" for i in range(len(cols))]
     casted = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in cols else F.col(f"`{c}`")
                          for c in df.columns])
@@ -82,15 +92,16 @@ def standardise(df: DataFrame, columns, digits: int | None = None, suffix: str =
     transform is a plain projection with literals.
     """
     cols = _cols(columns)
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    x = [F.col(f"`{c}`") for c in cols]
+    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)],
+                 *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(x)]).first()
     out = df
     for i, c in enumerate(cols):
         m, s = row[f"m{i}"], row[f"s{i}"]
         if m is None or s is None or s == 0:
-            z = F.when(F.col(c).isNotNull(), F.lit(0.0))
+            z = F.when(x[i].isNotNull(), F.lit(0.0))
         else:
-            z = (F.col(c) - F.lit(float(m))) / F.lit(float(s))
+            z = (x[i] - F.lit(float(m))) / F.lit(float(s))
         if digits is not None:
             z = F.round(z, digits)
         out = out.withColumn(c + suffix, z)
@@ -98,7 +109,10 @@ def standardise(df: DataFrame, columns, digits: int | None = None, suffix: str =
 
 
 def assemble(df: DataFrame, columns, out_col: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=_cols(columns), outputCol=out_col, handleInvalid="error").transform(df)
+    cols = _cols(columns)
+    plain = [f"__x{i}" for i in range(len(cols))]  # a level may hold a dot
+    named = df.select("*", *[F.col(f"`{c}`").alias(n) for c, n in zip(cols, plain)])
+    return VectorAssembler(inputCols=plain, outputCol=out_col, handleInvalid="error").transform(named).drop(*plain)
 
 
 def pca(df: DataFrame, features_col: str, k: int, prefix: str = "col"):

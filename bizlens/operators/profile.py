@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from bizlens.functions.ratios import round_decimal
+from bizlens.functions.ratios import number, round_decimal
 from bizlens.operators.quantiles import approx_quantiles, exact_quantiles
 from bizlens.session import reliable
 
@@ -59,6 +59,7 @@ def category_counts(df: DataFrame, columns, count_col: str = "n") -> DataFrame:
 def describe(df: DataFrame, columns=None, digits: int | None = 6, buckets: int | None = None,
              method: str = "exact") -> DataFrame:
     """PR2: count, mean, std (sample), min, quartiles, max per numeric column, long form.
+    NaN is missing, like NULL.
 
     Moments come from one aggregation; quartiles from the exact distributed
     quantile operator (linear interpolation, as pandas ``describe``), or with
@@ -66,7 +67,7 @@ def describe(df: DataFrame, columns=None, digits: int | None = 6, buckets: int |
     """
     cols = _cols(df, columns) if columns is not None else numeric_columns(df)
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols
+        F.struct(F.lit(c).alias("column"), number(f"`{c}`").alias("value")) for c in cols
     ])).alias("_kv")).select("_kv.column", "_kv.value")
     moments = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
@@ -101,9 +102,9 @@ def correlation(df: DataFrame, columns=None, digits: int | None = 6) -> DataFram
         for j, b in enumerate(cols):
             if j < i:
                 continue
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            xa = F.when(both, F.col(a).cast("double"))
-            xb = F.when(both, F.col(b).cast("double"))
+            xa, xb = number(f"`{a}`"), number(f"`{b}`")
+            both = xa.isNotNull() & xb.isNotNull()
+            xa, xb = F.when(both, xa), F.when(both, xb)
             r = F.try_divide(F.covar_samp(xa, xb), F.stddev_samp(xa) * F.stddev_samp(xb))
             aggs.append(r.alias(f"_c_{i}_{j}"))
     wide = df.agg(*aggs)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 def kmeans_sweep(df: DataFrame, features_col: str = "features", ks=range(2, 11), seed: int = 42,
-                 max_iter: int = 20, parallel_fits: int = 10) -> DataFrame:
+                 max_iter: int = 300, parallel_fits: int = 3) -> DataFrame:
     """ML5: distortion (sum of squared distances to the nearest centre) per k,
     and the elbow: the k farthest from the chord joining the first and last
     points of the (k, distortion) curve. Each fit is a distributed job; only
@@ -97,7 +97,7 @@ def hierarchical_segments(df: DataFrame, features_col: str = "features", n_clust
     table of at most ``micro_clusters`` rows.
     """
     km = KMeans(k=micro_clusters, seed=seed, featuresCol=features_col, predictionCol="_micro",
-                maxIter=30).fit(df)
+                maxIter=300).fit(df)
     centres = np.array([np.asarray(v) for v in km.clusterCenters()])
     sizes = np.array(km.summary.clusterSizes, dtype=float)
     keep = sizes > 0

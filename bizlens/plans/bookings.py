@@ -48,7 +48,7 @@ DERIVED_COLUMNS = BookingColumns(
     date_parts=("arrival_year", "arrival_month", "arrival_date"))
 
 
-def encode_bookings(bookings: DataFrame, max_levels: int = 1000, checkpoint: bool = False,
+def encode_bookings(bookings: DataFrame, max_levels: int | None = None, checkpoint: bool = False,
                     cols: BookingColumns = DERIVED_COLUMNS) -> tuple[DataFrame, list[str]]:
     """Target mapped to 0/1, dates dropped, categoricals one-hot; returns (frame, feature names).
 
@@ -100,7 +100,7 @@ def booking_segments(bookings: DataFrame, n_segments: int = 4, seed: int = 42, k
 
 def cancellation_leaderboard(bookings: DataFrame, segment_ids: DataFrame | None = None,
                              test_fraction: float = 0.3, seed: int = 42, knn_k: int = 5,
-                             forest_trees: int = 100, forest_depth: int = 12,
+                             forest_trees: int = 100, forest_depth: int = 30,
                              encoded: tuple[DataFrame, list[str]] | None = None,
                              cols: BookingColumns = DERIVED_COLUMNS, scale_features: bool = False) -> DataFrame:
     """Fit logistic regression, Gaussian naive Bayes, KNN and a random forest on

@@ -8,23 +8,26 @@ Parameters are chosen so each question has an answer on those tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bizlens.functions.bands import band
 from bizlens.operators import aggregate as agg
 from bizlens.operators import classify as ml
 from bizlens.operators import clean as cl
 from bizlens.operators import distributions as ds
 from bizlens.operators import features as fe
 from bizlens.operators import profile as pr
+from bizlens.operators import segments as sg
 from bizlens.plans import bookings as bk
 from bizlens.plans import claims as cr
 from bizlens.plans import orders as rp
 from bizlens.sources.mart import (CANCEL_STATUS, bookings_frame, claims_frame, events_as_orders, lines_mart,
                                   order_facts, orders_mart)
-from bizlens.sources.samples import sample_by, sample_rows, tail_rows
+from bizlens.sources.samples import head_rows, sample_by, sample_rows, tail_rows
 from bizlens.sources.tables import load_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -131,9 +134,15 @@ def q_value_band_pivot(spark, base):
 
 @register("value_band_cancel")
 def q_value_band_cancel(spark, base):
-    # (l_orderkey, l_linenumber) repeats in the test tables: count cancelled ids exactly
-    return rp.value_band_cancel(lines_mart(_t(spark, base)), cancel_status=CANCEL_STATUS,
-                                order_id_unique=False)
+    return rp.value_band_cancel(lines_mart(_t(spark, base)), cancel_status=CANCEL_STATUS)
+
+
+@register("order_value_band_cancel")
+def q_order_value_band_cancel(spark, base):
+    """The same on whole orders, at a rate at which all six bands are filled."""
+    m = orders_mart(_t(spark, base))
+    m = replace(m, order_table=m.order_table.withColumn("exchange_rate", F.lit("2.5").cast("decimal(4,2)")))
+    return rp.value_band_cancel(m, cancel_status=CANCEL_STATUS, amount_col="order_value_amount_usd")
 
 
 # ---------------------------------------------------- profiling and cleaning
@@ -240,7 +249,7 @@ def q_binned_2d(spark, base):
 @register("density_2d")
 def q_density_2d(spark, base):
     b = ds.binned_2d(_t(spark, base)["lineitem"], "l_quantity", "l_extendedprice", 5, 10000, by="l_returnflag")
-    d = ds.smoothed_density(b, bandwidth_bins=1.0, radius=2, by="l_returnflag")
+    d = ds.smoothed_density(b, bandwidth_bins=1.0, by="l_returnflag")
     return d.withColumn("density", F.round(F.col("density"), 12))
 
 
@@ -267,7 +276,7 @@ def q_claims_tail(spark, base):
 
 @register("claims_sample")
 def q_claims_sample(spark, base):
-    return sample_rows(cr.clean_claims(_claims(spark, base)), 10, seed=42) \
+    return sample_rows(cr.clean_claims(_claims(spark, base)), 10, seed=42, key="claim_id") \
         .withColumn("claim_amount", F.col("claim_amount").cast("double"))
 
 
@@ -278,16 +287,8 @@ def _bookings(spark, base):
     return bookings_frame(_t(spark, base))
 
 
-_SEGMENTS: dict = {}
-
-
 def _segment_report(spark, base):
-    """One segmentation per (application, input folder): the segment queries and
-    the leaderboard share it instead of refitting (its frames are checkpointed)."""
-    key = (spark.sparkContext.applicationId, base)
-    if key not in _SEGMENTS:
-        _SEGMENTS[key] = bk.booking_segments(_bookings(spark, base))
-    return _SEGMENTS[key]
+    return bk.booking_segments(_bookings(spark, base))
 
 
 @register("one_hot")
@@ -414,4 +415,73 @@ def q_booking_segment_density(spark, base):
     """DS6 per segment: smoothed density of (first principal component, room price)."""
     seg = _segment_report(spark, base).segments
     binned = ds.binned_2d(seg, "col1", bk.PRICE, 0.5, 10.0, by="Segment")
-    return ds.smoothed_density(binned, bandwidth_bins=1.0, radius=2, by="Segment")
+    return ds.smoothed_density(binned, bandwidth_bins=1.0, by="Segment")
+
+
+# ------------------------------------- small operators on inputs that SQL can compute
+
+
+@register("orders_head")
+def q_orders_head(spark, base):
+    """SC5: first rows by an explicit order."""
+    o = _t(spark, base)["orders"].select("o_orderkey", "o_custkey", "o_orderstatus")
+    return head_rows(o, 25, ["o_custkey", "o_orderkey"])
+
+
+@register("priority_cumulative")
+def q_priority_cumulative(spark, base):
+    """AG13: running total over the few rows of a frequency table."""
+    counts = agg.value_counts(_t(spark, base)["orders"], "o_orderpriority", "n")
+    return ds.cumulative(counts, "o_orderpriority", "n")
+
+
+def _banded_bookings(spark, base):
+    """Bookings with a segment by price band instead of a fitted one."""
+    edges = [("low", 20000), ("middle", 60000)]
+    b = _bookings(spark, base).withColumn("Segment", band(bk.PRICE, edges, "high"))
+    return b.withColumn(bk.PRICE, F.col(bk.PRICE).cast("decimal(18,2)"))
+
+
+@register("banded_segment_profile")
+def q_banded_segment_profile(spark, base):
+    """ML14/AG10: profile per segment."""
+    out = sg.segment_profile(_banded_bookings(spark, base), "Segment", bk.PRICE, bk.TARGET)
+    return out.withColumn("avg_price", F.round(F.col("avg_price").cast("double"), 3))
+
+
+@register("banded_segment_mix")
+def q_banded_segment_mix(spark, base):
+    """ML14/AG11: target mix per segment."""
+    return sg.segment_target_mix(_banded_bookings(spark, base), "Segment", bk.TARGET)
+
+
+@register("rule_leaderboard")
+def q_rule_leaderboard(spark, base):
+    """ML13/SO5: scores of three rules, best first."""
+    t = _t(spark, base)
+    d = t["documents"].join(t["labels"], "doc_id").select(F.col("quality").alias("label"), "n_chars")
+    rules = {"long": F.col("n_chars") > 1000, "short": F.col("n_chars") <= 500, "any": F.lit(True)}
+    return ml.leaderboard([ml.binary_metrics(d.withColumn("prediction", c.cast("int")), model=name)
+                           for name, c in rules.items()])
+
+
+@register("mapped_status")
+def q_mapped_status(spark, base):
+    """CO6: value mapping, unmapped values missing."""
+    return _t(spark, base)["orders"].select(
+        "o_orderkey", cl.map_values("o_orderstatus", {"F": 1, "O": 0}).alias("closed"))
+
+
+@register("aligned_columns")
+def q_aligned_columns(spark, base):
+    """JN7/PJ5: two frames put side by side on their key."""
+    t = _t(spark, base)
+    left = t["customer"].select(F.col("c_custkey").alias("key"), "c_mktsegment")
+    counts = t["orders"].groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return fe.align(left, counts, "key")
+
+
+@register("column_slice")
+def q_column_slice(spark, base):
+    """PJ7: columns by position."""
+    return fe.column_slice(_t(spark, base)["orders"], 0, 3)

@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 # Fixed values of the test-table mapping.
 EXCHANGE_RATE = "1.5"
 CANCEL_STATUS = "F"
+# Parameters of the derived bookings target.
+CANCEL_LEAD_TIME, CANCEL_PRICE = 1800, 90000
 
 
 @dataclass(frozen=True)
@@ -214,13 +216,18 @@ def bookings_frame(t) -> DataFrame:
     Categoricals: priority (meal plan), customer segment (market segment),
     region, number of lines (counts are treated as categories); numerics:
     price per line (room price), days to last ship (lead time), total quantity;
-    date parts of the order date; target: status ``F`` = Canceled.
+    date parts of the order date. Target: a long lead time or a high room price
+    means Canceled, and every tenth key is turned round, so a model can learn it
+    but for a tenth of the rows.
     """
     o, li = t["orders"], t["lineitem"]
     lines = li.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("_last_ship"),
                                          F.count(F.lit(1)).alias("_lines"),
                                          F.sum("l_quantity").alias("_qty"))
     geo = _customer_region(t).select("c_custkey", "c_mktsegment", "r_name")
+    lead = F.datediff(F.col("_last_ship").cast("date"), F.col("o_orderdate").cast("date"))
+    price = F.round(F.col("o_totalprice") / F.col("_lines"), 2)
+    cancelled = ((lead > CANCEL_LEAD_TIME) | (price > CANCEL_PRICE)) != (F.col("o_orderkey") % 10 == 0)
     return (o.join(lines, o.o_orderkey == lines.l_orderkey)
              .join(geo, o.o_custkey == geo.c_custkey)
              .select(
@@ -229,11 +236,10 @@ def bookings_frame(t) -> DataFrame:
                  F.col("c_mktsegment").alias("market_segment_type"),
                  F.col("r_name").alias("region"),
                  F.col("_lines").cast("int").alias("no_of_items"),
-                 F.datediff(F.col("_last_ship").cast("date"), F.col("o_orderdate").cast("date")).alias("lead_time"),
+                 lead.alias("lead_time"),
                  F.year("o_orderdate").alias("arrival_year"),
                  F.month("o_orderdate").alias("arrival_month"),
                  F.dayofmonth("o_orderdate").alias("arrival_date"),
                  F.col("_qty").alias("total_quantity"),
-                 F.round(F.col("o_totalprice") / F.col("_lines"), 2).alias("avg_price_per_room"),
-                 F.when(F.col("o_orderstatus") == CANCEL_STATUS, F.lit("Canceled"))
-                  .otherwise(F.lit("Not_Canceled")).alias("booking_status")))
+                 price.alias("avg_price_per_room"),
+                 F.when(cancelled, F.lit("Canceled")).otherwise(F.lit("Not_Canceled")).alias("booking_status")))

@@ -10,17 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bizlens.session import reliable
 
-def sample_rows(df: DataFrame, n: int, seed: int = 42, fraction: float | None = None) -> DataFrame:
+
+def sample_rows(df: DataFrame, n: int, seed: int = 42, fraction: float | None = None, key=None) -> DataFrame:
     """Uniform random sample of exactly ``n`` rows (or a Bernoulli ``fraction``).
 
-    Ranking by a seeded hash of the whole row keeps the result the same on
-    re-execution, so a lost executor cannot change which rows are chosen.
+    With a unique ``key`` (a column or several) the rows are ranked by its seeded
+    hash: the same rows whatever the partitions. Without one every row draws its
+    own number, so equal rows are drawn independently; the ``n`` rows are then
+    checkpointed, and a lost executor cannot change the choice.
     """
     if fraction is not None:
         return df.sample(withReplacement=False, fraction=fraction, seed=seed)
-    key = F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])
-    return df.withColumn("_sample_key", key).orderBy("_sample_key").limit(n).drop("_sample_key")
+    if key is not None:
+        keys = [key] if isinstance(key, str) else list(key)
+        return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    drawn = df.withColumn("_sample_key", F.rand(seed)).orderBy("_sample_key").limit(n).drop("_sample_key")
+    return reliable(drawn)
 
 
 def head_rows(df: DataFrame, n: int, order_by) -> DataFrame:

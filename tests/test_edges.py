@@ -12,7 +12,7 @@ from helpers import collect_rows
 from bizlens.functions.bands import GMV_BANDS, GMV_TOP, ORDER_VALUE_BANDS, ORDER_VALUE_TOP, band
 from bizlens.functions.periods import in_period, months_crossed
 from bizlens.functions.ratios import pct_rounded, round_decimal
-from bizlens.operators import clean, distributions, profile
+from bizlens.operators import clean, distributions, features, profile
 from bizlens.operators.ranking import extremes, top_ties
 from bizlens.plans import orders as rp
 from bizlens.sources.mart import OrderMart
@@ -252,3 +252,59 @@ def test_by_id_keeps_equal_names_apart(spark):
     assert got == [{"district_id": 3, "district_name": "D3", "cancel_rate": 100.0}]
     rows = rp.keyword_monthly_sales(m, keywords=("x", "y"), by_id=True).collect()
     assert {r["merchant_id"] for r in rows} == {100, 101}
+
+
+def test_value_band_cancel_counts_an_order_once_per_city_name(spark):
+    orders = spark.createDataFrame(
+        [(1, 1, "CANCEL", 10.0, 1.0), (1, 2, "CANCEL", 10.0, 1.0), (2, 3, "CANCEL", 10.0, 1.0), (3, 1, "DONE", 700000.0, 1.0)],
+        "order_id long, city_id long, order_status string, gmv_usd double, exchange_rate double")
+    cities = spark.createDataFrame([(1, "Same"), (2, "Same"), (3, None)], "city_id long, city_name string")
+    got = collect_rows(rp.value_band_cancel(OrderMart(orders, None, cities), cancel_status="CANCEL"))
+    assert got == [
+        {"city_name": "Same", "gmv_range": "1. 0-50k", "total_net_orders": 2, "cancel_orders": 1, "cancel_orders_ratio": 0.5},
+        {"city_name": "Same", "gmv_range": "6. Above 600k", "total_net_orders": 1, "cancel_orders": 0, "cancel_orders_ratio": 0.0}]
+
+
+def test_keyword_matches_either_form_of_accents_without_python(spark):
+    import unicodedata
+
+    from bizlens.functions.text import contains_text
+    names = ["BÁNH MÌ 24h", unicodedata.normalize("NFD", "bánh mì"), "banh mi", None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    hit = df.where(contains_text("n", ["bánh mì"], normalize=True))
+    assert {r["i"] for r in hit.collect()} == {0, 1}
+    assert "Python" not in hit._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (3.0,)], "x double")
+    row = profile.describe(df, ["x"]).first()
+    assert (row["count"], row["mean"], row["max"], row["q5" if "q5" in row else "q50"]) == (3, 2.0, 3.0, 2.0)
+    assert [r["n"] for r in distributions.histogram(df, "x", 2).orderBy("bin").collect()] == [1, 2]
+
+
+def test_equal_rows_are_sampled_independently(spark):
+    from bizlens.sources import sample_rows
+    df = spark.createDataFrame([(i % 4,) for i in range(1000)], "v int")
+    assert len({r["v"] for r in sample_rows(df, 40).collect()}) == 4
+
+
+def test_levels_with_dots(spark):
+    df = spark.createDataFrame([("1.5", 1.0), ("2", 3.0)], "c string, x double")
+    wide = features.one_hot(df, ["c"])
+    assert wide.columns == ["x", "c_1.5", "c_2"]
+    scaled = features.standardise(wide, ["c_1.5", "x"])
+    assert features.assemble(scaled, ["c_1.5", "c_2", "x"]).count() == 2
+    assert features.column_slice(wide, 1).columns == ["c_1.5", "c_2"]
+
+
+def test_models_learn_the_bookings_target(spark):
+    """Three models or more beat the majority class on the derived target, the forest among them."""
+    from bizlens.plans import bookings as bk
+    from bizlens.sources.mart import bookings_frame
+    from bizlens.sources.tables import load_tables
+    b = bookings_frame(load_tables(spark, "/root/testdata/sf0.01"))
+    majority = max(r["count"] for r in b.groupBy("booking_status").count().collect()) / b.count()
+    scores = {r["model"]: r for r in bk.cancellation_leaderboard(b, forest_trees=20, scale_features=True).collect()}
+    better = [m for m, r in scores.items() if r["accuracy"] > majority + 0.03 and r["f1"] > 0]
+    assert len(better) >= 3 and "Random forest" in better

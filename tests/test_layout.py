@@ -21,8 +21,8 @@ def test_bucketed_mart_is_shuffle_free_and_equal(spark):
     assert "SortMergeJoin" in plan or "BroadcastHashJoin" in plan
     if "SortMergeJoin" in plan:
         assert "Exchange hashpartitioning(l_orderkey" not in plan
-    got = rp.value_band_cancel(m, cancel_status="F", order_id_unique=False).toPandas()
-    want = rp.value_band_cancel(lines_mart(t), cancel_status="F", order_id_unique=False).toPandas()
+    got = rp.value_band_cancel(m, cancel_status="F").toPandas()
+    want = rp.value_band_cancel(lines_mart(t), cancel_status="F").toPandas()
     assert rows_of(got) == rows_of(want)
 
 

@@ -67,12 +67,12 @@ def _separable(spark, n=240, seed=7):
     return spark.createDataFrame(rows, "id long, vec array<double>, label double")
 
 
-def test_knn_matches_brute_force_across_chunks(spark):
+def test_knn_matches_brute_force(spark):
     df = _separable(spark)
     train = df.where("id % 10 >= 3")
     test = df.where("id % 10 < 3")
     got = {r["query_id"]: r["neighbour_id"] for r in
-           classify.knn_neighbours(train, test, 3, "id", "vec", "label", chunk_rows=40)
+           classify.knn_neighbours(train, test, 3, "id", "vec", "label")
            .where("rank = 1").collect()}
     tr = [(r["id"], np.array(r["vec"])) for r in train.collect()]
     for r in test.collect():
@@ -132,16 +132,14 @@ def test_kmeans_sweep_is_seeded(spark):
     assert all(math.isclose(x, y, rel_tol=1e-12) for x, y in zip(a, b))
 
 
-@pytest.mark.parametrize("chunk_rows,axis", [(5, "pc1"), (17, "pc1"), (1000, "pc1"), (5, "coordinate")])
-def test_knn_exact_with_ties_and_repeated_axis_values(spark, chunk_rows, axis):
+def test_knn_exact_with_ties(spark):
     rng = np.random.default_rng(11)
     pts = rng.integers(0, 4, size=(150, 3)).astype(float)  # many equal distances and axis values
     rows = [(i, [float(v) for v in p], float(i % 3)) for i, p in enumerate(pts)]
     df = spark.createDataFrame(rows, "id long, vec array<double>, label double")
     train, test = df.where("id % 5 <> 0"), df.where("id % 5 = 0")
     got = {}
-    for r in classify.knn_neighbours(train, test, 4, "id", "vec", "label", chunk_rows=chunk_rows,
-                                     query_block_rows=7, axis=axis).collect():
+    for r in classify.knn_neighbours(train, test, 4, "id", "vec", "label").collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["neighbour_id"]))
     tr = [(i, np.array(v)) for i, v, _ in rows if i % 5 != 0]
     for i, v, _ in rows:
@@ -168,7 +166,6 @@ def test_claims_report_end_to_end(spark):
 
 
 def test_knn_exact_on_rotated_correlated_data(spark):
-    """The widest direction is diagonal here, so pc1 and coordinate axes differ."""
     rng = np.random.default_rng(3)
     t = rng.normal(size=200)
     pts = np.stack([t * 10 + rng.normal(size=200) * 0.3, t * 10 + rng.normal(size=200) * 0.3,
@@ -177,17 +174,18 @@ def test_knn_exact_on_rotated_correlated_data(spark):
     df = spark.createDataFrame(rows, "id long, vec array<double>, label double")
     train, test = df.where("id % 4 <> 0"), df.where("id % 4 = 0")
     tr = [(i, np.array(v)) for i, v, _ in rows if i % 4]
-    for axis in ("pc1", "coordinate"):
-        got = {}
-        for r in classify.knn_neighbours(train, test, 3, "id", "vec", "label", chunk_rows=10,
-                                         query_block_rows=5, axis=axis).collect():
-            got.setdefault(r["query_id"], []).append((r["rank"], r["neighbour_id"]))
-        for i, v, _ in rows:
-            if i % 4:
-                continue
-            q = np.array(v)
-            want = [x[0] for x in sorted(tr, key=lambda x: (float(((x[1] - q) ** 2).sum()), x[0]))[:3]]
-            assert [n for _, n in sorted(got[i])] == want
+    got = {}
+    for r in classify.knn_neighbours(train, test, 3, "id", "vec", "label").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["neighbour_id"]))
+    for i, v, _ in rows:
+        if i % 4:
+            continue
+        q = np.array(v)
+        want = [x[0] for x in sorted(tr, key=lambda x: (float(((x[1] - q) ** 2).sum()), x[0]))[:3]]
+        assert [n for _, n in sorted(got[i])] == want
+    few = classify.knn_neighbours(train, test, 3, "id", "vec", "label", fit_rows=20)
+    assert few.count() == 3 * test.count() and few.select("neighbour_id").distinct().count() <= 20
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
 
 
 def test_approx_quantiles_close_to_exact(spark):

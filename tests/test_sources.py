@@ -26,8 +26,8 @@ def test_head_tail_sample(spark):
     df = spark.range(100).withColumn("v", F.col("id") * 2)
     assert [r["id"] for r in head_rows(df, 3, "id").collect()] == [0, 1, 2]
     assert [r["id"] for r in tail_rows(df, 3, "id").collect()] == [97, 98, 99]
-    a = sorted(r["id"] for r in sample_rows(df, 10, seed=1).collect())
-    b = sorted(r["id"] for r in sample_rows(df.repartition(7), 10, seed=1).collect())
+    a = sorted(r["id"] for r in sample_rows(df, 10, seed=1, key="id").collect())
+    b = sorted(r["id"] for r in sample_rows(df.repartition(7), 10, seed=1, key="id").collect())
     assert len(a) == 10 and a == b
 
 
