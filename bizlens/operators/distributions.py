@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizlens.functions.ratios import number, round_decimal
-from bizlens.operators.quantiles import approx_quantiles, exact_quantiles
+from bizlens.operators.quantiles import BROADCAST_GROUPS, approx_quantiles, exact_quantiles
+from bizlens.session import reliable
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
@@ -38,7 +39,7 @@ def binned_counts(df: DataFrame, keys) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def box_stats(df: DataFrame, value: str, by, whisker: float = 1.5, buckets: int | None = None,
+def box_stats(df: DataFrame, value: str, by, whisker: float = 1.5,
               digits: int | None = 6, method: str = "exact") -> DataFrame:
     """DS3: quartiles, whiskers clamped to the data, and outlier count per group.
 
@@ -50,16 +51,19 @@ def box_stats(df: DataFrame, value: str, by, whisker: float = 1.5, buckets: int
     if method == "approx":  # one percentile_approx pass instead of the exact multi-pass operator
         q = approx_quantiles(df, value, [0.25, 0.5, 0.75], by=keys, names=["q1", "median", "q3"])
     else:
-        kw = {"buckets": buckets} if buckets else {}
-        q = exact_quantiles(df, value, [0.25, 0.5, 0.75], by=keys, names=["q1", "median", "q3"], **kw)
+        q = exact_quantiles(df, value, [0.25, 0.5, 0.75], by=keys, names=["q1", "median", "q3"])
     if digits is not None:
         for c in ("q1", "median", "q3"):
             q = q.withColumn(c, round_decimal(c, digits))
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
           .withColumn("_lf", F.col("q1") - F.lit(whisker) * F.col("iqr"))
           .withColumn("_hf", F.col("q3") + F.lit(whisker) * F.col("iqr")))
-    x = F.col(value).cast("double")
-    j = df.where(x.isNotNull()).select(*keys, x.alias("_x")).join(q.select(*keys, "_lf", "_hf"), keys)
+    x = number(value)
+    q = reliable(q)  # a row per group
+    fences = q.select(*keys, "_lf", "_hf")
+    if fences.count() <= BROADCAST_GROUPS:  # the rows stay where they are
+        fences = F.broadcast(fences)
+    j = df.where(x.isNotNull()).select(*keys, x.alias("_x")).join(fences, keys)
     ends = j.groupBy(*keys).agg(
         F.min(F.when(F.col("_x") >= F.col("_lf"), F.col("_x"))).alias("whisker_lo"),
         F.max(F.when(F.col("_x") <= F.col("_hf"), F.col("_x"))).alias("whisker_hi"),

@@ -9,7 +9,6 @@ from pyspark.sql.types import NumericType
 
 from bizlens.functions.ratios import number, round_decimal
 from bizlens.operators.quantiles import approx_quantiles, exact_quantiles
-from bizlens.session import reliable
 
 
 def _cols(df: DataFrame, columns) -> list[str]:
@@ -56,7 +55,7 @@ def category_counts(df: DataFrame, columns, count_col: str = "n") -> DataFrame:
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias(count_col))
 
 
-def describe(df: DataFrame, columns=None, digits: int | None = 6, buckets: int | None = None,
+def describe(df: DataFrame, columns=None, digits: int | None = 6,
              method: str = "exact") -> DataFrame:
     """PR2: count, mean, std (sample), min, quartiles, max per numeric column, long form.
     NaN is missing, like NULL.
@@ -75,13 +74,7 @@ def describe(df: DataFrame, columns=None, digits: int | None = 6, buckets: int |
     if method == "approx":
         qs = approx_quantiles(long, "value", [0.25, 0.5, 0.75], by="column", names=["q25", "q50", "q75"]).drop("n")
     else:
-        # the moments pass already has count/min/max per column: hand them to the quantiles
-        moments = reliable(moments)
-        stats = moments.select("column", F.col("count").alias("_n"), F.col("min").alias("_lo"),
-                               F.col("max").alias("_hi"))
-        kw = {"buckets": buckets} if buckets else {}
-        qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by="column",
-                             names=["q25", "q50", "q75"], stats=stats, **kw).drop("n")
+        qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by="column", names=["q25", "q50", "q75"]).drop("n")
     out = moments.join(qs, "column", "left")
     if digits is not None:
         for c in ("mean", "std", "q25", "q50", "q75"):

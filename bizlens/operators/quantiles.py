@@ -2,21 +2,20 @@
 
 ``percentile`` keeps every distinct value of a group in one aggregation
 buffer, and a rank window sorts a whole group in one task; with a key holding a
-third of the rows either would put that third on one executor. Instead:
-
-1. per group ``count/min/max`` (partial aggregation);
-2. every value gets a fine cell ``f = floor((x - min) / (max - min) * B1 * B2)``
-   and a coarse bucket ``f div B2``. Both are monotone in ``x``, so they are
-   contiguous runs of the sorted values. Coarse bucket counts (<= B1 rows per
-   group) locate the buckets holding the wanted ranks;
-3. if such a bucket is still large (more than ``max_bucket_rows`` values, e.g.
-   a hot group at scale), its rows are counted per fine cell (<= B2 rows per
-   bucket) to locate the cell instead;
-4. only the located buckets/cells are re-read, their values counted per
-   distinct value and ranked inside them.
-
-The input is read three times (four with the second level); the small
-per-group and per-rank tables in between are checkpointed.
+third of the rows either would put that third on one executor. Instead every
+wanted rank has an open interval of values that holds it, at first the whole
+range of its group, and the interval is narrowed until few rows are inside:
+
+1. ``percentile_approx`` over the rows inside gives values at evenly spaced
+   ranks; the points on both sides of the wanted rank, a step further out than
+   the sketch can err, are the new ends;
+2. one aggregation counts the rows below, at and between the new ends. A rank
+   that falls on an end is found; any other one keeps the rows in between.
+
+Ranks, not values, are halved, so outliers and ties cost nothing: a round keeps
+about ``4 / GRID`` of the rows inside. When at most ``sort_rows`` are left, they
+are counted per distinct value and ranked. The projected input is written once
+and read by every pass; the table of intervals has a row per group.
 
 Quantiles use linear interpolation between the order statistics at
 ``floor(h)`` and ``ceil(h)``, ``h = (n - 1) * p`` (the numpy/pandas default).
@@ -27,11 +26,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bizlens.functions.ratios import number
 from bizlens.session import reliable
 
-DEFAULT_BUCKETS = 1 << 14
-FINE_CELLS = 1 << 14
-MAX_BUCKET_ROWS = 2_000_000
+#: Evenly spaced points of a sketch, and its accuracy (a rank errs by 1 / ACCURACY of the rows).
+GRID, ACCURACY = 256, 1024
+#: Rows of an interval that are ranked directly.
+SORT_ROWS = 200_000
+#: Groups whose intervals are broadcast to the rows; beyond, they are joined.
+BROADCAST_GROUPS = 50_000
 
 
 def _pname(p: float) -> str:
@@ -39,28 +42,63 @@ def _pname(p: float) -> str:
     return "q" + s.replace("0.", "", 1) if s.startswith("0.") else "q" + s.replace(".", "_")
 
 
-def _locate(wanted: DataFrame, counts: DataFrame, keys: list[str], cell: str) -> DataFrame:
-    """Attach to every wanted rank (``_r``, relative to ``keys``) the ``cell`` holding
-    it, and make ``_r`` relative to that cell."""
-    w = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = (counts.withColumn("_end", F.sum("_c").over(w))
-               .withColumn("_start", F.col("_end") - F.col("_c"))).alias("C")
-    W = wanted.alias("W")
-    cond = [F.col(f"W.{k}") == F.col(f"C.{k}") for k in keys] + [
-        F.col("C._start") <= F.col("W._r"), F.col("W._r") < F.col("C._end")]
-    rest = [c_ for c_ in wanted.columns if c_ not in keys and c_ != "_r"]
-    return W.join(c, cond).select(*[F.col(f"W.{k}") for k in keys], *[F.col(f"W.{x}") for x in rest],
-                                  (F.col("W._r") - F.col("C._start")).alias("_r"), F.col(f"C.{cell}"),
-                                  F.col("C._c").alias("_cell_rows"))
-
-
-def exact_quantiles(df: DataFrame, value: str, probs, by=None, buckets: int = DEFAULT_BUCKETS,
-                    names: list[str] | None = None, fine_cells: int = FINE_CELLS,
-                    max_bucket_rows: int = MAX_BUCKET_ROWS, stats: DataFrame | None = None) -> DataFrame:
+def _beside(x: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the intervals of their group."""
+    few = state.count() <= BROADCAST_GROUPS
+    return x.join(F.broadcast(state) if few else state, keys)
+
+
+def _inside(k: int):
+    """Is the row in the open interval of rank ``k``; a NULL end is unbounded."""
+    lo, hi = F.col(f"_lo{k}"), F.col(f"_hi{k}")
+    return F.col(f"_found{k}").isNull() & (lo.isNull() | (F.col("_x") > lo)) & (hi.isNull() | (F.col("_x") < hi))
+
+
+def _narrowed(x: DataFrame, state: DataFrame, keys: list[str], ranks: int, sort_rows: int) -> DataFrame:
+    """One round: new ends from a sketch of the rows inside, then exact counts around them."""
+    large = [F.col(f"_found{k}").isNull() & (F.col(f"_mid{k}") > sort_rows) for k in range(ranks)]
+    points = [i / GRID for i in range(GRID + 1)]
+    sketch = _beside(x, state, keys).groupBy(*keys).agg(*[
+        F.percentile_approx(F.when(large[k] & _inside(k), F.col("_x")), points, ACCURACY).alias(f"_s{k}")
+        for k in range(ranks)])
+    ends = state.join(sketch, keys, "left")
+    for k in range(ranks):
+        # position of the rank on the grid; the margin is wider than the error of the sketch
+        at = (F.col(f"_r{k}") - F.col(f"_below{k}")) / F.col(f"_mid{k}") * GRID
+        low, high = F.greatest(F.floor(at) - 1, F.lit(0)).cast("int"), F.least(F.ceil(at) + 2, F.lit(GRID)).cast("int")
+        ends = (ends.withColumn(f"_p{k}", F.when(large[k], F.get(f"_s{k}", low)))
+                    .withColumn(f"_q{k}", F.when(large[k], F.get(f"_s{k}", high))))
+    ends = reliable(ends.drop(*[f"_s{k}" for k in range(ranks)]))
+    counts = _beside(x, ends, keys).groupBy(*keys).agg(*[
+        F.count_if(_inside(k) & c).alias(f"_{name}{k}") for k in range(ranks) for name, c in (
+            ("under", F.col("_x") < F.col(f"_p{k}")), ("low", F.col("_x") == F.col(f"_p{k}")),
+            ("between", (F.col("_x") > F.col(f"_p{k}")) & (F.col("_x") < F.col(f"_q{k}"))),
+            ("high", (F.col("_x") == F.col(f"_q{k}")) & (F.col(f"_q{k}") > F.col(f"_p{k}"))))])
+    out = ends.join(counts, keys)
+    fields = [*keys, "_n"]
+    new = []
+    for k in range(ranks):
+        r, p, q = F.col(f"_r{k}"), F.col(f"_p{k}"), F.col(f"_q{k}")
+        first = F.col(f"_below{k}") + F.col(f"_under{k}")
+        second = first + F.col(f"_low{k}")
+        third = second + F.col(f"_between{k}")
+        last = third + F.col(f"_high{k}")
+        left = [(r < first), (r < second), (r < third), (r < last)]  # the rank's place among the five parts
+        keep = lambda name, *new_: F.when(p.isNull(), F.col(f"{name}{k}")).when(left[0], new_[0]).when(  # noqa: B023,E731
+            left[1], new_[1]).when(left[2], new_[2]).when(left[3], new_[3]).otherwise(new_[4])  # noqa: B023
+        lo, hi, below, mid = (F.col(f"{c}{k}") for c in ("_lo", "_hi", "_below", "_mid"))
+        new += [r, keep("_found", F.lit(None), p, F.lit(None), q, F.lit(None)).alias(f"_found{k}"),
+                keep("_lo", lo, lo, p, lo, q).alias(f"_lo{k}"), keep("_hi", p, hi, q, hi, hi).alias(f"_hi{k}"),
+                keep("_below", below, below, second, below, last).alias(f"_below{k}"),
+                keep("_mid", F.col(f"_under{k}"), mid, F.col(f"_between{k}"), mid, below + mid - last).alias(f"_mid{k}")]
+    return reliable(out.select(*fields, *new))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs, by=None, names: list[str] | None = None,
+                    sort_rows: int = SORT_ROWS) -> DataFrame:
     """One row per group (or one row): keys, ``n`` and one column per probability.
 
-    ``stats`` may supply the per-group non-null count, min and max already
-    computed by the caller (columns: keys, ``_n``, ``_lo``, ``_hi``), saving a pass.
+    NULL and NaN values are missing; groups without a value have no row.
     """
     user_keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
     # a constant key keeps the ungrouped case an equi-join on one-row tables
@@ -68,67 +106,39 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=None, buckets: int = DE
     probs = [float(p) for p in probs]
     names = names or [_pname(p) for p in probs]
     src = df if user_keys else df.withColumn("_g", F.lit(0))
-    x = src.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-
-    # small intermediate tables (one row per group / per wanted rank) are
-    # checkpointed, so later passes read them instead of re-scanning the input
-    if stats is None or not user_keys:
-        stats = reliable(x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
-                                              F.max("_x").alias("_hi")))
-    else:
-        stats = stats.select(*keys, "_n", F.col("_lo").cast("double").alias("_lo"),
-                             F.col("_hi").cast("double").alias("_hi")).where(F.col("_n") > 0)
-    total = buckets * fine_cells
-    width = F.col("_hi") - F.col("_lo")
-    fine = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width * F.lit(float(total))),
-                                     F.lit(total - 1))).otherwise(F.lit(0)).cast("long")
-    xb = (x.join(stats.select(*keys, "_lo", "_hi"), keys)
-           .withColumn("_f", fine).withColumn("_b", F.floor(F.col("_f") / F.lit(fine_cells)).cast("long"))
-           .drop("_lo", "_hi"))
-
-    # wanted ranks per group: floor and ceil of (n - 1) * p for each p
-    rank_exprs = []
-    for i, p in enumerate(probs):
+    x = reliable(src.select(*keys, number(value).alias("_x")).where(F.col("_x").isNotNull()))
+
+    state = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = 2 * len(probs)
+    starts = []
+    for k in range(ranks):  # floor and ceil of (n - 1) * p for each p
+        h = (F.col("_n") - 1).cast("double") * F.lit(probs[k // 2])
+        starts += [(F.ceil(h) if k % 2 else F.floor(h)).cast("long").alias(f"_r{k}"),
+                   F.lit(None).cast("double").alias(f"_found{k}"), F.lit(None).cast("double").alias(f"_lo{k}"),
+                   F.lit(None).cast("double").alias(f"_hi{k}"), F.lit(0).cast("long").alias(f"_below{k}"),
+                   F.col("_n").alias(f"_mid{k}")]
+    state = reliable(state.select(*keys, "_n", *starts))
+    pending = F.greatest(F.lit(0), *[F.when(F.col(f"_found{k}").isNull(), F.col(f"_mid{k}")) for k in range(ranks)])
+    while (state.agg(F.max(pending)).first()[0] or 0) > sort_rows:
+        state = _narrowed(x, state, keys, ranks, sort_rows)
+
+    # at most sort_rows values are left per group and rank: rank the distinct ones
+    hits = F.filter(F.array(*[F.when(_inside(k), F.lit(k)) for k in range(ranks)]), lambda k: k.isNotNull())
+    left = (_beside(x, state, keys).select(*keys, "_x", F.explode(hits).alias("_k"))
+            .groupBy(*keys, "_k", "_x").agg(F.count(F.lit(1)).alias("_c")))
+    order = Window.partitionBy(*keys, "_k").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = left.withColumn("_end", F.sum("_c").over(order))
+    want = state.select(*keys, F.posexplode(F.array(*[F.col(f"_r{k}") - F.col(f"_below{k}") for k in range(ranks)]))
+                        .alias("_k", "_want"))
+    picked = (left.join(want, [*keys, "_k"]).where((F.col("_want") < F.col("_end")) & (F.col("_want") >= F.col("_end") - F.col("_c")))
+              .groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == k, F.col("_x"))).alias(f"_v{k}") for k in range(ranks)]))
+    out = state.join(picked, keys, "left")
+    value_of = lambda k: F.coalesce(F.col(f"_found{k}"), F.col(f"_v{k}"))
+    cols = []
+    for i, (p, name) in enumerate(zip(probs, names)):
         h = (F.col("_n") - 1).cast("double") * F.lit(p)
-        for side, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            rank_exprs.append(F.struct(F.lit(i).alias("_i"), r.cast("long").alias("_r"),
-                                       F.lit(side).alias("_side"), (h - F.floor(h)).alias("_frac")))
-    wanted = (stats.select(*keys, "_n", F.explode(F.array(*rank_exprs)).alias("_w"))
-                   .select(*keys, "_n", "_w._i", "_w._r", "_w._side", "_w._frac"))
-
-    # level 1: coarse buckets (<= B1 count rows per group)
-    located = reliable(_locate(wanted, xb.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c")), keys, "_b"))
-    cell_keys = keys + ["_b"]
-    largest = located.agg(F.max("_cell_rows")).first()[0] or 0
-    if largest > max_bucket_rows:
-        # level 2: fine cells inside the located buckets only (<= B2 count rows per bucket)
-        targets = located.select(*cell_keys).distinct()
-        inside = xb.join(targets, cell_keys)
-        counts2 = inside.groupBy(*cell_keys, "_f").agg(F.count(F.lit(1)).alias("_c"))
-        located = reliable(_locate(located.drop("_cell_rows"), counts2, cell_keys, "_f"))
-        cell_keys = cell_keys + ["_f"]
-    located = located.drop("_cell_rows")
-
-    # re-read only the located cells; rank distinct values inside each one
-    targets = located.select(*cell_keys).distinct()
-    vals = (xb.join(targets, cell_keys)
-              .groupBy(*cell_keys, "_x").agg(F.count(F.lit(1)).alias("_vc")))
-    wv = Window.partitionBy(*cell_keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    vals = (vals.withColumn("_vend", F.sum("_vc").over(wv))
-                .withColumn("_vstart", F.col("_vend") - F.col("_vc"))).alias("V")
-    L = located.alias("L")
-    pick_cond = [F.col(f"L.{k}") == F.col(f"V.{k}") for k in cell_keys] + [
-        F.col("V._vstart") <= F.col("L._r"), F.col("L._r") < F.col("V._vend")]
-    picked = L.join(vals, pick_cond).select(*[F.col(f"L.{k}") for k in keys], "L._n", "L._i", "L._side",
-                                            "L._frac", F.col("V._x").alias("_v"))
-    per_p = (picked.groupBy(*keys, "_n", "_i")
-                   .agg(F.max(F.when(F.col("_side") == "lo", F.col("_v"))).alias("_vlo"),
-                        F.max(F.when(F.col("_side") == "hi", F.col("_v"))).alias("_vhi"),
-                        F.max("_frac").alias("_frac"))
-                   .withColumn("_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")))
-    wide = per_p.groupBy(*keys, "_n").pivot("_i", list(range(len(probs)))).agg(F.first("_q"))
-    return wide.select(*user_keys, F.col("_n").alias("n"),
-                       *[F.col(str(i)).alias(nm) for i, nm in enumerate(names)])
+        cols.append((value_of(2 * i) + (value_of(2 * i + 1) - value_of(2 * i)) * (h - F.floor(h))).alias(name))
+    return out.select(*user_keys, F.col("_n").alias("n"), *cols)
 
 
 def approx_quantiles(df: DataFrame, value: str, probs, by=None, accuracy: int = 10_000,

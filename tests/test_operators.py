@@ -12,15 +12,14 @@ from bizlens.operators import classify, distributions, features, segments
 from bizlens.operators.quantiles import exact_quantiles
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.lists(st.integers(min_value=-50, max_value=50), min_size=1, max_size=60),
-       st.sampled_from([4, 16, 1 << 14]), st.sampled_from([0, 3, 10 ** 9]))
-def test_exact_quantiles_match_numpy(spark, xs, buckets, max_bucket_rows):
-    """Both the one-level path and the two-level (fine cell) path are exact."""
+       st.sampled_from([0, 3, 10 ** 9]))
+def test_exact_quantiles_match_numpy(spark, xs, sort_rows):
+    """Exact whether the ranks are narrowed down to one value or ranked at once."""
     df = spark.createDataFrame([(i % 3, float(x)) for i, x in enumerate(xs)], "g int, x double")
     got = {r["g"]: (r["q25"], r["q5"], r["q75"]) for r in
-           exact_quantiles(df, "x", [0.25, 0.5, 0.75], by="g", buckets=buckets, fine_cells=8,
-                           max_bucket_rows=max_bucket_rows).collect()}
+           exact_quantiles(df, "x", [0.25, 0.5, 0.75], by="g", sort_rows=sort_rows).collect()}
     for g in range(3):
         vals = np.array([float(x) for i, x in enumerate(xs) if i % 3 == g])
         if len(vals) == 0:

@@ -44,8 +44,7 @@ def test_hot_customer_reports_match_duckdb(spark):
 def test_hot_group_quantiles_exact(spark):
     skewed = _skewed_orders(spark).withColumn("g", (F.col("o_custkey") == 1).cast("int"))
     got = {r["g"]: (r["q25"], r["q5"], r["q75"]) for r in
-           exact_quantiles(skewed, "o_totalprice", [0.25, 0.5, 0.75], by="g", buckets=64, fine_cells=16,
-                           max_bucket_rows=5).collect()}
+           exact_quantiles(skewed, "o_totalprice", [0.25, 0.5, 0.75], by="g", sort_rows=5).collect()}
     con = duckdb.connect()
     con.register("s", skewed.select("g", "o_totalprice").toPandas())
     want = con.sql("SELECT g, quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) FROM s GROUP BY 1").fetchall()
@@ -78,3 +77,29 @@ def test_aqe_splits_the_hot_join_partition(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_quantiles_with_an_outlier_rank_few_rows(spark):
+    """One value at 1e18 and heavy ties: no interval keeps more than a few rows for one task."""
+    import numpy as np
+    x = np.concatenate([np.arange(60_000) % 1000, np.full(20_000, 500.0), [1e18, -1e18]]).astype(float)
+    df = spark.range(len(x)).select((F.col("id") % 2).alias("half"), F.lit(0).alias("g"), F.col("id").alias("i"))
+    df = df.join(spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, x double"), "i")
+    row = exact_quantiles(df, "x", [0.0, 0.1, 0.5, 0.9, 1.0], by="g", names=list("abcde"), sort_rows=300).first()
+    assert [row[c] for c in "abcde"] == [float(v) for v in np.quantile(x, [0, 0.1, 0.5, 0.9, 1])]
+    out = exact_quantiles(df, "x", [0.5], by="g", sort_rows=300)
+    assert out.first()["q5"] == float(np.quantile(x, 0.5))
+
+
+def test_quantile_rows_are_not_shuffled_by_group(spark):
+    """With a small broadcast threshold the raw rows still meet the table of groups without an exchange."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        li = load_tables(spark, SF_SMALL)["lineitem"].select("l_returnflag", "l_quantity")
+        from bizlens.operators.quantiles import _beside
+        state = li.groupBy("l_returnflag").agg(F.count("*").alias("_n"))
+        plan = _beside(li, state, ["l_returnflag"])._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
