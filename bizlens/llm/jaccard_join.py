@@ -33,6 +33,8 @@ from .storage import components, materialise
 EXTENSION = 0.1
 #: Rounds of pivots before the remaining candidate pairs are made.
 PIVOT_ROUNDS = 2
+#: Nodes left after the pre-filter are broadcast to their texts up to so many (16 bytes each), and joined beyond.
+BROADCAST_NODES = 2_000_000
 
 
 def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -97,7 +99,8 @@ def _survivors(docs: DataFrame, members: DataFrame, k: int, percent: int) -> Dat
                     [pa.array([w for w, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int64()),
                      _lists([s for _, s in kept])], ["node", "n", "hashes"])
 
-    texts = docs.select("doc_id", "text").join(alive, "doc_id").select("node", "text")
+    few = alive.count() <= BROADCAST_NODES
+    texts = docs.select("doc_id", "text").join(F.broadcast(alive) if few else alive, "doc_id").select("node", "text")
     sets = texts.mapInArrow(run, "node long, n long, hashes array<long>")
     return materialise(sets.dropDuplicates(["node"]), "sets")
 
