@@ -23,15 +23,32 @@ def clean_claims(claims: DataFrame) -> DataFrame:
     return clean.normalise_category(df, "cause")
 
 
-def claims_rules(claims: DataFrame, locations) -> DataFrame:
-    """The data-description checks as rule rows (PR7)."""
-    return profile.quality_rules(claims, [
+#: The ranges and causes of the data description.
+CLAIM_RANGES = {"time_to_close": (0, 1000), "claim_amount": (1637.94, 76106.80), "amount_paid": (1516.72, 52497.75),
+                "individuals_on_claim": (1, 15)}
+CAUSES = ("vegetable", "meat", "unknown")
+
+
+def claims_rules(claims: DataFrame, locations, ranges: dict | None = None, causes=CAUSES) -> DataFrame:
+    """The data-description checks as rule rows (PR7).
+
+    ``ranges`` replaces bounds by column; ``claim_amount`` is checked as the
+    number in its currency text.
+    """
+    bounds = {**CLAIM_RANGES, **(ranges or {})}
+    df = clean.strip_currency(claims, "claim_amount") if dict(claims.dtypes)["claim_amount"] == "string" else claims
+    span = lambda name, column: {"name": f"{name} in range", "column": column, "kind": "range",
+                                 "lo": bounds[column][0], "hi": bounds[column][1]}
+    return profile.quality_rules(df, [
         {"name": "claim_id unique", "column": "claim_id", "kind": "unique"},
-        {"name": "time_to_close in range", "column": "time_to_close", "kind": "range", "lo": 0, "hi": 1000},
+        span("time_to_close", "time_to_close"),
+        span("claim_amount", "claim_amount"),
+        span("amount_paid", "amount_paid"),
         {"name": "location allowed", "column": "location", "kind": "allowed", "values": list(locations)},
+        {"name": "cause allowed", "column": "cause", "kind": "allowed", "values": list(causes)},
         {"name": "amount_paid present", "column": "amount_paid", "kind": "not_null"},
         {"name": "linked_cases present", "column": "linked_cases", "kind": "not_null"},
-        {"name": "individuals in range", "column": "individuals_on_claim", "kind": "range", "lo": 1, "hi": 15},
+        span("individuals", "individuals_on_claim"),
     ])
 
 
