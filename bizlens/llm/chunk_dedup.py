@@ -102,7 +102,7 @@ def _candidates(docs: DataFrame, least: int) -> DataFrame:
         "doc_id", "nth", "since", "until", F.when(F.col("low") == F.col("doc_id"), F.col("high"))
         .otherwise(F.col("low")).alias("other"))
     order = Window.partitionBy("doc_id").orderBy("nth")
-    runs = (repeated.distinct().withColumn("run", F.col("nth") - F.row_number().over(order))
+    runs = (repeated.withColumn("run", F.col("nth") - F.dense_rank().over(order))
             .withColumn("span", F.max("until").over(Window.partitionBy("doc_id", "run"))
                         - F.min("since").over(Window.partitionBy("doc_id", "run"))))
     return runs.where(F.col("span") >= least).select("doc_id", "other").distinct()
