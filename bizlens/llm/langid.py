@@ -24,6 +24,8 @@ WINDOW = 32
 #: The fitting sample: documents per language, and words of each of them.
 FIT_DOCS, FIT_WORDS = 150, 120
 EPOCHS, BATCH, RATE = 4, 512, 0.01
+#: Steps of the optimiser at least: a small sample is gone through more often.
+LEAST_STEPS = 300
 CACHE_WORDS = 300_000
 UNKNOWN = "und"
 
@@ -148,6 +150,7 @@ def fit(words: list[bytes], labels: np.ndarray, classes: int, seed: int = 7, epo
     v2 = {k: np.zeros_like(v) for k, v in w.items()}
     order = np.argsort([len(b) for b in words], kind="stable")
     batches = [order[i:i + BATCH] for i in range(0, len(order), BATCH)]
+    epochs = max(epochs, -(-LEAST_STEPS // max(1, len(batches))))
     step, total = 0, epochs * max(1, len(batches))
     for _ in range(epochs):
         for k in rng.permutation(len(batches)):
