@@ -1,3 +1,20 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
 SQL: dict[str, str] = {}
+
+# Links by counting common shingles, components by walking the links from every document.
+SQL["op2_ngram_jaccard"] = r"""
+WITH RECURSIVE
+lowered AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+split AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w : w <> '') AS w FROM lowered),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i : array_to_string(w[i:i+4], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM split),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(root, node) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT reach.root, links.y FROM reach JOIN links ON links.x = reach.node)
+SELECT doc_id, len(s) AS n_shingles, (SELECT min(root) FROM reach WHERE node = doc_id) AS component_id FROM sets"""
