@@ -22,15 +22,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_PIECES = 400_000  # in each of two generations
+CACHE_PIECES = 200_000  # in each of two generations
 #: Pieces longer than this are merged each time, so that the cache is bounded in bytes.
 CACHE_BYTES_EACH = 64
 BLOCK = 128
-#: Texts of a batch are classified together up to this many code points.
-GROUP_CHARS = 1 << 18
+#: Texts of a batch are encoded together up to this many bytes.
+GROUP_BYTES = 1 << 18
 
 # Classes of a code point after look-ahead.
 LETTER, NUMBER, OTHER, SHORT, LONG, INSIDE, BLANK, BREAK, RESET = range(9)
@@ -222,14 +223,13 @@ class Encoder:
         """Ids of a piece that the young generation of the cache lacks."""
         ids = self.older.get(piece) or array("i", merge(piece.encode("utf-8"), self.ranks)).tobytes()
         if len(piece) <= CACHE_BYTES_EACH:
-            if len(self.cache) >= CACHE_PIECES:
-                self.older = self.cache.copy()
-                self.cache.clear()
             self.cache[piece] = ids
         return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
+        if len(self.cache) >= CACHE_PIECES:
+            self.older, self.cache = self.cache, {}
         joined = "".join(texts)
         if not joined:
             return [np.zeros(0, np.int32) for _ in texts]
@@ -255,15 +255,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in fh if line.strip())}
 
 
-def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``GROUP_BYTES`` bytes, or one longer text."""
     a = size = 0
-    for b, t in enumerate(texts):
-        if size and size + len(t) > GROUP_CHARS:
+    for b, n in enumerate(sizes):
+        if size and size + n > GROUP_BYTES:
             yield a, b
             a, size = b, 0
-        size += len(t)
-    if a < len(texts):
-        yield a, len(texts)
+        size += n
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -286,9 +287,9 @@ def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
             _ENCODERS[key] = Encoder(shared.value)
         enc = _ENCODERS[key]
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).fill_null("").to_pylist()
-            for a, b in _groups(texts):
-                tokens = enc.encode(texts[a:b])
+            ids, texts = batch.column(0), batch.column(1).fill_null("")
+            for a, b in _groups(pc.binary_length(texts).to_pylist()):
+                tokens = enc.encode(texts[a:b].to_pylist())
                 sizes = np.fromiter(map(len, tokens), np.int32, len(tokens))
                 ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 flat = np.concatenate(tokens)
@@ -297,6 +298,8 @@ def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
                 start -= np.repeat(start[np.minimum(ends[:-1], max(0, len(flat) - 1))], sizes) if len(flat) else 0
                 make = lambda v: pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int32)))  # noqa: B023,E731
                 yield pa.RecordBatch.from_arrays([ids[a:b], make(flat), make(start)], ["id", "ids", "offsets"])
+            del ids, texts
+            pa.default_memory_pool().release_unused()
 
     t = df.schema[id_col].dataType.simpleString()
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
