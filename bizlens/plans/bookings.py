@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -68,14 +69,42 @@ def encode_bookings(bookings: DataFrame, max_levels: int | None = None, checkpoi
 
 @dataclass
 class SegmentReport:
+    """Segmentation of the bookings; every part is computed when it is first asked for."""
+
     encoded: DataFrame           # one-hot encoded bookings (checkpointed input)
     feature_names: list          # encoded feature columns
-    segments: DataFrame          # KEY, Segment, col1, col2, price, target
+    projected: DataFrame         # KEY, price, target, col1, col2 and the vector pc
     pca_variance: DataFrame      # component, ratio, cumulative (4 components)
-    elbow: DataFrame             # k, distortion, is_elbow
-    sizes: DataFrame             # Segment, n
-    profile: DataFrame           # Segment, avg_price, n
-    target_mix: DataFrame        # Segment, booking_status, n
+    n_segments: int
+    seed: int
+    ks: range
+    micro_clusters: int
+
+    @cached_property
+    def elbow(self) -> DataFrame:
+        """k, distortion, is_elbow."""
+        return segments.kmeans_sweep(self.projected, "pc", ks=self.ks, seed=self.seed)
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        """KEY, Segment, col1, col2, price, target."""
+        seg = segments.hierarchical_segments(self.projected, "pc", self.n_segments, self.micro_clusters, self.seed)
+        return seg.select(KEY, "Segment", "col1", "col2", PRICE, TARGET)
+
+    @property
+    def sizes(self) -> DataFrame:
+        """Segment, n."""
+        return self.segments.groupBy("Segment").agg(F.count(F.lit(1)).alias("n"))
+
+    @property
+    def profile(self) -> DataFrame:
+        """Segment, avg_price, n."""
+        return segments.segment_profile(self.segments, "Segment", PRICE, TARGET)
+
+    @property
+    def target_mix(self) -> DataFrame:
+        """Segment, booking_status, n."""
+        return segments.segment_target_mix(self.segments, "Segment", TARGET)
 
 
 def booking_segments(bookings: DataFrame, n_segments: int = 4, seed: int = 42, ks=range(2, 11),
@@ -83,19 +112,11 @@ def booking_segments(bookings: DataFrame, n_segments: int = 4, seed: int = 42, k
     enc, feats = encode_bookings(bookings, checkpoint=True, cols=cols)
     scaled = features.standardise(enc, feats, suffix="")
     vec = features.assemble(scaled, feats, "features").select(KEY, TARGET, PRICE, "features")
-    vec = reliable(vec, spread=True)  # feeds PCA twice, the sweep and the clustering
+    vec = reliable(vec, spread=True)  # feeds PCA and the projection
     # one 4-component fit: its first two components are the 2-component projection
     proj, variance4 = features.pca(vec, "features", 4)
     proj = features.assemble(proj.drop("features", "col3", "col4"), ["col1", "col2"], "pc")
-    proj = reliable(proj, spread=True)
-    elbow = segments.kmeans_sweep(proj, "pc", ks=ks, seed=seed)
-    seg = segments.hierarchical_segments(proj, "pc", n_segments, micro_clusters, seed)
-    seg = seg.select(KEY, "Segment", "col1", "col2", PRICE, TARGET)
-    return SegmentReport(
-        encoded=enc, feature_names=feats, segments=seg, pca_variance=variance4, elbow=elbow,
-        sizes=seg.groupBy("Segment").agg(F.count(F.lit(1)).alias("n")),
-        profile=segments.segment_profile(seg, "Segment", PRICE, TARGET),
-        target_mix=segments.segment_target_mix(seg, "Segment", TARGET))
+    return SegmentReport(enc, feats, reliable(proj, spread=True), variance4, n_segments, seed, ks, micro_clusters)
 
 
 def cancellation_leaderboard(bookings: DataFrame, segment_ids: DataFrame | None = None,
