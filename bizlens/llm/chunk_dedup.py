@@ -26,6 +26,8 @@ REACH, ONE_IN = 16, 16
 LEAST, MOST = 16, 256
 #: Words of a passage.
 MIN_WORDS = 50
+#: Documents to compare are broadcast to the texts up to so many ids, and joined beyond.
+BROADCAST_DOCS = 2_000_000
 
 _GEAR = T.mix64(np.arange(1, 257, dtype=np.uint64)).astype(np.uint16)
 
@@ -156,6 +158,9 @@ def repeated_passages(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame
         "doc_id is not null and text is not null")
     pairs = materialise(_candidates(docs, least), "pairs")
     needed = pairs.select("doc_id").unionByName(pairs.select(F.col("other").alias("doc_id"))).distinct()
+    needed = materialise(needed, "needed")
+    if needed.count() <= BROADCAST_DOCS:
+        needed = F.broadcast(needed)
     texts = materialise(docs.join(needed, "doc_id").select("doc_id", F.col("text").cast("binary").alias("bytes")), "texts")
     both = (pairs.join(texts.withColumnRenamed("bytes", "x"), "doc_id")
             .join(texts.select(F.col("doc_id").alias("other"), F.col("bytes").alias("y")), "other")
