@@ -111,16 +111,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4
     w = np.zeros(x.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+        # products in the type of x: no wider copy of the whole matrix in every step
+        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(x.dtype) + w[-1], -30, 30)))
         d = (p - y) * weight / weight.sum()
-        g = np.append(d @ x + l2 * w[:-1], d.sum())
+        g = np.append(d.astype(x.dtype) @ x + l2 * w[:-1], d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.3 * (1 - t / (steps + 1)) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-9)
     return w
 
 
 def _odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return x @ w[:-1] + w[-1]
+    return (x @ w[:-1].astype(x.dtype)).astype(float) + w[-1]
 
 
 def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, apart: np.ndarray, rounds: int = ROUNDS) -> Model:
@@ -197,8 +198,11 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
     apart = np.array([crc32(str(r.doc_id).encode()) % 4 == 0 for r in got]) & (y >= 0)
     if len(set(y[(y >= 0) & ~apart])) < 2:
         apart[:] = False
-    return co_train(np.stack([np.frombuffer(r.content, np.float32) for r in got]),
-                    np.stack([np.frombuffer(r.meta) for r in got]), y, apart)
+    meta = np.stack([np.frombuffer(r.meta) for r in got])
+    content = np.empty((len(got), TRIGRAMS), np.float32)
+    for i in range(len(got)):
+        content[i], got[i] = np.frombuffer(got[i].content, np.float32), None
+    return co_train(content, meta, y, apart)
 
 
 def df_of(documents: DataFrame, wanted: dict[int, int]) -> DataFrame:
