@@ -48,6 +48,8 @@ NAMES = {
 # Prefixes and lengths of the large card networks.
 CARD_PREFIXES = (("4", 13), ("4", 16), ("4", 19), ("34", 15), ("37", 15), ("51", 16), ("52", 16), ("53", 16), ("54", 16),
                  ("55", 16), ("2221", 16), ("2720", 16), ("6011", 16), ("65", 16))
+# Digits of the groups that cards are written in; cards in these forms come before all other numbers.
+CARD_FORMS = {(13,), (15,), (16,), (19,), (4, 4, 4, 4), (4, 6, 5), (4, 4, 4, 4, 3), (4, 4, 4, 1), (4, 3, 3, 3)}
 
 _SYLLABLES = {
     "latin": ("ba", "den", "fel", "gar", "hol", "kin", "lor", "mer", "nal", "pen", "ros", "sil", "tam", "vor", "wes", "zan"),
@@ -59,15 +61,18 @@ _ENDINGS = {("m", "latin"): "o", ("f", "latin"): "a", ("u", "latin"): "e", ("l",
 _GENDER = {n.casefold(): g for (g, _), names in NAMES.items() for n in names}
 _TITLE_GENDER = {t.casefold(): g for g, ts in TITLES.items() for t in ts}
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_TECHNICAL = re.compile("|".join((
+_PARTS = (
     r"(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
     r"(?P<credential>(?i:(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"'])"
     r"[A-Za-z0-9_+/.=-]{12,}(?=[\"']))",
     rf"(?P<ip>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d))",
-    r"(?P<card>(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]))",
+    r"(?P<digits>(?<![\d.-])\d(?:[ -]?\d){12,})",
     r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
     r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)"
-    r"|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))")))
+    r"|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))")
+_TECHNICAL = re.compile("|".join(_PARTS))
+_NO_CARD = re.compile("|".join(p for p in _PARTS if "<digits>" not in p))
+_RUN = re.compile(r"\d(?:[ -]?\d)*")
 _TRIGGER = re.compile(r"[@0-9]|=\s*[\"']|:\s*[\"']")
 _TITLED = re.compile(r"(?<!\w)(?P<title>" + "|".join(sorted(_TITLE_GENDER, key=len, reverse=True)) + r")\.?[  ]"
                      r"(?P<name>[^\W\d_][\w'’-]*(?: [^\W\d_][\w'’-]*){0,2})", re.I)
@@ -94,13 +99,83 @@ def _capital(word: str) -> bool:
     return word[:1].isupper() or (script(word) == "other" and word[:1].isalpha())
 
 
+def _is_card(digits: str) -> bool:
+    return any(digits.startswith(p) and len(digits) == n for p, n in CARD_PREFIXES) and luhn(digits)
+
+
+def _cards(text: str, groups: list[tuple[int, int]], forms: set | None) -> list[tuple[int, int]]:
+    """(first group, last group + 1) of the cards in adjoining groups of digits, the longest of each start;
+    ``forms`` restricts how their digits are grouped."""
+    out, i = [], 0
+    while i < len(groups):
+        last, digits, sizes = 0, "", ()
+        for j in range(i, len(groups)):
+            digits += text[groups[j][0]:groups[j][1]]
+            sizes += (groups[j][1] - groups[j][0],)
+            if len(digits) > 19:
+                break
+            if (forms is None or sizes in forms) and _is_card(digits):
+                last = j + 1
+        if last:
+            out.append((i, last))
+        i = last or i + 1
+    return out
+
+
+def _groups(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    return [m.span() for m in re.compile(r"\d+").finditer(text, start, end)]
+
+
+def _numbers(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of what begins in a run of digits over single spaces and hyphens: cards in
+    a usual form, then everything else but cards, then cards in the groups that are left."""
+    groups = _groups(text, start, end)
+    cards = _cards(text, groups, CARD_FORMS)
+    found = [("card", groups[i][0], groups[j - 1][1]) for i, j in cards]
+    rest: list[list[tuple[int, int]]] = []
+    for a, b in zip([0, *(j for _, j in cards)], [*(i for i, _ in cards), len(groups)]):
+        limit, at = groups[b][0] if b < len(groups) else len(text), start
+        rest.append([])
+        for group in groups[a:b]:
+            if group[0] < at:
+                continue
+            if m := _NO_CARD.match(text, group[0], limit):
+                found.append((m.lastgroup, *m.span()))
+                at = m.end()
+                rest.append([])
+            else:
+                rest[-1].append(group)
+    for left in rest:
+        found += [("card", left[i][0], left[j - 1][1]) for i, j in _cards(text, left, None)]
+    return sorted(found, key=lambda f: f[1])
+
+
+def _technical(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of everything but names, in order."""
+    at = 0
+    while m := _TECHNICAL.search(text, at):
+        at = m.end()
+        if m.lastgroup == "digits":
+            found = _numbers(text, *m.span())
+            yield from found
+            at = max([at, *(f[2] for f in found)])
+            continue
+        if m.lastgroup == "phone":  # the last groups may belong to a card behind it
+            groups = _groups(text, m.start(), _RUN.match(text, _groups(text, m.start(), at)[-1][0]).end())
+            for i, j in _cards(text, groups, CARD_FORMS):
+                if groups[i][0] < at < groups[j - 1][1] and _RUN.fullmatch(text, groups[i][0], groups[j - 1][1]) and (
+                        cut := _TECHNICAL.match(text, m.start(), groups[i][0])):
+                    m, at = cut, cut.end()
+                    break
+        yield m.lastgroup, *m.span()
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of the entities of a text, without overlaps, in order."""
     found = []
     if _TRIGGER.search(text):
-        for m in _TECHNICAL.finditer(text):
-            kind, start, end = m.lastgroup, m.start(), m.end()
-            value = m.group()
+        for kind, start, end in _technical(text):
+            value = text[start:end]
             if kind == "email":
                 start += len(value) - len(value.lstrip("._%+-"))
                 canon = text[start:end].casefold()
@@ -113,9 +188,6 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 canon = value
             else:
                 canon = re.sub(r"\D", "", value)
-                if kind == "card" and not (luhn(canon) and any(canon.startswith(p) and len(canon) == n
-                                                               for p, n in CARD_PREFIXES)):
-                    continue
                 if kind == "phone" and value.startswith("+"):
                     cc = re.match(r"\+\d{1,3}", value).end()
                     start, canon = start + cc, re.sub(r"\D", "", value[cc:])
