@@ -3,9 +3,11 @@
 A gear rolling hash over the last ``REACH`` bytes cuts each text into variable chunks, so a
 passage is cut alike wherever it stands and whatever was inserted before it. Chunks are
 grouped by digest; one that occurs in two documents or more is an anchor. Runs of anchors
-that can belong to a passage of ``MIN_WORDS`` words are then held against a document with
-the same anchors (the first and the last one that has them, never all pairs) and extended
-byte by byte to the whole common passage.
+that can belong to a passage of ``MIN_WORDS`` words are then held against the first document
+with the same anchors (never all pairs) and extended byte by byte to the whole common passage.
+Every window of ``MIN_WORDS`` words around a common anchor that this leaves uncovered is
+hashed, and documents with an equal window are held against the first one that has it: the
+first document of an anchor may hold only parts of what the others share.
 """
 
 from __future__ import annotations
@@ -98,40 +100,110 @@ def anchor_table(docs: DataFrame) -> DataFrame:
 def _candidates(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, other): documents whose anchors of a long enough run are to be compared."""
     table = materialise(anchor_table(docs), "anchors")
-    shared = materialise(table.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-                         .where("low <> high"), "shared")
-    repeated = table.join(shared, "digest").select(
-        "doc_id", "nth", "since", "until", F.when(F.col("low") == F.col("doc_id"), F.col("high"))
-        .otherwise(F.col("low")).alias("other"))
+    shared = materialise(_first(table, "digest"), "shared")
+    repeated = table.join(shared, "digest").select("doc_id", "nth", "since", "until", F.col("low").alias("other"))
     order = Window.partitionBy("doc_id").orderBy("nth")
     runs = (repeated.withColumn("run", F.col("nth") - F.dense_rank().over(order))
             .withColumn("span", F.max("until").over(Window.partitionBy("doc_id", "run"))
                         - F.min("since").over(Window.partitionBy("doc_id", "run"))))
-    return runs.where(F.col("span") >= least).select("doc_id", "other").distinct()
+    return runs.where((F.col("span") >= least) & (F.col("doc_id") != F.col("other"))).select("doc_id", "other").distinct()
+
+
+def _first(table: DataFrame, key: str) -> DataFrame:
+    """(key, low): the first of the documents with equal keys, for keys of two documents or more."""
+    return (table.groupBy(key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+            .where("low <> high").select(key, "low"))
+
+
+class _Anchored:
+    """Bytes, words and anchors of one text."""
+
+    def __init__(self, raw: bytes):
+        self.data = np.frombuffer(raw, np.uint8)
+        ends = np.array([0, len(raw)])
+        _, self.starts, _, _, self.digests = anchors(self.data, ends)
+        self.word, self.stop, _ = T.word_spans(self.data, ends)
+        self.at: dict[int, list[int]] = {}
+        for d, s in zip(self.digests.tolist(), self.starts.tolist()):
+            self.at.setdefault(d, []).append(s)
+
+
+def _passages(x: _Anchored, y: _Anchored, least: int) -> list[tuple[int, int]]:
+    """(first word, last word + 1) in ``x`` of the longest common passages around each pair of equal anchors."""
+    a, b = x.data, y.data
+    seen: dict[int, list[tuple[int, int]]] = {}
+    out: list[tuple[int, int]] = []
+    for d, i in zip(x.digests.tolist(), x.starts.tolist()):
+        w = int(np.searchsorted(x.word, i, "right"))
+        around = max(0, w - least), min(len(x.word), w + least)
+        for j in y.at.get(d, ()):
+            if any(p <= around[0] and around[1] <= q for p, q in out):
+                break  # every window around the anchor is in a passage
+            if any(s <= i < e for s, e in seen.get(i - j, ())):
+                continue
+            start, end = i - _same(a[:i][::-1], b[:j][::-1]), i + _same(a[i:], b[j:])
+            seen.setdefault(i - j, []).append((start, end))
+            p, q = int(np.searchsorted(x.word, start)), int(np.searchsorted(x.stop, end, "right"))
+            if q - p >= least and not any(s <= p and q <= e for s, e in out):
+                out = [(s, e) for s, e in out if not (p <= s and e <= q)] + [(p, q)]
+    return out
 
 
 def common_passages(x: bytes, y: bytes, least: int = MIN_WORDS) -> list[tuple[int, int, int]]:
     """(start, end, words) in ``x`` of the passages of whole words that it shares with ``y``, by common anchors."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    _, xs, _, _, xd = anchors(a, np.array([0, len(a)]))
-    _, ys, _, _, yd = anchors(b, np.array([0, len(b)]))
-    at: dict[int, list[int]] = {}
-    wanted = set(xd.tolist())
-    for d, s in zip(yd.tolist(), ys.tolist()):
-        if d in wanted:
-            at.setdefault(d, []).append(s)
-    word, stop, _ = T.word_spans(a, np.array([0, len(a)]))
-    out: list[tuple[int, int, int]] = []
-    for d, i in zip(xd.tolist(), xs.tolist()):
-        for j in at.get(d, ()):
-            if any(s <= i < e and i - j == shift for s, e, shift in out):
-                break
-            start, end = i - _same(a[:i][::-1], b[:j][::-1]), i + _same(a[i:], b[j:])
-            p, q = int(np.searchsorted(word, start)), int(np.searchsorted(stop, end, "right"))
-            if q - p >= least:
-                out.append((int(word[p]), int(stop[q - 1]), i - j))
-                break
-    return [(s, e, int(np.searchsorted(stop, e, "right") - np.searchsorted(word, s))) for s, e, _ in dict.fromkeys(out)]
+    x_ = _Anchored(x)
+    return [(int(x_.word[p]), int(x_.stop[q - 1]), q - p) for p, q in _passages(x_, _Anchored(y), least)]
+
+
+def _uncovered(x: _Anchored, y: _Anchored, found: list[tuple[int, int]], least: int) -> np.ndarray:
+    """Hashes of the windows of ``least`` words in ``x`` around anchors of both that no passage covers."""
+    n = len(x.word) - least + 1
+    common = np.sort(x.starts[[d in y.at for d in x.digests.tolist()]])
+    if n <= 0 or not len(common):
+        return np.zeros(0, np.uint64)
+    start, end = x.word[:n], x.stop[least - 1:]
+    wanted = np.searchsorted(common, end) > np.searchsorted(common, start)
+    for p, q in found:
+        wanted[p:q - least + 1] = False
+    at = np.flatnonzero(wanted)
+    # sums of (byte + 1) * base ** position, over the power of the window's start
+    terms = (x.data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(x.data))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
+    s, e = start[at], end[at]
+    return np.unique(T.mix64((total[e] - total[s]) * _powers(_INVERSE, len(x.data))[s] + (e - s).astype(np.uint64) * _BASE))
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _compare(pairs: DataFrame, texts: DataFrame, least: int, windows: bool) -> DataFrame:
+    """(doc_id, other, start, end, n_words, window): the common passages in both documents of each
+    pair, and rows of only doc_id and window for the uncovered windows of its first one."""
+    both = (pairs.join(texts.withColumnRenamed("bytes", "x"), "doc_id")
+            .join(texts.select(F.col("doc_id").alias("other"), F.col("bytes").alias("y")), "other")
+            .select("doc_id", "other", "x", "y"))
+    kinds = {"doc_id": "long", "other": "long", "start": "long", "end": "long", "n_words": "long", "window": "long"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, o, raw_x, raw_y in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = _Anchored(raw_x), _Anchored(raw_y)
+                found = _passages(x, y, least)
+                rows = [(i, o, int(x.word[p]), int(x.stop[q - 1]), q - p, None) for p, q in found]
+                rows += [(o, i, int(y.word[p]), int(y.stop[q - 1]), q - p, None) for p, q in _passages(y, x, least)]
+                if windows:
+                    rows += [(i, None, None, None, None, h) for h in _uncovered(x, y, found, least).view(np.int64).tolist()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], list(kinds))
+
+    return both.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))
 
 
 def _same(x: np.ndarray, y: np.ndarray) -> int:
@@ -162,19 +234,11 @@ def repeated_passages(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame
     if needed.count() <= BROADCAST_DOCS:
         needed = F.broadcast(needed)
     texts = materialise(docs.join(needed, "doc_id").select("doc_id", F.col("text").cast("binary").alias("bytes")), "texts")
-    both = (pairs.join(texts.withColumnRenamed("bytes", "x"), "doc_id")
-            .join(texts.select(F.col("doc_id").alias("other"), F.col("bytes").alias("y")), "other")
-            .select("doc_id", "other", "x", "y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, o, *p) for i, o, x, y in zip(*(c.to_pylist() for c in batch.columns))
-                    for p in common_passages(x, y, least)]
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
-                                             ["doc_id", "other", "start", "end", "n_words"])
-
-    found = both.mapInArrow(run, "doc_id long, other long, start long, end long, n_words long")
+    found = materialise(_compare(pairs, texts, least, True), "found")
+    windows = found.where("window is not null").select("window", "doc_id").distinct()
+    again = (windows.join(_first(windows, "window"), "window").where("doc_id <> low")
+             .select("doc_id", F.col("low").alias("other")).distinct().join(pairs, ["doc_id", "other"], "left_anti"))
+    found = found.where("window is null").unionByName(_compare(materialise(again, "again"), texts, least, False))
     return (found.groupBy("doc_id", "start", "end").agg(F.max("n_words").alias("n_words"), F.min("other").alias("other"))
             .select("doc_id", "start", "end", "n_words", F.least("doc_id", "other").alias("first_doc_id"))
             .withColumn("kept", F.col("doc_id") == F.col("first_doc_id")))
