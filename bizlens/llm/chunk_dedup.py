@@ -2,7 +2,8 @@
 
 A gear rolling hash over the last ``REACH`` bytes cuts each text into variable chunks, so a
 passage is cut alike wherever it stands and whatever was inserted before it. Chunks are
-grouped by digest; one that occurs in two documents or more is an anchor. Runs of anchors
+grouped by digest; one that occurs in two documents or more is an anchor. A window of
+``MIN_WORDS`` words without a chunk that is long enough has a shingle of its words as anchor. Runs of anchors
 that can belong to a passage of ``MIN_WORDS`` words are then held against the first document
 with the same anchors (never all pairs) and extended byte by byte to the whole common passage.
 Every window of ``MIN_WORDS`` words around a common anchor that this leaves uncovered is
@@ -28,9 +29,13 @@ REACH, ONE_IN = 16, 16
 LEAST, MOST = 16, 256
 #: Words of a passage.
 MIN_WORDS = 50
+#: Words of the anchors in windows without a chunk that is long enough.
+SHINGLE = 10
 #: Documents to compare are broadcast to the texts up to so many ids, and joined beyond.
 BROADCAST_DOCS = 2_000_000
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _GEAR = T.mix64(np.arange(1, 257, dtype=np.uint64)).astype(np.uint16)
 
 
@@ -67,15 +72,63 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return np.searchsorted(offsets, starts, "right") - 1, starts, ends, whole, T.span_hashes(data, starts, ends)
 
 
-def anchor_table(docs: DataFrame) -> DataFrame:
+def window_anchors(data: np.ndarray, offsets: np.ndarray, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text of each anchor, starts, digests) for windows of ``least`` words without an anchor inside.
+
+    Each has its shingle with the smallest hash as anchor, which depends on the window's bytes
+    alone: equal windows have an anchor in common whatever stands around them.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    word, stop, counts = T.word_spans(data, offsets)
+    n = np.diff(counts) - least + 1
+    n = np.maximum(n, 0)
+    if not n.sum():
+        return none
+    own = np.repeat(np.arange(len(n)), n)
+    first = counts[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    _, _, ends, whole, _ = anchors(data, offsets)
+    # boundaries in the first REACH bytes of a window depend on what stands before it
+    at = np.searchsorted(whole, word[first] + REACH)
+    bare = np.append(ends, len(data) + 1)[at] > stop[first + least - 1]
+    own, first = own[bare], first[bare]
+    if not len(first):
+        return none
+    k = min(SHINGLE, least)
+    mark = np.zeros(len(word) + 1, np.int32)
+    np.add.at(mark, first, 1)
+    np.add.at(mark, first + least, -1)
+    used = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+    hashes = np.zeros(len(word), np.uint64)
+    hashes[used] = T.span_hashes(data, word[used], stop[used])
+    rolled = np.zeros(len(word) - k + 1, np.uint64)
+    for j in range(k):
+        rolled = rolled * _BASE + hashes[j:j + len(rolled)]
+    rolled = T.mix64(rolled + np.uint64(SHINGLE))
+    chosen = np.concatenate([f + rolled[f[:, None] + np.arange(least - k + 1)].argmin(1)
+                             for f in np.array_split(first, -(-len(first) // 16384))])
+    chosen, at = np.unique(chosen, return_index=True)
+    return own[at], word[chosen], rolled[chosen]
+
+
+def anchor_table(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """(doc_id, nth, digest, since, until): ``since`` to ``until`` are the words from the anchor
     before to the anchor behind (or the ends of the text): a common passage with this anchor
     and none of its neighbours lies between them. Boundaries in the first ``REACH`` bytes of a
-    passage depend on what stands before it, so ``since`` goes back as far."""
+    passage depend on what stands before it, so ``since`` goes back as far. Anchors of windows
+    have no ``nth``; each stands for a whole window by itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, _, data, offsets in T.slices(batch.column(1)):
+                own, _, digest = window_anchors(data, offsets, least)
+                if len(own):
+                    order = np.lexsort((digest, own))  # periodic texts repeat one digest
+                    own, digest = own[order], digest[order]
+                    new = np.concatenate(([True], (own[1:] != own[:-1]) | (digest[1:] != digest[:-1])))
+                    whole_window = pa.nulls(int(new.sum()), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[a + own[new]]), whole_window, pa.array(digest[new].view(np.int64)),
+                         whole_window, whole_window], ["doc_id", "nth", "digest", "since", "until"])
                 own, starts, ends, whole, digest = anchors(data, offsets)
                 if not len(own):
                     continue
@@ -99,14 +152,16 @@ def anchor_table(docs: DataFrame) -> DataFrame:
 
 def _candidates(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, other): documents whose anchors of a long enough run are to be compared."""
-    table = materialise(anchor_table(docs), "anchors")
+    table = materialise(anchor_table(docs, least), "anchors")
     shared = materialise(_first(table, "digest"), "shared")
     repeated = table.join(shared, "digest").select("doc_id", "nth", "since", "until", F.col("low").alias("other"))
     order = Window.partitionBy("doc_id").orderBy("nth")
-    runs = (repeated.withColumn("run", F.col("nth") - F.dense_rank().over(order))
+    runs = (repeated.where("nth is not null").withColumn("run", F.col("nth") - F.dense_rank().over(order))
             .withColumn("span", F.max("until").over(Window.partitionBy("doc_id", "run"))
                         - F.min("since").over(Window.partitionBy("doc_id", "run"))))
-    return runs.where((F.col("span") >= least) & (F.col("doc_id") != F.col("other"))).select("doc_id", "other").distinct()
+    return (runs.where(F.col("span") >= least).select("doc_id", "other")
+            .unionByName(repeated.where("nth is null").select("doc_id", "other"))
+            .where(F.col("doc_id") != F.col("other")).distinct())
 
 
 def _first(table: DataFrame, key: str) -> DataFrame:
@@ -118,10 +173,12 @@ def _first(table: DataFrame, key: str) -> DataFrame:
 class _Anchored:
     """Bytes, words and anchors of one text."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, least: int):
         self.data = np.frombuffer(raw, np.uint8)
         ends = np.array([0, len(raw)])
         _, self.starts, _, _, self.digests = anchors(self.data, ends)
+        _, starts, digests = window_anchors(self.data, ends, least)
+        self.starts, self.digests = np.concatenate((self.starts, starts)), np.concatenate((self.digests, digests))
         self.word, self.stop, _ = T.word_spans(self.data, ends)
         self.at: dict[int, list[int]] = {}
         for d, s in zip(self.digests.tolist(), self.starts.tolist()):
@@ -151,8 +208,8 @@ def _passages(x: _Anchored, y: _Anchored, least: int) -> list[tuple[int, int]]:
 
 def common_passages(x: bytes, y: bytes, least: int = MIN_WORDS) -> list[tuple[int, int, int]]:
     """(start, end, words) in ``x`` of the passages of whole words that it shares with ``y``, by common anchors."""
-    x_ = _Anchored(x)
-    return [(int(x_.word[p]), int(x_.stop[q - 1]), q - p) for p, q in _passages(x_, _Anchored(y), least)]
+    x_ = _Anchored(x, least)
+    return [(int(x_.word[p]), int(x_.stop[q - 1]), q - p) for p, q in _passages(x_, _Anchored(y, least), least)]
 
 
 def _uncovered(x: _Anchored, y: _Anchored, found: list[tuple[int, int]], least: int) -> np.ndarray:
@@ -173,10 +230,6 @@ def _uncovered(x: _Anchored, y: _Anchored, found: list[tuple[int, int]], least:
     return np.unique(T.mix64((total[e] - total[s]) * _powers(_INVERSE, len(x.data))[s] + (e - s).astype(np.uint64) * _BASE))
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
@@ -194,7 +247,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, least: int, windows: bool) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, o, raw_x, raw_y in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = _Anchored(raw_x), _Anchored(raw_y)
+                x, y = _Anchored(raw_x, least), _Anchored(raw_y, least)
                 found = _passages(x, y, least)
                 rows = [(i, o, int(x.word[p]), int(x.stop[q - 1]), q - p, None) for p, q in found]
                 rows += [(o, i, int(y.word[p]), int(y.stop[q - 1]), q - p, None) for p, q in _passages(y, x, least)]

@@ -58,3 +58,21 @@ def test_a_window_shared_in_part_and_whole(spark):
     assert not _missing(spark, rows, {3: right, 4: right})
     seam = " ".join([*left.split()[-30:], *right.split()[:30]])
     assert not _missing(spark, rows, {3: seam, 4: seam})
+
+
+def test_passages_of_short_words(spark):
+    rng = random.Random(11)
+    rows, expect = [], {}
+    for p in range(200):
+        passage = _text(rng, 50, 1 + p % 2)
+        for _ in range(2):
+            expect[len(rows)] = passage
+            rows.append((len(rows), f"{_text(rng, rng.randint(0, 60))} {passage} {_text(rng, rng.randint(0, 60))}"))
+    assert not _missing(spark, rows, expect)
+
+
+def test_passages_of_digits(spark):
+    rng = random.Random(12)
+    table = "\n".join(" ".join(str(rng.randrange(10)) for _ in range(4)) for _ in range(14))
+    rows = [(i, f"{_text(rng, 30)}\n{table}\n{_text(rng, 30)}") for i in range(2)]
+    assert not _missing(spark, rows, dict.fromkeys(range(2), table))
