@@ -8,6 +8,7 @@ of its bigrams, cannot reach the wanted coefficient; only the rest is counted ex
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -53,11 +54,44 @@ TEMPLATES = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
                 "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
                 "option) any later version."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+                "option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                 "General Public License as published by the Free Software Foundation; either version 2.1 of the License, "
+                 "or (at your option) any later version."),
+    ("LGPL-2.1", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                 "General Public License as published by the Free Software Foundation; either version 2.1 of the License, "
+                 "or (at your option) any later version."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License, "
+                 "or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License, "
+                 "or (at your option) any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License, "
+                 "or (at your option) any later version."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+                  "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+                  "binary, for any purpose, commercial or non-commercial, and by any means."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
                 "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+                        "International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 "
+                        "International License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("all-rights-reserved", "All rights reserved."),
 )
@@ -97,7 +131,8 @@ def library(templates=TEMPLATES) -> Library:
 
 def scan(data: np.ndarray, offsets: np.ndarray, lib: Library, mask: np.ndarray,
          least: float = LEAST) -> Iterator[tuple[int, int, int, int, float]]:
-    """(text, template, first word, words, coefficient) of the notices, none overlapping another of its template."""
+    """(text, template, first word, words, coefficient) of the notices: of units that overlap, the one with
+    the best coefficient, the longest of equal ones."""
     hashes, counts = plain_words(data, offsets)
     if len(hashes) < 2:
         return
@@ -105,6 +140,7 @@ def scan(data: np.ndarray, offsets: np.ndarray, lib: Library, mask: np.ndarray,
     own = np.repeat(np.arange(len(counts) - 1), np.diff(counts))
     ids[own[1:] != own[:-1]] = -1  # no bigram across texts
     at = np.flatnonzero(ids >= 0)
+    units = []
     for k, size in enumerate(lib.sizes.tolist()):
         p = at[lib.holds[k, ids[at]]]
         if not len(p):
@@ -114,18 +150,22 @@ def scan(data: np.ndarray, offsets: np.ndarray, lib: Library, mask: np.ndarray,
         hits = np.searchsorted(p, end) - np.arange(len(p))
         # 2 * common / (unit + size) >= least; common is at most the shorter side and at most the hits
         fits = (unit * (2 - least) >= least * size) & (2 * hits >= least * (unit + size))
-        last = -1
         for i in np.flatnonzero(fits).tolist():
             a, b = int(p[i]), int(end[i])
-            if a < last:
-                continue
             window = ids[a:b]
             common = sum((Counter(window[window >= 0].tolist()) & lib.counts[k]).values())
             dice = 2 * common / (b - a + size)
             if dice >= least:
-                text = int(own[a])
-                yield text, k, a - int(counts[text]), b - a + 1, dice
-                last = b
+                units.append((-dice, a - b, a, b, k))
+    starts, ends = [], []  # of the bigrams taken, in order
+    for dice, _, a, b, k in sorted(units):
+        i = bisect_right(starts, a)
+        if (i and ends[i - 1] > a) or (i < len(starts) and starts[i] < b):
+            continue
+        starts.insert(i, a)
+        ends.insert(i, b)
+        text = int(own[a])
+        yield text, k, a - int(counts[text]), b - a + 1, -dice
 
 
 def notices(documents: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
