@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from bizlens.sources.tables import load_table
 
-from . import bpe, chunk_dedup, decontaminate, jaccard_join, langid, licenses, pii, quality, sharding, vector_dedup
+from . import (align_tokens, bpe, chunk_dedup, decontaminate, divergence, jaccard_join, langid, licenses, pii, quality,
+               sharding, token_files, vector_dedup)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +54,18 @@ def op4_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.notices(load_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens.alignment_query(load_table(spark, sf_dir, "documents"), *align_tokens.paths())
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(load_table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(spark, load_table(spark, sf_dir, "documents"), token_files.tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -64,4 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_co_trained_quality": op8_co_trained_quality,
     "op9_byte_gru_language": op9_byte_gru_language,
     "op10_chunked_passages": op10_chunked_passages,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_token_files": op13_token_files,
 }
