@@ -6,10 +6,17 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bizlens.operators import cftree
+
+#: Leaves of a summary at most: they are clustered on the driver and sent to the tasks.
+MAX_LEAVES = 5_000
+
 
 def kmeans_sweep(df: DataFrame, features_col: str = "features", ks=range(2, 11), seed: int = 42,
                  max_iter: int = 300, parallel_fits: int = 3) -> DataFrame:
@@ -44,68 +51,24 @@ def kmeans_sweep(df: DataFrame, features_col: str = "features", ks=range(2, 11),
     return df.sparkSession.createDataFrame(rows, "k int, distortion double, is_elbow boolean")
 
 
-def _ward_merge(centres: np.ndarray, weights: np.ndarray, n_clusters: int) -> np.ndarray:
-    """Agglomerate weighted centroids with Ward's criterion; returns a label per centroid.
-
-    Merge cost of clusters a, b: ``w_a w_b / (w_a + w_b) * |c_a - c_b|^2``; the
-    cost matrix is updated in place after each merge (numpy, m <= a few hundred).
-    """
-    m = len(centres)
-    c = centres.astype(float).copy()
-    w = weights.astype(float).copy()
-    members = [[i] for i in range(m)]
-    alive = np.ones(m, dtype=bool)
-
-    def row(a):
-        d2 = ((c - c[a]) ** 2).sum(axis=1)
-        r = w * w[a] / (w + w[a]) * d2
-        r[~alive] = np.inf
-        r[a] = np.inf
-        return r
-
-    cost = np.full((m, m), np.inf)
-    for a in range(m):
-        cost[a] = row(a)
-    while alive.sum() > n_clusters:
-        a, b = np.unravel_index(np.argmin(cost), cost.shape)
-        a, b = min(a, b), max(a, b)
-        c[a] = (w[a] * c[a] + w[b] * c[b]) / (w[a] + w[b])
-        w[a] += w[b]
-        members[a].extend(members[b])
-        alive[b] = False
-        cost[b, :] = np.inf
-        cost[:, b] = np.inf
-        cost[a] = row(a)
-        cost[:, a] = cost[a]
-    groups = [g for g in range(m) if alive[g]]
-    # label clusters by size, largest first (labels are arbitrary otherwise)
-    groups.sort(key=lambda g: (-w[g], members[g][0]))
-    labels = np.empty(m, dtype=int)
-    for lab, g in enumerate(groups):
-        labels[members[g]] = lab
-    return labels
-
-
 def hierarchical_segments(df: DataFrame, features_col: str = "features", n_clusters: int = 4,
-                          micro_clusters: int = 200, seed: int = 42, out_col: str = "Segment") -> DataFrame:
-    """ML6: Ward-style hierarchical segmentation that scales.
-
-    Exact agglomerative clustering needs all pairs of rows. Here a distributed
-    k-means first summarises the rows into at most ``micro_clusters`` weighted
-    centroids; Ward merging runs on those centroids only, and the final label
-    of every row is looked up from its micro-cluster with a broadcast join of a
-    table of at most ``micro_clusters`` rows.
+                          micro_clusters: int = MAX_LEAVES, seed: int = 42, out_col: str = "Segment",
+                          radius: float = 0.05) -> DataFrame:
+    """ML6: hierarchical (Ward) segmentation that scales; adds ``out_col``, 0 for the largest segment.
+
+    Exact agglomerative clustering needs all pairs of rows. Here CF-trees summarise the rows as leaves whose
+    points lie within ``radius`` (a share of the data's spread, see ``cftree.summarise``), so the bound and not the
+    number of rows decides how many there are, ``micro_clusters`` at most. Ward's clustering of the weighted
+    leaves is exact, and every row takes the label of the leaf nearest to it where it is, without a shuffle. With
+    ``radius=0`` and no more distinct rows than ``micro_clusters`` the result is the exact clustering.
+
+    Rows without a finite vector get a null label; fewer distinct rows than ``n_clusters`` give as many
+    segments as there are; no rows give none. Nothing is drawn, so ``seed`` has no effect (it is kept for callers).
     """
-    km = KMeans(k=micro_clusters, seed=seed, featuresCol=features_col, predictionCol="_micro",
-                maxIter=300).fit(df)
-    centres = np.array([np.asarray(v) for v in km.clusterCenters()])
-    sizes = np.array(km.summary.clusterSizes, dtype=float)
-    keep = sizes > 0
-    idx = np.arange(len(centres))[keep]
-    labels = _ward_merge(centres[keep], sizes[keep], min(n_clusters, int(keep.sum())))
-    mapping = df.sparkSession.createDataFrame(
-        [(int(i), int(l)) for i, l in zip(idx, labels)], "_micro int, " + out_col + " int")
-    return km.transform(df).join(F.broadcast(mapping), "_micro").drop("_micro")
+    x = vector_to_array(features_col) if isinstance(df.schema[features_col].dataType, VectorUDT) else F.col(f"`{features_col}`")
+    leaves = cftree.summarise(df, x, radius, micro_clusters)
+    labels = cftree.ward_chain(leaves.centres, leaves.counts, n_clusters)
+    return df.withColumn(out_col, cftree.nearest(x, leaves, labels))
 
 
 def segment_profile(df: DataFrame, segment_col: str, price_col: str, target_col: str) -> DataFrame:

@@ -108,7 +108,7 @@ class SegmentReport:
 
 
 def booking_segments(bookings: DataFrame, n_segments: int = 4, seed: int = 42, ks=range(2, 11),
-                     micro_clusters: int = 200, cols: BookingColumns = DERIVED_COLUMNS) -> SegmentReport:
+                     micro_clusters: int = segments.MAX_LEAVES, cols: BookingColumns = DERIVED_COLUMNS) -> SegmentReport:
     enc, feats = encode_bookings(bookings, checkpoint=True, cols=cols)
     scaled = features.standardise(enc, feats, suffix="")
     vec = features.assemble(scaled, feats, "features").select(KEY, TARGET, PRICE, "features")

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from bizlens.operators import classify, distributions, features, segments
+from bizlens.operators import cftree, classify, distributions, features, segments
 from bizlens.operators.quantiles import exact_quantiles
 
 
@@ -118,7 +118,7 @@ def test_segments_find_two_clouds(spark):
 def test_ward_merge_sizes(k):
     rng = np.random.default_rng(0)
     c = rng.normal(size=(30, 2))
-    labels = segments._ward_merge(c, np.ones(30), k)
+    labels = cftree.ward_chain(c, np.ones(30), k)
     assert len(set(labels.tolist())) == k
 
 
