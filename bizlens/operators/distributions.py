@@ -44,10 +44,13 @@ def box_stats(df: DataFrame, value: str, by, whisker: float = 1.5,
     """DS3: quartiles, whiskers clamped to the data, and outlier count per group.
 
     Quartiles are exact and distributed (rounded to ``digits`` through a
-    decimal, which is exact for money-like inputs); a second pass over the
-    data counts outliers and finds the whisker ends against the fences.
+    decimal, which is exact for money-like inputs); one more pass over the
+    data counts outliers and finds the whisker ends against the fences. The
+    keys and values are written once for the three passes.
     """
     keys = [by] if isinstance(by, str) else list(by)
+    df = reliable(df.select(*keys, number(value).alias("_x")).where(F.col("_x").isNotNull()))
+    value = "_x"
     if method == "approx":  # one percentile_approx pass instead of the exact multi-pass operator
         q = approx_quantiles(df, value, [0.25, 0.5, 0.75], by=keys, names=["q1", "median", "q3"])
     else:
@@ -58,12 +61,11 @@ def box_stats(df: DataFrame, value: str, by, whisker: float = 1.5,
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
           .withColumn("_lf", F.col("q1") - F.lit(whisker) * F.col("iqr"))
           .withColumn("_hf", F.col("q3") + F.lit(whisker) * F.col("iqr")))
-    x = number(value)
     q = reliable(q)  # a row per group
     fences = q.select(*keys, "_lf", "_hf")
     if fences.count() <= BROADCAST_GROUPS:  # the rows stay where they are
         fences = F.broadcast(fences)
-    j = df.where(x.isNotNull()).select(*keys, x.alias("_x")).join(fences, keys)
+    j = df.join(fences, keys)
     ends = j.groupBy(*keys).agg(
         F.min(F.when(F.col("_x") >= F.col("_lf"), F.col("_x"))).alias("whisker_lo"),
         F.max(F.when(F.col("_x") <= F.col("_hf"), F.col("_x"))).alias("whisker_hi"),

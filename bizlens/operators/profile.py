@@ -1,5 +1,5 @@
 """Profiling (PR1-PR7, AG3). Each profile is one aggregation job over the input,
-except ``describe``, whose quartiles add the passes of the exact quantile operator."""
+except ``describe``, whose exact quartiles take a second scan."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from bizlens.functions.ratios import number, round_decimal
-from bizlens.operators.quantiles import approx_quantiles, exact_quantiles
+from bizlens.operators.quantiles import grouped_quantiles
 
 
 def _cols(df: DataFrame, columns) -> list[str]:
@@ -60,22 +60,23 @@ def describe(df: DataFrame, columns=None, digits: int | None = 6,
     """PR2: count, mean, std (sample), min, quartiles, max per numeric column, long form.
     NaN is missing, like NULL.
 
-    Moments come from one aggregation; quartiles from the exact distributed
-    quantile operator (linear interpolation, as pandas ``describe``), or with
-    ``method='approx'`` from one ``percentile_approx`` pass.
+    Two scans of the input: the first finds the moments and a quantile sketch of every
+    column, the second the exact quartiles (linear interpolation, as pandas ``describe``). With
+    ``method='approx'`` quartiles come from ``percentile_approx`` in the same scan as the moments.
     """
     cols = _cols(df, columns) if columns is not None else numeric_columns(df)
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), number(f"`{c}`").alias("value")) for c in cols
     ])).alias("_kv")).select("_kv.column", "_kv.value")
-    moments = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
+    probs, names = [0.25, 0.5, 0.75], ["q25", "q50", "q75"]
+    moments = lambda x: (F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
     if method == "approx":
-        qs = approx_quantiles(long, "value", [0.25, 0.5, 0.75], by="column", names=["q25", "q50", "q75"]).drop("n")
+        points = F.percentile_approx("value", probs, 10_000).alias("_q")
+        out = long.groupBy("column").agg(F.count("value").alias("n"), *moments("value"), points)
+        out = out.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     else:
-        qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by="column", names=["q25", "q50", "q75"]).drop("n")
-    out = moments.join(qs, "column", "left")
+        out = grouped_quantiles(long, "value", probs, ["column"], names, also=moments("_x"))
+    out = out.withColumnRenamed("n", "count")
     if digits is not None:
         for c in ("mean", "std", "q25", "q50", "q75"):
             out = out.withColumn(c, round_decimal(c, digits))

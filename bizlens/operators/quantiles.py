@@ -2,20 +2,18 @@
 
 ``percentile`` keeps every distinct value of a group in one aggregation
 buffer, and a rank window sorts a whole group in one task; with a key holding a
-third of the rows either would put that third on one executor. Instead every
-wanted rank has an open interval of values that holds it, at first the whole
-range of its group, and the interval is narrowed until few rows are inside:
+third of the rows either would put that third on one executor. Instead:
 
-1. ``percentile_approx`` over the rows inside gives values at evenly spaced
-   ranks; the points on both sides of the wanted rank, a step further out than
-   the sketch can err, are the new ends;
-2. one aggregation counts the rows below, at and between the new ends. A rank
-   that falls on an end is found; any other one keeps the rows in between.
+1. one mergeable KLL sketch per group, made beside the counts in the first scan, gives values at evenly
+   spaced ranks; the points on both sides of a wanted rank, further out than the sketch errs,
+   are the ends of an interval. All wanted ranks are read from the same sketch;
+2. one more scan counts the rows below each interval and the rows of each distinct value inside. The
+   order statistics are found among those values, and their place shows whether the interval held them.
 
-Ranks, not values, are halved, so outliers and ties cost nothing: a round keeps
-about ``4 / GRID`` of the rows inside. When at most ``sort_rows`` are left, they
-are counted per distinct value and ranked. The projected input is written once
-and read by every pass; the table of intervals has a row per group.
+An interval keeps about ``2 * SLACK / GRID`` of the rows, whatever their values, since ranks and not values are
+divided; equal values are one row. Where that is more than ``sort_rows``, the interval is counted and narrowed by
+a sketch of the rows inside first. Groups of at most ``sort_rows`` rows need no interval. A sketch that erred by more than
+``SLACK`` is found out by the counts; the interval is then drawn anew, four times as wide.
 
 Quantiles use linear interpolation between the order statistics at
 ``floor(h)`` and ``ceil(h)``, ``h = (n - 1) * p`` (the numpy/pandas default).
@@ -23,14 +21,15 @@ Quantiles use linear interpolation between the order statistics at
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizlens.functions.ratios import number
 from bizlens.session import reliable
 
-#: Evenly spaced points of a sketch, and its accuracy (a rank errs by 1 / ACCURACY of the rows).
-GRID, ACCURACY = 256, 1024
+#: Size of a sketch (its ranks err by 0.07 % of the rows at most, 99 times in 100), evenly spaced points read
+#: from it, and points that an interval reaches beyond its rank (0.3 % of the rows).
+SKETCH, GRID, SLACK = 4096, 1024, 3
 #: Rows of an interval that are ranked directly.
 SORT_ROWS = 200_000
 #: Groups whose intervals are broadcast to the rows; beyond, they are joined.
@@ -48,50 +47,96 @@ def _beside(x: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     return x.join(F.broadcast(state) if few else state, keys)
 
 
-def _inside(k: int):
-    """Is the row in the open interval of rank ``k``; a NULL end is unbounded."""
+def _points(rows: Column, sort_rows: int) -> Column:
+    """Values at evenly spaced ranks, of groups that need an interval (an empty sketch cannot be read)."""
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    return F.when(rows > sort_rows, F.kll_sketch_get_quantile_double("_sketch", grid))
+
+
+def _sketch() -> Column:
+    return F.kll_sketch_agg_double("_x", SKETCH).alias("_sketch")
+
+
+def _ends(points: str, rank: Column, below: Column, rows: Column, slack: int) -> tuple[Column, Column]:
+    """Ends around a rank among ``rows`` sketched rows that ``below`` others precede; null is unbounded."""
+    at = F.try_divide(rank - below, rows) * GRID
+    low, high = F.floor(at).cast("int") - slack, F.ceil(at).cast("int") + slack
+    return F.when(low >= 0, F.get(points, low)), F.when(high <= GRID, F.get(points, high))
+
+
+def _inside(k: int) -> Column:
+    """Is the row in the closed interval of quantile ``k``."""
     lo, hi = F.col(f"_lo{k}"), F.col(f"_hi{k}")
-    return F.col(f"_found{k}").isNull() & (lo.isNull() | (F.col("_x") > lo)) & (hi.isNull() | (F.col("_x") < hi))
-
-
-def _narrowed(x: DataFrame, state: DataFrame, keys: list[str], ranks: int, sort_rows: int) -> DataFrame:
-    """One round: new ends from a sketch of the rows inside, then exact counts around them."""
-    large = [F.col(f"_found{k}").isNull() & (F.col(f"_mid{k}") > sort_rows) for k in range(ranks)]
-    points = [i / GRID for i in range(GRID + 1)]
-    sketch = _beside(x, state, keys).groupBy(*keys).agg(*[
-        F.percentile_approx(F.when(large[k] & _inside(k), F.col("_x")), points, ACCURACY).alias(f"_s{k}")
-        for k in range(ranks)])
-    ends = state.join(sketch, keys, "left")
-    for k in range(ranks):
-        # position of the rank on the grid; the margin is wider than the error of the sketch
-        at = (F.col(f"_r{k}") - F.col(f"_below{k}")) / F.col(f"_mid{k}") * GRID
-        low, high = F.greatest(F.floor(at) - 1, F.lit(0)).cast("int"), F.least(F.ceil(at) + 2, F.lit(GRID)).cast("int")
-        ends = (ends.withColumn(f"_p{k}", F.when(large[k], F.get(f"_s{k}", low)))
-                    .withColumn(f"_q{k}", F.when(large[k], F.get(f"_s{k}", high))))
-    ends = reliable(ends.drop(*[f"_s{k}" for k in range(ranks)]))
-    counts = _beside(x, ends, keys).groupBy(*keys).agg(*[
-        F.count_if(_inside(k) & c).alias(f"_{name}{k}") for k in range(ranks) for name, c in (
-            ("under", F.col("_x") < F.col(f"_p{k}")), ("low", F.col("_x") == F.col(f"_p{k}")),
-            ("between", (F.col("_x") > F.col(f"_p{k}")) & (F.col("_x") < F.col(f"_q{k}"))),
-            ("high", (F.col("_x") == F.col(f"_q{k}")) & (F.col(f"_q{k}") > F.col(f"_p{k}"))))])
-    out = ends.join(counts, keys)
-    fields = [*keys, "_n"]
-    new = []
-    for k in range(ranks):
-        r, p, q = F.col(f"_r{k}"), F.col(f"_p{k}"), F.col(f"_q{k}")
-        first = F.col(f"_below{k}") + F.col(f"_under{k}")
-        second = first + F.col(f"_low{k}")
-        third = second + F.col(f"_between{k}")
-        last = third + F.col(f"_high{k}")
-        left = [(r < first), (r < second), (r < third), (r < last)]  # the rank's place among the five parts
-        keep = lambda name, *new_: F.when(p.isNull(), F.col(f"{name}{k}")).when(left[0], new_[0]).when(  # noqa: B023,E731
-            left[1], new_[1]).when(left[2], new_[2]).when(left[3], new_[3]).otherwise(new_[4])  # noqa: B023
-        lo, hi, below, mid = (F.col(f"{c}{k}") for c in ("_lo", "_hi", "_below", "_mid"))
-        new += [r, keep("_found", F.lit(None), p, F.lit(None), q, F.lit(None)).alias(f"_found{k}"),
-                keep("_lo", lo, lo, p, lo, q).alias(f"_lo{k}"), keep("_hi", p, hi, q, hi, hi).alias(f"_hi{k}"),
-                keep("_below", below, below, second, below, last).alias(f"_below{k}"),
-                keep("_mid", F.col(f"_under{k}"), mid, F.col(f"_between{k}"), mid, below + mid - last).alias(f"_mid{k}")]
-    return reliable(out.select(*fields, *new))
+    return (lo.isNull() | (F.col("_x") >= lo)) & (hi.isNull() | (F.col("_x") <= hi))
+
+
+def _narrowed(x: DataFrame, state: DataFrame, keys: list[str], count: int, sort_rows: int, slack: int) -> DataFrame:
+    """Count the intervals and divide those that hold too many rows, as long as that halves one of them."""
+    before = None
+    while True:
+        counts = _beside(x, state, keys).groupBy(*keys).agg(*[c for k in range(count) for c in (
+            F.count_if(F.col("_x") < F.col(f"_lo{k}")).alias(f"_below{k}"), F.count_if(_inside(k)).alias(f"_rows{k}"))])
+        state = reliable(state.join(counts, keys))
+        sizes = F.array(*[F.col(f"_rows{k}") for k in range(count)])
+        wide = state.select(*keys, F.posexplode(sizes).alias("_k", "_rows")).where(F.col("_rows") > sort_rows)
+        total = wide.agg(F.max("_rows")).first()[0] or 0
+        if total <= sort_rows or (before is not None and 2 * total > before):
+            return state.drop(*[f"{c}{k}" for k in range(count) for c in ("_below", "_rows")])
+        before = total
+        hits = F.array_compact(F.array(*[F.when((F.col(f"_rows{k}") > sort_rows) & _inside(k), F.lit(k)) for k in range(count)]))
+        points = (_beside(x, state, keys).select(*keys, "_x", F.explode(hits).alias("_k")).groupBy(*keys, "_k")
+                  .agg(F.count("_x").alias("_rows"), _sketch()).withColumn("_grid", _points(F.col("_rows"), sort_rows)))
+        grids = points.groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == k, F.col("_grid"))).alias(f"_grid{k}") for k in range(count)])
+        state = state.join(grids, keys, "left")
+        for k in range(count):
+            lo, hi = _ends(f"_grid{k}", F.col(f"_h{k}"), F.col(f"_below{k}"), F.col(f"_rows{k}"), slack)
+            divided = F.col(f"_grid{k}").isNotNull()
+            state = (state.withColumn(f"_hi{k}", F.when(divided, F.coalesce(hi, f"_hi{k}")).otherwise(F.col(f"_hi{k}")))
+                     .withColumn(f"_lo{k}", F.when(divided, F.coalesce(lo, f"_lo{k}")).otherwise(F.col(f"_lo{k}"))))
+        state = reliable(state.drop(*[f"{c}{k}" for k in range(count) for c in ("_grid", "_below", "_rows")]))
+
+
+def grouped_quantiles(df: DataFrame, value: str, probs, keys: list[str], names: list[str], sort_rows: int = SORT_ROWS,
+                      also: tuple[Column, ...] = ()) -> DataFrame:
+    """``keys``, ``n``, the aggregates ``also`` (over ``_x``, the value as a double, null where missing) and a column
+    per probability, null in groups without a value. A null key is a group. Two scans of ``df``, which is not written
+    anywhere."""
+    count, user_keys, keys = len(probs), keys, ["_key"]  # fields of a struct join as equal when null
+    x = df.select(F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(user_keys)]).alias("_key"), number(value).alias("_x"))
+    first = (x.groupBy(*keys).agg(F.count("_x").alias("_n"), *also, _sketch())
+             .withColumn("_grid", _points(F.col("_n"), sort_rows)).drop("_sketch"))
+    first = reliable(first.select("*", *[((F.col("_n") - 1).cast("double") * F.lit(p)).alias(f"_h{k}") for k, p in enumerate(probs)]))
+    most, slack = first.agg(F.max("_n")).first()[0] or 0, SLACK
+    rows = x.where(F.col("_x").isNotNull())
+    while True:
+        state = first.select(*keys, *[F.col(f"_h{k}") for k in range(count)], *[c.alias(f"{name}{k}") for k in range(count) for name, c in zip(
+            ("_lo", "_hi"), _ends("_grid", F.col(f"_h{k}"), F.lit(0), F.col("_n"), slack))])
+        if most * (2 * slack + 1) > sort_rows * GRID:
+            state = _narrowed(rows, state, keys, count, sort_rows, slack)
+        # rows below an interval count as one null, those above not at all
+        hits = F.array_compact(F.array(*[F.when(F.col("_x") < F.col(f"_lo{k}"), F.struct(F.lit(k).alias("k"), F.lit(None).cast("double").alias("x")))
+                                         .when(_inside(k), F.struct(F.lit(k).alias("k"), F.col("_x").alias("x"))) for k in range(count)]))
+        seen = (_beside(rows, state, keys).select(*keys, F.explode(hits).alias("_hit")).select(*keys, "_hit.k", "_hit.x")
+                .groupBy(*keys, "k", "x").agg(F.count(F.lit(1)).alias("_c")))
+        order = Window.partitionBy(*keys, "k").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        wanted = first.select(*keys, F.posexplode(F.array(*[F.col(f"_h{k}") for k in range(count)])).alias("k", "_h"))
+        ranked = seen.withColumn("_end", F.sum("_c").over(order)).join(wanted, [*keys, "k"])
+        at = lambda rank: F.min(F.when((F.col("_end") > rank(F.col("_h"))) & F.col("x").isNotNull(), F.col("x")))
+        found = (ranked.groupBy(*keys, "k", "_h").agg(
+            at(F.floor).alias("_low"), at(F.ceil).alias("_high"), F.sum("_c").alias("_all"),
+            F.coalesce(F.sum(F.when(F.col("x").isNull(), F.col("_c"))), F.lit(0)).alias("_under")))
+        part = F.col("_h") - F.floor("_h")
+        # in order, or the interval missed the rank
+        held = (F.floor("_h") >= F.col("_under")) & (F.ceil("_h") < F.col("_all"))
+        wide = reliable(found.groupBy(*keys).agg(F.bool_and(held).alias("_held"), *[
+            F.max(F.when(F.col("k") == k, F.col("_low") + (F.col("_high") - F.col("_low")) * part)).alias(f"_v{k}") for k in range(count)]))
+        if not wide.where(~F.col("_held")).limit(1).count():
+            break
+        slack *= 4
+    extra = [c for c in first.columns if c not in keys and not c.startswith(("_n", "_h", "_grid"))]
+    out = first.select(*keys, F.col("_n").alias("n"), *extra).join(
+        wide.select(*keys, *[F.col(f"_v{k}").alias(n) for k, n in enumerate(names)]), keys, "left")
+    return out.select(*[F.col(f"_key.k{i}").alias(c) for i, c in enumerate(user_keys)], *out.columns[1:])
 
 
 def exact_quantiles(df: DataFrame, value: str, probs, by=None, names: list[str] | None = None,
@@ -106,39 +151,7 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=None, names: list[str]
     probs = [float(p) for p in probs]
     names = names or [_pname(p) for p in probs]
     src = df if user_keys else df.withColumn("_g", F.lit(0))
-    x = reliable(src.select(*keys, number(value).alias("_x")).where(F.col("_x").isNotNull()))
-
-    state = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = 2 * len(probs)
-    starts = []
-    for k in range(ranks):  # floor and ceil of (n - 1) * p for each p
-        h = (F.col("_n") - 1).cast("double") * F.lit(probs[k // 2])
-        starts += [(F.ceil(h) if k % 2 else F.floor(h)).cast("long").alias(f"_r{k}"),
-                   F.lit(None).cast("double").alias(f"_found{k}"), F.lit(None).cast("double").alias(f"_lo{k}"),
-                   F.lit(None).cast("double").alias(f"_hi{k}"), F.lit(0).cast("long").alias(f"_below{k}"),
-                   F.col("_n").alias(f"_mid{k}")]
-    state = reliable(state.select(*keys, "_n", *starts))
-    pending = F.greatest(F.lit(0), *[F.when(F.col(f"_found{k}").isNull(), F.col(f"_mid{k}")) for k in range(ranks)])
-    while (state.agg(F.max(pending)).first()[0] or 0) > sort_rows:
-        state = _narrowed(x, state, keys, ranks, sort_rows)
-
-    # at most sort_rows values are left per group and rank: rank the distinct ones
-    hits = F.filter(F.array(*[F.when(_inside(k), F.lit(k)) for k in range(ranks)]), lambda k: k.isNotNull())
-    left = (_beside(x, state, keys).select(*keys, "_x", F.explode(hits).alias("_k"))
-            .groupBy(*keys, "_k", "_x").agg(F.count(F.lit(1)).alias("_c")))
-    order = Window.partitionBy(*keys, "_k").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    left = left.withColumn("_end", F.sum("_c").over(order))
-    want = state.select(*keys, F.posexplode(F.array(*[F.col(f"_r{k}") - F.col(f"_below{k}") for k in range(ranks)]))
-                        .alias("_k", "_want"))
-    picked = (left.join(want, [*keys, "_k"]).where((F.col("_want") < F.col("_end")) & (F.col("_want") >= F.col("_end") - F.col("_c")))
-              .groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == k, F.col("_x"))).alias(f"_v{k}") for k in range(ranks)]))
-    out = state.join(picked, keys, "left")
-    value_of = lambda k: F.coalesce(F.col(f"_found{k}"), F.col(f"_v{k}"))
-    cols = []
-    for i, (p, name) in enumerate(zip(probs, names)):
-        h = (F.col("_n") - 1).cast("double") * F.lit(p)
-        cols.append((value_of(2 * i) + (value_of(2 * i + 1) - value_of(2 * i)) * (h - F.floor(h))).alias(name))
-    return out.select(*user_keys, F.col("_n").alias("n"), *cols)
+    return grouped_quantiles(src, value, probs, keys, names, sort_rows).where("n > 0").select(*user_keys, "n", *names)
 
 
 def approx_quantiles(df: DataFrame, value: str, probs, by=None, accuracy: int = 10_000,
