@@ -89,7 +89,7 @@ _CAND_SCHEMA = StructType([StructField("query_id", LongType()), StructField("nei
 
 
 def knn_neighbours(train: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id",
-                   vec_col: str = "features", label_col: str = "label", fit_rows: int = 20_000) -> DataFrame:
+                   vec_col: str = "features", label_col: str = "label", fit_rows: int | None = 20_000) -> DataFrame:
     """Exact k nearest of the fitted rows for every query row (squared Euclidean).
 
     A KNN classifier keeps its training rows, so they are what bounds its cost:
@@ -97,7 +97,12 @@ def knn_neighbours(train: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     hash of the key (all of them when there are no more). The fitted rows are
     broadcast and every query is searched where it is, without a shuffle: the
     work is linear in the queries. Ties are broken by (distance, neighbour id).
+    ``fit_rows=None`` searches every labelled row, through buckets and without
+    a broadcast (``neighbours.nearest_rows``).
     """
+    if fit_rows is None:
+        from bizlens.operators.neighbours import nearest_rows  # builds on the block search above
+        return nearest_rows(train, queries, k, id_col, vec_col, label_col)
     fitted = (train.select(F.col(id_col).cast("long").alias("_tid"), F.col(vec_col).alias("_vec"),
                            F.col(label_col).cast("double").alias("_label"))
               .orderBy(F.xxhash64("_tid"), "_tid").limit(fit_rows).toPandas())
@@ -131,8 +136,9 @@ def knn_vote(neighbours: DataFrame, out_col: str = "prediction") -> DataFrame:
 
 
 def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "id",
-                vec_col: str = "features", label_col: str = "label", fit_rows: int = 20_000) -> DataFrame:
-    """ML8: KNN classifier; returns ``test`` rows with a ``prediction`` column."""
+                vec_col: str = "features", label_col: str = "label", fit_rows: int | None = 20_000) -> DataFrame:
+    """ML8: KNN classifier; returns ``test`` rows with a ``prediction`` column.
+    ``fit_rows=None`` votes among the nearest of every labelled row."""
     nb = knn_neighbours(train, test, k, id_col, vec_col, label_col, fit_rows)
     pred = knn_vote(nb).withColumnRenamed("query_id", id_col)
     return test.join(pred, id_col)
