@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizlens.functions.ratios import number, round_decimal
 from bizlens.operators.quantiles import BROADCAST_GROUPS, approx_quantiles, exact_quantiles
+from bizlens.operators.scan import running_total
 from bizlens.session import reliable
 
 
@@ -109,6 +110,5 @@ def smoothed_density(binned: DataFrame, bandwidth_bins: float = 1.0, radius: int
 
 
 def cumulative(df: DataFrame, order_col: str, value_col: str, out_col: str = "cumulative") -> DataFrame:
-    """AG13/DS8: running total over a short ordered list (e.g. k components)."""
-    w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(out_col, F.sum(value_col).over(w))
+    """AG13/DS8: running total in the order of a column, for any number of rows (see ``scan.running_total``)."""
+    return running_total(df, order_col, value_col, out_col)

@@ -49,7 +49,7 @@ DERIVED_COLUMNS = BookingColumns(
     date_parts=("arrival_year", "arrival_month", "arrival_date"))
 
 
-def encode_bookings(bookings: DataFrame, max_levels: int | None = None, checkpoint: bool = False,
+def encode_bookings(bookings: DataFrame, max_levels: int = features.MAX_COLUMNS, checkpoint: bool = False,
                     cols: BookingColumns = DERIVED_COLUMNS) -> tuple[DataFrame, list[str]]:
     """Target mapped to 0/1, dates dropped, categoricals one-hot; returns (frame, feature names).
 

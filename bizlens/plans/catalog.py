@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +21,7 @@ from bizlens.operators import clean as cl
 from bizlens.operators import distributions as ds
 from bizlens.operators import features as fe
 from bizlens.operators import profile as pr
+from bizlens.operators import scan as sc
 from bizlens.operators import segments as sg
 from bizlens.plans import bookings as bk
 from bizlens.plans import claims as cr
@@ -485,3 +486,78 @@ def q_aligned_columns(spark, base):
 def q_column_slice(spark, base):
     """PJ7: columns by position."""
     return fe.column_slice(_t(spark, base)["orders"], 0, 3)
+
+
+@register("order_running_total")
+def q_order_running_total(spark, base):
+    """AG13: running total over all orders by date, a row each."""
+    o = _t(spark, base)["orders"].select("o_orderkey", "o_orderdate", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    out = ds.cumulative(o, ["o_orderdate", "o_orderkey"], "price", "total")
+    return out.select("o_orderkey", F.col("total").cast("double").alias("total"))
+
+
+def _customer_value(spark, base):
+    return (_t(spark, base)["orders"].groupBy("o_custkey")
+            .agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("value"), F.count(F.lit(1)).alias("n")))
+
+
+@register("customer_ranks")
+def q_customer_ranks(spark, base):
+    """WN2: every customer's dense rank by number of orders (many ties) and rank by value, over all customers."""
+    ranked = sc.global_rank(_customer_value(spark, base), "n", name="n_rank")
+    ranked = sc.global_rank(ranked, "value", name="value_rank", dense=False)
+    return ranked.select("o_custkey", "n", "n_rank", "value_rank")
+
+
+@register("ranked_customers")
+def q_ranked_customers(spark, base):
+    """FI11: the customers whose rank by value is first, third or tenth."""
+    top = sc.top_global(_customer_value(spark, base), "value", (1, 3, 10))
+    return top.select("o_custkey", F.col("value").cast("double").alias("value"))
+
+
+@register("side_by_side")
+def q_side_by_side(spark, base):
+    """PJ6: customers and orders next to each other without a key, the shorter frame filled up."""
+    t = _t(spark, base)
+    return sc.side_by_side(t["customer"].select("c_custkey", "c_mktsegment"), t["orders"].select("o_orderkey", "o_orderpriority"),
+                           "c_custkey", "o_orderkey")
+
+
+@register("row_numbers")
+def q_row_numbers(spark, base):
+    """JN7: a gapless index over all lines, by price and key."""
+    li = _t(spark, base)["lineitem"].select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return sc.row_index(li, [F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber"]).drop("l_extendedprice")
+
+
+@register("label_encode_columns")
+def q_label_encode_columns(spark, base):
+    """ML2: several columns at once, one of them with a level per row and one with missing values."""
+    c = _t(spark, base)["customer"].select("c_custkey", "c_name", F.expr("nullif(c_mktsegment, 'BUILDING')").alias("segment"),
+                                           F.col("c_nationkey").alias("nation"))
+    return fe.label_encode(c, ["c_name", "segment", "nation"])
+
+
+@register("one_hot_vector")
+def q_one_hot_vector(spark, base):
+    """ML1: sparse one-hot vectors of columns with many levels: their length and the places that are 1."""
+    c = _t(spark, base)["customer"].select("c_custkey", "c_name", F.expr("nullif(c_mktsegment, 'BUILDING')").alias("segment"))
+    out = fe.one_hot_vector(c, ["c_name", "segment"])
+    places = F.filter(F.transform(vector_to_array("features"), lambda v, i: F.when(v == 1, i)), lambda i: i.isNotNull())
+    return out.select("c_custkey", F.size(vector_to_array("features")).alias("width"),
+                      F.array_join(places.cast("array<string>"), ",").alias("places"))
+
+
+@register("knn_all_rows")
+def q_knn_all_rows(spark, base):
+    """ML8/JN8: priority of every fifth order by the nearest of all other orders in price and date."""
+    o = _t(spark, base)["orders"].select(
+        "o_orderkey", F.substring("o_orderpriority", 1, 1).cast("double").alias("label"),
+        F.array((F.col("o_totalprice") / 100).cast("double"),
+                F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double")).alias("features"))
+    test = F.col("o_orderkey") % 5 == 0
+    pred = ml.knn_predict(o.where(~test), o.where(test), 5, id_col="o_orderkey", fit_rows=None)
+    return pred.select("o_orderkey", "prediction")
+
+
