@@ -109,6 +109,48 @@ def smoothed_density(binned: DataFrame, bandwidth_bins: float = 1.0, radius: int
     return dens.select("x_bin", "y_bin", (F.col("_m") / total).alias("density"))
 
 
+def density_profiles(df: DataFrame, columns, y: str, by, bins: int = 32, reach: float = 3.0) -> DataFrame:
+    """DS6: smoothed density of many columns against one, per group: (column, ``by``, x_bin, y_bin, x, y, density).
+
+    For every column and group the range of both axes is cut into ``bins``; x and y are the bins' centres. The
+    bandwidth of an axis is its standard deviation times n^(-1/6) (Scott's rule for two dimensions), so it follows each
+    group. The Gaussian kernel is a product, so counts are spread along x and the sums along y: two passes of
+    ``2 r + 1`` copies, up to ``reach`` bandwidths and thus beyond the range. ``density`` is the share in the bin; the
+    shares of a column and group add up to 1. An axis of one value has one bin and is not smoothed. Rows with a missing
+    x, y or NaN are left out, a null group is a group; no rows give none. All columns go through the same jobs.
+    """
+    keys = [by] if isinstance(by, str) else list(by)
+    names = [columns] if isinstance(columns, str) else list(columns)
+    g = [f"_g{i}" for i in range(len(keys))]
+    long = (df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, g)], number(f"`{y}`").alias("_y"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), number(f"`{c}`").alias("x")) for c in names])).alias("_c"))
+        .select(F.struct("_c.column", *g).alias("_key"), F.col("_c.x").alias("_x"), "_y")  # a struct's null fields join as equal
+        .where("_x IS NOT NULL AND _y IS NOT NULL"))
+    of = lambda c: (F.min(c).alias(f"lo{c}"), F.max(c).alias(f"hi{c}"), F.stddev_samp(c).alias(f"sd{c}"))
+    stats = long.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), *of("_x"), *of("_y"))
+    for c in ("_x", "_y"):
+        width = (F.col(f"hi{c}") - F.col(f"lo{c}")) / F.lit(float(bins))
+        stats = (stats.withColumn(f"w{c}", width)
+                 .withColumn(f"bw{c}", F.when(width > 0, F.col(f"sd{c}") * F.pow(F.col("n").cast("double"), F.lit(-1 / 6))))
+                 .withColumn(f"r{c}", F.coalesce(F.ceil(F.col(f"bw{c}") * reach / F.when(width > 0, width)), F.lit(0)).cast("int")))
+    stats = reliable(stats)  # a row per column and group
+    beside = F.broadcast(stats) if stats.count() <= BROADCAST_GROUPS else stats
+    at = lambda c: F.when(F.col(f"w{c}") > 0, F.least(F.floor((F.col(c) - F.col(f"lo{c}")) / F.col(f"w{c}")), F.lit(bins - 1))).otherwise(0).cast("int")
+    grid = long.join(beside, "_key").groupBy("_key", at("_x").alias("b_x"), at("_y").alias("b_y")).agg(F.count(F.lit(1)).cast("double").alias("m"))
+    for c in ("_x", "_y"):
+        step = F.col("d") * F.col(f"w{c}")
+        weight = F.when(F.col("d") == 0, 1.0).otherwise(F.exp(-(step * step) / (2 * F.col(f"bw{c}") * F.col(f"bw{c}"))))
+        other = "b_y" if c == "_x" else "b_x"
+        grid = (grid.join(beside, "_key").withColumn("d", F.explode(F.sequence(-F.col(f"r{c}"), F.col(f"r{c}"))))
+                .groupBy("_key", other, (F.col(f"b{c}") + F.col("d")).alias(f"b{c}")).agg(F.sum(F.col("m") * weight).alias("m")))
+    grid = reliable(grid)  # at most (bins + 2 r)^2 rows a column and group
+    total = grid.groupBy("_key").agg(F.sum("m").alias("t"))
+    centre = lambda c: F.col(f"lo{c}") + (F.col(f"b{c}") + F.lit(0.5)) * F.col(f"w{c}")
+    return (grid.join(total, "_key").join(beside, "_key")
+            .select("_key.column", *[F.col(f"_key.{n}").alias(k) for k, n in zip(keys, g)], F.col("b_x").alias("x_bin"), F.col("b_y").alias("y_bin"),
+                    centre("_x").alias("x"), centre("_y").alias("y"), (F.col("m") / F.col("t")).alias("density")))
+
+
 def cumulative(df: DataFrame, order_col: str, value_col: str, out_col: str = "cumulative") -> DataFrame:
     """AG13/DS8: running total in the order of a column, for any number of rows (see ``scan.running_total``)."""
     return running_total(df, order_col, value_col, out_col)

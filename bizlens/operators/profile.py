@@ -3,6 +3,12 @@ except ``describe``, whose exact quartiles take a second scan."""
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -10,6 +16,8 @@ from pyspark.sql.types import NumericType
 from bizlens.functions.ratios import number, round_decimal
 from bizlens.operators.quantiles import grouped_quantiles
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no installed package
+
 
 def _cols(df: DataFrame, columns) -> list[str]:
     return list(df.columns) if columns is None else ([columns] if isinstance(columns, str) else list(columns))
@@ -83,35 +91,51 @@ def describe(df: DataFrame, columns=None, digits: int | None = 6,
     return out.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
+#: A column whose variance is below this share of its mean square about the overall mean counts as constant.
+CONSTANT = 1e-11
+
+
 def correlation(df: DataFrame, columns=None, digits: int | None = 6) -> DataFrame:
     """PR5: Pearson correlation of every pair of numeric columns, long form.
 
-    Pairwise-complete rows (both values present); a constant column gives NULL
-    instead of a division-by-zero error (D12). All pair moments are computed in
-    one aggregation job.
+    Pairwise-complete rows (both values present, NaN is missing); a column that is constant on them gives NULL instead of
+    a division-by-zero error (D12), and so do pairs without rows. One aggregation finds the means; one more
+    pass multiplies the centred values and the masks of present values (three matrix products a batch give counts, sums,
+    squares and products of all pairs at once) and the tasks' sums are added up per pair.
     """
     cols = _cols(df, columns) if columns is not None else numeric_columns(df)
-    aggs = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j < i:
-                continue
-            xa, xb = number(f"`{a}`"), number(f"`{b}`")
-            both = xa.isNotNull() & xb.isNotNull()
-            xa, xb = F.when(both, xa), F.when(both, xb)
-            r = F.try_divide(F.covar_samp(xa, xb), F.stddev_samp(xa) * F.stddev_samp(xb))
-            aggs.append(r.alias(f"_c_{i}_{j}"))
-    wide = df.agg(*aggs)
-    pairs = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            lo, hi = min(i, j), max(i, j)
-            pairs.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                                  F.col(f"_c_{lo}_{hi}").alias("corr")))
-    out = wide.select(F.explode(F.array(*pairs)).alias("_p")).select("_p.*")
+    x = df.select(*[number(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
+    means = x.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(len(cols))]).first()
+    centre = np.array([means[i] or 0.0 for i in range(len(cols))])
+    upper = np.triu_indices(len(cols))
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((len(cols), len(cols)))
+        s, q, p = n.copy(), n.copy(), n.copy()
+        for batch in batches:
+            present = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(float)
+            values = np.stack([c.fill_null(0.0).to_numpy() for c in batch.columns], axis=1)
+            values = np.where(present > 0, values - centre, 0.0)
+            n += present.T @ present
+            s += values.T @ present  # of the row's column where the other one is present
+            q += (values * values).T @ present
+            p += values.T @ values
+        i, j = upper
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *map(pa.array, (
+            n[upper], s[upper], s.T[upper], q[upper], q.T[upper], p[upper]))], ["i", "j", "n", "si", "sj", "qi", "qj", "p"])
+
+    sums = (x.mapInArrow(gram, "i int, j int, n double, si double, sj double, qi double, qj double, p double")
+            .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "qi", "qj", "p")]))
+    var = lambda q, s: F.col(q) - F.try_divide(F.col(s) * F.col(s), F.col("n"))
+    varies = (var("qi", "si") > CONSTANT * F.col("qi")) & (var("qj", "sj") > CONSTANT * F.col("qj"))
+    r = F.when(varies, (F.col("p") - F.col("si") * F.col("sj") / F.col("n")) / F.sqrt(var("qi", "si") * var("qj", "sj")))
+    r = F.when(F.col("i") == F.col("j"), F.when(varies, F.lit(1.0))).otherwise(r)
     if digits is not None:
-        out = out.withColumn("corr", round_decimal("corr", digits))
-    return out
+        r = round_decimal(r, digits)
+    names = F.array(*[F.lit(c) for c in cols])
+    half = sums.select("i", "j", r.alias("corr"))
+    both = half.unionByName(half.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "corr"))
+    return both.select(F.get(names, "i").alias("column_a"), F.get(names, "j").alias("column_b"), "corr")
 
 
 def quality_rules(df: DataFrame, rules: list[dict]) -> DataFrame:

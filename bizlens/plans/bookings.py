@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.operators import classify, features, segments
+from bizlens.operators import classify, distributions, features, scan, segments
 from bizlens.operators.clean import map_values
 from bizlens.session import reliable
 
@@ -33,6 +33,7 @@ class BookingColumns:
     dropped, everything else except key and target is a numeric feature."""
     categorical: tuple
     date_parts: tuple
+    profile: tuple = ()  # columns drawn against the price per segment
 
 
 # Target mapping and column roles of the bookings analysis
@@ -43,10 +44,14 @@ CSV_COLUMNS = BookingColumns(
                  "no_of_weekend_nights", "no_of_week_nights", "required_car_parking_space",
                  "no_of_special_requests", "no_of_previous_cancellations",
                  "no_of_previous_bookings_not_canceled", "repeated_guest", "room_type_reserved"),
-    date_parts=("arrival_year", "arrival_month", "arrival_date"))
+    date_parts=("arrival_year", "arrival_month", "arrival_date"),
+    profile=("no_of_adults", "no_of_children", "no_of_weekend_nights", "no_of_week_nights", "type_of_meal_plan", "lead_time",
+             "market_segment_type", "booking_status"))
 DERIVED_COLUMNS = BookingColumns(
     categorical=("type_of_meal_plan", "market_segment_type", "region", "no_of_items"),
-    date_parts=("arrival_year", "arrival_month", "arrival_date"))
+    date_parts=("arrival_year", "arrival_month", "arrival_date"),
+    profile=("no_of_items", "total_quantity", "region", "arrival_month", "type_of_meal_plan", "lead_time", "market_segment_type",
+             "booking_status"))
 
 
 def encode_bookings(bookings: DataFrame, max_levels: int = features.MAX_COLUMNS, checkpoint: bool = False,
@@ -67,6 +72,20 @@ def encode_bookings(bookings: DataFrame, max_levels: int = features.MAX_COLUMNS,
     return enc.na.fill(0, subset=feats), feats
 
 
+def profile_densities(bookings: DataFrame, segment_ids: DataFrame, cols: BookingColumns = DERIVED_COLUMNS, bins: int = 32) -> DataFrame:
+    """Each profile column against the price, smoothed per segment (``distributions.density_profiles``).
+
+    ``bookings`` are the raw ones; the target is mapped to 0 and 1, categoricals to their label codes. ``segment_ids`` has
+    KEY and Segment; bookings without a segment are left out.
+    """
+    own = list(dict.fromkeys([*cols.profile, PRICE]))
+    df = bookings.select(KEY, *own)
+    if TARGET in own:
+        df = df.withColumn(TARGET, map_values(TARGET, TARGET_MAP))
+    df = features.label_encode(df, [c for c in cols.profile if c in cols.categorical])
+    return distributions.density_profiles(df.join(segment_ids.select(KEY, "Segment"), KEY), cols.profile, PRICE, "Segment", bins)
+
+
 @dataclass
 class SegmentReport:
     """Segmentation of the bookings; every part is computed when it is first asked for."""
@@ -79,6 +98,8 @@ class SegmentReport:
     seed: int
     ks: range
     micro_clusters: int
+    bookings: DataFrame          # as given
+    cols: BookingColumns
 
     @cached_property
     def elbow(self) -> DataFrame:
@@ -106,6 +127,11 @@ class SegmentReport:
         """Segment, booking_status, n."""
         return segments.segment_target_mix(self.segments, "Segment", TARGET)
 
+    @property
+    def profiles(self) -> DataFrame:
+        """column, Segment, x_bin, y_bin, x, y, density: the profile columns against the price."""
+        return profile_densities(self.bookings, self.segments, self.cols)
+
 
 def booking_segments(bookings: DataFrame, n_segments: int = 4, seed: int = 42, ks=range(2, 11),
                      micro_clusters: int = segments.MAX_LEAVES, cols: BookingColumns = DERIVED_COLUMNS) -> SegmentReport:
@@ -116,29 +142,32 @@ def booking_segments(bookings: DataFrame, n_segments: int = 4, seed: int = 42, k
     # one 4-component fit: its first two components are the 2-component projection
     proj, variance4 = features.pca(vec, "features", 4)
     proj = features.assemble(proj.drop("features", "col3", "col4"), ["col1", "col2"], "pc")
-    return SegmentReport(enc, feats, reliable(proj, spread=True), variance4, n_segments, seed, ks, micro_clusters)
+    return SegmentReport(enc, feats, reliable(proj, spread=True), variance4, n_segments, seed, ks, micro_clusters,
+                         bookings, cols)
 
 
 def cancellation_leaderboard(bookings: DataFrame, segment_ids: DataFrame | None = None,
                              test_fraction: float = 0.3, seed: int = 42, knn_k: int = 5,
                              forest_trees: int = 100, forest_depth: int = 30,
                              encoded: tuple[DataFrame, list[str]] | None = None,
-                             cols: BookingColumns = DERIVED_COLUMNS, scale_features: bool = False) -> DataFrame:
+                             cols: BookingColumns = DERIVED_COLUMNS, scale_features: bool = False,
+                             knn_rows: int | None = None) -> DataFrame:
     """Fit logistic regression, Gaussian naive Bayes, KNN and a random forest on
     the same hold-out split and return their scores, best accuracy first.
 
     ``encoded`` reuses an already encoded frame (e.g. from the segmentation).
     Features are unscaled by default, as in the source analysis (D21);
-    ``scale_features=True`` standardises them (population std) first."""
+    ``scale_features=True`` standardises them (population std) first. The neighbours vote among all
+    training rows; ``knn_rows`` fits on so many of them."""
     enc, feats = encoded if encoded is not None else encode_bookings(bookings, cols=cols)
     if scale_features:
         enc = features.standardise(enc, feats)
     if segment_ids is not None:
         enc = enc.join(segment_ids.select(KEY, F.col("Segment").cast("double").alias("Segment")), KEY)
         feats = feats + ["Segment"]
-    # numeric row id for the neighbour search; fixed by the checkpoint below
-    data = (features.assemble(enc, feats, "features")
-            .select(KEY, F.monotonically_increasing_id().alias("_rid"),
+    # numeric row id for the neighbour search: the place in the order of the keys, so ties fall alike in every run
+    data = (scan.row_index(features.assemble(enc, feats, "features").select(KEY, TARGET, "features"), KEY, "_rid")
+            .select(KEY, "_rid",
                     F.col(TARGET).cast("double").alias("label"), "features",
                     features.split_flag(KEY, test_fraction, seed).alias("_split")))
     data = reliable(data, spread=True)  # one prepared matrix for four fits
@@ -151,7 +180,8 @@ def cancellation_leaderboard(bookings: DataFrame, segment_ids: DataFrame | None
     fits = {
         "Logistic regression": lambda: classify.fit_logistic(train, n_rows=n_train).transform(test),
         "Naive Bayes": lambda: classify.fit_naive_bayes(train).transform(test),
-        "KNN": lambda: classify.knn_predict(tr, te, knn_k, id_col="_rid", vec_col="vec", label_col="label"),
+        "KNN": lambda: classify.knn_predict(tr, te, knn_k, id_col="_rid", vec_col="vec", label_col="label",
+                                            fit_rows=knn_rows),
         "Random forest": lambda: classify.fit_forest(train, trees=forest_trees, max_depth=forest_depth,
                                                      seed=seed).transform(test),
     }

@@ -28,7 +28,7 @@ from bizlens.plans import claims as cr
 from bizlens.plans import orders as rp
 from bizlens.sources.mart import (CANCEL_STATUS, bookings_frame, claims_frame, events_as_orders, lines_mart,
                                   order_facts, orders_mart)
-from bizlens.sources.samples import head_rows, sample_by, sample_rows, tail_rows
+from bizlens.sources.samples import head_rows, sample_by, sample_per_group, sample_rows, tail_rows
 from bizlens.sources.tables import load_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -561,3 +561,34 @@ def q_knn_all_rows(spark, base):
     return pred.select("o_orderkey", "prediction")
 
 
+
+
+@register("sample_per_category")
+def q_sample_per_category(spark, base):
+    """DS5/SC4: exactly 40 random orders of every status and priority."""
+    o = _t(spark, base)["orders"].select("o_orderstatus", "o_orderpriority", "o_orderkey")
+    return sample_per_group(o, ["o_orderstatus", "o_orderpriority"], 40, "o_orderkey", seed=7)
+
+
+@register("correlation_with_missing")
+def q_correlation_with_missing(spark, base):
+    """PR5: pairwise complete rows, a constant column and one without values."""
+    li = _t(spark, base)["lineitem"]
+    missing = lambda c, m, r: F.when(F.col("l_orderkey") % m != r, F.col(c)).alias(c)
+    df = li.select(missing("l_quantity", 3, 0), missing("l_extendedprice", 5, 1), missing("l_discount", 7, 2), "l_tax",
+                   F.lit(4.5).alias("constant"), F.lit(None).cast("double").alias("nothing"))
+    return pr.correlation(df)
+
+
+@register("banded_profiles")
+def q_banded_profiles(spark, base):
+    """RP14/DS6: the eight profile columns against the price, smoothed per price band."""
+    out = bk.profile_densities(_bookings(spark, base), _banded_bookings(spark, base), bins=12)
+    return out.select("column", "Segment", "x_bin", "y_bin", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"),
+                      F.round("density", 6).alias("density"))
+
+
+@register("booking_profiles")
+def q_booking_profiles(spark, base):
+    """RP14: the same for the fitted segments."""
+    return _segment_report(spark, base).profiles
