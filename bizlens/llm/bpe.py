@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import text as T
+
 CACHE_PIECES = 200_000  # in each of two generations
 #: Pieces longer than this are merged each time, so that the cache is bounded in bytes.
 CACHE_BYTES_EACH = 64
@@ -303,7 +305,7 @@ def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
 
     t = df.schema[id_col].dataType.simpleString()
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return (src.mapInArrow(run, f"id {t}, ids array<int>, offsets array<int>")
+    return (src.mapInArrow(T.lean(run), f"id {t}, ids array<int>, offsets array<int>")
             .withColumnRenamed("id", id_col))
 
 
@@ -335,7 +337,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
                     [*(batch.schema.names[:len(rest)]), "decoded"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), "decoded binary"])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(T.lean(run), schema)
 
 
 def ranks_path() -> str:

@@ -61,7 +61,7 @@ def membership(docs: DataFrame, k: int) -> DataFrame:
                     [batch.column(0)[a:b].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([_node(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n", "node"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long")
+    return docs.select("doc_id", "text").mapInArrow(T.lean(run), "doc_id long, n long, node long")
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -76,7 +76,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     [pa.array([_node(s) for s in sets], pa.int64()), pa.array(need, pa.int32()),
                      _lists([s[:c] for s, c in zip(sets, cut)])], ["node", "need", "prefix"])
 
-    return docs.select("text").mapInArrow(run, "node long, need int, prefix array<long>")
+    return docs.select("text").mapInArrow(T.lean(run), "node long, need int, prefix array<long>")
 
 
 def _survivors(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
@@ -101,7 +101,7 @@ def _survivors(docs: DataFrame, members: DataFrame, k: int, percent: int) -> Dat
 
     few = alive.count() <= BROADCAST_NODES
     texts = docs.select("doc_id", "text").join(F.broadcast(alive) if few else alive, "doc_id").select("node", "text")
-    sets = texts.mapInArrow(run, "node long, n long, hashes array<long>")
+    sets = texts.mapInArrow(T.lean(run), "node long, n long, hashes array<long>")
     return materialise(sets.dropDuplicates(["node"]), "sets")
 
 
@@ -215,7 +215,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     side = lambda node, col: sets.select(F.col("node").alias(node), F.col("hashes").alias(col))
     return (pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-            .mapInArrow(run, "a long, b long"))
+            .mapInArrow(T.lean(run), "a long, b long"))
 
 
 def _as(entries: DataFrame, node: str, n: str, pos: str, *rest: str) -> DataFrame:

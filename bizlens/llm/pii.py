@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from . import text as T
 from .storage import materialise
 
 #: Entities past their first attempt are broadcast up to this many, and joined beyond.
@@ -321,7 +322,7 @@ def spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Data
 
     kind = df.schema[id_col].dataType.simpleString()
     return (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, f"id {kind}, start int, end int, kind string, canon string"))
+            .mapInArrow(T.lean(run), f"id {kind}, start int, end int, kind string, canon string"))
 
 
 def _drawn(key: bytes) -> Column:
@@ -413,4 +414,4 @@ def replace(df: DataFrame, key: bytes = b"surrogates", broadcast_most: int = BRO
             yield pa.RecordBatch.from_arrays([*cols, pa.array(said, pa.list_(_ARROW_ENTITY))], [*names, "entities"])
 
     schema = Ty.StructType([src.schema[c] for c in names] + [Ty.StructField("entities", Ty.ArrayType(ENTITY))])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(T.lean(run), schema)

@@ -191,7 +191,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
                     [ids[a:b], pa.array([r.astype(np.float32).tobytes() for r in content], pa.binary()),
                      pa.array([r.tobytes() for r in meta], pa.binary())], ["doc_id", "content", "meta"])
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, content binary, meta binary").collect())
+    got = sorted(rows.mapInArrow(T.lean(run), "doc_id long, content binary, meta binary").collect())
     y = np.array([wanted[r.doc_id] for r in got])
     if len(set(y[y >= 0])) < 2:
         return None
@@ -244,7 +244,7 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
                     [batch.column(0)[a:b], *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] >= THRESHOLD)],
                     ["doc_id", "content_score", "metadata_score", "score", "kept"])
 
-    return src.mapInArrow(run, "doc_id long, content_score double, metadata_score double, score double, kept boolean")
+    return src.mapInArrow(T.lean(run), "doc_id long, content_score double, metadata_score double, score double, kept boolean")
 
 
 def keep(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -263,4 +263,4 @@ def keep(documents: DataFrame, labels: DataFrame) -> DataFrame:
                 p = _probabilities(shared.value, data, offsets, meta)[:, 2]
                 yield whole.slice(a, b - a).filter(pa.array(p >= THRESHOLD))
 
-    return src.mapInArrow(run, documents.schema)
+    return src.mapInArrow(T.lean(run), documents.schema)

@@ -24,6 +24,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Bound the rows that a Python worker gets at a time, unless the session has its own bound.
+
+    Texts make wide rows: Spark's default of 10,000 rows is tens of megabytes in the executor and again in the worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(rows))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of frames that nothing refers to any more."""
     gc.collect()
