@@ -84,24 +84,26 @@ def _splitters(rows: DataFrame, total: int, count: int, ranges: int, whole: set[
                            for k in range(len(splitters) + 1)]
 
 
-def assign(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """One row per input row: id, size, text_crc32, shard (0 to shards - 1), slot (0, 1, ... in each shard).
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 1; shard totals are near equal.
     Rows of equal texts stay in one shard unless their group holds more than ``GROUP_SHARE``
     of a shard, which is then cut where the bytes say so. Null texts are one group with null
     text_crc32; a null id sorts first and stays null; repeated rows are placed each; other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored, but ``carry`` names one that comes along as ``carried``; an empty table gives no rows.
     """
     text = F.col(text_col)
-    rows = materialise(df.select(
+    more = [F.col(f"`{carry}`").alias("carried")] if carry else []
+    along = ["carried"] if carry else []
+    rows = materialise(df.select(*more,
         F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("id")), "rows")
     sums = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
     total, count = sums.bytes or 0, sums.rows
     if not count:
-        return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), *along)
     # at most shards / GROUP_SHARE groups are this large
     limit = GROUP_SHARE * total / shards
     cut = {r.key for r in rows.groupBy("key").agg(F.sum("size").alias("b")).where(F.col("b") > limit).select("key").collect()}
@@ -123,16 +125,22 @@ def assign(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
               .withColumn("at", F.when(F.col("key").isin(list(cut)) if cut else F.lit(False), F.col("at"))
                           .otherwise(F.first("at").over(group))))
     placed = placed.withColumn("shard", F.least(F.expr(f"at * {shards} div {total}"), F.lit(shards - 1)).cast("int"))
-    placed = materialise(placed.select("doc_id", "size", "text_crc32", "shard", "rank"), "placed")
+    placed = materialise(placed.select("doc_id", "size", "text_crc32", "shard", "rank", *along), "placed")
     first = placed.groupBy("shard").agg(F.min("rank").alias("first"))  # a row per shard
     return (placed.join(F.broadcast(first), "shard")
-            .select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - F.col("first")).alias("slot")))
+            .select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - F.col("first")).alias("slot"), *along))
 
 
 def write(df: DataFrame, path: str, shards: int = 8) -> None:
-    """Write the rows of ``df`` (doc_id, ...) with their shard and slot, one folder per shard."""
-    places = assign(df, shards).select("doc_id", "shard", "slot").dropDuplicates(["doc_id"])
-    df.join(places, "doc_id").write.partitionBy("shard").parquet(path)
+    """Write every row of ``df`` (doc_id, text, ...) with its shard and slot, one folder per shard.
+
+    Rows are matched by a number of their own, so rows without doc_id and repeated rows are written each. Input
+    columns named ``shard`` or ``slot`` are written with ``_in`` behind their names. An empty table writes none.
+    """
+    taken = {c: f"{c}_in" for c in ("shard", "slot") if c in df.columns}
+    rows = materialise(df.withColumnsRenamed(taken).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    places = assign(rows, shards, carry="__row").select(F.col("carried").alias("__row"), "shard", "slot")
+    rows.join(places, "__row").drop("__row").write.partitionBy("shard").parquet(path)
 
 
 def shards_query(documents: DataFrame, shards: int = 8) -> DataFrame:

@@ -153,15 +153,22 @@ def _block(found: pa.Table, asked: pa.Table, index: Index, dim: int, least: floa
     if not len(i):
         return none
     links = np.bincount(i, weights=found.column("copies").to_numpy()[j], minlength=len(x)).astype(np.int64)
+    # the indexed vector finds the query by itself if it probes the query's list; otherwise the link is counted for it here
+    probes, home = found.column("probes").combine_chunks(), asked.column("home").to_numpy()
+    probes = probes.flatten().to_numpy().reshape(len(y), -1)
+    alone = np.concatenate([np.zeros(0, bool)] + [(probes[j[k:k + 65536]] != home[i[k:k + 65536], None]).all(1)
+                                                  for k in range(0, len(i), 65536)])
+    back = np.bincount(j[alone], weights=asked.column("weight").to_numpy()[i[alone]], minlength=len(y)).astype(np.int64)
     a, b = _forest(own[i], other[j])
-    some = np.flatnonzero(links)
-    return pa.table({"a": pa.array(np.concatenate([a, own[some]])), "b": pa.array(np.concatenate([b, own[some]])),
-                     "links": pa.array(np.concatenate([np.zeros(len(a), np.int64), links[some]]))})
+    some, more = np.flatnonzero(links), np.flatnonzero(back)
+    return pa.table({"a": pa.array(np.concatenate([a, own[some], other[more]])), "b": pa.array(np.concatenate([b, own[some], other[more]])),
+                     "links": pa.array(np.concatenate([np.zeros(len(a), np.int64), links[some], back[more]]))})
 
 
 def links(nodes: DataFrame, dim: int, least: float) -> DataFrame:
     """(a, b, links) over nodes (node, vec, copies) of one dimension: connecting edges, and for
-    rows with a = b a number of linked vectors to be summed per node."""
+    rows with a = b a number of linked vectors to be summed per node. A link that only one end's probes find
+    is counted for both ends, one that both find once for each."""
     spark = nodes.sparkSession
     count = nodes.count()
     lists = int(min(LISTS_MOST, max(LISTS_LEAST, LISTS_ROOT * math.sqrt(count))))
@@ -181,16 +188,17 @@ def links(nodes: DataFrame, dim: int, least: float) -> DataFrame:
                 ["node", "vec", "copies", "cell", "code", "err", "probes"])
 
     placed = materialise(nodes.select("node", "vec", "copies").mapInArrow(
-        place, "node long, vec array<float>, copies long, cell int, code binary, err double, probes array<int>"), "index")
-    asked = placed.select(F.col("node").alias("query"), F.col("vec").alias("asked"), F.explode("probes").alias("cell"))
+        place, f"node long, vec {nodes.schema['vec'].dataType.simpleString()}, copies long, cell int, code binary, err double, probes array<int>"), "index")
+    asked = placed.select(F.col("node").alias("query"), F.col("vec").alias("asked"), F.col("copies").alias("weight"), F.col("cell").alias("home"),
+                          F.explode("probes").alias("cell"))
     blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(name))
     sizes = blocks(placed, "ib").join(blocks(asked, "qb"), "cell")  # a row per list, LISTS_MOST at most
     part = lambda of, n: F.pmod(F.xxhash64(of, F.lit(3)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = (placed.join(F.broadcast(sizes), "cell")
-            .select("cell", part("node", "ib").alias("i"), every("qb").alias("q"), "node", "vec", "copies", "code", "err"))
+            .select("cell", part("node", "ib").alias("i"), every("qb").alias("q"), "node", "vec", "copies", "code", "err", "probes"))
     right = (asked.join(F.broadcast(sizes), "cell")
-             .select("cell", every("ib").alias("i"), part("query", "qb").alias("q"), "query", "asked"))
+             .select("cell", every("ib").alias("i"), part("query", "qb").alias("q"), "query", "asked", "weight", "home"))
     by = ["cell", "i", "q"]
     return (left.groupBy(*by).cogroup(right.groupBy(*by))
             .applyInArrow(lambda a, b: _block(a, b, shared.value, dim, least), "a long, b long, links long"))
@@ -206,7 +214,9 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
     reach (null without vec_id) and ``kept`` tells that it is the row's own. Other columns
     are ignored; an empty table gives no rows.
     """
-    vec = F.col("embedding").cast("array<float>")
+    # floats stay as they are; any other numbers become doubles
+    vec = F.col("embedding")
+    vec = vec if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else vec.cast("array<double>")
     rows = materialise(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec")), "vectors")
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     usable = (F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & finite

@@ -124,6 +124,19 @@ def test_shard_edges(spark):
     assert sharding.assign(df.limit(0)).count() == 0
 
 
+def test_shards_are_written_whole(spark, tmp_path):
+    """Rows without an id, repeated rows and clashing names: every row once, slots gapless."""
+    rows = [(i % 30 if i % 7 else None, f"text {i % 11}" if i % 5 else None, i, "x") for i in range(200)] + [(3, "text 3", 3, "x")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int, slot string")
+    sharding.write(df, str(tmp_path / "out"), 4)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    key = lambda r: tuple((v is None, v) for v in r)
+    assert sorted(((r.doc_id, r.text, r.shard_in, r.slot_in) for r in got), key=key) == sorted(rows, key=key)
+    for s in range(4):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    sharding.write(df.limit(0), str(tmp_path / "none"))
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 20))
@@ -144,6 +157,30 @@ def test_vectors_equal_brute_force(spark):
     assert vector_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("probes", [vector_dedup.PROBES, 3])
+def test_links_count_at_both_ends(spark, monkeypatch, probes):
+    """Far more lists than probes: a link that one end finds counts for the other one too; recall against brute force."""
+    monkeypatch.setattr(vector_dedup, "LISTS_ROOT", 4)
+    monkeypatch.setattr(vector_dedup, "PROBES", probes)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(2400, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=(600, 32))
+    away -= (away * x[:600]).sum(1, keepdims=True) * x[:600]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cos = rng.uniform(0.905, 0.95, (600, 1))
+    x = np.concatenate([x, cos * x[:600] + np.sqrt(1 - cos ** 2) * away, x[:20]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(df).collect()}
+    near = (x @ x.T >= 0.9).sum(1) - 1
+    assert all(got[i] <= near[i] for i in range(len(x)))
+    # pairs that no other link touches: both ends say the same
+    plain = [i for i in range(20, 600) if near[i] == 1 and near[2400 + i] == 1]
+    assert len(plain) > 500 and all(got[i] == got[2400 + i] for i in plain)
+    if probes == vector_dedup.PROBES and probes > 3:
+        assert sum(got[i] == near[i] for i in range(len(x))) >= 0.99 * len(x)
+
+
 def _leaks(spark, path):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()}
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
