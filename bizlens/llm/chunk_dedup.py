@@ -4,11 +4,11 @@ A gear rolling hash over the last ``REACH`` bytes cuts each text into variable c
 passage is cut alike wherever it stands and whatever was inserted before it. Chunks are
 grouped by digest; one that occurs in two documents or more is an anchor. A window of
 ``MIN_WORDS`` words without a chunk that is long enough has a shingle of its words as anchor. Runs of anchors
-that can belong to a passage of ``MIN_WORDS`` words are then held against the first document
-with the same anchors (never all pairs) and extended byte by byte to the whole common passage.
-Every window of ``MIN_WORDS`` words around a common anchor that this leaves uncovered is
-hashed, and documents with an equal window are held against the first one that has it: the
-first document of an anchor may hold only parts of what the others share.
+that can belong to a passage of ``MIN_WORDS`` words mark regions of a document, and every window of
+``MIN_WORDS`` words in a region is hashed, once per document. Windows of equal hash in two documents
+are repeated; runs of them are the passages, to the word. No two texts are ever compared, so
+the work is linear in the texts however often a line or a passage repeats. Documents of equal text are one
+until the end: the first one's windows stand for all.
 """
 
 from __future__ import annotations
@@ -31,11 +31,14 @@ LEAST, MOST = 16, 256
 MIN_WORDS = 50
 #: Words of the anchors in windows without a chunk that is long enough.
 SHINGLE = 10
-#: Documents to compare are broadcast to the texts up to so many ids, and joined beyond.
-BROADCAST_DOCS = 2_000_000
+#: Documents with regions are broadcast to the texts up to so many ids, and joined beyond.
+BROADCAST_DOCS = 500_000
+#: Windows that a worker hands on at a time.
+EMIT = 20_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bases (odd) of the two hashes of a window, and their inverses.
+_BASES = [(np.uint64(b), np.uint64(pow(b, -1, 1 << 64))) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
 _GEAR = T.mix64(np.arange(1, 257, dtype=np.uint64)).astype(np.uint16)
 
 
@@ -115,24 +118,27 @@ def anchor_table(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     before to the anchor behind (or the ends of the text): a common passage with this anchor
     and none of its neighbours lies between them. Boundaries in the first ``REACH`` bytes of a
     passage depend on what stands before it, so ``since`` goes back as far. Anchors of windows
-    have no ``nth``; each stands for a whole window by itself."""
+    have no ``nth``; theirs are the words that windows around them reach."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, _, data, offsets in T.slices(batch.column(1)):
-                own, _, digest = window_anchors(data, offsets, least)
+                word, _, counts = T.word_spans(data, offsets)
+                own, at, digest = window_anchors(data, offsets, least)
                 if len(own):
+                    place = np.searchsorted(word, at) - counts[own]
+                    since = np.maximum(place + min(SHINGLE, least) - least, 0)
+                    until = np.minimum(place + least, np.diff(counts)[own])
                     order = np.lexsort((digest, own))  # periodic texts repeat one digest
-                    own, digest = own[order], digest[order]
-                    new = np.concatenate(([True], (own[1:] != own[:-1]) | (digest[1:] != digest[:-1])))
-                    whole_window = pa.nulls(int(new.sum()), pa.int32())
+                    own, digest, since, until = own[order], digest[order], since[order], until[order]
+                    new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (digest[1:] != digest[:-1]))))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[a + own[new]]), whole_window, pa.array(digest[new].view(np.int64)),
-                         whole_window, whole_window], ["doc_id", "nth", "digest", "since", "until"])
+                        [pa.array(ids[a + own[new]]), pa.nulls(len(new), pa.int32()), pa.array(digest[new].view(np.int64)),
+                         pa.array(np.minimum.reduceat(since, new).astype(np.int32)),
+                         pa.array(np.maximum.reduceat(until, new).astype(np.int32))], ["doc_id", "nth", "digest", "since", "until"])
                 own, starts, ends, whole, digest = anchors(data, offsets)
                 if not len(own):
                     continue
-                word, _, counts = T.word_spans(data, offsets)
                 first = np.concatenate(([True], own[1:] != own[:-1]))
                 last = np.concatenate((own[1:] != own[:-1], [True]))
                 base = counts[own]
@@ -147,154 +153,119 @@ def anchor_table(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                      pa.array(since.astype(np.int32)), pa.array(until.astype(np.int32))],
                     ["doc_id", "nth", "digest", "since", "until"])
 
-    return docs.mapInArrow(run, "doc_id long, nth int, digest long, since int, until int")
+    return docs.mapInArrow(T.lean(run), "doc_id long, nth int, digest long, since int, until int")
 
 
-def _candidates(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, other): documents whose anchors of a long enough run are to be compared."""
+def _regions(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, since, until): words of a document that may belong to a passage of another one."""
     table = materialise(anchor_table(docs, least), "anchors")
-    shared = materialise(_first(table, "digest"), "shared")
-    repeated = table.join(shared, "digest").select("doc_id", "nth", "since", "until", F.col("low").alias("other"))
+    shared = (table.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+              .where("low <> high").select("digest"))
+    repeated = table.join(materialise(shared, "shared"), "digest").select("doc_id", "nth", "since", "until")
     order = Window.partitionBy("doc_id").orderBy("nth")
     runs = (repeated.where("nth is not null").withColumn("run", F.col("nth") - F.dense_rank().over(order))
-            .withColumn("span", F.max("until").over(Window.partitionBy("doc_id", "run"))
-                        - F.min("since").over(Window.partitionBy("doc_id", "run"))))
-    return (runs.where(F.col("span") >= least).select("doc_id", "other")
-            .unionByName(repeated.where("nth is null").select("doc_id", "other"))
-            .where(F.col("doc_id") != F.col("other")).distinct())
-
-
-def _first(table: DataFrame, key: str) -> DataFrame:
-    """(key, low): the first of the documents with equal keys, for keys of two documents or more."""
-    return (table.groupBy(key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-            .where("low <> high").select(key, "low"))
-
-
-class _Anchored:
-    """Bytes, words and anchors of one text."""
-
-    def __init__(self, raw: bytes, least: int):
-        self.data = np.frombuffer(raw, np.uint8)
-        ends = np.array([0, len(raw)])
-        _, self.starts, _, _, self.digests = anchors(self.data, ends)
-        _, starts, digests = window_anchors(self.data, ends, least)
-        self.starts, self.digests = np.concatenate((self.starts, starts)), np.concatenate((self.digests, digests))
-        self.word, self.stop, _ = T.word_spans(self.data, ends)
-        self.at: dict[int, list[int]] = {}
-        for d, s in zip(self.digests.tolist(), self.starts.tolist()):
-            self.at.setdefault(d, []).append(s)
-
-
-def _passages(x: _Anchored, y: _Anchored, least: int) -> list[tuple[int, int]]:
-    """(first word, last word + 1) in ``x`` of the longest common passages around each pair of equal anchors."""
-    a, b = x.data, y.data
-    seen: dict[int, list[tuple[int, int]]] = {}
-    out: list[tuple[int, int]] = []
-    for d, i in zip(x.digests.tolist(), x.starts.tolist()):
-        w = int(np.searchsorted(x.word, i, "right"))
-        around = max(0, w - least), min(len(x.word), w + least)
-        for j in y.at.get(d, ()):
-            if any(p <= around[0] and around[1] <= q for p, q in out):
-                break  # every window around the anchor is in a passage
-            if any(s <= i < e for s, e in seen.get(i - j, ())):
-                continue
-            start, end = i - _same(a[:i][::-1], b[:j][::-1]), i + _same(a[i:], b[j:])
-            seen.setdefault(i - j, []).append((start, end))
-            p, q = int(np.searchsorted(x.word, start)), int(np.searchsorted(x.stop, end, "right"))
-            if q - p >= least and not any(s <= p and q <= e for s, e in out):
-                out = [(s, e) for s, e in out if not (p <= s and e <= q)] + [(p, q)]
+            .groupBy("doc_id", "run").agg(F.min("since").alias("since"), F.max("until").alias("until")))
+    return (runs.where(F.col("until") - F.col("since") >= least).select("doc_id", "since", "until")
+            .unionByName(repeated.where("nth is null").select("doc_id", "since", "until")))
+
+
+def window_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each byte span; spans may overlap, the work is linear in the text."""
+    terms, sizes, out = data.astype(np.uint64) + np.uint64(1), (ends - starts).astype(np.uint64), []
+    for base, inverse in _BASES:
+        # sums of (byte + 1) * base ** position, over the power of the span's start
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms * _powers(base, len(data)), dtype=np.uint64)))
+        out.append(T.mix64((total[ends] - total[starts]) * _powers(inverse, len(data) + 1)[starts] + sizes * base))
     return out
 
 
-def common_passages(x: bytes, y: bytes, least: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(start, end, words) in ``x`` of the passages of whole words that it shares with ``y``, by common anchors."""
-    x_ = _Anchored(x, least)
-    return [(int(x_.word[p]), int(x_.stop[q - 1]), q - p) for p, q in _passages(x_, _Anchored(y, least), least)]
-
-
-def _uncovered(x: _Anchored, y: _Anchored, found: list[tuple[int, int]], least: int) -> np.ndarray:
-    """Hashes of the windows of ``least`` words in ``x`` around anchors of both that no passage covers."""
-    n = len(x.word) - least + 1
-    common = np.sort(x.starts[[d in y.at for d in x.digests.tolist()]])
-    if n <= 0 or not len(common):
-        return np.zeros(0, np.uint64)
-    start, end = x.word[:n], x.stop[least - 1:]
-    wanted = np.searchsorted(common, end) > np.searchsorted(common, start)
-    for p, q in found:
-        wanted[p:q - least + 1] = False
-    at = np.flatnonzero(wanted)
-    # sums of (byte + 1) * base ** position, over the power of the window's start
-    terms = (x.data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(x.data))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
-    s, e = start[at], end[at]
-    return np.unique(T.mix64((total[e] - total[s]) * _powers(_INVERSE, len(x.data))[s] + (e - s).astype(np.uint64) * _BASE))
-
-
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, least: int, windows: bool) -> DataFrame:
-    """(doc_id, other, start, end, n_words, window): the common passages in both documents of each
-    pair, and rows of only doc_id and window for the uncovered windows of its first one."""
-    both = (pairs.join(texts.withColumnRenamed("bytes", "x"), "doc_id")
-            .join(texts.select(F.col("doc_id").alias("other"), F.col("bytes").alias("y")), "other")
-            .select("doc_id", "other", "x", "y"))
-    kinds = {"doc_id": "long", "other": "long", "start": "long", "end": "long", "n_words": "long", "window": "long"}
+def windows(regions: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """(w1, w2, doc_id, top, nth, start, end): the windows of ``least`` words in the regions of each document.
 
+    ``regions`` has doc_id, text, ``top`` and an array ``around`` of word ranges; every window of a range
+    is a row, whole words from ``start`` to ``end`` in bytes, equal windows of one document included.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, o, raw_x, raw_y in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = _Anchored(raw_x, least), _Anchored(raw_y, least)
-                found = _passages(x, y, least)
-                rows = [(i, o, int(x.word[p]), int(x.stop[q - 1]), q - p, None) for p, q in found]
-                rows += [(o, i, int(y.word[p]), int(y.stop[q - 1]), q - p, None) for p, q in _passages(y, x, least)]
-                if windows:
-                    rows += [(i, None, None, None, None, h) for h in _uncovered(x, y, found, least).view(np.int64).tolist()]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], list(kinds))
-
-    return both.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))
-
-
-def _same(x: np.ndarray, y: np.ndarray) -> int:
-    """Length of the common prefix."""
-    n, step, done = min(len(x), len(y)), 256, 0
-    while done < n:
-        differ = np.flatnonzero(x[done:min(n, done + step)] != y[done:min(n, done + step)])
-        if len(differ):
-            return done + int(differ[0])
-        done, step = done + step, step * 4
-    return n
+            for i, top, text, around in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+                data = np.frombuffer(text.as_py(), np.uint8)
+                word, stop, _ = T.word_spans(data, np.array([0, len(data)]))
+                n = len(word) - least + 1
+                if n <= 0:
+                    continue
+                mark = np.zeros(n + 1, np.int64)
+                for r in around:
+                    first, last = min(r["since"], n), min(r["until"] - least + 1, n)
+                    if first < last:
+                        mark[first] += 1
+                        mark[last] -= 1
+                at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+                if not len(at):
+                    continue
+                # only the bytes between the first and the last window
+                low, high = int(word[at[0]]), int(stop[at[-1] + least - 1])
+                start, end = word[at], stop[at + least - 1]
+                w1, w2 = window_hashes(data[low:high], start - low, end - low)
+                for a in range(0, len(at), EMIT):
+                    b = min(len(at), a + EMIT)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(w1[a:b].view(np.int64)), pa.array(w2[a:b].view(np.int64)), pa.array(np.full(b - a, i)),
+                         pa.array(np.full(b - a, top)), pa.array(at[a:b].astype(np.int32)), pa.array(start[a:b]), pa.array(end[a:b])],
+                        ["w1", "w2", "doc_id", "top", "nth", "start", "end"])
+
+    return (regions.select("doc_id", "top", F.col("text").cast("binary").alias("text"), "around")
+            .mapInArrow(T.lean(run), "w1 long, w2 long, doc_id long, top long, nth int, start long, end long"))
 
 
 def repeated_passages(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """One row per repeated passage of a document: doc_id, start and end (bytes of its UTF-8
     text), n_words, first_doc_id (the smallest document it was found in), kept.
 
-    ``kept`` marks the passage of its first document; all others may be cut (``remove``).
-    Null, empty and short texts have no rows, nor have rows without doc_id; repeated rows of
+    A passage is a longest run of windows of ``least`` words that other documents have, all of them windows
+    that the document is the first to have (``kept``) or all of them found in an earlier one; those may be cut
+    (``remove``). Null, empty and short texts have no rows, nor have rows without doc_id; repeated rows of
     one doc_id are one document; other columns are ignored; an empty table gives no rows.
-    Passages repeated inside one document only are not reported.
+    Passages repeated inside one document only are not reported. Of documents with equal texts the first has
+    the passages; each other one has its whole text as one, from its first word to its last.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(
         "doc_id is not null and text is not null")
-    pairs = materialise(_candidates(docs, least), "pairs")
-    needed = pairs.select("doc_id").unionByName(pairs.select(F.col("other").alias("doc_id"))).distinct()
-    needed = materialise(needed, "needed")
-    if needed.count() <= BROADCAST_DOCS:
-        needed = F.broadcast(needed)
-    texts = materialise(docs.join(needed, "doc_id").select("doc_id", F.col("text").cast("binary").alias("bytes")), "texts")
-    found = materialise(_compare(pairs, texts, least, True), "found")
-    windows = found.where("window is not null").select("window", "doc_id").distinct()
-    again = (windows.join(_first(windows, "window"), "window").where("doc_id <> low")
-             .select("doc_id", F.col("low").alias("other")).distinct().join(pairs, ["doc_id", "other"], "left_anti"))
-    found = found.where("window is null").unionByName(_compare(materialise(again, "again"), texts, least, False))
-    return (found.groupBy("doc_id", "start", "end").agg(F.max("n_words").alias("n_words"), F.min("other").alias("other"))
-            .select("doc_id", "start", "end", "n_words", F.least("doc_id", "other").alias("first_doc_id"))
-            .withColumn("kept", F.col("doc_id") == F.col("first_doc_id")))
+    digests = materialise(docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
+    equal = (digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("top"))
+             .where("first <> top"))
+    equal = materialise(equal, "equal")
+    copies = materialise(digests.join(equal, "digest").where("doc_id <> first").select("doc_id", "first").distinct(), "copies")
+    # the first of equal documents is searched whole: all of its windows repeat
+    whole = equal.select(F.col("first").alias("doc_id"), F.lit(0).alias("since"), F.lit((1 << 31) - 1).alias("until"), "top")
+    regions = (_regions(docs, least).join(copies.select("doc_id"), "doc_id", "left_anti")
+               .select("*", F.lit(None).cast("long").alias("top")).unionByName(whole)
+               .groupBy("doc_id").agg(F.max("top").alias("top"), F.collect_list(F.struct("since", "until")).alias("around")))
+    regions = materialise(regions.withColumn("top", F.coalesce("top", "doc_id")), "regions")
+    beside = F.broadcast(regions) if regions.count() <= BROADCAST_DOCS else regions
+    found = materialise(windows(docs.join(beside, "doc_id"), least), "windows")
+    shared = (found.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("top").alias("high"))
+              .where("low <> high").select("w1", "w2", "low"))
+    repeated = (found.join(shared, ["w1", "w2"])
+                .select("doc_id", "nth", "start", "end", "low", (F.col("low") == F.col("doc_id")).alias("kept")))
+    order = Window.partitionBy("doc_id", "kept").orderBy("nth")
+    passages = materialise(
+        repeated.withColumn("run", F.col("nth") - F.dense_rank().over(order)).groupBy("doc_id", "kept", "run")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("nth") - F.min("nth") + least).cast("long").alias("n_words"),
+             F.min("low").alias("first_doc_id"), F.min("nth").alias("nth")), "passages")
+    # windows stand at every word of the first of equal documents, so its runs reach from its first word to its last
+    spans = (passages.join(equal.select(F.col("first").alias("doc_id")).distinct(), "doc_id")
+             .groupBy(F.col("doc_id").alias("first")).agg(
+                 F.min("start").alias("start"), F.max("end").alias("end"),
+                 (F.max(F.col("nth") + F.col("n_words")) - F.min("nth")).alias("n_words"), F.min("first_doc_id").alias("first_doc_id")))
+    names = ["doc_id", "start", "end", "n_words", "first_doc_id", "kept"]
+    of_copies = copies.join(spans, "first").withColumn("kept", F.lit(False)).select(*names)
+    return passages.select(*names).unionByName(of_copies)
 
 
 def remove(documents: DataFrame, passages: DataFrame) -> DataFrame:
@@ -320,4 +291,4 @@ def remove(documents: DataFrame, passages: DataFrame) -> DataFrame:
             cols[where] = pa.array(texts, batch.schema.field(where).type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.mapInArrow(run, documents.schema)
+    return joined.mapInArrow(T.lean(run), documents.schema)

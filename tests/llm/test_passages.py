@@ -76,3 +76,62 @@ def test_passages_of_digits(spark):
     table = "\n".join(" ".join(str(rng.randrange(10)) for _ in range(4)) for _ in range(14))
     rows = [(i, f"{_text(rng, 30)}\n{table}\n{_text(rng, 30)}") for i in range(2)]
     assert not _missing(spark, rows, dict.fromkeys(range(2), table))
+
+
+def _covered(rows, least=50):
+    """(document, word) of every window of ``least`` whole words that an earlier document has, and that a later one has."""
+    import re
+    spans = {i: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())] for i, t in rows}
+    raw = {i: t.encode() for i, t in rows}
+    where = {}
+    for i, words in spans.items():
+        for k in range(len(words) - least + 1):
+            where.setdefault(raw[i][words[k][0]:words[k + least - 1][1]], []).append((i, k))
+    cut, kept = set(), set()
+    for at in where.values():
+        first = min(i for i, _ in at)
+        if any(i != first for i, _ in at):
+            for i, k in at:
+                (kept if i == first else cut).update((i, w) for w in range(k, k + least))
+    return cut, kept, spans
+
+
+def test_every_covered_word_and_no_other(spark):
+    """Against all windows of all documents: copies, edits, shared parts, repeats, equal texts."""
+    rng = random.Random(21)
+    pool = [_text(rng, n) for n in (50, 52, 70, 120, 49)]
+    line = _text(rng, 12)
+    rows = []
+    for i in range(120):
+        parts = [rng.choice(pool) if rng.random() < 0.5 else _text(rng, rng.randint(0, 60)) for _ in range(rng.randint(0, 4))]
+        if rng.random() < 0.2:
+            parts.append("\n".join([line] * rng.randint(1, 30)))
+        if rng.random() < 0.2:
+            parts = [_edited(rng, p, [rng.randrange(len(p.split()))]) if p else p for p in parts]
+        rows.append((i, rng.choice([" ", "\n"]).join(parts)))
+    rows += [(200 + k, rows[k % 7 * 9][1]) for k in range(30)]
+    cut, kept, spans = _covered(rows)
+    got_cut, got_kept = set(), set()
+    for r in chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        words = {(r.doc_id, w) for w, (a, b) in enumerate(spans[r.doc_id]) if r.start <= a and b <= r.end}
+        assert len(words) == r.n_words >= 50 and r.kept == (r.first_doc_id == r.doc_id) and r.first_doc_id <= r.doc_id
+        (got_kept if r.kept else got_cut).update(words)
+    assert got_cut == cut and got_kept == kept
+
+
+def test_repeated_lines_cost_no_more_than_their_length(spark):
+    """A line repeated 4,000 times in two texts: pairs of occurrences would be 16 million."""
+    import time
+    line = _text(random.Random(3), 12)
+    rows = [(1, "start " + "\n".join([line] * 4000)), (2, "\n".join([line] * 4000) + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    begin = time.time()
+    got = {r.doc_id: r.n_words for r in chunk_dedup.repeated_passages(df).collect()}
+    assert got == {1: 48_000, 2: 48_000} and time.time() - begin < 120
+
+
+def test_window_hashes_are_those_of_the_bytes():
+    import numpy as np
+    data = np.frombuffer(b"the cat sat on the cat sat on", np.uint8)
+    a, b = chunk_dedup.window_hashes(data, np.array([0, 15, 4]), np.array([11, 26, 11]))
+    assert a[0] == a[1] != a[2] and b[0] == b[1] != b[2] and a[0] != b[0]
