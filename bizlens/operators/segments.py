@@ -19,6 +19,8 @@ from bizlens.session import reliable
 MAX_LEAVES = 5_000
 #: Rows of the sample that a sweep over k fits on, about.
 CORESET = 10_000
+#: Starts of every fit of a sweep.
+STARTS = 3
 
 
 def coreset(df: DataFrame, vector: Column, size: int = CORESET, seed: int = 42) -> DataFrame:
@@ -40,7 +42,9 @@ def coreset(df: DataFrame, vector: Column, size: int = CORESET, seed: int = 42)
     away = F.aggregate(F.zip_with("x", mean, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     share = F.lit(0.5 / n) + (away * F.lit(0.5 / total) if total > 0 else F.lit(0.5 / n))
     drawn = x.withColumn("p", F.least(F.lit(1.0), F.lit(float(size)) * share)).where(F.rand(seed) < F.col("p"))
-    return reliable(drawn.select(array_to_vector("x").alias("features"), (1 / F.col("p")).alias("weight")), spread=True)
+    # a fit makes many short passes over the sample: few partitions, so that they are not all scheduling
+    drawn = drawn.select(array_to_vector("x").alias("features"), (1 / F.col("p")).alias("weight"))
+    return reliable(drawn.repartition(1 + size // 20_000))
 
 
 def kmeans_sweep(df: DataFrame, features_col: str = "features", ks=range(2, 11), seed: int = 42,
@@ -65,8 +69,10 @@ def kmeans_sweep(df: DataFrame, features_col: str = "features", ks=range(2, 11),
         if k == 1:  # the mean of all rows; the estimator takes two clusters or more
             mean = df.select(F.posexplode(x)).groupBy("pos").agg(F.avg("col").alias("m")).orderBy("pos").collect()
             return np.array([[r["m"] for r in mean]])
-        model = KMeans(k=k, seed=seed, featuresCol="features", weightCol="weight", maxIter=max_iter, initMode="k-means||").fit(sample)
-        return np.array(model.clusterCenters())
+        # a start can end in a poor optimum: the best of some
+        fits = [KMeans(k=k, seed=seed + i, featuresCol="features", weightCol="weight", maxIter=max_iter, initMode="k-means||").fit(sample)
+                for i in range(STARTS)]
+        return np.array(min(fits, key=lambda m: m.summary.trainingCost).clusterCenters())
 
     # the fits are independent: submit them together so small fits share the cluster
     with ThreadPoolExecutor(max_workers=min(parallel_fits, len(ks))) as pool:
