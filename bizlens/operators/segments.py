@@ -20,7 +20,7 @@ MAX_LEAVES = 5_000
 #: Rows of the sample that a sweep over k fits on, about.
 CORESET = 10_000
 #: Starts of every fit of a sweep.
-STARTS = 3
+STARTS = 2
 
 
 def coreset(df: DataFrame, vector: Column, size: int = CORESET, seed: int = 42) -> DataFrame:
@@ -48,7 +48,7 @@ def coreset(df: DataFrame, vector: Column, size: int = CORESET, seed: int = 42)
 
 
 def kmeans_sweep(df: DataFrame, features_col: str = "features", ks=range(2, 11), seed: int = 42,
-                 max_iter: int = 300, parallel_fits: int = 3, size: int | None = CORESET) -> DataFrame:
+                 max_iter: int = 300, parallel_fits: int = 9, size: int | None = CORESET) -> DataFrame:
     """ML5: distortion (sum of squared distances to the nearest centre) per k,
     and the elbow: the k farthest from the chord joining the first and last
     points of the (k, distortion) curve.
