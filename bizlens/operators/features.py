@@ -112,6 +112,21 @@ def one_hot_vector(df: DataFrame, columns, out_col: str = "features") -> DataFra
     return out.select(*[F.col(f"`{c}`") for c in df.columns if c != out_col], F.col("__vector").alias(out_col))
 
 
+def ones(vector) -> Column:
+    """(width, places) of a 0/1 vector: its length and the places that are 1, ascending, read from the stored entries.
+
+    A sparse vector of many levels is never written out as an array. Null gives null.
+    """
+    @F.udf("width int, places array<int>")
+    def read(v):
+        if v is None:
+            return None
+        at = v.indices[v.values == 1] if hasattr(v, "indices") else (v.toArray() == 1).nonzero()[0]
+        return v.size if hasattr(v, "indices") else len(v), at.tolist()
+
+    return read(F.col(vector) if isinstance(vector, str) else vector)
+
+
 def _coded(df: DataFrame, cols: list[str], codes: DataFrame, names: list[str]) -> DataFrame:
     """``df`` with the code of every column beside it: a join per column, on its level; Spark broadcasts a small
     dictionary and splits a level of very many rows otherwise."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -544,9 +544,8 @@ def q_one_hot_vector(spark, base):
     """ML1: sparse one-hot vectors of columns with many levels: their length and the places that are 1."""
     c = _t(spark, base)["customer"].select("c_custkey", "c_name", F.expr("nullif(c_mktsegment, 'BUILDING')").alias("segment"))
     out = fe.one_hot_vector(c, ["c_name", "segment"])
-    places = F.filter(F.transform(vector_to_array("features"), lambda v, i: F.when(v == 1, i)), lambda i: i.isNotNull())
-    return out.select("c_custkey", F.size(vector_to_array("features")).alias("width"),
-                      F.array_join(places.cast("array<string>"), ",").alias("places"))
+    return (out.select("c_custkey", fe.ones("features").alias("v"))
+            .select("c_custkey", F.col("v.width").alias("width"), F.array_join(F.col("v.places").cast("array<string>"), ",").alias("places")))
 
 
 @register("knn_all_rows")

@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from bizlens.operators import features, scan
 
@@ -132,6 +134,16 @@ def test_one_hot_names_are_written_once(spark):
         features.one_hot(df, ["a"], max_levels=1)
 
 
+def test_ones_of_a_wide_vector(spark):
+    # written out as arrays these rows would need 16 GB each
+    wide, n = Vectors.sparse(2_000_000_000, [3, 7, 1_999_999_999], [1.0, 2.0, 1.0]), None
+    df = spark.createDataFrame([(1, wide), (2, Vectors.dense([0.0, 1.0, 1.0])), (3, Vectors.sparse(4, [], [])), (4, n)], schema=StructType([
+        StructField("id", LongType()), StructField("v", VectorUDT())]))
+    got = {r.id: r.o for r in df.select("id", features.ones("v").alias("o")).collect()}
+    assert (got[1].width, got[1].places) == (2_000_000_000, [3, 1_999_999_999])
+    assert (got[2].width, got[2].places) == (3, [1, 2]) and (got[3].width, got[3].places) == (4, []) and got[4] is None
+
+
 def test_one_hot_vector(spark):
     df = spark.range(2000).select("id", F.concat(F.lit("u"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("wide"),
                                   F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("narrow"), F.lit(None).cast("string").alias("none"))
