@@ -2,8 +2,7 @@
 
 Passages are TF-IDF vectors over the vocabulary of the benchmark, with document frequencies
 counted over all documents. A randomised SVD, computed on Spark from the benchmark's items
-and a bounded sample of documents, gives a latent space of ``RANK`` dimensions. Every
-passage of every document is folded into it and compared with all items by cosine.
+and all documents, gives a latent space of ``RANK`` dimensions. Every passage of every document is folded into it and compared with all items by cosine.
 Candidates are checked on the words themselves: the longest common subsequence with the item
 must cover most of it, and most of its rarest words, which carry the answer, must be there.
 
@@ -25,10 +24,8 @@ from pyspark.sql import functions as F
 from . import text as T
 
 RANK, OVERSAMPLING = 64, 16
-#: Documents that the SVD is fitted on, besides the benchmark.
-SAMPLE_DOCS = 2000
-#: Words of a fitting passage.
-FIT_WORDS = 32
+#: Words of a fitting passage; words whose rows are gathered at a time.
+FIT_WORDS, GATHER = 32, 1_024
 #: Items compared at a time; a larger benchmark is searched in several blocks.
 ITEMS = 5000
 #: Least share of a passage's weight on benchmark words, least latent cosine.
@@ -150,38 +147,65 @@ def search(data: np.ndarray, offsets: np.ndarray, bench: Benchmark, mask: np.nda
                         yield text, item, float(cos[i, j]), cover
 
 
+def _gram(words: np.ndarray, start: np.ndarray, end: np.ndarray, rows: np.ndarray, idf: np.ndarray, y: np.ndarray) -> None:
+    """Add the passages' part of (A' A m) / idf to ``y``; A has a passage's TF-IDF vector, of length 1, in each row.
+
+    ``words`` are vocabulary ids (-1: none), the ranges ascend, ``rows`` is m times idf. Ranges overlap, so words are
+    summed once between the places where a range begins or ends, and get the sum of the ranges around them.
+    """
+    before = np.concatenate(([0], np.cumsum(words >= 0)))
+    known, start, end = words[words >= 0], before[start], before[end]
+    start, end = start[start < end], end[start < end]
+    if not len(start):
+        return
+    cuts = np.unique(np.concatenate((start, end)))
+    first, last = np.searchsorted(cuts, start), np.searchsorted(cuts, end)
+    square = np.concatenate(([0], np.cumsum(idf[known] ** 2)))
+    sums = np.zeros((len(cuts), rows.shape[1]))  # before each cut
+    segment = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))  # of each known word in a range
+    known = known[cuts[0]:cuts[-1]]
+    for a in range(0, len(known), GATHER):
+        own = segment[a:a + GATHER]
+        at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        sums[own[at] + 1] += np.add.reduceat(rows[known[a:a + GATHER]], at, axis=0)
+    np.cumsum(sums, axis=0, out=sums)
+    p = (sums[last] - sums[first]) / np.maximum(square[end] - square[start], 1e-9)[:, None]
+    sums[:] = 0
+    for edge, sign in ((first, 1), (last, -1)):
+        at = np.flatnonzero(np.concatenate(([True], edge[1:] != edge[:-1])))
+        sums[edge[at]] += sign * np.add.reduceat(p, at, axis=0)
+    around = np.cumsum(sums, axis=0).astype(np.float32)
+    order = np.argsort(known, kind="stable")
+    known, segment = known[order], segment[order]
+    for a in range(0, len(known), GATHER):
+        some = known[a:a + GATHER]
+        at = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
+        y[some[at]] += np.add.reduceat(around[segment[a:a + GATHER]], at, axis=0)
+
+
 def _svd(passages: DataFrame, vocabulary: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Leading right singular vectors (words, RANK) of the passages' TF-IDF matrix.
 
-    Randomised: two products of the Gram matrix with a thin matrix, each summed by word on
-    Spark; only matrices of vocabulary times ``RANK + OVERSAMPLING`` pass the driver.
+    Randomised: one product Y of the Gram matrix G with a thin matrix W, summed by word on Spark. G is
+    taken as Y (W'Y)^-1 Y' (Nystroem), so the vectors lie in the range of G W. Only matrices of vocabulary
+    times ``RANK + OVERSAMPLING`` pass the driver.
     """
     size = min(RANK + OVERSAMPLING, len(vocabulary))
     spark = passages.sparkSession
     names = [f"y{k}" for k in range(size)]
 
     def gram(m: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast((vocabulary, idf, m.astype(np.float32)))
+        shared = spark.sparkContext.broadcast((vocabulary, idf, (m * idf[:, None]).astype(np.float32)))
 
         def run(batches):
-            vocabulary, idf, m = shared.value
+            vocabulary, idf, rows = shared.value
             mask = bit_mask(vocabulary)
-            y = np.zeros((len(vocabulary), m.shape[1]))
+            y = np.zeros((len(vocabulary), rows.shape[1]))
             for batch in batches:
-                for _, _, data, offsets in T.slices(batch.column(0)):
+                for _, _, data, offsets in T.slices(batch.column(0), T.SLICE_BYTES // 8):
                     hashes, counts = plain_words(data, offsets)
-                    words = look_up(hashes, vocabulary, mask)
                     _, start, end = windows(counts, FIT_WORDS)
-                    if not len(start):
-                        continue
-                    square = np.concatenate(([0], np.cumsum(np.where(words >= 0, idf[words], 0) ** 2)))
-                    p = _folds(words, idf, m, start, end) / np.maximum(square[end] - square[start], 1e-9)[:, None]
-                    lens = end - start
-                    at = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens - start, lens)
-                    w, row = words[at], np.repeat(np.arange(len(start)), lens)
-                    w, row = w[w >= 0], row[w >= 0]
-                    for k in range(m.shape[1]):
-                        y[:, k] += np.bincount(w, weights=p[row, k], minlength=len(vocabulary))
+                    _gram(look_up(hashes, vocabulary, mask), start, end, rows, idf, y)
             some = np.flatnonzero(y.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(c) for c in y[some].T)],
                                              ["word", *names])
@@ -192,10 +216,11 @@ def _svd(passages: DataFrame, vocabulary: np.ndarray, idf: np.ndarray) -> np.nda
         out[got["word"].to_numpy()] = got[names].to_numpy()
         return out * idf[:, None]
 
-    q = np.linalg.qr(gram(np.random.default_rng(5).normal(size=(len(vocabulary), size))))[0]
-    y = gram(q)
-    values, turn = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
-    return q @ turn[:, np.argsort(-values)[:RANK]]
+    thin = np.linalg.qr(np.random.default_rng(5).normal(size=(len(vocabulary), size)))[0]
+    y = gram(thin)
+    values, turn = np.linalg.eigh((thin.T @ y + y.T @ thin) / 2)
+    some = values > 1e-6 * values[-1]  # below is the rounding of the sums
+    return np.linalg.svd(y @ (turn[:, some] / np.sqrt(values[some])), full_matrices=False)[0][:, :RANK]
 
 
 def prepare(documents: DataFrame, benchmark: DataFrame) -> list[Benchmark]:
@@ -220,9 +245,7 @@ def prepare(documents: DataFrame, benchmark: DataFrame) -> list[Benchmark]:
             continue
         vocabulary = np.unique(np.concatenate([texts[k] for k in kept]))
         idf, other = _weights(documents, vocabulary)
-        sample = documents.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(SAMPLE_DOCS)
-        some = documents.join(F.broadcast(sample), "doc_id", "left_semi").select("text").unionByName(part.select("text"))
-        space = _svd(some, vocabulary, idf)
+        space = _svd(documents.select("text").unionByName(part.select("text")), vocabulary, idf)
         words = [np.searchsorted(vocabulary, texts[k]).astype(np.int32) for k in kept]
         ends = np.cumsum([len(w) for w in words])
         folded = _folds(np.concatenate(words), idf, space, ends - [len(w) for w in words], ends)

@@ -304,3 +304,27 @@ def test_pipeline_stages(spark):
             texts = {i: r.text for i, r in after.items()}
         before = set(after)
     assert all(r.n_tokens == len(r.tokens) == len(r.offsets) for r in after.values())
+
+
+def test_latent_space_is_fitted_on_every_document(spark):
+    # words of 2,400 documents that go together one way in most of them and another way in the rest; a sample differs
+    rng = np.random.default_rng(3)
+    names = ["alpha", "beta", "gamma", "delta", "kappa", "sigma"]
+    share = rng.dirichlet(np.ones(6), size=4)
+    texts = [" ".join(rng.choice([*names, "other"], size=int(rng.integers(1, 70)), p=[*(0.8 * share[i % 4]), 0.2])) for i in range(2400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    bench = spark.createDataFrame([(1, " ".join(names))], "item_id long, text string")
+    [found] = decontaminate.prepare(docs, bench)
+    gram = np.zeros((6, 6))
+    at = {int(h): i for i, h in enumerate(found.vocabulary)}
+    for t in [*texts, " ".join(names)]:
+        hashes, counts = decontaminate.plain_words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        for _, a, b in zip(*decontaminate.windows(counts, decontaminate.FIT_WORDS)):
+            v = np.zeros(6)
+            for h in hashes[a:b].tolist():
+                if h in at:
+                    v[at[h]] += found.idf[at[h]]
+            square = sum(found.idf[at[h]] ** 2 for h in hashes[a:b].tolist() if h in at)
+            gram += np.outer(v, v) / max(square, 1e-9)
+    values, vectors = np.linalg.eigh(gram)
+    assert np.allclose(np.abs(vectors[:, ::-1].T @ found.space), np.eye(6), atol=2e-3)
