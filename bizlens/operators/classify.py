@@ -18,6 +18,10 @@ except Exception:  # noqa: BLE001  (older cloudpickle: fall back to import on ex
 
 
 # --------------------------------------------------------------------- KNN
+#: Labelled rows that a batch of queries is compared with at a time.
+TILE = 2_048
+
+
 def _as_matrix(series: pd.Series) -> np.ndarray:
     if len(series) == 0:
         return np.zeros((0, 0))
@@ -25,14 +29,15 @@ def _as_matrix(series: pd.Series) -> np.ndarray:
 
 
 def _block_topk(qid: np.ndarray, Q: np.ndarray, ids: np.ndarray, X: np.ndarray, y: np.ndarray,
-                k: int, batch: int = 512):
+                k: int, batch: int = 256):
     """k nearest rows of X for every row of Q (squared Euclidean), exact.
 
     A float64 candidate pass on mean-centred data (translation keeps
     distances, centring shrinks the expanded-formula error) picks k + 8
     candidates; their distances are recomputed exactly from the raw values. A
     query whose k-th exact distance is not clearly below the best excluded
-    candidate (error bound) is recomputed against every row.
+    candidate (error bound) is recomputed against every row. ``batch`` queries
+    meet ``TILE`` rows at a time, so memory does not follow the rows of X.
     """
     n = len(ids)
     out_q, out_n, out_d, out_l = [], [], [], []
@@ -48,18 +53,24 @@ def _block_topk(qid: np.ndarray, Q: np.ndarray, ids: np.ndarray, X: np.ndarray,
         q = Q[s:s + batch]
         qc = q - mu
         qn = np.einsum("ij,ij->i", qc, qc)
-        # |q|^2 is constant per row, so rank by |x|^2 - 2 q.x and add it back after
-        approx = qc @ Xc.T
-        approx *= -2.0
-        approx += xn[None, :]
         if m < n:
-            # one partial sort gives the m candidates and the best excluded value
-            part = np.argpartition(approx, m, axis=1)[:, :m + 1]
-            pv = np.take_along_axis(approx, part, axis=1)
-            order = np.argsort(pv, axis=1)
-            part = np.take_along_axis(part, order, axis=1)
+            # the m candidates so far and the best excluded value, tile by tile
+            part, pv = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+            for t in range(0, n, TILE):
+                # |q|^2 is constant per row, so rank by |x|^2 - 2 q.x and add it back after
+                approx = qc @ Xc[t:t + TILE].T
+                approx *= -2.0
+                approx += xn[t:t + TILE]
+                if approx.shape[1] > m + 1:
+                    best = np.argpartition(approx, m, axis=1)[:, :m + 1]
+                    approx = np.take_along_axis(approx, best, axis=1)
+                else:
+                    best = np.tile(np.arange(approx.shape[1]), (len(q), 1))
+                part, pv = np.concatenate([part, best + t], axis=1), np.concatenate([pv, approx], axis=1)
+                order = np.argsort(pv, axis=1, kind="stable")[:, :m + 1]
+                part, pv = np.take_along_axis(part, order, axis=1), np.take_along_axis(pv, order, axis=1)
             cand = part[:, :m]
-            excluded_min = np.take_along_axis(pv, order, axis=1)[:, m] + qn
+            excluded_min = pv[:, m] + qn
         else:
             cand = np.tile(np.arange(n), (len(q), 1))
         exact = ((q[:, None, :] - X[cand]) ** 2).sum(axis=2)

@@ -101,3 +101,23 @@ def test_labelled_rows_are_joined_not_broadcast(spark, monkeypatch):
         assert "FlatMapCoGroupsInPandas" in plan and "Broadcast" not in plan and "Cartesian" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_block_search_memory_does_not_follow_the_labelled_rows():
+    import tracemalloc
+
+    import numpy as np
+    from bizlens.operators.classify import _block_topk
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=(30_000, 4)), rng.normal(size=(600, 4))
+    x[::3] = x[0]  # a third of the rows are alike: ties by the smaller id
+    q[:5] = x[0]
+    ids = rng.permutation(len(x))
+    tracemalloc.start()
+    found = [np.concatenate(c) for c in _block_topk(np.arange(len(q)), q, ids, x, np.zeros(len(x)), 5)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    for i in (0, 4, 5, 599):
+        d = ((x - q[i]) ** 2).sum(axis=1)
+        assert found[1][i * 5:i * 5 + 5].tolist() == ids[np.lexsort((ids, d))[:5]].tolist()
