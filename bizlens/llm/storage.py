@@ -2,26 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizlens.session import checkpoint_dir
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back.
-
-    Cuts the lineage in storage that every executor reaches, and gives later joins the
-    true file size, by which Spark decides on a broadcast.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+from bizlens.session import materialise, release  # noqa: F401  (the operators take both from here)
 
 
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
@@ -34,12 +18,6 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges`` (a, b): one row (node, root) per node
     that has an edge to another node; ``root`` is the smallest node of its component.

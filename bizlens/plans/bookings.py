@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from bizlens.operators import classify, distributions, features, scan, segments
 from bizlens.operators.clean import map_values
-from bizlens.session import reliable
+from bizlens.session import materialise, reliable
 
 TARGET = "booking_status"
 KEY = "Booking_ID"
@@ -83,7 +83,9 @@ def profile_densities(bookings: DataFrame, segment_ids: DataFrame, cols: Booking
     if TARGET in own:
         df = df.withColumn(TARGET, map_values(TARGET, TARGET_MAP))
     df = features.label_encode(df, [c for c in cols.profile if c in cols.categorical])
-    return distributions.density_profiles(df.join(segment_ids.select(KEY, "Segment"), KEY), cols.profile, PRICE, "Segment", bins)
+    # written once in columns: the densities read it for the ranges and for the counts
+    df = materialise(df.join(segment_ids.select(KEY, "Segment"), KEY).drop(KEY), "profiles")
+    return distributions.density_profiles(df, cols.profile, PRICE, "Segment", bins)
 
 
 @dataclass

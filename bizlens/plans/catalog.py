@@ -26,6 +26,7 @@ from bizlens.operators import segments as sg
 from bizlens.plans import bookings as bk
 from bizlens.plans import claims as cr
 from bizlens.plans import orders as rp
+from bizlens.session import materialise
 from bizlens.sources.mart import (CANCEL_STATUS, bookings_frame, claims_frame, events_as_orders, lines_mart,
                                   order_facts, orders_mart)
 from bizlens.sources.samples import head_rows, sample_by, sample_per_group, sample_rows, tail_rows
@@ -438,8 +439,12 @@ def q_priority_cumulative(spark, base):
 
 def _banded_bookings(spark, base):
     """Bookings with a segment by price band instead of a fitted one."""
+    return _banded(_bookings(spark, base))
+
+
+def _banded(bookings):
     edges = [("low", 20000), ("middle", 60000)]
-    b = _bookings(spark, base).withColumn("Segment", band(bk.PRICE, edges, "high"))
+    b = bookings.withColumn("Segment", band(bk.PRICE, edges, "high"))
     return b.withColumn(bk.PRICE, F.col(bk.PRICE).cast("decimal(18,2)"))
 
 
@@ -582,7 +587,8 @@ def q_correlation_with_missing(spark, base):
 @register("banded_profiles")
 def q_banded_profiles(spark, base):
     """RP14/DS6: the eight profile columns against the price, smoothed per price band."""
-    out = bk.profile_densities(_bookings(spark, base), _banded_bookings(spark, base), bins=12)
+    rows = materialise(_bookings(spark, base), "bookings")  # for the bands, the levels and the rows themselves
+    out = bk.profile_densities(rows, _banded(rows), bins=12)
     return out.select("column", "Segment", "x_bin", "y_bin", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"),
                       F.round("density", 6).alias("density"))
 

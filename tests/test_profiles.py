@@ -125,3 +125,23 @@ def test_coreset_weights(spark):
     assert {r.distortion for r in segments.kmeans_sweep(same, "vec", ks=range(1, 4)).collect()} == {0.0}
     none = segments.kmeans_sweep(same.limit(0), "vec", ks=range(2, 4)).collect()
     assert [(r.distortion, r.is_elbow) for r in none] == [(None, False)] * 2
+
+
+def test_profile_densities_compute_the_bookings_once_for_both_passes(spark):
+    from pyspark.sql import functions as F
+
+    from bizlens.plans import bookings as bk
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def price(i):
+        read.add(1)
+        return float(i % 17)
+
+    rows = spark.range(400).select(F.col("id").alias(bk.KEY), (F.col("id") % 3).alias("no_of_items"), (F.col("id") % 7).alias("lead_time"),
+                                   price.asNondeterministic()("id").alias(bk.PRICE))
+    cols = bk.BookingColumns(categorical=("no_of_items",), date_parts=(), profile=("no_of_items", "lead_time"))
+    segments = spark.range(390).select(F.col("id").alias(bk.KEY), (F.col("id") % 2).alias("Segment"))
+    out = bk.profile_densities(rows, segments, cols, bins=4).collect()
+    assert abs(sum(r.density for r in out if r.column == "lead_time" and r.Segment == 1) - 1) < 1e-9
+    assert read.value == 400
