@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .storage import components, materialise
+from .storage import components, gather, materialise
 
 #: Extra share of a set that the hash-order prefix holds (step 2); any value is exact.
 EXTENSION = 0.1
@@ -35,6 +35,12 @@ EXTENSION = 0.1
 PIVOT_ROUNDS = 2
 #: Nodes left after the pre-filter are broadcast to their texts up to so many (16 bytes each), and joined beyond.
 BROADCAST_NODES = 2_000_000
+#: Documents whose intermediate rows make a partition of a written table, at least.
+PART_DOCS = 5_000
+
+
+def _written(df: DataFrame, name: str, rows: int) -> DataFrame:
+    return materialise(gather(df, rows, PART_DOCS), name)
 
 
 def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -81,14 +87,15 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 def _survivors(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, n, hashes) of the nodes that may have a link, each from one of its documents."""
+    rows = members.count()
     entries = _prefixes(docs, k, percent).select("node", "need", F.explode("prefix").alias("h"))
-    shared = materialise(entries.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-                         .where("a <> b").select("h"), "shared")
+    shared = _written(entries.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+                      .where("a <> b").select("h"), "shared", rows)
     # copies of one node send the same entries: counted once per document, so the count is divided
     seen = (entries.join(shared, "h").groupBy("node").agg(F.count("*").alias("hits"), F.first("need").alias("need")))
     nodes = members.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    alive = materialise(seen.join(nodes, "node").where("hits >= need * copies").select("node", "doc_id"), "alive")
+    alive = _written(seen.join(nodes, "node").where("hits >= need * copies").select("node", "doc_id"), "alive", rows)
 
     def run(batches):
         for batch in batches:
@@ -102,7 +109,7 @@ def _survivors(docs: DataFrame, members: DataFrame, k: int, percent: int) -> Dat
     few = alive.count() <= BROADCAST_NODES
     texts = docs.select("doc_id", "text").join(F.broadcast(alive) if few else alive, "doc_id").select("node", "text")
     sets = texts.mapInArrow(T.lean(run), "node long, n long, hashes array<long>")
-    return materialise(sets.dropDuplicates(["node"]), "sets")
+    return _written(sets.dropDuplicates(["node"]), "sets", rows)
 
 
 def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
@@ -153,7 +160,7 @@ def _star(labelled: DataFrame, turn: int, percent: int) -> DataFrame:
     return _pairs(x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & _may_link(percent)))
 
 
-def _across(labelled: DataFrame, percent: int) -> DataFrame:
+def _across(labelled: DataFrame, percent: int, rows: int) -> DataFrame:
     """All candidate pairs between different components of a bucket.
 
     Components of a bucket are held against each other by their best figures first, so two
@@ -166,7 +173,7 @@ def _across(labelled: DataFrame, percent: int) -> DataFrame:
         F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("alone").alias("lone"),
         F.max(shared).alias("shared"), F.max(q * (F.col("n") - F.col("pos")) - percent * F.col("n")).alias("after"))
     several = groups.groupBy("h").agg(F.count("*").alias("roots")).where("roots > 1").select("h")
-    groups = materialise(groups.join(several, "h"), "groups")
+    groups = _written(groups.join(several, "h"), "groups", rows)
     f = {k: (F.col(f"f.{k}"), F.col(f"g.{k}")) for k in groups.columns}
     fits = (f["h"][0] == f["h"][1]) & (F.struct("f.size", "f.root") < F.struct("g.size", "g.root"))
     for i, j in ((0, 1), (1, 0)):
@@ -225,13 +232,14 @@ def _as(entries: DataFrame, node: str, n: str, pos: str, *rest: str) -> DataFram
 def similarity_links(docs: DataFrame, members: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """(a, b): verified links between nodes that connect what the full join connects."""
     sets = _survivors(docs, members, k, percent)
-    entries = materialise(_rare_first(sets, percent), "prefix")
+    rows = members.count()
+    entries = _written(_rare_first(sets, percent), "prefix", rows)
     links, labelled = None, entries.withColumn("root", F.col("node"))
     for turn in range(PIVOT_ROUNDS):
-        found = materialise(_verify(_star(labelled, turn, percent), sets, percent), "links")
+        found = _written(_verify(_star(labelled, turn, percent), sets, percent), "links", rows)
         links = found if links is None else links.unionByName(found)
-        labelled = materialise(_label(entries, links), "labelled")
-    last = materialise(_verify(_across(labelled, percent), sets, percent), "links")
+        labelled = _written(_label(entries, links), "labelled", rows)
+    last = _written(_verify(_across(labelled, percent, rows), sets, percent), "links", rows)
     return links.unionByName(last)
 
 
@@ -257,7 +265,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     nodes = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     nodes = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = materialise(nodes.join(firsts, "root").select("node", "component_id"), "classes")
+    classes = _written(nodes.join(firsts, "root").select("node", "component_id"), "classes", members.count())
     return (members.join(classes, "node", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))

@@ -18,6 +18,12 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def gather(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """``df`` in one partition for ``each`` of ``rows``, but for every core, without a shuffle: a small table is not
+    written as a file for each shuffle partition. The number of partitions never grows."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges`` (a, b): one row (node, root) per node
     that has an edge to another node; ``root`` is the smallest node of its component.
@@ -28,15 +34,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                     .distinct(), "edges")
+    rows = e.count()
+    few = lambda df: gather(df, rows, 200_000)  # noqa: E731  (the steps never have more edges than these, both ways)
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = few(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        e = materialise(small, "stars")
+        e = materialise(few(small), "stars")
         now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if seen == (now.n, now.x):
             break

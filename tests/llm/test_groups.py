@@ -328,3 +328,17 @@ def test_latent_space_is_fitted_on_every_document(spark):
             gram += np.outer(v, v) / max(square, 1e-9)
     values, vectors = np.linalg.eigh(gram)
     assert np.allclose(np.abs(vectors[:, ::-1].T @ found.space), np.eye(6), atol=2e-3)
+
+
+def test_small_components_are_not_written_as_a_file_for_each_shuffle_partition(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "67")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = [(i, i + 1) for i in range(0, 900) if i % 9]
+        out = storage.components(spark.createDataFrame(edges, "a long, b long"))
+        assert {r.node: r.root for r in out.collect()} == _components({x for e in edges for x in e}, edges)
+        assert len(out.inputFiles()) <= max(2, spark.sparkContext.defaultParallelism)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
