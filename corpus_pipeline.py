@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bizlens.llm import bpe, decontaminate, jaccard_join, pii, quality
-from bizlens.llm.storage import small_batches
+from bizlens.llm.storage import materialise, small_batches
 from bizlens.sources.tables import load_table
 
 
@@ -39,7 +39,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and byte offsets of every document left, with the digest of the decoded bytes."""
     small_batches(spark)
-    tokens = bpe.encode(docs, bpe.ranks_path())
+    # written before it is decoded: a task then has one Python worker at a time, and ids go to it once
+    tokens = materialise(bpe.encode(docs, bpe.ranks_path()), "tokens")
     tokens = tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.col("ids").alias("tokens"),
                            "offsets", "ids")
     return (bpe.decode(tokens, bpe.ranks_path())
@@ -60,7 +61,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each reading the Parquet that the stage before wrote in the shared folder."""
-    from bizlens.llm.storage import materialise
     docs = load_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = materialise(stage(spark, docs, sf_dir), f"stage{k}")

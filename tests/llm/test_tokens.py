@@ -310,3 +310,13 @@ def test_files_of_failed_attempts_are_not_read(spark, tmp_path):
     stray.add([99], [1], np.array([5], np.uint32))
     stray.close()
     assert [r.doc_id for r in token_files.read(files).collect()] == [1]
+
+
+def test_code_point_classes_need_little_memory():
+    import tracemalloc
+    bpe.code_point_classes.cache_clear()
+    tracemalloc.start()
+    kinds = bpe.code_point_classes()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6 and [int(kinds[ord(c)]) for c in "aé漢5٣ -"] == [bpe.LETTER] * 3 + [bpe.NUMBER] * 2 + [bpe.INSIDE, bpe.OTHER]
