@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
@@ -175,13 +175,11 @@ def fit_forest(train: DataFrame, features_col: str = "features", label_col: str
                trees: int = 100, max_depth: int = 30, seed: int = 42):
     """ML11: random forest, ``sqrt`` features per split, bootstrap per tree.
 
-    Trees grow level by level with one distributed histogram aggregation per
-    level, so depth (not rows) drives the job count; ``max_depth`` defaults to the
-    deepest tree that Spark grows.
+    Every tree is grown from all rows, by Gini impurity on at most 32 bins a feature and until nodes are pure,
+    gain nothing or are ``max_depth`` deep (see ``forest``).
     """
-    return RandomForestClassifier(featuresCol=features_col, labelCol=label_col, numTrees=trees,
-                                  maxDepth=max_depth, seed=seed, maxBins=32, maxMemoryInMB=1024,
-                                  cacheNodeIds=True).fit(train)
+    from bizlens.operators import forest
+    return forest.fit(train, features_col, label_col, trees, max_depth, seed)
 
 
 # ------------------------------------------------------------ scoring
