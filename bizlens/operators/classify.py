@@ -61,7 +61,15 @@ def _block_topk(qid: np.ndarray, Q: np.ndarray, ids: np.ndarray, X: np.ndarray,
                 approx = qc @ Xc[t:t + TILE].T
                 approx *= -2.0
                 approx += xn[t:t + TILE]
-                if approx.shape[1] > m + 1:
+                hits = approx < pv[:, -1:] if pv.shape[1] > m else np.ones((1, m + 1), bool)
+                if (most := int(hits.sum(axis=1).max())) <= min(m, approx.shape[1]):
+                    # few are better than what a query has: only those, side by side
+                    r, c = np.nonzero(hits)
+                    place = np.arange(len(r)) - np.searchsorted(r, r)
+                    best, near = np.zeros((len(q), most), np.int64), np.full((len(q), most), np.inf)
+                    best[r, place], near[r, place] = c, approx[r, c]
+                    approx = near
+                elif approx.shape[1] > m + 1:
                     best = np.argpartition(approx, m, axis=1)[:, :m + 1]
                     approx = np.take_along_axis(approx, best, axis=1)
                 else:
@@ -100,16 +108,14 @@ _CAND_SCHEMA = StructType([StructField("query_id", LongType()), StructField("nei
 
 
 def knn_neighbours(train: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id",
-                   vec_col: str = "features", label_col: str = "label", fit_rows: int | None = 20_000) -> DataFrame:
+                   vec_col: str = "features", label_col: str = "label", fit_rows: int | None = None) -> DataFrame:
     """Exact k nearest of the fitted rows for every query row (squared Euclidean).
 
-    A KNN classifier keeps its training rows, so they are what bounds its cost:
-    it is fitted on at most ``fit_rows`` labelled rows, those with the smallest
-    hash of the key (all of them when there are no more). The fitted rows are
-    broadcast and every query is searched where it is, without a shuffle: the
-    work is linear in the queries. Ties are broken by (distance, neighbour id).
-    ``fit_rows=None`` searches every labelled row, through buckets and without
-    a broadcast (``neighbours.nearest_rows``).
+    Every labelled row is searched, through buckets and without a broadcast
+    (``neighbours.nearest_rows``). Ties are broken by (distance, neighbour id).
+    A caller may fit on no more than ``fit_rows`` labelled rows, those with the
+    smallest hash of the key. These are broadcast and every query is searched
+    where it is, without a shuffle.
     """
     if fit_rows is None:
         from bizlens.operators.neighbours import nearest_rows  # builds on the block search above
@@ -147,9 +153,9 @@ def knn_vote(neighbours: DataFrame, out_col: str = "prediction") -> DataFrame:
 
 
 def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "id",
-                vec_col: str = "features", label_col: str = "label", fit_rows: int | None = 20_000) -> DataFrame:
+                vec_col: str = "features", label_col: str = "label", fit_rows: int | None = None) -> DataFrame:
     """ML8: KNN classifier; returns ``test`` rows with a ``prediction`` column.
-    ``fit_rows=None`` votes among the nearest of every labelled row."""
+    The nearest of every labelled row vote, or of ``fit_rows`` of them."""
     nb = knn_neighbours(train, test, k, id_col, vec_col, label_col, fit_rows)
     pred = knn_vote(nb).withColumnRenamed("query_id", id_col)
     return test.join(pred, id_col)

@@ -121,3 +121,22 @@ def test_block_search_memory_does_not_follow_the_labelled_rows():
     for i in (0, 4, 5, 599):
         d = ((x - q[i]) ** 2).sum(axis=1)
         assert found[1][i * 5:i * 5 + 5].tolist() == ids[np.lexsort((ids, d))[:5]].tolist()
+
+
+def test_knn_vote_query_searches_every_labelled_row(spark, tmp_path):
+    """More labelled rows than the query once fitted on; nearest of all of them decide."""
+    from bizlens.plans.catalog import QUERIES
+    rng = np.random.default_rng(12)
+    n = 32_000
+    points, labels = rng.normal(size=(n, 3)).astype(np.float32), rng.integers(0, 6, n)
+    df = spark.createDataFrame([(i, [float(v) for v in p], int(c)) for i, (p, c) in enumerate(zip(points, labels))],
+                               "vec_id long, embedding array<float>, label int")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: r.prediction for r in QUERIES["knn_vote"](spark, str(tmp_path)).collect()}
+    ids = np.arange(n)
+    train, x = ids[ids % 10 >= 3], points.astype(float)
+    assert sorted(got) == ids[ids % 10 < 3].tolist()
+    for i in range(0, n, 70):
+        gap = ((x[train] - x[i]) ** 2).sum(axis=1)
+        votes = np.bincount(labels[train[np.lexsort((train, gap))[:5]]])
+        assert got[i] == votes.argmax()
