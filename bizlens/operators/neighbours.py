@@ -70,7 +70,8 @@ def _grid(near: np.ndarray, axes: np.ndarray, n: int, k: int) -> list[int]:
     kth, far = np.sqrt(np.median(gap[:, a])), np.sqrt(np.median(gap[:, b]))
     dim = np.log(b / a) / np.log(far / kth) if far > kth > 0 else 1.0
     reach = kth * min(1.0, size / n) ** (1 / max(dim, 1.0))
-    best, choice, cells = n + COPY * n / BLOCK, [1] * axes.shape[1], n / CELL_ROWS
+    # one cell, unless others cost clearly less
+    best, choice, cells = 0.8 * (n + COPY * n / BLOCK), [1] * axes.shape[1], n / CELL_ROWS
     while cells > 1.5:
         ranges, probed = _ranges(at.std(axis=0), cells), np.ones(size)
         for j, r in enumerate(ranges):

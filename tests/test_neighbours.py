@@ -140,3 +140,14 @@ def test_knn_vote_query_searches_every_labelled_row(spark, tmp_path):
         gap = ((x[train] - x[i]) ** 2).sum(axis=1)
         votes = np.bincount(labels[train[np.lexsort((train, gap))[:5]]])
         assert got[i] == votes.argmax()
+
+
+def test_grid_follows_the_spread():
+    rng = np.random.default_rng(2)
+    flat = rng.normal(size=(1000, 8)) * [0.3, 0.3, 40, 0.3, 4000, 0.3, 0.3, 0.3]
+    axes = neighbours._directions(flat, 3)
+    assert abs(axes[4, 0]) > 0.99 and abs(axes[2, 1]) > 0.99
+    ranges = neighbours._grid(flat, axes, 1_000_000, 5)
+    assert ranges[0] > 10 * ranges[1] and ranges[2] == 1
+    wide = rng.normal(size=(1000, 64))  # no bound of a query keeps it from any cell
+    assert neighbours._grid(wide, neighbours._directions(wide, 3), 100_000, 5) == [1, 1, 1]
